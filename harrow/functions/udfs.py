@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parts of key names that are budgets, not usage, and names of totals. Fixed values.
 NO_USAGE = ("limit", "max", "window", "budget", "remaining", "left")
@@ -52,18 +53,18 @@ def _json(text: str | None) -> object:
         return None
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def usage_tokens(x: pd.Series) -> pd.Series:
     return x.map(lambda t: usage(_json(t))).astype("int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp, as difflib has it."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_sha256(x: pd.Series) -> pd.Series:
     """SHA-256 of a JSON object in the byte form of sorted keys and ', ' and ': ' between parts; null for no JSON."""
     def one(t: str | None) -> str | None:
@@ -82,7 +83,7 @@ def blank(text: str, strings: bool = False) -> str:
     return _LEX.sub(lambda m: hide(m[0]) if strings or m[0][0] == "/" else m[0], text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blank_comments(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else blank(t))
 
@@ -105,7 +106,7 @@ def body_of(text: str | None, name: str) -> str | None:
     return text[m.start() : end] if m and end >= 0 else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def function_body(x: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([body_of(t, n) for t, n in zip(x, name)], dtype=object)
 
@@ -153,8 +154,8 @@ def calls_of(text: str | None, policy: str = "identifier") -> list[tuple[str, in
     return out
 
 
-_DEFS = "array<struct<name:string,is_static:boolean,start_line:int,end_line:int>>"
-_CALLS = "array<struct<callee:string,line_number:int,passed:array<string>>>"
+_DEFS = T.ArrayType(T.StructType().add("name", T.StringType()).add("is_static", T.BooleanType()).add("start_line", T.IntegerType()).add("end_line", T.IntegerType()))
+_CALLS = T.ArrayType(T.StructType().add("callee", T.StringType()).add("line_number", T.IntegerType()).add("passed", T.ArrayType(T.StringType())))
 
 
 @F.pandas_udf(_DEFS)
@@ -181,7 +182,7 @@ def renamed_tests(text: str | None, prefix: str, suite: str = "suite") -> str:
     return "\n".join([sub(b) for b in bodies] + lines)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def prefixed_tests(x: pd.Series, prefix: pd.Series) -> pd.Series:
     return pd.Series([renamed_tests(t, p) for t, p in zip(x, prefix)], dtype=object)
 
@@ -199,7 +200,7 @@ def rebased(v: object, pairs: list[tuple[str, str]]) -> object:
 
 
 def rebase_json(pairs: list[tuple[str, str]]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(x: pd.Series) -> pd.Series:
         return x.map(lambda t: None if (v := _json(t)) is None else json.dumps(rebased(v, pairs), ensure_ascii=False))
 
@@ -237,7 +238,7 @@ def decoded(encodings: tuple[str, ...] = ENCODINGS):
                 continue
         return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(x: pd.Series) -> pd.Series:
         return x.map(one)
 
@@ -247,7 +248,7 @@ def decoded(encodings: tuple[str, ...] = ENCODINGS):
 def token_counts(path: str):
     """Tokens of a text by a tokenizer file of the tokenizers library, found on every executor."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 

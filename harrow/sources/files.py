@@ -5,6 +5,8 @@ Line numbers come from the file's own text (whole-file read and split) where ord
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,11 +17,11 @@ from harrow.operators.coverage import parse_line
 
 def text_files(spark: SparkSession, path: str, pattern: str | None = None, depth: int | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """Whole files below a folder as (path, name, text, modified); pattern is a glob of names, depth a bound of folder levels, skip names folders to pass over."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    d = (r.option("pathGlobFilter", pattern) if pattern else r).text(path)
+    r = spark.read.option("recursiveFileLookup", True)
+    d = (r.option("pathGlobFilter", pattern) if pattern else r).text(path, wholetext=True)
     d = d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
-    root = F.regexp_replace(F.lit(path.rstrip("/")), "^[a-z0-9]+:/+", "/")
-    inner = F.split(F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), F.concat(root, F.lit("/")), -1), "/")
+    root = re.sub("^[a-z0-9]+:/+", "/", path.rstrip("/")) + "/"
+    inner = F.split(F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), root, -1), "/")
     if depth is not None:
         d = d.where(F.size(inner) <= depth + 1)
     return d.where(~F.arrays_overlap(inner, F.array(*[F.lit(s) for s in skip]))) if skip else d
@@ -61,7 +63,7 @@ def tasks(rows: DataFrame, rejects: DataFrame) -> DataFrame:
     if (bad := rejects.select("name", "line_no").first()) is not None:
         raise ValueError(f"{bad['name']}:{bad['line_no']}: not a JSON object")
     required = get("required", "array<string>")
-    list_ok = kind("required").isNull() | (F.startswith(kind("required"), F.lit("ARRAY<")) & ~F.exists(F.coalesce(required, F.array(F.lit(""))), lambda x: F.trim(F.coalesce(x, F.lit(""))) == "")) | (kind("required") == "ARRAY<VOID>")
+    list_ok = kind("required").isNull() | (kind("required").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(F.coalesce(required, F.array(F.lit(""))), lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""))
     answer_ok = kind("answer").isNull() | kind("answer").isin("STRING", "VOID")
     fault = F.when((kind("question") != "STRING") | kind("question").isNull() | (F.trim(get("question")) == ""), "question").when(~list_ok, "required").when(~answer_ok, "answer").when(~kind("id").isin("STRING", "VOID"), "id")
     d = rows.withColumn("fault", fault)
@@ -99,7 +101,7 @@ def rounds(files: DataFrame) -> DataFrame:
 
 def coverage_lines(spark: SparkSession, path: str, source: str, test_dir: str) -> DataFrame:
     """The lines of the first coverage file, by name, whose Source is this file; sources below the test folder don't count."""
-    d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.gcov").text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    d = spark.read.option("pathGlobFilter", "*.gcov").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     head = F.regexp_extract("text", r"(?m)^\s*-:\s*0:Source:(.*)$", 1)
     d = d.withColumn("source", F.trim(head)).where((F.col("source") == source) & ~F.startswith("source", F.lit(test_dir.rstrip("/") + "/")))
     first = d.agg(F.min("name").alias("name"))
