@@ -21,6 +21,8 @@ from harrow.llm.shared import components, discard, maybe_in, stash
 BUCKETS, MANTISSA, MISS = 128, 10, 1e-6
 #: Standard errors that the estimate may lie below the threshold.
 SLACK = 5
+#: Orders in which hubs are chosen; pairs left for each entry at which the rest is compared at once.
+HUBS, REST = 8, 4
 #: Bytes of text hashed at once.
 CHUNK = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -111,15 +113,35 @@ def band_rows(percent: int) -> int:
     return next((r for r in range(16, 1, -1) if (1 - t**r) ** (BUCKETS // r) <= MISS), 1)
 
 
-def band_keys(r: np.ndarray, rows: int) -> list[int | None]:
-    """A key for each band, null where all its registers are empty."""
+_PROBE = np.random.default_rng(7).integers(0, BUCKETS, (1024, BUCKETS))
+
+
+def densified(r: np.ndarray) -> np.ndarray:
+    """Registers without gaps: an empty one takes the value of the first filled one in an order of its own, the same for all documents. So a band of a short document needs all of its registers' sources to agree, not only the one or two that are filled."""
+    filled = r != EMPTY
+    gaps, out = np.flatnonzero(~filled), r.copy()
+    for probe in _PROBE:
+        if not len(gaps):
+            return out
+        source = probe[gaps]
+        ok = filled[source]
+        out[gaps[ok]] = r[source[ok]]
+        gaps = gaps[~ok]
+    out[gaps] = r[np.flatnonzero(filled)[0]]
+    return out
+
+
+def band_keys(r: np.ndarray, rows: int) -> list[int] | None:
+    """A key for each band; null for an empty document."""
+    if (r == EMPTY).all():
+        return None
     bands = BUCKETS // rows
-    b = r[: bands * rows].reshape(bands, rows)
+    b = densified(r)[: bands * rows].reshape(bands, rows)
     with np.errstate(over="ignore"):
         k = np.arange(1, bands + 1, dtype=np.uint64)
         for c in range(rows):
             k = _mix(k * np.uint64(0x9FB21C651E98DF25) + b[:, c].astype(np.uint64))
-    return [x if f else None for x, f in zip(k.view(np.int64).tolist(), (b != EMPTY).any(axis=1).tolist())]
+    return k.view(np.int64).tolist()
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> tuple[float, int]:
@@ -214,7 +236,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     made = stash(sketches(docs, size, band_rows(percent)), "sketches")
     classes = made.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
     classes = stash(classes, "classes")
-    entries = classes.select("class", F.explode("bands").alias("band")).where("band is not null")
+    entries = classes.select("class", F.explode("bands").alias("band"))
     met = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     # component: of a class as far as it is known, itself at first
     entries = stash(entries.join(met, "band").withColumn("component", F.col("class")), "entries")
@@ -222,8 +244,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = roots = None
     step = 0
     while n_entries:
-        # a bucket takes part while it holds more than one component; each round looks for its hub by another hash
-        own = entries.groupBy("band", "component").agg(F.count("*").cast("double").alias("n"), F.min(F.struct(F.xxhash64(F.lit(step), "class").alias("h"), "class", "component")).alias("hub"))
+        # a bucket takes part while it holds more than one component; its hub is the first by one of HUBS orders, so a class meets several hubs in a round
+        order = F.xxhash64(F.lit(step), F.pmod(F.xxhash64("band"), F.lit(HUBS)), "class")
+        own = entries.groupBy("band", "component").agg(F.count("*").cast("double").alias("n"), F.min(F.struct(order.alias("h"), "class", "component")).alias("hub"))
         hubs = own.groupBy("band").agg(F.min("hub").alias("hub"), F.count("*").alias("parts"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross")).where("parts > 1")
         hubs = stash(hubs.select("band", F.col("hub.class").alias("hub"), F.col("hub.component").alias("of"), "cross"), "hubs")
         cross = hubs.agg(F.sum("cross")).first()[0]
@@ -233,7 +256,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         here = stash(entries.join(hubs, "band"), "round")
         discard(entries, hubs)
         apart = here.where("component <> of")
-        if last := cross <= 2 * n_entries:  # what is left to compare is in proportion to the entries: all of it at once
+        if last := cross <= REST * n_entries:  # what is left to compare is in proportion to the entries: all of it at once
             other = here.select("band", F.col("class").alias("hub"), F.col("component").alias("its"))
             apart = apart.drop("hub").join(other, "band").where("component <> its")
         pairs = apart.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
