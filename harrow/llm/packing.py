@@ -5,10 +5,13 @@ Each document becomes token ids; what is longer than a sequence is cut into whol
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack as to_bytes
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,33 +20,74 @@ from pyspark.sql import functions as F
 
 from harrow.llm.shared import stash
 
-#: Remembered words of a worker; when full, it starts again.
-MEMORY = 300_000
-_loaded: dict[str, tuple] = {}
+#: Remembered words of a worker, twice: when as many are new, those of before that were not met again are forgotten.
+MEMORY = 400_000
+_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids as little-endian unsigned 32-bit numbers. White space ends a word and is dropped, so texts are encoded by their different words; each is encoded once while it is remembered."""
-    if path not in _loaded:
-        import os
+class Words:
+    """Token ids of words, as little-endian unsigned 32-bit numbers."""
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    tok, memory = _loaded[path]
-    words = [t.encode().split() if t else [] for t in texts]
-    missing = {w for ws in words for w in ws if w not in memory}
-    if len(memory) + len(missing) > MEMORY and memory:
-        memory.clear()
-        missing = {w for ws in words for w in ws}
-    todo = list(missing)
-    for at in range(0, len(todo), 5_000):
-        part = todo[at : at + 5_000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            memory[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-    get = memory.__getitem__
-    return [b"".join(map(get, ws)) for ws in words]
+        self.tok = Tokenizer.from_file(path)
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """A word that ends in stops after a letter or digit is its two parts, since the tokenizer parts them there too."""
+        if len(self.now) + len(words) > MEMORY and self.now:
+            self.before, self.now = self.now, {}
+        now, before = self.now, self.before
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        todo: set[bytes] = set()
+        for w in words:
+            if (ids := before.get(w)) is not None:
+                now[w] = ids
+                continue
+            core = w.rstrip(b".,")
+            if len(core) < len(w) and core and core[-1] in _ALNUM:
+                parts[w] = core, w[len(core) :]
+                todo.update(parts[w])
+            else:
+                todo.add(w)
+        new = []
+        for w in todo:
+            if w not in now:
+                if (ids := before.get(w)) is not None:
+                    now[w] = ids
+                else:
+                    new.append(w)
+        for at in range(0, len(new), 5_000):
+            some = new[at : at + 5_000]
+            for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                ids = e.ids
+                now[w] = to_bytes(f"<{len(ids)}I", *ids)
+        for w, (core, stops) in parts.items():
+            now[w] = now[core] + now[stops]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """White space ends a word and is dropped, and A-Z are folded as the tokenizer does, so texts are encoded by their different words."""
+        words = [t.encode().lower().split() if t else [] for t in texts]
+        every = set(chain.from_iterable(words))
+        if not self.now.keys() >= every:
+            missing = {w for w in every if w not in self.now}
+            if len(self.now) + len(missing) > MEMORY:
+                missing = every
+            self.learn(missing)
+        get = self.now.__getitem__
+        return [b"".join(map(get, ws)) for ws in words]
+
+
+_loaded: dict[str, Words] = {}
+
+
+def encode(texts: list[str | None], path: str) -> list[bytes]:
+    if path not in _loaded:
+        _loaded[path] = Words(path)
+    return _loaded[path].encode(texts)
 
 
 def spread(counts: dict[int, int], max_len: int = 4096) -> list[tuple[tuple[int, ...], int]]:
