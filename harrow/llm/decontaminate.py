@@ -214,3 +214,17 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     m = with_matches(docs.select("doc_id", "text"), benchmark, window)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return m.select("doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("longest.words").alias("longest_words"), F.col("longest.item_id").alias("longest_item"), F.col("longest.doc_start").alias("longest_start"))
+
+
+#: report()'s rows in DuckDB's SQL, over the tables documents and benchmark; without the longest matches.
+SQL = r"""
+with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda s: s <> '') as w from documents),
+b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda s: s <> '') as w from benchmark),
+bs as (select item_id, w, least(10, len(w)) as n from b where len(w) > 0),
+bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as win from (select *, unnest(range(1, len(w) - n + 2)) as i from bs)),
+dw as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as win from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bs) where len(w) >= n)),
+h as (select r, i, n, item_id from dw join bw using (n, win)),
+p as (select r, count(distinct i + k) as n_hit from h, (select unnest(range(10)) as k) where k < n group by r),
+t as (select r, count(*) as n_items, sha256(string_agg(item_id::varchar, ',' order by item_id::varchar)) as s from (select distinct r, item_id from h) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join p using (r) left join t using (r)"""

@@ -51,8 +51,7 @@ def canonical(text: Column, copyright_lines: bool = True) -> Column:
 
 def digest(text: Column) -> Column:
     """The canonical form's digest; null for a text that has no word."""
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -70,8 +69,10 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     small = licences.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     k = F.broadcast(licences) if small else licences
     d = docs.select("doc_id", "text").withColumn("_t", F.xxhash64("text"))
-    units = d.select("doc_id", "_t", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("pos", "unit"))
-    hits = units.withColumn("digest", digest(F.col("unit"))).join(k, "digest").select("doc_id", "_t", "pos", "license").distinct()
+    # digests are made inside the array, before it becomes rows: a filter that the join adds on them then costs nothing
+    digests = F.transform(F.concat(F.array("text"), F.split("text", "\n")), digest)
+    units = d.select("doc_id", "_t", F.posexplode(digests).alias("pos", "digest"))
+    hits = units.where("digest is not null").join(k, "digest").select("doc_id", "_t", "pos", "license").distinct()
     found = hits.groupBy("doc_id", "_t").agg(F.max(F.when(F.col("pos") == 0, F.col("license"))).alias("text_license"), F.count_if(F.col("pos") > 0).alias("n_notices"), F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("licenses"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_h"), "text_license", "n_notices", "licenses")
     out = d.select("doc_id", "_t").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_h")), "left")
