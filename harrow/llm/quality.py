@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of the sample that costs and selectivities are estimated on.
+#: Rows (in expectation) of the sample that costs and selectivities are estimated on.
 SAMPLE_ROWS = 2_000
 _WORD = re.compile(r"[^ \t-\r]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -93,7 +93,7 @@ def rejected_by(text: str | None, order: list[str]) -> str | None:
 
 
 def profile(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """{rule: (share rejected, seconds a text)}, each rule alone, on at most `rows` rows."""
+    """{rule: (share rejected, seconds a text)}, each rule alone, on a sample of `rows` rows (in expectation). The sample is measured where its rows are read; only a row for each rule and task is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {name: [0, 0, 0.0] for name, _ in RULES}
         for b in batches:
@@ -106,7 +106,8 @@ def profile(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float,
                     s[0] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k for k in seen]), *(pa.array([v[i] for v in seen.values()], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64())))], ["rule", "n", "rejects", "seconds"])
 
-    made = docs.select("text").limit(rows).mapInArrow(run, "rule string, n long, rejects long, seconds double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejects").alias("rejects"), F.sum("seconds").alias("seconds"))
+    share = min(1.0, rows / max(1, docs.count()))
+    made = docs.select("text").sample(share, seed=1).mapInArrow(run, "rule string, n long, rejects long, seconds double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejects").alias("rejects"), F.sum("seconds").alias("seconds"))
     return {r["rule"]: (r["rejects"] / max(1, r["n"]), r["seconds"] / max(1, r["n"])) for r in made.collect()}
 
 
@@ -154,3 +155,18 @@ def measures(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 
     d = docs.select("doc_id", "text")
     return d.mapInArrow(run, StructType([d.schema["doc_id"], *StructType.fromDDL(", ".join(f"{f} long" for f in fields) + ", base_failed boolean, kept boolean, rule string").fields]))
+
+
+#: The measures and verdicts in DuckDB's SQL, over the table documents.
+SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+l as (select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+x as (select r, i, w[i:i + 4] as win from (select r, w, unnest(range(1, len(w) - 3)) as i from w where len(w) > 4)),
+m as (select r, i from (select r, i, count(*) over (partition by r, win) as n from x) where n > 1),
+p as (select r, count(distinct i + k) as n_repeat_words from m, (select unnest(range(5)) as k) group by r),
+a as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda s: length(s))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+  coalesce(n_repeat_words, 0)::bigint as n_repeat_words, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) as n_upper, coalesce(n_lines, 0) as n_lines from w left join l using (r) left join p using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 100 * n_symbols > 25 * n_words or word_chars < 2 * n_words or word_chars > 15 * n_words or (n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines) or 100 * n_upper > 50 * word_chars) as kept
+from a"""
