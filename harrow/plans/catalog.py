@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from harrow.plans import graphs, rounds, scoring, stats, streams, text
+from harrow.plans import graphs, rounds, scoring, stats, streams, text, traces
 
-MODULES = [scoring, rounds, stats, text, graphs, streams]
+MODULES = [scoring, rounds, stats, text, graphs, traces, streams]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
