@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from harrow.llm.shared import stash
 
@@ -96,62 +97,63 @@ def near(text: str, start: int, end: int, width: int) -> Iterator[tuple[str, int
 
 
 def scan(docs: DataFrame, width: int = 10) -> DataFrame:
-    """Rows of three kinds in one pass over the texts: 'doc' (a document's base spans), 'near' (a term near an entity, its place and the digest of the words around), 'word' (how many documents hold a term, as far as a task has counted)."""
+    """Rows of two kinds in one pass over the texts: 'doc' (a document's base spans) and 'near' (a term near an entity, its place and the digest of the words around)."""
     d = docs.select("doc_id", "text")
-    who = d.schema["doc_id"].dataType
-    shape = StructType.fromDDL("what string, entity string, term string, start long, end long, n long, around string, n_email long, n_ip long, n_card long, n_phone long, base string")
-    shape = StructType([StructField("doc_id", who), *shape.fields])
-    names = [f.name for f in shape.fields][1:]
+    shape = StructType([d.schema["doc_id"], *StructType.fromDDL("what string, entity string, term string, start long, end long, around string, n_email long, n_ip long, n_card long, n_phone long, base string").fields])
+    kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] + [pa.int64()] * 4 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        kinds = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 4 + [pa.string()]
-        id_kind = None
-
-        def batch(rows: list[tuple], ids: pa.Array) -> pa.RecordBatch:
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names])
-
-        def words() -> pa.RecordBatch:
-            rows = [("word", None, t, None, None, n, *[None] * 6) for t, n in counts.items()]
-            counts.clear()
-            return batch(rows, pa.nulls(len(rows), id_kind))
-
         for b in batches:
-            id_kind = b.column("doc_id").type
             for at in range(0, b.num_rows, 256):
                 part, rows, take = b.slice(at, 256), [], []
                 for k, text in enumerate(part.column("text").to_pylist()):
                     text = text or ""
-                    counts.update(set(_WORD.findall(text.lower())))
                     found = base_spans(text)
                     spans = [(kind, s, e) for kind in KINDS for s, e in found[kind]]
-                    rows.append(("doc", None, None, None, None, None, None, *(len(found[kind]) for kind in KINDS), spelled(spans)))
+                    rows.append(("doc", None, None, None, None, None, *(len(found[kind]) for kind in KINDS), spelled(spans)))
                     take.append(k)
                     covered = sorted((s, e) for _, s, e in spans)
                     for kind, s, e in spans:
                         close = list(near(text, s, e, width))
                         around = hashlib.md5(" ".join(w for w, _, _ in close).encode(), usedforsecurity=False).hexdigest()
                         for w, ws, we in close:
-                            if len(w) > 2 and not any(c.isdigit() for c in w) and not any(ws < y and x < we for x, y in covered):
-                                rows.append(("near", f"{kind}:{text[s:e].lower()}", w, ws, we, None, around, *[None] * 5))
+                            i = bisect_left(covered, (we, 0))
+                            if len(w) > 2 and not any(c.isdigit() for c in w) and not any(ws < y for _, y in covered[max(0, i - len(KINDS)) : i]):
+                                rows.append(("near", f"{kind}:{text[s:e].lower()}", w, ws, we, around, *[None] * 5))
                                 take.append(k)
-                yield batch(rows, part.column("doc_id").take(pa.array(take, pa.int64())))
-                if len(counts) > COUNTED:
-                    yield words()
-        if counts:
-            yield words()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], shape.names)
 
     return d.mapInArrow(run, shape)
 
 
+def word_documents(docs: DataFrame) -> DataFrame:
+    """(term, n_term): how many documents hold a word. A task hands its counts on whenever it holds COUNTED different words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts.clear()
+            return out
+
+        for b in batches:
+            for text in b.column("text"):
+                counts.update(set(_WORD.findall((text.as_py() or "").lower())))
+                if len(counts) > COUNTED:
+                    yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
 def find(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 10) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs; spans are the base ones by kind and start, then those of terms.
 
     With p as shares of all documents, a term t within `width` words of entity e discloses it if log2(p(t, e) / (p(t) p(e))) >= alpha * -log2 p(e), and if at least `support` different surroundings show both, so copies of one document prove nothing. A null text is empty. Rows that repeat a doc_id share its terms' spans.
     """
-    made = stash(scan(docs, width).where("what <> 'word'"), "pii")
-    words = scan(docs, width).where("what = 'word'").groupBy("term").agg(F.sum("n").alias("n_term"))
+    made = stash(scan(docs, width), "pii")
+    words = word_documents(docs)
     total = made.where("what = 'doc'").count()
     seen = made.where("what = 'near'")
     pairs = seen.groupBy("entity", "term").agg(F.count_distinct("around").alias("shown"), F.count_distinct(F.xxhash64("doc_id")).alias("n_both")).where(F.col("shown") >= support)
