@@ -23,7 +23,4 @@ def filled(x: Column) -> Column:
 
 def first_true(*rules: tuple[Column, str], default: str | None) -> Column:
     """The label of the first rule that holds."""
-    out = F
-    for test, label in rules:
-        out = out.when(test, F.lit(label))
-    return out.otherwise(F.lit(default))
+    return F.coalesce(*[F.when(test, F.lit(label)) for test, label in rules], F.lit(default))
