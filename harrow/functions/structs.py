@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harrow.functions.exprs import filled, first_true
+from harrow.functions.exprs import filled
 from harrow.functions.text import safe_name
 
 
@@ -23,8 +23,13 @@ def json_object(x: Column) -> Column:
     return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
 
 
+def json_text(x: Column) -> Column:
+    """A text as JSON."""
+    return F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+
+
 def short_hash(x: Column, n: int, kind: str = "sha256") -> Column:
-    """F40."""
+    """the first n digits; for a text's hash as a value, pass its json_text()."""
     return F.left(F.sha2(x, 256) if kind == "sha256" else F.md5(x), F.lit(n))
 
 
@@ -47,7 +52,12 @@ def last_wins(*maps: Column) -> Column:
     return reduce(over, maps)
 
 
-def forwarded(env: Column, have: Column, exact: list[str], prefixes: list[str]) -> Column:
+#: What is forwarded. Fixed values.
+ENV_KEYS = ["http_proxy", "https_proxy", "no_proxy", "HTTP_PROXY", "HTTPS_PROXY", "NO_PROXY"]
+ENV_PREFIXES = ["http_", "https_", "HTTP_", "HTTPS_"]
+
+
+def forwarded(env: Column, have: Column, exact: list[str] = ENV_KEYS, prefixes: list[str] = ENV_PREFIXES) -> Column:
     """Entries of env by exact key or prefix, those that `have` holds already stay."""
     def go(k: Column, v: Column) -> Column:
         out = k.isin(exact)
@@ -64,9 +74,14 @@ def relative_path(x: Column) -> Column:
     return F.when((F.size(parts) > 0) & ~F.array_contains(parts, ".."), F.array_join(parts, "/"))
 
 
-def finish_status(x: Column) -> Column:
-    """F49."""
-    return first_true((F.lower(x).isin("stop", "completed", "done", "success"), "completed"), (F.lower(x).isin("error", "failed"), "failed"), (F.lower(x).isin("abort", "aborted", "cancelled", "canceled"), "aborted"), (F.lower(x).isin("max_iterations", "length", "timeout"), "timeout"), default="completed")
+def finish_status(reason: Column) -> Column:
+    """a run's status by why it ended."""
+    return F.when(reason.isin("timeout", "idle-timeout"), reason).otherwise("completed")
+
+
+def event_status(kind: Column, status: Column) -> Column:
+    """an event's own status, else by its type."""
+    return F.coalesce(filled(status), F.when(kind == "run-failed", "failed").otherwise("completed"))
 
 
 def bind(x: Column) -> Column:
@@ -85,7 +100,7 @@ def mount(x: Column) -> Column:
 
 def job_key(process: Column, function: Column, path_no: Column, path: Column, context: Column) -> Column:
     """the three keys of a traced path."""
-    h = lambda c, n: short_hash(c, n)
+    h = lambda c, n: short_hash(json_text(c), n)
     return F.struct(
         F.format_string("%s::%s::path_%04d::p_%s::c_%s", process, function, path_no, h(path, 8), h(context, 8)).alias("job"),
         F.format_string("path_%04d__%s__fp_%s", path_no, safe_name(function), h(path, 16)).alias("folder"),

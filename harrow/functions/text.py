@@ -77,7 +77,7 @@ def artifact_key(source: Column, name: Column) -> Column:
 
 def safe_name(x: Column, limit: int = 120) -> Column:
     """F10."""
-    s = F.substring(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^A-Za-z0-9_.=\-]+", "_"), 1, limit)
+    s = F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^A-Za-z0-9_.=\-]+", "_"), "^_+|_+$", ""), 1, limit)
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("unknown"))
 
 
@@ -140,8 +140,14 @@ def bare_label(x: Column) -> Column:
 
 
 def answer_values(x: Column) -> Column:
-    """after the last ':' of each comma-parted piece; what is no whole number stays as text."""
-    return F.transform(F.split(x, ","), lambda p: F.trim(F.element_at(F.split(p, ":"), -1)))
+    """what follows the first ':' of each comma-parted piece: text if it is quoted or no whole number; UNRESOLVED without a ':'. An empty text has no values."""
+
+    def one(p: Column) -> Column:
+        v = F.get(F.split(p, ":"), 1)
+        bare = F.btrim(v, F.lit('"'))
+        return F.when(v.isNull(), "UNRESOLVED").when(~F.contains(v, F.lit('"')) & F.trim(v).rlike("^[+-]?[0-9]+$"), F.trim(v)).otherwise(bare)
+
+    return F.when(x == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(x, ","), one))
 
 
 def answer_numbers(x: Column) -> Column:
@@ -191,8 +197,21 @@ def tail(x: Column, n: int) -> Column:
     return F.when(F.length(x) > n, F.right(x, F.lit(n))).otherwise(x)
 
 
-#: What a failed build prints. Fixed values.
-BUILD_ERRORS = [r"\berror:", r"fatal error", r"undefined reference", r"multiple definition", r"ld returned", r"no rule to make target", r"\*\*\* \[", r"segmentation fault", r"core dumped", r"command not found", r"no such file or directory", r"collect2:"]
+#: Lines of a failed build. Fixed values.
+BUILD_ERRORS = [
+    r"make(?:\[\d+\])?: \*\*\* .* Error \d+",
+    r"make(?:\[\d+\])?: .* Error \d+ \(ignored\)",
+    r"\berror:",
+    r"undefined reference",
+    r"collect2:\s+error",
+    r"ld returned \d+ exit status",
+    r"cannot open output file",
+    r"cannot find -l",
+    r"No such file or directory",
+    r"No rule to make target",
+    r"recipe for target .* failed",
+    r"\bStop\.",
+]
 
 
 def build_ok(code: Column, out: Column) -> Column:
@@ -201,11 +220,16 @@ def build_ok(code: Column, out: Column) -> Column:
 
 
 def failure_hint(x: Column) -> Column:
-    """P20: the first of five rules."""
-    def any_of(*words: str) -> Column:
-        return F.lower(x).rlike("|".join(words))
-
-    return first_true((any_of("undefined reference", "multiple definition"), "link"), (any_of("timed out", "timeout"), "hang"), (any_of("segmentation fault", "core dumped"), "crash"), (any_of("assert"), "assertion"), (any_of("error:"), "compile"), default=None)
+    """P20: what a repeated failure points to, by the first of five rules; null if by none."""
+    low = F.lower(x)
+    return first_true(
+        (F.contains(low, F.lit("no rule to make target")), "stale_contract"),
+        (F.contains(low, F.lit("overriding recipe for target")), "overridden_target"),
+        (low.rlike("multiple definition|duplicate symbol"), "symbol_owner"),
+        (low.rlike("undefined reference to ['\"]__wrap_"), "wrap_symbol"),
+        (low.rlike("heap out of memory|invalid table size"), "runtime"),
+        default=None,
+    )
 
 
 def stub_body_ok(body: Column, name: Column) -> Column:

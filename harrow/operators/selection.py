@@ -94,11 +94,15 @@ def turn_numbers(events: DataFrame, session: str, order: str, starts: Column) ->
     return events.withColumn("turn_no", F.sum(F.when(starts, 1).otherwise(0)).over(w))
 
 
-def continuation_groups(lines: DataFrame, file: str, line_no: str, text: str) -> DataFrame:
-    """KEY = value lines with what continues them after a backslash, one row a definition."""
-    assign = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:\+=|:=|\?=|=)(.*)$"
+#: Variables that matter. Fixed values.
+MAKE_KEYS = ["CFLAGS", "CFLAGS_LINUX", "CPPFLAGS", "INCLUDE", "LDFLAGS", "LDLIBS", "LIBS"]
+
+
+def continuation_groups(lines: DataFrame, file: str, line_no: str, text: str, wanted: list[str] = MAKE_KEYS) -> DataFrame:
+    """KEY = value lines with what continues them after a backslash, one row a definition. A line that assigns a wanted key is a definition even there."""
+    assign = r"^([A-Za-z_][A-Za-z0-9_]*)\s*[:+?]?=\s*(.*)$"
     w = Window.partitionBy(file).orderBy(line_no)
-    d = lines.withColumn("_open", F.coalesce(F.endswith(F.rtrim(F.lag(text).over(w)), F.lit("\\")), F.lit(False)))
+    d = lines.withColumn("_open", F.coalesce(F.endswith(F.rtrim(F.lag(text).over(w)), F.lit("\\")), F.lit(False)) & ~F.regexp_extract(text, assign, 1).isin(wanted))
     d = d.withColumn("_g", F.sum(F.when(~F.col("_open"), 1).otherwise(0)).over(w))
     body = F.regexp_replace(F.when(F.col("_open"), F.col(text)).otherwise(F.regexp_extract(text, assign, 2)), r"\\\s*$", "")
     d = d.withColumns({"_key": F.when(~F.col("_open"), F.regexp_extract(text, assign, 1)), "_body": F.when(F.col("_open") & F.ltrim(text).startswith("#"), "").otherwise(F.trim(body))})
@@ -106,7 +110,7 @@ def continuation_groups(lines: DataFrame, file: str, line_no: str, text: str) ->
     return g.where("key <> ''").select(file, "key", "line_no", F.array_join(F.filter(F.transform("_b", lambda x: x["_body"]), lambda s: s != ""), " ").alias("value"))
 
 
-def make_variables(groups: DataFrame, file: str, wanted: list[str]) -> DataFrame:
+def make_variables(groups: DataFrame, file: str, wanted: list[str] = MAKE_KEYS) -> DataFrame:
     """The values of the wanted keys, repeated ones joined by a space."""
     g = groups.where(F.col("key").isin(wanted)).groupBy(file, "key").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("v"))
     return g.select(file, "key", F.array_join(F.transform("v", lambda x: x["value"]), " ").alias("value"))

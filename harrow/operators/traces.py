@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.functions.exprs import filled
+from harrow.functions.structs import json_text
+from harrow.functions.text import ellipsis
 
-#: States in which a session has ended, and events that say so. Fixed values.
-TERMINAL_STATES = ("completed", "failed", "aborted", "error", "timeout")
+#: States and events that end a session. Fixed values.
+TERMINAL_STATES = ["completed", "failed", "cancelled", "canceled", "aborted"]
+TERMINAL_EVENTS = ["ended", "session-ended", "run-completed", "completed", "run-failed"]
 
 
 def function_totals(paths: DataFrame, key: str) -> DataFrame:
@@ -58,13 +60,12 @@ def main_files(files: DataFrame) -> tuple[Column, DataFrame]:
 
 def terminal(status: Column) -> Column:
     """P22."""
-    return F.coalesce(F.lower(status).isin(*TERMINAL_STATES), F.lit(False))
+    return F.coalesce(status.isin(TERMINAL_STATES), F.lit(False))
 
 
-def terminal_event(session: Column, own: Column, kind: Column, status: Column) -> Column:
-    """An event of this session whose type or status ends it."""
-    ends = F.coalesce(kind.isin(*[f"session.{s}" for s in TERMINAL_STATES]), F.lit(False))
-    return F.coalesce(session == own, F.lit(False)) & (ends | terminal(status))
+def terminal_event(session: Column, wanted: Column, kind: Column, status: Column) -> Column:
+    """An event whose type or status ends its session, unless it names another session."""
+    return F.coalesce(session == wanted, F.lit(True)) & (F.coalesce(kind.isin(TERMINAL_EVENTS), F.lit(False)) | terminal(status))
 
 
 def function_name(x: Column) -> Column:
@@ -77,14 +78,22 @@ def test_dir(source: Column) -> Column:
     return F.when(source.rlike(r"/src/[^/]+/?$"), F.regexp_replace(source, r"/src/([^/]+)/?$", "/tests/$1")).otherwise(F.raise_error(F.concat(F.lit("not below src: "), source)))
 
 
-def contract(makefile: Column, absent: str, present: str) -> Column:
-    """Two variables at line starts, one text absent, one present."""
-    return makefile.rlike(r"(?m)^TARGET\s*[:?]?=") & makefile.rlike(r"(?m)^CFLAGS\s*\+?=") & ~F.contains(makefile, F.lit(absent)) & F.contains(makefile, F.lit(present))
+def contract(makefile: Column, program: Column, source: Column, absent: str = "$(notdir $(PROD_SRC)).gcov", present: str = "gcov -p -b -c") -> Column:
+    """Both variables have these values on lines of their own, one text is absent and one present."""
+    line = lambda name, v: F.regexp_like(makefile, F.concat(F.lit(rf"(?m)^{name}\s*=\s*\Q"), v, F.lit(r"\E\s*$")))
+    return line("TEST_PROGRAM", program) & line("TEST_SRCS", source) & ~F.contains(makefile, F.lit(absent)) & F.contains(makefile, F.lit(present))
 
 
-def input_summary(v: Column, keys: tuple[str, ...] = ("path", "file_path", "command", "query", "pattern", "url", "name")) -> Column:
-    """the first filled of seven keys of a tool's VARIANT input, else its JSON."""
-    return F.coalesce(*[filled(F.try_variant_get(v, f"$.{k}", "string")) for k in keys], F.to_json(v))
+def input_summary(v: Column) -> Column:
+    """key=value of the first of these keys that a tool's VARIANT input has, the value as JSON; else the input's start."""
+
+    def part(key: str, kind: str) -> Column:
+        x = F.try_variant_get(v, f"$.{key}", "variant")
+        text = json_text(ellipsis(F.try_variant_get(v, f"$.{key}", "string"), 500)) if kind == "STRING" else F.to_json(x)
+        return F.when(F.startswith(F.schema_of_variant(x), F.lit(kind)), F.concat(F.lit(f"{key}="), text))
+
+    keys = [("query", "STRING"), ("question", "STRING"), ("questions", "ARRAY"), ("command", "STRING"), ("path", "STRING"), ("paths", "ARRAY"), ("file", "STRING"), ("url", "STRING")]
+    return F.coalesce(*[part(k, t) for k, t in keys], ellipsis(F.to_json(v), 500))
 
 
 def output_length(text: Column, v: Column) -> Column:

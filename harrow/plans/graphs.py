@@ -188,7 +188,7 @@ def makefile_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     cont = F.when(F.col("l_suppkey") % 2 == 0, " \\").otherwise("")
     # a line is a definition if it is the first or its predecessor is not continued; the predecessor's state is part of the row
     d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), i.alias("line_no"), F.concat(key, F.lit(" += -x"), p, cont).alias("line")).where("line_no <= 7").groupBy("file", "line_no").agg(F.min("line").alias("line"))
-    return S.make_variables(S.continuation_groups(d, "file", "line_no", "line"), "file", ["CFLAGS", "LIBS"])
+    return S.make_variables(S.continuation_groups(d, "file", "line_no", "line"), "file")
 
 
 QUERIES = {f.__name__: f for f in (call_tree, call_paths, last_call_path, highest_parents, macro_targets, edge_bundles, mermaid_lines, path_adjacency, launch_types, callback_edges, resolved_calls, definition_counts, unit_selection, stub_selection, backup_attempts, oldest_prompts, leaf_first_targets, depth_batches, top_values, first_seen, resume_index, turn_counters, key_or_id, suffix_sources, prefix_rewrites, layer_overlay, lookups_with_default, level_functions, makefile_variables)}
@@ -250,7 +250,7 @@ SQL = {
     "lookups_with_default": "select event_id, e.user_id, coalesce(left(text, 10), 'NO DATA') as launch from events e left join benchmark b on b.item_id = e.user_id",
     "level_functions": "select n_nationkey as id, n_regionkey::varchar as level, n_name from nation",
     "makefile_variables": r"""with l as (select l_orderkey as file, l_linenumber as line_no, min(case l_partkey % 3 when 0 then 'CFLAGS' when 1 then 'LIBS' else 'OTHER' end || ' += -x' || l_partkey || case when l_suppkey % 2 = 0 then ' \' else '' end) as line from lineitem where l_linenumber <= 7 group by 1, 2),
-      o as (select *, coalesce(ends_with(lag(line) over (partition by file order by line_no), '\'), false) as open from l), g as (select *, sum(case when open then 0 else 1 end) over (partition by file order by line_no) as g from o),
+      o as (select *, coalesce(ends_with(lag(line) over (partition by file order by line_no), '\'), false) and starts_with(line, 'OTHER') as open from l), g as (select *, sum(case when open then 0 else 1 end) over (partition by file order by line_no) as g from o),
       b as (select file, g, line_no, case when open then null else split_part(line, ' ', 1) end as key, trim(regexp_replace(case when open then line else split_part(line, '+= ', 2) end, '\\\s*$', ''), ' ') as body from g),
       d as (select file, max(key) as key, min(line_no) as line_no, string_agg(body, ' ' order by line_no) as value from b group by file, g)
       select file, key, string_agg(value, ' ' order by line_no) as value from d where key in ('CFLAGS', 'LIBS') group by 1, 2""",

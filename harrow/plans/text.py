@@ -42,7 +42,8 @@ def code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5, F6, F14, F16-F18, F21-F23, F33, F54, P17-P20, P33 on small C texts made of events."""
     k = F.col("k").cast("string")
     x = F.concat(F.lit("#define MAX_"), k, F.lit(" 1 /* c */\n  # define MIN"), k, F.lit("(x) \\\n (x)\nint (*fp_"), k, F.lit(')(int); // CU_add_test(\nchar *s = "CU_add_test (";\nint __wrap_f'), k, F.lit("(int a) { return __wrap_g(a); }\n"), F.when(F.col("k") % 3 == 0, F.lit("CU_add_test (s, \"n\", t);\n// BEGIN\nx = __real_f0;\n// END\n")).otherwise(""))
-    out = F.when(F.col("k") % 6 == 0, "all good").when(F.col("k") % 6 == 1, "a.c:1: Error: bad").when(F.col("k") % 6 == 2, "Undefined reference to x").when(F.col("k") % 6 == 3, "test timed out").when(F.col("k") % 6 == 4, "Segmentation fault").otherwise("assert failed")
+    n = F.col("k") % 6
+    out = F.when(n == 0, "all good").when(n == 1, "a.c:1: Error: bad").when(n == 2, "Undefined reference to '__wrap_x'").when(n == 3, "make: *** No rule to make target x").when(n == 4, "heap out of memory").otherwise("duplicate symbol y")
     f = F.concat(F.lit("f"), k)
     return keyed_events(spark, sf_dir).select(
         "event_id", F.array_join(T.macro_names(x), ",").alias("macros"), F.array_join(T.function_pointers(x), ",").alias("pointers"), F.md5(T.strip_comments_and_strings(x)).alias("stripped"), F.md5(T.strip_comments(x)).alias("uncommented"),
@@ -84,15 +85,15 @@ def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F34, F44, F48-F51, F53, P21, P31, U10."""
     k = F.col("k").cast("string")
-    env = F.map_from_entries(X.env_pairs(F.array(F.concat(F.lit("PATH=/bin:"), k), F.concat(F.lit("MODEL_X="), k, F.lit("=1")), F.lit("EMPTY"))))
-    have = F.create_map(F.lit("PATH"), F.lit("/usr"), F.lit("HOME"), F.lit("/root"))
-    fwd = X.forwarded(env, have, ["PATH"], ["MODEL_"])
+    env = F.map_from_entries(X.env_pairs(F.array(F.concat(F.lit("no_proxy=/bin:"), k), F.concat(F.lit("http_x="), k, F.lit("=1")), F.lit("NOT_http_=1"), F.lit("EMPTY"))))
+    have = F.create_map(F.lit("no_proxy"), F.lit("/usr"), F.lit("HOME"), F.lit("/root"))
+    fwd = X.forwarded(env, have)
     path = F.concat(F.when(F.col("k") % 5 == 0, F.lit("/a/../")).when(F.col("k") % 5 == 1, F.lit("//./")).otherwise(F.lit("x\\")), k, F.lit("/y"))
     spec = F.when(F.col("k") % 3 == 0, F.concat(F.lit("/s:/t"), k, F.lit(":ro"))).when(F.col("k") % 3 == 1, F.lit("only")).otherwise(F.concat(F.lit("/s:/t"), k))
     m = X.mount(F.concat(F.lit("type="), F.when(F.col("k") % 4 == 0, "tmpfs").otherwise("bind"), F.lit(",src=/a"), k, F.lit(",dst=/b")))
     red = T.redacted(F.create_map(F.lit("Authorization"), k, F.lit("accept"), k))
     return keyed_events(spark, sf_dir).select(
-        "event_id", F.array_join(F.transform(F.array_sort(F.map_entries(fwd)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("env"), X.relative_path(path).alias("path"), X.finish_status(F.col("event_type")).alias("status"), X.bind(spec)["target"].alias("bind_target"), m["source"].alias("mount_source"),
+        "event_id", F.array_join(F.transform(F.array_sort(F.map_entries(fwd)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("env"), X.relative_path(path).alias("path"), X.finish_status(F.when(F.col("k") % 2 == 0, "idle-timeout").otherwise(F.col("event_type"))).alias("finish"), X.event_status(F.when(F.col("k") % 3 == 0, "run-failed").otherwise("ended"), F.when(F.col("k") % 4 == 0, "").when(F.col("k") % 4 == 1, F.col("event_type"))).alias("status"), X.bind(spec)["target"].alias("bind_target"), m["source"].alias("mount_source"),
         F.array_join(X.positional(F.split(spec, ":"), ["a", "b", "c"]), "|").alias("positional"), red["Authorization"].alias("auth"), red["accept"].alias("accept"), F.exists(F.array(F.lit("/a"), F.lit("x")), lambda p: F.startswith(path, p)).alias("forbidden"),
     )
 
@@ -120,21 +121,21 @@ SQL = {
     "transcript_lines": f"""with {K_EVENTS} select event_id, (select string_agg(c, '|') from (select unnest([1, 2]), 'srv' || (k % 3) || '.' || event_type || '_info' || case when k % 2 = 0 then '(name=fn_' || k || ')' else '' end as c)) as calls,
       case when k % 5 > 0 then case when k % 2 = 0 then k * 1000 + 500 else k end end::bigint as input_tokens, case when k % 5 > 0 then k * 3 end::bigint as output_tokens from k_events""",
     "names_and_keys": r"""with d as (select *, substr(text, 1, 40) as head, 'src/' || lang || '/_' || substr(text, 1, 40) || '.v1.c' as name from documents),
-      e as (select *, trim(regexp_replace((doc_id % 7) || head, '[^A-Za-z0-9_]+', '_', 'g'), '_') as ident, regexp_replace(case when doc_id % 5 > 0 then head || '=1' else '' end, '[^A-Za-z0-9_.=\-]+', '_', 'g')[1:120] as nm, coalesce(nullif(regexp_replace(head, '[^A-Za-z0-9_.=\-]+', '_', 'g')[1:120], ''), 'unknown') as fn,
-        sha256(lang) as hp, sha256(source) as hc from d)
+      e as (select *, trim(regexp_replace((doc_id % 7) || head, '[^A-Za-z0-9_]+', '_', 'g'), '_') as ident, trim(regexp_replace(case when doc_id % 5 > 0 then head || '=1' else '' end, '[^A-Za-z0-9_.=\-]+', '_', 'g'), '_')[1:120] as nm, coalesce(nullif(trim(regexp_replace(head, '[^A-Za-z0-9_.=\-]+', '_', 'g'), '_')[1:120], ''), 'unknown') as fn,
+        sha256('"' || lang || '"') as hp, sha256('"' || source || '"') as hc from d)
       select doc_id, trim(regexp_replace(name, '[^A-Za-z0-9_.\-]+', '_', 'g'), '_') as safe, regexp_replace(name, '[^A-Za-z0-9_.\-]+', '_', 'g') as safe_untrimmed,
       case when ident = '' then 'generated' when regexp_matches(ident, '^[0-9]') then 'f_' || ident else ident end as identifier, 'generated' as generated, trim(regexp_replace(source || '__' || head, '[^A-Za-z0-9_.\-]+', '_', 'g'), '_') as artifact,
-      coalesce(nullif(nm, ''), 'unknown') as named, trim(regexp_replace(lower(regexp_replace(regexp_extract(name, '([^/]*)$', 1), '\.[^.]*$', '')), '[^a-z0-9]+', '_', 'g'), '_') as doc_key, left(hc, 12) as h12, left(md5(source), 8) as m8,
+      coalesce(nullif(nm, ''), 'unknown') as named, trim(regexp_replace(lower(regexp_replace(regexp_extract(name, '([^/]*)$', 1), '\.[^.]*$', '')), '[^a-z0-9]+', '_', 'g'), '_') as doc_key, left(sha256(source), 12) as h12, left(md5(source), 8) as m8,
       printf('%s::%s::path_%04d::p_%s::c_%s', source, head, doc_id, left(hp, 8), left(hc, 8)) as job, printf('path_%04d__%s__fp_%s', doc_id, fn, left(hp, 16)) as folder, printf('%s__path_%04d__p_%s__c_%s', fn, doc_id, left(hp, 8), left(hc, 8)) as run from e""",
     "code_text": rf"""with {K_EVENTS}, c as (select *, '#define MAX_' || k || ' 1 /* c */' || chr(10) || '  # define MIN' || k || '(x) \' || chr(10) || ' (x)' || chr(10) || 'int (*fp_' || k || ')(int); // CU_add_test(' || chr(10) || 'char *s = "CU_add_test (";' || chr(10) || 'int __wrap_f' || k || '(int a) {{ return __wrap_g(a); }}' || chr(10)
         || case when k % 3 = 0 then 'CU_add_test (s, "n", t);' || chr(10) || '// BEGIN' || chr(10) || 'x = __real_f0;' || chr(10) || '// END' || chr(10) else '' end as x from k_events),
       s as (select *, regexp_replace(regexp_replace(regexp_replace(x, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g'), '"(?:[^"\\]|\\.)*"', '""', 'g') as st, case when contains(x, '// BEGIN') then x else x || chr(10) || '// BEGIN' || chr(10) end as b from c)
       select event_id, 'MAX_' || k || ',MIN' || k as macros, 'fp_' || k as pointers, md5(st) as stripped, md5(regexp_replace(x, '(?s)/\*.*?\*/|//[^\n]*', '', 'g')) as uncommented, 'f' || k || ',g' as wrapped, 'f' || k as defined,
-      case when k % 3 = 0 then 'x = __real_f0;' else '' end as section, md5({_STRIP("replace(x, '\\' || chr(10), ' ')")}) as joined, 'f' || k || '.h' as include, true as hit, k % 2 = 0 and k % 6 = 0 or k % 2 = 0 and k % 6 not in (0, 1, 2, 4) as built,
-      case k % 6 when 0 then null when 1 then 'compile' when 2 then 'link' when 3 then 'hang' when 4 then 'crash' else 'assertion' end as hint, not (k % 3 = 0 and contains(x, '__real_f' || k)) as stub_ok, k % 3 = 0 as registers, k = 1 as stub_there,
+      case when k % 3 = 0 then 'x = __real_f0;' else '' end as section, md5({_STRIP("replace(x, '\\' || chr(10), ' ')")}) as joined, 'f' || k || '.h' as include, true as hit, k % 2 = 0 and k % 6 in (0, 4) as built,
+      case k % 6 when 0 then null when 1 then null when 2 then 'wrap_symbol' when 3 then 'stale_contract' when 4 then 'runtime' else 'symbol_owner' end as hint, not (k % 3 = 0 and contains(x, '__real_f' || k)) as stub_ok, k % 3 = 0 as registers, k = 1 as stub_there,
       md5(case when contains(x, '__wrap_f7') then x else substr(b, 1, strpos(b, '// BEGIN') + 7) || chr(10) || 'new' || substr(b, strpos(b, '// BEGIN') + 8) end) as inserted from s""",
     "label_answers": rf"""with {K_EVENTS}, l as (select *, '[main.c:' || k || ']' || case when k % 2 = 0 then '[1:4]' else '' end || ' fn_' || event_type as label, 'a:' || k || case when k % 3 = 0 then ',b: unresolved' else ',7' end as ans from k_events)
-      select event_id, 'main.c:' || k as first, case when k % 2 = 0 then '1:4' end as second, 'fn_' || event_type as name, ' fn_' || event_type as bare, k || case when k % 3 = 0 then '|unresolved' else '|7' end as answers, k || case when k % 3 = 0 then '|UNRESOLVED' else '|7' end as strict, case when k % 3 = 0 then 1 else 0 end::bigint as unresolved,
+      select event_id, 'main.c:' || k as first, case when k % 2 = 0 then '1:4' end as second, 'fn_' || event_type as name, ' fn_' || event_type as bare, k || case when k % 3 = 0 then '| unresolved' else '|UNRESOLVED' end as answers, k || '|UNRESOLVED' as strict, case when k % 3 = 0 then 1 else 0 end::bigint as unresolved,
       replace(ans, ',', '->') as path, case when length(label) > 12 then left(label, 12) || '...' else label end as short, '[' || k || '] ' || label as chunk, case when k % 5 > 2 then (k + 0.5)::varchar else 'NA' end as csv,
       '{{"call_number":' || case when k % 2 = 0 then '"' || k || '"' else 'null' end || ',"output":"' || ans || '"}}' as answer_key, k as weight from l""",
     "line_slices": """with d as (select doc_id, string_split(text, chr(10)) as l from documents)
@@ -142,7 +143,7 @@ SQL = {
       md5(case when len(list_filter(l, lambda s: length(s) < 30)) > 0 then array_to_string(list_transform(list_filter(l, lambda s: length(s) < 30), lambda s: ' - ' || s), chr(10)) else '(none)' end) as list_md5 from d""",
     "json_text": f"""with {K_EVENTS} select event_id, case k % 6 when 2 then null when 3 then null when 4 then 1 else k end::int as loose_k, k % 6 = 5 as is_object, k % 6 = 0 as block_ok, case k % 6 when 0 then null when 4 then 'keys' else 'no block' end as block_why,
       case k % 4 when 0 then null when 1 then 100 else k end::int as score, case k % 4 when 0 then null when 1 then true else k >= 75 end as judge_passed from k_events""",
-    "map_merges": rf"""with {K_EVENTS} select event_id, 'HOME=/root;MODEL_X=' || k || '=1;PATH=/usr' as env, case k % 5 when 0 then null when 1 then k || '/y' else 'x/' || k || '/y' end as path, case event_type when 'error' then 'failed' else 'completed' end as status,
+    "map_merges": rf"""with {K_EVENTS} select event_id, 'HOME=/root;http_x=' || k || '=1;no_proxy=/usr' as env, case k % 5 when 0 then null when 1 then k || '/y' else 'x/' || k || '/y' end as path, case when k % 2 = 0 then 'idle-timeout' else 'completed' end as finish, case when k % 4 = 1 then event_type when k % 3 = 0 then 'failed' else 'completed' end as status,
       case k % 3 when 1 then null else '/t' || k end as bind_target, case when k % 4 <> 0 then '/a' || k end as mount_source, case k % 3 when 0 then '/s|/t' || k || '|ro' when 1 then 'only|b|c' else '/s|/t' || k || '|c' end as positional, '[REDACTED]' as auth, k::varchar as accept, k % 5 <> 1 as forbidden from k_events""",
     "verification": f"""with {K_EVENTS}, r as (select *, case when k % 5 = 0 then [] else ['a', 'b', 'c'] end::varchar[] as req, case when k % 3 = 0 then ['a', 'b'] else ['a', 'b', 'c'] end as called, list_distinct(list_concat(case when k % 7 = 0 then ['c'] else [] end, case when k % 11 = 0 then ['a', 'c'] else [] end))::varchar[] as sh from k_events),
       f as (select *, list_filter(req, lambda x: not list_contains(called, x) or list_contains(sh, x)) as missing, list_filter(req, lambda x: list_contains(called, x) and not list_contains(sh, x)) as present, list_filter(req, lambda x: list_contains(sh, x)) as shadowed from r)

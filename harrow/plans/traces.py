@@ -65,12 +65,12 @@ def main_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    kind = F.when(k % 4 == 0, F.concat(F.lit("session."), F.col("event_type"))).otherwise("message")
-    status = F.when(k % 5 == 0, "Completed").when(k % 5 == 1, "running")
+    kind = F.when(k % 4 == 0, "run-failed").otherwise("message")
+    status = F.when(k % 5 == 0, "completed").when(k % 5 == 1, "running")
     v = F.try_parse_json(F.concat(F.lit('{"'), F.when(k % 3 == 0, "query").when(k % 3 == 1, "path").otherwise("other"), F.lit('":"'), "event_type", F.lit('"}')))
     return keyed_events(spark, sf_dir).select(
-        "event_id", T.terminal(status).alias("done"), T.terminal_event(F.col("user_id"), F.lit(3), kind, status).alias("ends"), T.input_summary(v).alias("summary"), T.output_length(status, v).alias("length"), T.backoff(k % 9 + 1).alias("wait"), T.function_name(F.concat("event_type", F.when(k % 2 == 0, "()").otherwise(""))).alias("name_ok"),
-        T.test_dir(F.concat(F.lit("/w/src/"), "event_type")).alias("tests"), T.contract(F.concat(F.lit("TARGET = x\n"), F.when(k % 2 == 0, "CFLAGS += -g\n").otherwise("# CFLAGS = 1\n"), F.when(k % 3 == 0, "main.o").otherwise("lib.a")), "main.o", "lib.a").alias("contract"),
+        "event_id", T.terminal(status).alias("done"), T.terminal_event(F.when(k % 7 > 0, F.col("user_id")), F.lit(3), kind, status).alias("ends"), T.input_summary(v).alias("summary"), T.output_length(status, v).alias("length"), T.backoff(k % 9 + 1).alias("wait"), T.function_name(F.concat("event_type", F.when(k % 2 == 0, "()").otherwise(""))).alias("name_ok"),
+        T.test_dir(F.concat(F.lit("/w/src/"), "event_type")).alias("tests"), T.contract(F.concat(F.lit("TEST_PROGRAM = x+\n"), F.when(k % 2 == 0, "TEST_SRCS=t.c \n").otherwise("TEST_SRCS = t.cc\n"), F.when(k % 3 == 0, "$(notdir $(PROD_SRC)).gcov ").otherwise(""), F.lit("gcov -p -b -c")), F.lit("x+"), F.lit("t.c")).alias("contract"),
     )
 
 
@@ -87,6 +87,6 @@ SQL = {
     "paired_paths": f"with {_PATHS} select job, path_index, i as input_tokens, o as dependent from paths where path_index % 2 = 0",
     "first_places": f"""with {K_EVENTS}, x as (select event_id as id, unnest([event_type, 'n' || k]) as node, unnest([0, 1]) as pos from k_events) select node, id, pos from x qualify row_number() over (partition by node order by id, pos) = 1""",
     "main_file": "select n_name as path, n_name = (select arg_max(n_name, n_nationkey) from nation where n_nationkey % 4 = 0 and n_nationkey % 3 = 0) as is_main from nation where n_nationkey % 4 <> 0 or n_nationkey % 3 = 0",
-    "session_events": f"""with {K_EVENTS} select event_id, k % 5 = 0 as done, user_id = 3 and (k % 5 = 0 or (k % 4 = 0 and event_type = 'error')) as ends, case when k % 3 = 2 then '{{"other":"' || event_type || '"}}' else event_type end as summary,
+    "session_events": f"""with {K_EVENTS} select event_id, k % 5 = 0 as done, (k % 7 = 0 or user_id = 3) and (k % 5 = 0 or k % 4 = 0) as ends, case k % 3 when 2 then '{{"other":"' || event_type || '"}}' when 0 then 'query="' || event_type || '"' else 'path="' || event_type || '"' end as summary,
       case k % 5 when 0 then 9 when 1 then 7 else length('{{"":""}}' || case k % 3 when 0 then 'query' when 1 then 'path' else 'other' end || event_type) end::int as length, least(60, 2 ** least(k % 9, 6))::int as wait, k % 2 <> 0 as name_ok, '/w/tests/' || event_type as tests, k % 2 = 0 and k % 3 <> 0 as contract from k_events""",
 }

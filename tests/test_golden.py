@@ -20,8 +20,8 @@ def one(spark, c):
 
 
 def test_token_line_and_calls(spark):
-    text = F.lit('● function_info (MCP: moove) · name: "library_call"\nTokens     ↑ 14.4k • ↓ 2.5k')
-    assert one(spark, T.tool_calls(text)) == ["moove.function_info(name=library_call)"]
+    text = F.lit('● function_info (MCP: srv) · name: "library_call"\nTokens     ↑ 14.4k • ↓ 2.5k')
+    assert one(spark, T.tool_calls(text)) == ["srv.function_info(name=library_call)"]
     assert tuple(one(spark, T.token_line(text))) == (14400, 2500)
     assert tuple(one(spark, T.token_line(F.lit("none")))) == (None, None)
 
