@@ -15,31 +15,29 @@ LEADING, VARIANTS, FIXED = 3, 8, 0.8
 FIELD = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line with every run of digits as one field sign."""
-    masked = F.regexp_replace(line, "[0-9]+", "0")
-    return F.filter(F.split(masked, r"[ \t\r\f\x0B]+"), lambda t: t != "")
-
-
-def _leaf(tokens: Column) -> Column:
-    lead = F.transform(F.slice(tokens, 1, LEADING), lambda t: F.when(F.contains(t, F.lit("0")), F.lit(FIELD)).otherwise(t))
-    return F.xxhash64(F.size(tokens), lead)
+def _lines(docs: DataFrame) -> DataFrame:
+    """Every line as (doc_id, th, pos, line): its tokens parted by single spaces, every run of digits as one field sign 0."""
+    text = F.regexp_replace(F.regexp_replace("text", "[0-9]+", "0"), r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return d.select("doc_id", "th", "pos", F.trim("line").alias("line"))
 
 
-def _key(tokens: Column) -> list[Column]:
-    """128 bits that stand for a line: two independent hashes."""
-    return [F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens, F.size(tokens)).alias("h2")]
+def _leaf(line: Column) -> Column:
+    """The number of tokens, and the leading tokens with those that hold a digit as a field. A token is looked at once, at its start."""
+    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    lead = F.regexp_replace(F.substring_index(line, " ", LEADING), "(?<![^ ])[^ ]*0[^ ]*", FIELD)
+    return F.xxhash64(n, lead)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return d.select("doc_id", "th", "pos", _tokens(F.col("line")).alias("tokens"))
+def _key(line: Column) -> list[Column]:
+    """128 bits that stand for a line: two hashes of different seeds."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
 def verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, dropped): every line by (doc_id, th, pos) with its key, and the keys of recurring templates with the document (none, doc_id, th) that keeps them."""
-    keys = _lines(docs).withColumn("full", F.size("tokens") > 0)
-    keys = keys.select("doc_id", "th", "pos", *[F.when(F.col("full"), k).alias(n) for k, n in zip(_key(F.col("tokens")), ("h1", "h2"))], F.when(F.col("full"), _leaf(F.col("tokens"))).alias("leaf"))
+    keys = _lines(docs).withColumn("full", F.nullif("line", F.lit("")))
+    keys = keys.select("doc_id", "th", "pos", *[F.when(F.col("full").isNotNull(), k).alias(n) for k, n in zip((*_key(F.col("full")), _leaf(F.col("full"))), ("h1", "h2", "leaf"))])
     lines = stash(keys, "lines")
     doc = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     same = lines.where("leaf is not null").groupBy("h1", "h2").agg(F.first("leaf").alias("leaf"), F.min(doc).alias("lo"), F.max(doc).alias("hi"))
@@ -47,10 +45,11 @@ def verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact = same.where("lo <> hi").select("h1", "h2", F.col("lo").alias("keeper"))
     # leaves with enough different lines for a field
     leaves = stash(same.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= VARIANTS).select("leaf"), "leaves")
-    few = maybe_in(_lines(docs).where("size(tokens) > 0").withColumn("leaf", _leaf(F.col("tokens"))), F.col("leaf"), leaves, F.col("leaf")).join(leaves, "leaf", "left_semi")
-    few = few.select("leaf", *_key(F.col("tokens")), "tokens", doc.alias("doc")).groupBy("leaf", "h1", "h2").agg(F.first("tokens").alias("tokens"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    few = _lines(docs).where("line <> ''").withColumn("leaf", _leaf(F.col("line")))
+    few = maybe_in(few, F.col("leaf"), leaves, F.col("leaf")).join(leaves, "leaf", "left_semi")
+    few = few.select("leaf", *_key(F.col("line")), "line", doc.alias("doc")).groupBy("leaf", "h1", "h2").agg(F.first("line").alias("line"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     few = stash(few, "variants")
-    at = few.select("leaf", "h1", "h2", F.posexplode("tokens").alias("pos", "token"))
+    at = few.select("leaf", "h1", "h2", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     shared = at.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")).where(F.col("n") >= VARIANTS).select("leaf", "pos", "token", F.lit(True).alias("fixed"))
     forms = at.join(shared, ["leaf", "pos", "token"], "left").groupBy("leaf", "h1", "h2").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)).alias("t")))).alias("form"), F.count("fixed").alias("n_fixed"), F.count("*").alias("n"))
@@ -74,14 +73,35 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     # a flag for each line up to the last one that goes, so that a line's verdict is looked up by its place
     flags = F.expr("flatten(transform(gone, (p, i) -> concat(array_repeat(false, p - if(i = 0, 0, gone[i - 1] + 1)), array(true))))")
     touched = stash(touched.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.size("gone").alias("_n"), flags.alias("_flags")), "gone")
-    d = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.col("text").alias("_text"))
+    d = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
     d = d.join(touched, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
-    kept = F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: ~F.coalesce(F.get("_flags", i), F.lit(False))), "\n")
-    n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size(F.split("_text", "\n"))).cast("long")
-    return d.select("doc", n.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("_n").isNull(), F.col("_text")).otherwise(kept).alias("kept_text"))
+    text = F.col("doc.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get("_flags", i), F.lit(False))), "\n")
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    return d.select("doc", n.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("_n").isNull(), text).otherwise(kept).alias("kept_text"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with kept_text for text, and the same columns."""
     cols = docs.columns
     return drop_lines(docs).select(*[F.col("kept_text").alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in cols])
+
+
+#: drop_lines()'s rows in DuckDB's SQL, over the table documents, whose doc_ids differ.
+SQL = rf"""
+with d as (select doc_id, text, string_split(text, chr(10)) as raw, string_split(regexp_replace(regexp_replace(text, '[0-9]+', '0', 'g'), '[ \t\r\f\x0B]{{2,}}|[\t\r\f\x0B]', ' ', 'g'), chr(10)) as masked from documents),
+l as (select doc_id, pos, raw[pos] as raw, trim(masked[pos], ' ') as line from (select *, unnest(range(1, len(raw) + 1)) as pos from d)),
+k as (select *, string_split(line, ' ') as tok from l where line <> ''),
+f as (select doc_id, pos, line, len(tok) || ' ' || array_to_string(list_transform(tok[1:{LEADING}], lambda t: case when contains(t, '0') then '{FIELD}' else t end), ' ') as leaf, tok from k),
+same as (select line, any_value(leaf) as leaf, any_value(tok) as tok, min(doc_id) as lo, max(doc_id) as hi from f group by line),
+few as (select * from same where leaf in (select leaf from same group by leaf having count(*) >= {VARIANTS})),
+t as (select line, leaf, lo, hi, tok[pos] as token, pos from (select *, unnest(range(1, len(tok) + 1)) as pos from few)),
+shared as (select leaf, pos, token from t group by all having count(*) >= {VARIANTS}),
+form as (select t.leaf, t.line, t.lo, t.hi, string_agg(case when s.token is null then '{FIELD}' else t.token end, ' ' order by t.pos) as form, count(s.token) as fixed, count(*) as n from t left join shared s on s.leaf = t.leaf and s.pos = t.pos and s.token = t.token group by 1, 2, 3, 4),
+part as (select * from form where fixed < n and fixed >= {FIXED} * n),
+wide as (select leaf, form, min(lo) as keeper from part group by 1, 2 having count(*) >= {VARIANTS} and min(lo) <> max(hi)),
+keep as (select line, min(keeper) as keeper from (select line, lo as keeper from same where lo <> hi union all select line, keeper from part join wide using (leaf, form)) group by 1),
+gone as (select doc_id, pos from f join keep using (line) where doc_id <> keeper),
+left_over as (select doc_id, string_agg(raw, chr(10) order by pos) as kept from l where not exists (select 1 from gone g where g.doc_id = l.doc_id and g.pos = l.pos) group by 1)
+select d.doc_id, coalesce(len(d.raw), 0)::bigint as n_lines, coalesce(c.n, 0)::bigint as n_dropped, case when d.text is not null then coalesce(o.kept, '') end as kept_text
+from d left join left_over o using (doc_id) left join (select doc_id, count(*) as n from gone group by 1) c using (doc_id)"""

@@ -54,4 +54,4 @@ def op10_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_line_templates, op3_hyperminhash, op4_pattern_packing, op5_suffix_arrays, op6_label_propagation, op7_disclosure, op8_quality_cascade, op9_warc_members, op10_whole_tokens)}
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op5_suffix_arrays": decontaminate.SQL, "op8_quality_cascade": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op2_line_templates": line_templates.SQL, "op5_suffix_arrays": decontaminate.SQL, "op8_quality_cascade": quality.SQL, "op9_warc_members": warc.SQL}

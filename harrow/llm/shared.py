@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch while a table is stashed. Rows hold whole texts, so a batch of the default 10000 may not fit beside the heap.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: dict[str, str] = {}
 
 
@@ -30,7 +33,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back: lineage ends there, and a lost executor costs only its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

@@ -213,3 +213,11 @@ def round_trip(pages: DataFrame, folder: str | None = None, revisit_from: int =
     r = read(files.repartition(F.col("file")), at)
     as_id = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind)
     return r.select(as_id("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"), "file", "offset")
+
+
+#: round_trip()'s rows in DuckDB's SQL, over the table pages, whose page_ids differ.
+SQL = """
+with p as (select page_id, coalesce(html, '') as h, min(page_id) over (partition by coalesce(html, '')) as first, from_hex(sha1(coalesce(html, '')))::bit::varchar as bits from pages)
+select page_id, strlen(h)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, 5 * i + 1, 1)::int + 8 * substr(bits, 5 * i + 2, 1)::int + 4 * substr(bits, 5 * i + 3, 1)::int + 2 * substr(bits, 5 * i + 4, 1)::int + substr(bits, 5 * i + 5, 1)::int)::bigint, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from p"""
