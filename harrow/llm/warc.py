@@ -199,6 +199,8 @@ def archive(pages: DataFrame, folder: str | None = None, revisit_from: int = 0)
     manifest = stash(write(pages, raw), "manifest")
     key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "nth")
     first = manifest.where(F.col("payload_bytes") >= revisit_from).groupBy("same", "payload_bytes").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # as a table of its own, so that the join can split a payload that is very common
+    first = stash(first, "first")
     copies = manifest.join(first, ["same", "payload_bytes"]).where((F.col("file") != F.col("first.file")) | (F.col("nth") != F.col("first.nth")))
     revisits = copies.groupBy("file").agg(F.collect_list(F.struct("nth", F.col("first.page_id").cast("string").alias("refers_to"))).alias("revisits"))
     files = manifest.select("file").distinct().join(revisits, "file", "left")
