@@ -2,7 +2,7 @@
 
 A document is its set of distinct shingles. The shingles' hashes fall into buckets, and a bucket's register keeps the leading zeros of its smallest hash and some bits after them, 16 bits in all. Registers are banded: documents that agree in all registers of a band meet. Their similarity is estimated from all registers, corrected for collisions of the short registers; what may reach the threshold is verified on the full sets.
 
-Documents of equal sets are one class before anything is compared. In a band's bucket every class is compared with one of them, the hub, and no pair is made for classes that are already connected, so the pairs of a round are no more than the entries of the buckets. Buckets that still hold classes of different components take part again, the hub left out, until none is left: a large group of near copies needs a few rounds, not the square of its size.
+Documents of equal sets are one class before anything is compared. Where buckets are large, each class is first compared with a few of its bucket, the hubs: that connects most of a large group of near copies with no more pairs than the buckets have entries. Then what a bucket still holds of other components than its largest is compared with all of the bucket, in blocks of bounded size. Only pairs of different components whose estimate may reach the threshold become rows, and in large buckets only links.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from harrow.llm.shared import components, discard, maybe_in, stash
 BUCKETS, MANTISSA, MISS = 128, 10, 1e-6
 #: Standard errors that the estimate may lie below the threshold.
 SLACK = 5
-#: Orders in which hubs are chosen; pairs left for each entry at which the rest is compared at once.
-HUBS, REST = 8, 4
+#: Registers that are equal by chance in two sets of one size, by the published analysis of such sketches.
+CHANCE = 0.16991948715 * BUCKETS / 2**MANTISSA
+#: Orders in which hubs are chosen; pairs for each entry up to which no hubs are needed; classes of a block (about); entries from which a bucket is large.
+HUBS, REST, BLOCK, WIDE = 8, 4, 128, 64
 #: Bytes of text hashed at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -152,7 +154,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> tuple[floa
         return 0.0, 0
     equal = int(((a == b) & filled).sum())
     ratio = max(n_a, n_b) / max(1.0, min(n_a, n_b))
-    chance = 0.16991948715 * BUCKETS / 2**MANTISSA * 4 * ratio / (1 + ratio) ** 2 * (n / BUCKETS)
+    chance = CHANCE * 4 * ratio / (1 + ratio) ** 2 * (n / BUCKETS)
     return max(0.0, equal - chance) / n, n
 
 
@@ -177,7 +179,57 @@ def sketches(docs: DataFrame, size: int, rows: int) -> DataFrame:
     return d.mapInArrow(run, shape)
 
 
-def _likely(pairs: DataFrame, least: float) -> DataFrame:
+def _near_in_blocks(blocks: DataFrame, least: float, size: int = 0) -> DataFrame:
+    """Pairs (a, b) of two blocks of a band: of different components, of sizes and estimates that may reach the threshold, and in no earlier band together.
+
+    With a shingle size, the blocks hold texts and the pairs are verified here, on the full sets of both; then one link of a class to a component is enough.
+    """
+    percent = round(100 * least)
+
+    def parts(x: pa.RecordBatch, side: str, k: int) -> tuple:
+        rows = x.column(side)[k].values
+        f = lambda c: rows.field(c)
+        n = len(rows)
+        regs = np.frombuffer(b"".join(f("registers").to_pylist()), np.uint16).reshape(n, BUCKETS)
+        bands = np.array(f("bands").to_pylist(), np.int64)
+        comp = f("component").to_pylist()
+        sets = shingle_sets(f("text").to_pylist(), size) if size else None
+        return f("class").to_pylist(), comp, regs, bands, np.array(f("n_shingles").to_pylist(), np.float64), sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            out: list[tuple] = []
+            for k, band in enumerate(x.column("band").to_pylist()):
+                ca, pa_, ra, ba, na, sa = parts(x, "few", k)
+                cb, pb, rb, bb, nb, sb = parts(x, "all", k)
+                number = {c: i for i, c in enumerate({*pa_, *pb})}
+                ia, ib = np.array([number[c] for c in pa_]), np.array([number[c] for c in pb])
+                for i in range(len(ca)):
+                    ok = (ib != ia[i]) & (np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i]))
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    filled = (ra[i] != EMPTY) | (rb[at] != EMPTY)
+                    n = filled.sum(axis=1)
+                    ratio = np.maximum(nb[at], na[i]) / np.minimum(nb[at], na[i])
+                    chance = CHANCE * 4 * ratio / (1 + ratio) ** 2 * (n / BUCKETS)
+                    j = (((ra[i] == rb[at]) & filled).sum(axis=1) - chance) / n
+                    at = at[j >= least - SLACK * (least * (1 - least) / n) ** 0.5]
+                    same = bb[at] == ba[i]
+                    at = at[bb[at, same.argmax(axis=1)] == band] if len(at) else at
+                    if size and len(at):
+                        joined = np.concatenate([sb[q] for q in at.tolist()])
+                        place = np.minimum(np.searchsorted(sa[i], joined), len(sa[i]) - 1)
+                        both = np.add.reduceat((sa[i][place] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(nb[at].astype(np.int64))[:-1]]))
+                        at = at[100 * both >= percent * (na[i] + nb[at] - both)]
+                        at = at[np.unique(ib[at], return_index=True)[1]]
+                    out += [(min(ca[i], cb[q]), max(ca[i], cb[q])) for q in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a binary, b binary")
+
+
+def _hub_pairs(pairs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, ra, rb, na, nb) whose estimate may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,21 +265,35 @@ def _verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(likely: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Which of the pairs (a, b) of classes are links; stashed."""
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-    likely = stash(_likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent / 100), "likely")
-    wanted = likely.select(F.col("a").alias("class")).union(likely.select(F.col("b").alias("class"))).distinct()
-    reps = stash(classes.select("class", "rep.doc_id", "rep.text_hash").join(wanted, "class"), "reps")
-    near = maybe_in(docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text"), F.col("text_hash"), reps, F.col("text_hash"))
-    near = near.withColumnRenamed("doc_id", "_id").join(reps, ["text_hash"]).where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("class", "text")
-    texts = stash(near, "texts")
+    likely = stash(likely, "likely")
+    texts = _texts(likely.select(F.col("a").alias("class")).union(likely.select(F.col("b").alias("class"))).distinct(), classes, docs)
     side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"t{c}"))
     out = stash(_verified(likely.join(side("b"), "b").join(side("a"), "a"), size, percent), "verified")
-    discard(likely, reps, texts)
+    discard(likely, texts)
     return out
 
 
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, text) of the wanted classes' representatives; stashed."""
+    reps = stash(classes.select("class", "rep.doc_id", "rep.text_hash").join(wanted, "class"), "reps")
+    near = maybe_in(docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text"), F.col("text_hash"), reps, F.col("text_hash"))
+    near = near.withColumnRenamed("doc_id", "_id").join(reps, ["text_hash"]).where(F.col("_id").eqNullSafe(F.col("doc_id")))
+    out = stash(near.groupBy("class").agg(F.first("text").alias("text")), "texts")
+    discard(reps)
+    return out
+
+
+def _states(entries: DataFrame) -> DataFrame:
+    """Of each band that holds more than one component: its entries, its largest component, the pairs across components, and a hub; stashed."""
+    order = F.xxhash64(F.pmod(F.xxhash64("band"), F.lit(HUBS)), "class")  # a class meets several hubs in its bands
+    own = entries.groupBy("band", "component").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("h"), "class", "component")).alias("hub"))
+    square = F.col("n").cast("double") * F.col("n")
+    state = own.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("entries"), F.max_by("component", F.struct("n", "component")).alias("largest"), ((F.sum("n") * F.sum("n") - F.sum(square)) / 2).alias("cross"), F.min("hub").alias("hub"))
+    return stash(state.where("parts > 1").select("band", "entries", "largest", "cross", F.col("hub.class").alias("hub"), F.col("hub.component").alias("of")), "bands")
+
+
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
@@ -240,38 +306,37 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     met = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     # component: of a class as far as it is known, itself at first
     entries = stash(entries.join(met, "band").withColumn("component", F.col("class")), "entries")
-    n_entries = entries.count()
-    links = roots = None
-    step = 0
-    while n_entries:
-        # a bucket takes part while it holds more than one component; its hub is the first by one of HUBS orders, so a class meets several hubs in a round
-        order = F.xxhash64(F.lit(step), F.pmod(F.xxhash64("band"), F.lit(HUBS)), "class")
-        own = entries.groupBy("band", "component").agg(F.count("*").cast("double").alias("n"), F.min(F.struct(order.alias("h"), "class", "component")).alias("hub"))
-        hubs = own.groupBy("band").agg(F.min("hub").alias("hub"), F.count("*").alias("parts"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross")).where("parts > 1")
-        hubs = stash(hubs.select("band", F.col("hub.class").alias("hub"), F.col("hub.component").alias("of"), "cross"), "hubs")
-        cross = hubs.agg(F.sum("cross")).first()[0]
-        if not cross:
-            discard(hubs)
-            break
-        here = stash(entries.join(hubs, "band"), "round")
-        discard(entries, hubs)
-        apart = here.where("component <> of")
-        if last := cross <= REST * n_entries:  # what is left to compare is in proportion to the entries: all of it at once
-            other = here.select("band", F.col("class").alias("hub"), F.col("component").alias("its"))
-            apart = apart.drop("hub").join(other, "band").where("component <> its")
-        pairs = apart.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
-        found = _links(pairs, classes, docs, size, percent)
-        links = found if links is None else links.union(found)
-        if roots is not None:
-            discard(roots)
+    least, links, roots = percent / 100, None, None
+    state = _states(entries)
+    if (state.agg(F.sum("cross")).first()[0] or 0) > REST * entries.count():
+        side = lambda c: classes.select(F.col("class").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
+        pairs = entries.join(state, "band").where("class <> hub").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
+        links = _links(_hub_pairs(pairs.join(side("a"), "a").join(side("b"), "b"), least), classes, docs, size, percent)
+        roots = stash(components(links), "roots")
+        new = entries.select("band", "class").join(roots.select(F.col("node").alias("class"), F.col("root").alias("component")), "class", "left")
+        new = stash(new.select("band", "class", F.coalesce("component", "class").alias("component")), "entries")
+        discard(entries, state)
+        entries, state = new, _states(new)
+    # the rest, exactly: what is not of a band's largest component against all of the band, block by block
+    here = stash(entries.join(state, "band").select("band", "class", "component", "largest", F.pmod(F.xxhash64("class"), F.ceil(F.col("entries") / BLOCK)).alias("block"), (F.col("entries") > WIDE).alias("wide")), "round")
+    columns = ("class", "component", "registers", "n_shingles", "bands")
+
+    def blocks(full: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        every = full.groupBy("band", "block").agg(F.collect_list(F.struct(*names)).alias("all"))
+        few = full.where("component <> largest").groupBy("band", F.col("block").alias("part")).agg(F.collect_list(F.struct(*names)).alias("few"))
+        return few.join(every, "band").select("band", "few", "all")
+
+    full = here.join(classes.select("class", "registers", "n_shingles", "bands"), "class")
+    found = _links(_near_in_blocks(blocks(full.where("not wide"), columns), least).distinct(), classes, docs, size, percent)
+    links = found if links is None else links.union(found)
+    wide = here.where("wide").select("class").distinct()
+    if not wide.isEmpty():  # in a large bucket, pairs below the threshold are too many to be rows: they are verified where they meet
+        texts = _texts(wide, classes, docs)
+        links = links.union(stash(_near_in_blocks(blocks(full.where("wide").join(texts, "class"), (*columns, "text")), least, size), "wide"))
+        discard(texts)
+    discard(entries, state, here)
+    if not links.isEmpty():
         roots = stash(components(links), "roots")
-        if last:
-            discard(here)
-            break
-        entries = here.where("class <> hub").select("band", "class").join(roots.select(F.col("node").alias("class"), F.col("root").alias("component")), "class", "left")
-        entries = stash(entries.select("band", "class", F.coalesce("component", "class").alias("component")), "entries")
-        discard(here)
-        step += 1
     of = classes.select("class", "members", F.col("rep.doc_id").alias("doc_id"))
     if roots is not None:
         of = of.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
