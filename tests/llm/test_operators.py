@@ -87,8 +87,11 @@ def test_near_groups(spark, docs, none):
     assert want[1] == (want[0][0], 0) and want[2][1] == 0 and want[8][1] == 7
 
 
-def test_chain_of_near_copies(spark):
-    """Neighbours are links, far ones are not; a large group of near copies beside it."""
+@pytest.mark.parametrize(("rest", "wide", "block"), [(4, 64, 128), (0, 4, 8), (0, 64, 8), (1e9, 2, 128)])
+def test_chain_of_near_copies(spark, monkeypatch, rest, wide, block):
+    """Neighbours are links, far ones are not; a large group of near copies beside it. With and without hubs, by pairs and in blocks."""
+    for name, v in (("REST", rest), ("WIDE", wide), ("BLOCK", block)):
+        monkeypatch.setattr(near_dedup, name, v)
     from conftest import prose
 
     base = prose(5, 150).split()
