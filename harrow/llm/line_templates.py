@@ -57,7 +57,8 @@ def verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     forms = stash(forms.join(few.select("leaf", "h1", "h2", "lo", "hi"), ["leaf", "h1", "h2"]), "forms")
     wide = forms.groupBy("leaf", "f1", "f2").agg(F.count("*").alias("n"), F.min("lo").alias("keeper"), F.max("hi").alias("last")).where((F.col("n") >= VARIANTS) & (F.col("keeper") != F.col("last")))
     general = forms.join(wide.select("leaf", "f1", "f2", "keeper"), ["leaf", "f1", "f2"]).select("h1", "h2", "keeper")
-    both = exact.union(general).groupBy("h1", "h2").agg(F.min("keeper").alias("keeper"))
+    # as a table of its own, so that the join of lines with it can split a line that is very common
+    both = stash(exact.union(general).groupBy("h1", "h2").agg(F.min("keeper").alias("keeper")), "recurring")
     return lines, both
 
 
