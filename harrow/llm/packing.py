@@ -25,6 +25,14 @@ MEMORY = 400_000
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """White space ends a word and is dropped, and A-Z are folded as the tokenizer does; not where a special string may stand, since those are matched by case and before folding."""
+    b = text.encode() if text else b""
+    if b"<|" not in b:
+        return b.lower().split()
+    return [w if b"<|" in w else w.lower() for w in b.split()]
+
+
 class Words:
     """Token ids of words, as little-endian unsigned 32-bit numbers."""
 
@@ -69,8 +77,8 @@ class Words:
             now[w] = now[core] + now[stops]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """White space ends a word and is dropped, and A-Z are folded as the tokenizer does, so texts are encoded by their different words."""
-        words = [t.encode().lower().split() if t else [] for t in texts]
+        """Texts are encoded by their different words."""
+        words = [words_of(t) for t in texts]
         every = set(chain.from_iterable(words))
         if not self.now.keys() >= every:
             missing = {w for w in every if w not in self.now}
