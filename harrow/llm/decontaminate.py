@@ -114,12 +114,38 @@ def search(a: np.ndarray, sa: np.ndarray, b: Block) -> tuple[np.ndarray, ...]:
     return longest, lo, hi, wlo, whi
 
 
+def common_prefixes(a: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, wlo: np.ndarray, whi: np.ndarray, depth: int) -> np.ndarray:
+    """How many words the suffixes at ranks r and r + 1 share, to `depth`; only where a window's range is wider than its longest match's, else 0."""
+    edge = np.zeros(len(sa) + 1, np.int64)
+    wide = (whi > wlo) & ((wlo < lo) | (hi < whi))
+    np.add.at(edge, wlo[wide], 1)
+    np.add.at(edge, whi[wide] - 1, -1)
+    out = np.zeros(len(sa), np.int64)
+    live = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+    for k in range(depth):
+        x, y = (a[np.minimum(sa[r] + k, len(a) - 1)] for r in (live, live + 1))
+        live = live[(x == y) & (x > 0)]
+        if not len(live):
+            break
+        out[live] = k + 1
+    return out
+
+
+def own_matches(common: np.ndarray, longest: int, lo: int, hi: int, wlo: int, whi: int) -> np.ndarray:
+    """The length of a suffix's match at each rank of its window's range: the longest in [lo, hi), from there outwards what all between share."""
+    n = np.full(whi - wlo, longest, np.int64)
+    n[: lo - wlo] = np.minimum.accumulate(common[wlo:lo][::-1])[::-1]
+    n[hi - wlo :] = np.minimum.accumulate(common[hi - 1 : whi - 1])
+    return n
+
+
 def _shard(docs: list[list[bytes]], blocks: Iterator[Block]) -> list[tuple]:
     """Of each document: hit spans of words, ids of items found, longest match (words, item_id, word in the item, word here)."""
     begin = np.cumsum([0] + [len(d) + 1 for d in docs])
     mark = np.zeros(begin[-1] + 2, np.int64)
     items: dict[int, set] = defaultdict(set)
     best: dict[int, tuple] = {}
+    reached = np.zeros(len(docs), np.int64)
     for b in blocks:
         flat: list[int] = []
         for d in docs:
@@ -138,12 +164,17 @@ def _shard(docs: list[list[bytes]], blocks: Iterator[Block]) -> list[tuple]:
             own = {b.ids[b.item[s]] for s in found}
             for d in np.unique(np.searchsorted(begin, at, "right") - 1):
                 items[int(d)] |= own
-        for s in np.flatnonzero((whi > wlo) & (longest >= b.window)):
-            at = sa[lo[s] : hi[s]]
-            which, first = np.unique(np.searchsorted(begin, at, "right") - 1, return_index=True)
-            for d, f in zip(which.tolist(), first):
-                if longest[s] > best.get(d, (0,))[0]:
-                    best[d] = (int(longest[s]), b.ids[b.item[s]], int(b.start[s]), int(at[f] - begin[d]))
+        owner = np.searchsorted(begin, sa, "right") - 1
+        common = common_prefixes(a, sa, lo, hi, wlo, whi, b.longest)
+        for s in np.flatnonzero(whi > wlo):
+            l, h = int(wlo[s]), int(whi[s])
+            n, at, who = own_matches(common, int(longest[s]), int(lo[s]), int(hi[s]), l, h), sa[l:h], owner[l:h]
+            order = np.lexsort((at, -n, who))  # of each document the longest, then the first place
+            order = order[np.diff(who[order], prepend=-1) > 0]
+            order = order[n[order] > reached[who[order]]]
+            reached[who[order]] = n[order]
+            for d, k, p in zip(who[order].tolist(), n[order].tolist(), at[order].tolist()):
+                best[d] = (k, b.ids[b.item[s]], int(b.start[s]), p - int(begin[d]))
     inside = np.cumsum(mark) > 0
     out = []
     for k, d in enumerate(docs):
@@ -170,7 +201,7 @@ def blocks_of(benchmark: DataFrame, window: int) -> list:
 def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Every row of docs as (doc, n_words, hit_spans, item_ids, longest): doc is the whole row, so its columns' names can't clash.
 
-    hit_spans are [start, end) words inside an occurrence of a window of `window` item words (an item of fewer words is one window); item_ids are strings, sorted; longest is the longest verbatim match of at least a window with its places, ties to the first item. A null text has no words. An item without words is never found. Repeated item ids count once.
+    hit_spans are [start, end) words inside an occurrence of a window of `window` item words (an item of fewer words is one window); item_ids are strings, sorted; longest is the document's own longest verbatim match of at least a window with its places, ties to the first item and then the first place; it does not hang on the other documents of the shard. A null text has no words. An item without words is never found. Repeated item ids count once.
     """
     held = blocks_of(benchmark, window)
     d = docs.select(F.struct("*").alias("doc"))
