@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"\w[\w'-]*")
 #: Different words that a task counts before it hands its counts on.
 COUNTED = 300_000
+#: Bits of the bitmap of telling terms, a power of two: 1 MB.
+SLOTS = 1 << 23
 
 
 def luhn(digits: str) -> bool:
@@ -84,22 +88,30 @@ def spelled(spans: list[tuple[str, int, int]]) -> str:
 
 
 def near(text: str, start: int, end: int, width: int) -> Iterator[tuple[str, int, int]]:
-    """The `width` words before and after a span, lower-cased, with their places. A word longer than 64 characters ends the search on its side."""
-    reach = width * 65
-    before = [m for m in _WORD.finditer(text, max(0, start - reach), start)][-width:]
-    after = []
-    for m in _WORD.finditer(text, end, min(len(text), end + reach)):
-        after.append(m)
-        if len(after) == width:
+    """The `width` words before and after a span, lower-cased, with their places, however far they are."""
+    reach, before = width * 65, []
+    while True:
+        at = max(0, start - reach)
+        before = list(_WORD.finditer(text, at, start))
+        if at == 0:
             break
-    for m in (*before, *after):
+        if len(before) > width:  # the first may be cut off
+            break
+        reach *= 2
+    for m in (*before[-width:], *islice(_WORD.finditer(text, end), width)):
         yield m[0].lower(), m.start(), m.end()
 
 
+def clear_of(covered: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a word lies apart from all base spans, which are sorted."""
+    i = bisect_left(covered, (end, 0))
+    return not any(start < y for _, y in covered[max(0, i - len(KINDS)) : i])
+
+
 def scan(docs: DataFrame, width: int = 10) -> DataFrame:
     """Rows of two kinds in one pass over the texts: 'doc' (a document's base spans) and 'near' (a term near an entity, its place and the digest of the words around)."""
-    d = docs.select("doc_id", "text")
-    shape = StructType([d.schema["doc_id"], *StructType.fromDDL("what string, entity string, term string, start long, end long, around string, n_email long, n_ip long, n_card long, n_phone long, base string").fields])
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    shape = StructType([d.schema["doc_id"], *StructType.fromDDL("th long, what string, entity string, term string, start long, end long, around string, n_email long, n_ip long, n_card long, n_phone long, base string").fields])
     kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] + [pa.int64()] * 4 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +129,10 @@ def scan(docs: DataFrame, width: int = 10) -> DataFrame:
                         close = list(near(text, s, e, width))
                         around = hashlib.md5(" ".join(w for w, _, _ in close).encode(), usedforsecurity=False).hexdigest()
                         for w, ws, we in close:
-                            i = bisect_left(covered, (we, 0))
-                            if len(w) > 2 and not any(c.isdigit() for c in w) and not any(ws < y for _, y in covered[max(0, i - len(KINDS)) : i]):
+                            if len(w) > 2 and not any(c.isdigit() for c in w) and clear_of(covered, ws, we):
                                 rows.append(("near", f"{kind}:{text[s:e].lower()}", w, ws, we, around, *[None] * 5))
                                 take.append(k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], shape.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(take, pa.int64())) for c in ("doc_id", "th")), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], shape.names)
 
     return d.mapInArrow(run, shape)
 
@@ -139,7 +150,7 @@ def word_documents(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for text in b.column("text"):
-                counts.update(set(_WORD.findall((text.as_py() or "").lower())))
+                counts.update({w.lower() for w in set(_WORD.findall(text.as_py() or ""))})
                 if len(counts) > COUNTED:
                     yield flush()
         yield flush()
@@ -147,23 +158,76 @@ def word_documents(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def find(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 10) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs; spans are the base ones by kind and start, then those of terms.
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, th, terms): every place of the terms in the whole texts that lies apart from base spans, sorted; th is the text's hash. Only of documents with such a place.
 
-    With p as shares of all documents, a term t within `width` words of entity e discloses it if log2(p(t, e) / (p(t) p(e))) >= alpha * -log2 p(e), and if at least `support` different surroundings show both, so copies of one document prove nothing. A null text is empty. Rows that repeat a doc_id share its terms' spans.
+    A bitmap of the terms' checksums goes to the tasks, of one size whatever the number of terms is; it loses no term, and what it lets through besides is turned away by an exact join.
+    """
+    slot = F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(SLOTS - 1))
+    words = terms.select(slot.alias("s")).groupBy(F.shiftright("s", 3).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(s & 7 as int)))").alias("bits"))
+    bitmap = bytearray(SLOTS // 8)
+    for r in words.toLocalIterator():
+        bitmap[r["w"]] = r["bits"]
+    held = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    shape = StructType([d.schema["doc_id"], *StructType.fromDDL("th long, term string, places array<struct<start:long,end:long>>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, may = held.value, {}  # word as it stands -> the term that it may be, or None
+
+        def term_of(word: str) -> str | None:
+            w = word.lower()
+            s = zlib.crc32(w.encode()) & (SLOTS - 1)
+            return w if bits[s >> 3] >> (s & 7) & 1 else None
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part, take, found_terms, found_places = b.slice(at, 256), [], [], []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    every = set(_WORD.findall(text or ""))
+                    if len(may) + len(every) > COUNTED:
+                        may.clear()
+                    for w in [w for w in every if w not in may]:
+                        may[w] = term_of(w)
+                    if not any(map(may.__getitem__, every)):
+                        continue
+                    covered, own = sorted(x for spans in base_spans(text).values() for x in spans), defaultdict(list)
+                    for m in _WORD.finditer(text):
+                        if (t := may[m[0]]) and clear_of(covered, m.start(), m.end()):
+                            own[t].append({"start": m.start(), "end": m.end()})
+                    take += [k] * len(own)
+                    found_terms += own
+                    found_places += own.values()
+                which = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(which), part.column("th").take(which), pa.array(found_terms, pa.string()), pa.array(found_places, places)], shape.names)
+
+    hits = d.mapInArrow(run, shape).join(terms, "term", "left_semi")
+    return hits.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("terms"))
+
+
+def marked(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs with their base spans (doc_id, th, n_email, n_ip, n_card, n_phone, base), and the places of telling terms (doc_id, th, terms).
+
+    With p as shares of all documents, a term t within `width` words of entity e discloses it if log2(p(t, e) / (p(t) p(e))) >= alpha * -log2 p(e). Where e stands in `support` different surroundings or more, as many must show both, so copies of one document prove nothing; where it stands in fewer, the ratio alone decides. A telling term is marked wherever it stands, with its entity or without.
     """
     made = stash(scan(docs, width), "pii")
-    words = word_documents(docs)
-    total = made.where("what = 'doc'").count()
-    seen = made.where("what = 'near'")
-    pairs = seen.groupBy("entity", "term").agg(F.count_distinct("around").alias("shown"), F.count_distinct(F.xxhash64("doc_id")).alias("n_both")).where(F.col("shown") >= support)
-    entities = seen.groupBy("entity").agg(F.count_distinct(F.xxhash64("doc_id")).alias("n_entity"))
-    told = pairs.join(words, "term").join(entities, "entity")
+    rows, seen = made.where("what = 'doc'"), made.where("what = 'near'")
+    total = rows.count()
+    entities = seen.groupBy("entity").agg(F.count_distinct(F.xxhash64("doc_id")).alias("n_entity"), F.count_distinct("around").alias("n_around"))
+    pairs = seen.groupBy("entity", "term").agg(F.count_distinct("around").alias("shown"), F.count_distinct(F.xxhash64("doc_id")).alias("n_both"))
+    pairs = pairs.join(entities, "entity").where((F.col("shown") >= support) | (F.col("n_around") < support))
     ratio = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
-    told = told.where((F.col("n_entity") < total) & (ratio >= alpha)).select("entity", "term")
-    spans = seen.join(told, ["entity", "term"]).select("doc_id", F.struct("start", "end").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    told = pairs.join(word_documents(docs), "term").where((F.col("n_entity") < total) & (ratio >= alpha))
+    told = stash(told.select("term").distinct(), "told")
+    return rows.drop("what", "entity", "term", "start", "end", "around"), occurrences(docs, told)
+
+
+def find(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 10) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs; spans are the base ones by kind and start, then those of telling terms (marked()) by start. A null text is empty."""
+    rows, terms = marked(docs, alpha, support, width)
     text = F.concat_ws(",", F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string"))))
-    spans = spans.select(F.col("doc_id").alias("_id"), text.alias("terms"))
-    out = made.where("what = 'doc'").join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    spans = terms.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), text.alias("terms"))
+    out = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     whole = F.concat_ws(",", F.nullif("base", F.lit("")), "terms")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), whole.alias("spans"))
