@@ -1,6 +1,6 @@
 """Personal data, by patterns and by what gives it away.
 
-Base spans are e-mail addresses, IP and card and phone numbers. Information-theoretic sanitisation adds terms: an entity (a base span's value) is protected, and a term near it discloses it as far as their pointwise mutual information reaches the entity's information content. Terms of a ratio of at least `alpha` are spans too, to be generalised or removed like the entity itself.
+Base spans are e-mail addresses, IP and card and phone numbers. Information-theoretic sanitisation adds terms: an entity (a base span's value) is protected, and a term near it discloses it as far as their pointwise mutual information reaches the entity's information content. Terms of a ratio of at least `alpha` are spans too. sanitise() generalises entities and terms to their category in the text, or removes the terms; find() gives the same spans without the texts.
 """
 
 from __future__ import annotations
@@ -231,3 +231,32 @@ def find(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 10)
     out = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     whole = F.concat_ws(",", F.nullif("base", F.lit("")), "terms")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), whole.alias("spans"))
+
+
+def redact(text: str, terms: list[tuple[int, int]], remove: bool = False) -> str:
+    """text with base spans as labels of their category and terms as [TERM], or removed. Spans that overlap are one, by the label of the first."""
+    spans = sorted([(s, -e, f"[{kind.upper()}]") for kind, found in base_spans(text).items() for s, e in found] + [(s, -e, "" if remove else "[TERM]") for s, e in terms])
+    out, at = [], 0
+    for s, e, label in spans:
+        if s >= at:
+            out += [text[at:s], label]
+        at = max(at, -e)
+    return "".join([*out, text[at:]])
+
+
+def sanitise(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 10, remove: bool = False) -> DataFrame:
+    """docs with every span that find() gives generalised to its category in the text, and the same columns. remove: terms are removed instead. A null text stays null."""
+    cols = docs.columns
+    _, terms = marked(docs, alpha, support, width)
+    spans = terms.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("terms").alias("_terms"))
+    d = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
+    d = d.join(spans, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left").select("doc", "_terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, terms = b.column("doc").field("text").to_pylist(), b.column("_terms").to_pylist()
+            clean = [t if t is None else redact(t, [(x["start"], x["end"]) for x in own or ()], remove) for t, own in zip(texts, terms)]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(clean, pa.string())], ["doc", "clean"])
+
+    out = d.mapInArrow(run, StructType([d.schema["doc"], *StructType.fromDDL("clean string").fields]))
+    return out.select(*[F.col("clean").alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in cols])
