@@ -2,16 +2,19 @@
 
 A document is its set of distinct shingles. The shingles' hashes fall into buckets, and a bucket's register keeps the leading zeros of its smallest hash and some bits after them, 16 bits in all. Registers are banded: documents that agree in all registers of a band meet. Their similarity is estimated from all registers, corrected for collisions of the short registers; what may reach the threshold is verified on the full sets.
 
-Documents of equal sets are one class before anything is compared. Where buckets are large, each class is first compared with a few of its bucket, the hubs: that connects most of a large group of near copies with no more pairs than the buckets have entries. Then what a bucket still holds of other components than its largest is compared with all of the bucket, in blocks of bounded size. Only pairs of different components whose estimate may reach the threshold become rows, and in large buckets only links.
+Documents of equal sets are one class, and one row of each stands for it, before anything is compared. Each class is first compared with one other of each of its bands, the hub: that settles bands of two classes, and connects most of a large group of near copies with no more pairs than there are band entries. Then what a band still holds of other components than its largest is compared with all of the band, in blocks bounded by classes and by shingles. Only pairs of different components whose estimate may reach the threshold become rows, and in large bands only links.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,15 +26,16 @@ BUCKETS, MANTISSA, MISS = 128, 10, 1e-6
 SLACK = 5
 #: Registers that are equal by chance in two sets of one size, by the published analysis of such sketches.
 CHANCE = 0.16991948715 * BUCKETS / 2**MANTISSA
-#: Orders in which hubs are chosen; pairs for each entry up to which no hubs are needed; classes of a block (about); entries from which a bucket is large.
-HUBS, REST, BLOCK, WIDE = 8, 4, 128, 64
-#: Bytes of text hashed at once.
+#: Orders in which hubs are chosen; classes and shingles of a block (about); entries beyond which a band is large.
+HUBS, BLOCK, BLOCK_SHINGLES, WIDE = 8, 128, 1 << 17, 64
+#: Bytes of text hashed at once (a longer word is hashed whole).
 CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_GAP = re.compile(rb"[\t-\r ]")
 _powers: list[np.ndarray] = []
 
 
@@ -42,12 +46,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, CHUNK + (1 << 17))
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (_BASE, np.uint64(inverse))]
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, modulo 2 ** 64. Those for a chunk are kept."""
+    most = CHUNK + (1 << 17)
+    if _powers and n <= most:
+        return _powers[0], _powers[1]
+    made = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, most) - 1, b, np.uint64))]) for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))]
+    if n <= most:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -63,34 +69,58 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
         return start, _mix(h + (end - start).astype(np.uint64))
 
 
+def _long_hashes(raw: bytes) -> np.ndarray:
+    """The hashes of the words of a long text, a chunk after the other."""
+    out, at = [], 0
+    while at < len(raw):
+        gap = _GAP.search(raw, at + CHUNK)
+        end = gap.start() if gap else len(raw)
+        out.append(word_hashes(raw[at:end])[1])
+        at = end
+    return np.concatenate(out)
+
+
+def _combine(s: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return _mix(s * np.uint64(0x9FB21C651E98DF25) + h)
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` words in a row."""
+    s = h
+    for k in range(1, size):
+        s = _combine(s[: len(h) - k], h[k:])
+    return s
+
+
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle, one without words is empty."""
     out: list[np.ndarray] = []
     at = 0
     raw = [(t or "").encode().translate(_FOLD) for t in texts]
-    while at < len(raw):
-        end, n = at + 1, len(raw[at])
-        while end < len(raw) and n + len(raw[end]) < CHUNK:
-            n += len(raw[end]) + 1
-            end += 1
-        part = raw[at:end]
-        start, h = word_hashes(b"\n".join(part))
-        first = np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in part]))
-        with np.errstate(over="ignore"):
-            s = h.copy()
-            for k in range(1, size):
-                s = _mix(s[: len(h) - k] * np.uint64(0x9FB21C651E98DF25) + h[k:]) if len(h) > k else s[:0]
+    with np.errstate(over="ignore"):
+        while at < len(raw):
+            end, n = at + 1, len(raw[at])
+            while end < len(raw) and n + len(raw[end]) < CHUNK:
+                n += len(raw[end]) + 1
+                end += 1
+            if n > CHUNK:
+                h, first = _long_hashes(raw[at]), np.zeros(2, np.int64)
+                first[1] = len(h)
+            else:
+                start, h = word_hashes(b"\n".join(raw[at:end]))
+                first = np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in raw[at:end]]))
+            s = _shingles(h, size) if len(h) >= size else h[:0]
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
                 if hi - lo >= size:
                     out.append(np.unique(s[lo : hi - size + 1]))
                 elif hi > lo:
                     x = h[lo : lo + 1]
                     for k in range(lo + 1, hi):
-                        x = _mix(x * np.uint64(0x9FB21C651E98DF25) + h[k : k + 1])
+                        x = _combine(x, h[k : k + 1])
                     out.append(x + np.uint64(hi - lo))
                 else:
                     out.append(h[:0])
-        at = end
+            at = end
     return out
 
 
@@ -146,39 +176,73 @@ def band_keys(r: np.ndarray, rows: int) -> list[int] | None:
     return k.view(np.int64).tolist()
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> tuple[float, int]:
-    """The similarity by two documents' registers, and how many registers it rests on; expected collisions are taken off."""
-    filled = (a != EMPTY) | (b != EMPTY)
-    n = int(filled.sum())
-    if not n:
-        return 0.0, 0
-    equal = int(((a == b) & filled).sum())
-    ratio = max(n_a, n_b) / max(1.0, min(n_a, n_b))
-    chance = CHANCE * 4 * ratio / (1 + ratio) ** 2 * (n / BUCKETS)
-    return max(0.0, equal - chance) / n, n
-
-
 def sketches(docs: DataFrame, size: int, rows: int) -> DataFrame:
-    """doc_id, text_hash (Spark's of the text), n_shingles, class (a digest of the set), registers and bands of every row of docs."""
-    import hashlib
-
+    """Of every row of docs: rid (a number of its own), doc_id, text_hash (Spark's of the text), n_shingles, c1 and c2 (a digest of the set), registers and bands; the last four are null for a row without words."""
     d = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
-    shape = StructType([d.schema["doc_id"], *StructType.fromDDL("text_hash long, n_shingles long, class binary, registers binary, bands array<long>").fields])
+    shape = StructType([*StructType.fromDDL("rid long").fields, d.schema["doc_id"], *StructType.fromDDL("text_hash long, n_shingles long, c1 long, c2 long, registers binary, bands array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 33
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sets = shingle_sets(part.column("text").to_pylist(), size)
-                regs = [registers(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([band_keys(r, rows) for r in regs], pa.list_(pa.int64()))],
-                    shape.names,
-                )
+                regs = [registers(s) if len(s) else None for s in sets]
+                digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(s) else (None, None) for s in sets]
+                columns = [[len(s) for s in sets], *zip(*digests), [r if r is None else r.tobytes() for r in regs], [r if r is None else band_keys(r, rows) for r in regs]]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + part.num_rows)), part.column("doc_id"), part.column("text_hash"), *map(pa.array, columns, kinds)], shape.names)
+                rid += part.num_rows
 
     return d.mapInArrow(run, shape)
 
 
+def _matrix(registers: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(registers), np.uint16).reshape(len(registers), BUCKETS)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows of registers, of sets of these sizes, may be as similar as `least`, by the estimate and its slack."""
+    filled = (a != EMPTY) | (b != EMPTY)
+    n = np.maximum(1, filled.sum(axis=1))
+    low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    ratio = high / np.maximum(1, low)
+    chance = CHANCE * 4 * ratio / (1 + ratio) ** 2 * (n / BUCKETS)
+    j = (((a == b) & filled).sum(axis=1) - chance) / n
+    return (low >= least * high) & (j >= least - SLACK * (least * (1 - least) / n) ** 0.5)
+
+
+class Sets:
+    """The shingle sets of texts that a task meets again and again, up to `most` bytes of them."""
+
+    def __init__(self, size: int, most: int = 64 << 20) -> None:
+        self.size, self.most, self.held, self.bytes = size, most, {}, 0
+
+    def of(self, rids: list[int], texts: list[str]) -> list[np.ndarray]:
+        new = [k for k, r in enumerate(rids) if r not in self.held]
+        if self.bytes > self.most:
+            self.held, self.bytes, new = {}, 0, range(len(rids))
+        for k, s in zip(new, shingle_sets([texts[k] for k in new], self.size)):
+            self.held[rids[k]] = s
+            self.bytes += s.nbytes
+        return [self.held[r] for r in rids]
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each set of a shares with each of b."""
+    flat, owner = np.concatenate(b), np.repeat(np.arange(len(b)), [len(s) for s in b])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for i, s in enumerate(a):
+        lo = np.searchsorted(flat, s, "left")
+        k = np.searchsorted(flat, s, "right") - lo
+        lo, k = lo[k > 0], k[k > 0]
+        if len(k):
+            out[i] = np.bincount(owner[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())], minlength=len(b))
+    return out
+
+
 def _near_in_blocks(blocks: DataFrame, least: float, size: int = 0) -> DataFrame:
     """Pairs (a, b) of two blocks of a band: of different components, of sizes and estimates that may reach the threshold, and in no earlier band together.
 
@@ -186,171 +250,150 @@ def _near_in_blocks(blocks: DataFrame, least: float, size: int = 0) -> DataFrame
     """
     percent = round(100 * least)
 
-    def parts(x: pa.RecordBatch, side: str, k: int) -> tuple:
-        rows = x.column(side)[k].values
-        f = lambda c: rows.field(c)
-        n = len(rows)
-        regs = np.frombuffer(b"".join(f("registers").to_pylist()), np.uint16).reshape(n, BUCKETS)
-        bands = np.array(f("bands").to_pylist(), np.int64)
-        comp = f("component").to_pylist()
-        sets = shingle_sets(f("text").to_pylist(), size) if size else None
-        return f("class").to_pylist(), comp, regs, bands, np.array(f("n_shingles").to_pylist(), np.float64), sets
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Sets(size)
         for x in batches:
-            out: list[tuple] = []
+            out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
             for k, band in enumerate(x.column("band").to_pylist()):
-                ca, pa_, ra, ba, na, sa = parts(x, "few", k)
-                cb, pb, rb, bb, nb, sb = parts(x, "all", k)
-                number = {c: i for i, c in enumerate({*pa_, *pb})}
-                ia, ib = np.array([number[c] for c in pa_]), np.array([number[c] for c in pb])
-                for i in range(len(ca)):
-                    ok = (ib != ia[i]) & (np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i]))
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    filled = (ra[i] != EMPTY) | (rb[at] != EMPTY)
-                    n = filled.sum(axis=1)
-                    ratio = np.maximum(nb[at], na[i]) / np.minimum(nb[at], na[i])
-                    chance = CHANCE * 4 * ratio / (1 + ratio) ** 2 * (n / BUCKETS)
-                    j = (((ra[i] == rb[at]) & filled).sum(axis=1) - chance) / n
-                    at = at[j >= least - SLACK * (least * (1 - least) / n) ** 0.5]
-                    same = bb[at] == ba[i]
-                    at = at[bb[at, same.argmax(axis=1)] == band] if len(at) else at
-                    if size and len(at):
-                        joined = np.concatenate([sb[q] for q in at.tolist()])
-                        place = np.minimum(np.searchsorted(sa[i], joined), len(sa[i]) - 1)
-                        both = np.add.reduceat((sa[i][place] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(nb[at].astype(np.int64))[:-1]]))
-                        at = at[100 * both >= percent * (na[i] + nb[at] - both)]
-                        at = at[np.unique(ib[at], return_index=True)[1]]
-                    out += [(min(ca[i], cb[q]), max(ca[i], cb[q])) for q in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
-
-    return blocks.mapInArrow(run, "a binary, b binary")
-
-
-def _hub_pairs(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, ra, rb, na, nb) whose estimate may reach the threshold."""
+                few, every = (x.column(c)[k].values for c in ("few", "all"))
+                ca, oa, na, cb, ob, nb = (s.field(c).to_numpy() for s in (few, every) for c in ("rid", "component", "n_shingles"))
+                ba, bb = (s.field("bands").flatten().to_numpy().reshape(len(s), -1) for s in (few, every))
+                first = np.full((len(few), len(every)), -1, np.int64)  # the first band that two share
+                for j in range(ba.shape[1] - 1, -1, -1):
+                    first[ba[:, None, j] == bb[None, :, j]] = j
+                at = int(np.flatnonzero(ba[0] == band)[0])
+                i, q = np.nonzero((first == at) & (oa[:, None] != ob[None, :]))
+                ra, rb = (_matrix(s.field("registers").to_pylist()) for s in (few, every))
+                ok = np.concatenate([may_reach(ra[i[p : p + 4096]], rb[q[p : p + 4096]], na[i[p : p + 4096]], nb[q[p : p + 4096]], least) for p in range(0, len(i), 4096)] or [np.zeros(0, bool)])
+                i, q = i[ok], q[ok]
+                if size and len(i):
+                    (ui, i), (uq, q) = (np.unique(v, return_inverse=True) for v in (i, q))
+                    ca, na, cb, ob, nb = ca[ui], na[ui], cb[uq], ob[uq], nb[uq]
+                    sets = [known.of(c.tolist(), s.field("text").take(pa.array(u)).to_pylist()) for c, s, u in ((ca, few, ui), (cb, every, uq))]
+                    both = shared_counts(*sets)[i, q]
+                    ok = 100 * both >= percent * (na[i] + nb[q] - both)
+                    i, q = i[ok], q[ok]
+                    one = np.unique(np.stack([i, ob[q]]), axis=1, return_index=True)[1]
+                    i, q = i[one], q[one]
+                out.append(np.stack([ca[i], cb[q]], axis=1))
+            found = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _likely(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """Which of the pairs (a, b) of rids may reach the threshold, by their registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = []
-            for ra, rb, na, nb in zip(*(x.column(c).to_pylist() for c in ("ra", "rb", "na", "nb"))):
-                if min(na, nb) < least * max(na, nb):
-                    keep.append(False)
-                    continue
-                j, n = estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), na, nb)
-                keep.append(j >= least - SLACK * (least * (1 - least) / max(1, n)) ** 0.5)
-            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if x.num_rows:
+                ok = may_reach(*(_matrix(x.column(c).to_pylist()) for c in ("ra", "rb")), *(x.column(c).to_numpy() for c in ("na", "nb")), least)
+                yield x.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    side = lambda c: made.select(F.col("rid").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b, ta, tb) whose full sets have 100 * intersection >= percent * union."""
+def _verified(likely: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Which of the pairs (a, b) of rids are links, by their full sets: 100 * intersection >= percent * union; stashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, np.zeros(0, np.uint64)
+        known = Sets(size)
         for x in batches:
-            for at in range(0, x.num_rows, 256):
-                part, keep = x.slice(at, 256), []
-                hubs, others = part.column("ta").to_pylist(), shingle_sets(part.column("tb").to_pylist(), size)
-                for hub, other in zip(hubs, others):
-                    if hub != last:
-                        last, known = hub, shingle_sets([hub], size)[0]
-                    both = len(np.intersect1d(known, other, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(known) + len(other) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(run, "a binary, b binary")
-
-
-def _links(likely: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Which of the pairs (a, b) of classes are links; stashed."""
-    likely = stash(likely, "likely")
-    texts = _texts(likely.select(F.col("a").alias("class")).union(likely.select(F.col("b").alias("class"))).distinct(), classes, docs)
-    side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"t{c}"))
-    out = stash(_verified(likely.join(side("b"), "b").join(side("a"), "a"), size, percent), "verified")
-    discard(likely, texts)
-    return out
+            sets = [known.of(x.column(c).to_pylist(), x.column(f"t{c}").to_pylist()) for c in ("a", "b")]
+            both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)], np.int64)
+            every = np.array([len(a) + len(b) for a, b in zip(*sets)], np.int64) - both
+            yield x.select(["a", "b"]).filter(pa.array(100 * both >= percent * every))
+
+    side = lambda c: texts.select(F.col("rid").alias(c), F.col("text").alias(f"t{c}"))
+    return stash(likely.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long"), "verified")
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rid"))
 
-def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(class, text) of the wanted classes' representatives; stashed."""
-    reps = stash(classes.select("class", "rep.doc_id", "rep.text_hash").join(wanted, "class"), "reps")
+
+def _texts(wanted: DataFrame, made: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rid, text) of the wanted rows; stashed. Rows are found again by doc_id and the text's hash."""
+    reps = stash(made.join(wanted.distinct(), "rid").select("rid", "text_hash", F.col("doc_id").alias("_id")), "reps")
     near = maybe_in(docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text"), F.col("text_hash"), reps, F.col("text_hash"))
-    near = near.withColumnRenamed("doc_id", "_id").join(reps, ["text_hash"]).where(F.col("_id").eqNullSafe(F.col("doc_id")))
-    out = stash(near.groupBy("class").agg(F.first("text").alias("text")), "texts")
+    near = near.join(reps, (near["doc_id"].eqNullSafe(reps["_id"])) & (near["text_hash"] == reps["text_hash"])).select("rid", "text")
+    out = stash(near.groupBy("rid").agg(F.first("text").alias("text")), "texts")
     discard(reps)
     return out
 
 
-def _states(entries: DataFrame) -> DataFrame:
-    """Of each band that holds more than one component: its entries, its largest component, the pairs across components, and a hub; stashed."""
-    order = F.xxhash64(F.pmod(F.xxhash64("band"), F.lit(HUBS)), "class")  # a class meets several hubs in its bands
-    own = entries.groupBy("band", "component").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("h"), "class", "component")).alias("hub"))
-    square = F.col("n").cast("double") * F.col("n")
-    state = own.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("entries"), F.max_by("component", F.struct("n", "component")).alias("largest"), ((F.sum("n") * F.sum("n") - F.sum(square)) / 2).alias("cross"), F.min("hub").alias("hub"))
-    return stash(state.where("parts > 1").select("band", "entries", "largest", "cross", F.col("hub.class").alias("hub"), F.col("hub.component").alias("of")), "bands")
+def _rest(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, rid, component, largest, n, work) of the bands of three classes or more that hold more than one component; stashed. largest: the component of most classes; work: shingles of the band."""
+    e = met.where("n > 2").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
+    e = stash(e.select("band", "rid", "n_shingles", F.coalesce("root", "rid").alias("component")), "open")
+    sizes = e.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("w"))
+    state = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.sum("w").alias("work"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+    state = stash(state.where("parts > 1").drop("parts"), "bands")
+    out = stash(e.join(state, "band").select("band", "rid", "component", "largest", "n", "work"), "rest")
+    discard(e, state)
+    return out
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs.
+    """(doc_id, n_shingles, component_id) of every row of docs; stashed.
 
-    component_id is the smallest doc_id of those that links reach; nulls are passed over unless there is nothing else. Rows without words (null or empty text) are their own components. Rows of equal doc_id and equal sets share one.
+    component_id is the smallest doc_id of those that links reach; nulls are passed over unless there is nothing else. Rows without words (null or empty text) are their own components. Rows of equal doc_id and equal sets share one. Texts of any length are taken whole; an empty table gives no rows; other columns are not read.
     """
     made = stash(sketches(docs, size, band_rows(percent)), "sketches")
-    classes = made.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    classes = made.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
     classes = stash(classes, "classes")
-    entries = classes.select("class", F.explode("bands").alias("band"))
-    met = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    # component: of a class as far as it is known, itself at first
-    entries = stash(entries.join(met, "band").withColumn("component", F.col("class")), "entries")
-    least, links, roots = percent / 100, None, None
-    state = _states(entries)
-    if (state.agg(F.sum("cross")).first()[0] or 0) > REST * entries.count():
-        side = lambda c: classes.select(F.col("class").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-        pairs = entries.join(state, "band").where("class <> hub").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
-        links = _links(_hub_pairs(pairs.join(side("a"), "a").join(side("b"), "b"), least), classes, docs, size, percent)
-        roots = stash(components(links), "roots")
-        new = entries.select("band", "class").join(roots.select(F.col("node").alias("class"), F.col("root").alias("component")), "class", "left")
-        new = stash(new.select("band", "class", F.coalesce("component", "class").alias("component")), "entries")
-        discard(entries, state)
-        entries, state = new, _states(new)
+    banded = stash(made.select("rid", "n_shingles", "bands").join(classes.select("rid"), "rid", "left_semi"), "banded")
+    entries = banded.select("rid", "n_shingles", F.explode("bands").alias("band"))
+    mask = F.xxhash64(F.pmod("band", F.lit(HUBS)))  # an order of rids for each of HUBS kinds of bands, so that a class meets several hubs
+    state = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.col("rid").bitwiseXOR(mask)).alias("first")).where("n > 1")
+    state = stash(state.select("band", "n", F.col("first").bitwiseXOR(mask).alias("hub")), "bands")
+    met = stash(maybe_in(entries, F.col("band"), state, F.col("band")).join(state, "band"), "met")
+    discard(banded, state)
+    least = percent / 100
+    pairs = met.where("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
+    likely = stash(_likely(pairs, made, least), "likely")
+    texts = _texts(_ends(likely), made, docs)
+    links = _verified(likely, texts, size, percent)
+    roots = stash(components(links), "roots")
+    discard(likely, texts, links)
     # the rest, exactly: what is not of a band's largest component against all of the band, block by block
-    here = stash(entries.join(state, "band").select("band", "class", "component", "largest", F.pmod(F.xxhash64("class"), F.ceil(F.col("entries") / BLOCK)).alias("block"), (F.col("entries") > WIDE).alias("wide")), "round")
-    columns = ("class", "component", "registers", "n_shingles", "bands")
+    rest = _rest(met, roots)
+    columns = ["rid", "component", "registers", "n_shingles", "bands"]
+    full = rest.join(made.select("rid", "registers", "n_shingles", "bands"), "rid")
 
-    def blocks(full: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    def blocks(full: DataFrame, names: list[str], n_blocks: Column) -> DataFrame:
+        full = full.select("band", n_blocks.alias("blocks"), "largest", *names).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks"))
         every = full.groupBy("band", "block").agg(F.collect_list(F.struct(*names)).alias("all"))
-        few = full.where("component <> largest").groupBy("band", F.col("block").alias("part")).agg(F.collect_list(F.struct(*names)).alias("few"))
-        return few.join(every, "band").select("band", "few", "all")
-
-    full = here.join(classes.select("class", "registers", "n_shingles", "bands"), "class")
-    found = _links(_near_in_blocks(blocks(full.where("not wide"), columns), least).distinct(), classes, docs, size, percent)
-    links = found if links is None else links.union(found)
-    wide = here.where("wide").select("class").distinct()
-    if not wide.isEmpty():  # in a large bucket, pairs below the threshold are too many to be rows: they are verified where they meet
-        texts = _texts(wide, classes, docs)
-        links = links.union(stash(_near_in_blocks(blocks(full.where("wide").join(texts, "class"), (*columns, "text")), least, size), "wide"))
-        discard(texts)
-    discard(entries, state, here)
-    if not links.isEmpty():
-        roots = stash(components(links), "roots")
-    of = classes.select("class", "members", F.col("rep.doc_id").alias("doc_id"))
-    if roots is not None:
-        of = of.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-        least = of.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        of = of.join(least, "root", "left").where("root is not null or members > 1").select("class", F.coalesce("component_id", "doc_id").alias("component_id"))
-    else:
-        of = of.where("members > 1").select("class", F.col("doc_id").alias("component_id"))
+        few = full.where("component <> largest").groupBy("band", "blocks", F.col("block").alias("part")).agg(F.collect_list(F.struct(*names)).alias("few"))
+        # each block of few goes to every block of its band, so a large band's work is dealt over as many tasks as it has blocks
+        few = few.select("band", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        return few.join(every, ["band", "block"]).select("band", "few", "all")
+
+    likely = stash(_near_in_blocks(blocks(full.where(F.col("n") <= WIDE), columns, F.lit(1).cast("long")), least), "likely")
+    # in a large band, pairs below the threshold are too many to be rows: they are verified where they meet
+    wide = full.where(F.col("n") > WIDE)
+    texts = _texts(_ends(likely).union(rest.where(F.col("n") > WIDE).select("rid")), made, docs)
+    n_blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("work") / BLOCK_SHINGLES))
+    met_there = stash(_near_in_blocks(blocks(wide.join(texts, "rid"), [*columns, "text"], n_blocks), least, size), "wide")
+    links = _verified(likely, texts, size, percent)
+    found = links.union(met_there)
+    if not found.isEmpty():
+        old, roots = roots, stash(components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+        discard(old)
+    discard(met, rest, likely, texts, links, met_there)
+    of = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
+    least_id = stash(of.where("root is not null").groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    of = stash(of.where("root is not null or members > 1").join(least_id, "root", "left").select("c1", "c2", F.coalesce("component_id", "first_id").alias("component_id")), "classes")
     # rows without words have no class; a class of one row and no link is that row
-    alone = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rest = made.where("n_shingles > 0").join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return rest.union(alone)
+    out = stash(made.select("doc_id", "n_shingles", "c1", "c2").join(of, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "groups")
+    discard(made, classes, roots, least_id, of)
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id. Rows that repeat its doc_id stay with it; rows without a doc_id stay."""
-    kept = groups(docs, size, percent).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """docs with one document of each group: that of the smallest doc_id. Rows that repeat its doc_id stay with it; rows without a doc_id stay. The columns are those of docs, whatever their names."""
+    kept = groups(docs, size, percent).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    d = docs.select(F.struct("*").alias("doc"))
+    return d.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc.*")

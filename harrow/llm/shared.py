@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch while a table is stashed. Rows hold whole texts, so a batch of the default 10000 may not fit beside the heap.
-BATCH_ROWS = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bounds of an Arrow batch while a table is stashed. Rows hold whole texts or blocks of them, so batches are bounded by bytes too; a larger row is a batch of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Links up to which one task finds the components; it holds about 100 bytes for each.
+SOLVED = 1_000_000
 _own: dict[str, str] = {}
 
 
@@ -33,12 +37,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back: lineage ends there, and a lost executor costs only its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, BATCH_ROWS)
+    was = {k: spark.conf.get(k) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -72,11 +78,12 @@ def ranked(df: DataFrame, part: list[str], keys: list[Column], n_rows: int, out:
     return d.join(sizes, [*part, "_b"]).withColumn(out, F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
 
 
-def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 23) -> DataFrame:
+def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
     """Rows of df whose key may be among wanted's keys: never loses one, lets few others through.
 
-    wanted becomes a bitmap of 2**bits bits, so what is broadcast has at most 2**(bits - 6) rows, whatever the size of wanted. With very many keys it lets more through; an exact join follows in any case.
+    wanted becomes a bitmap of 16 bits a key, of 2**16 to 2**27 bits in all, so what is broadcast has a bound whatever the size of wanted. With more keys than a sixteenth of 2**27 it lets more through; an exact join follows in any case.
     """
+    bits = min(27, max(16, (16 * wanted.count()).bit_length()))
     size = F.lit(1 << bits)
     slots = wanted.select(F.pmod(F.xxhash64(wanted_key), size).alias("_s"))
     words = slots.groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_s & 63 as int)))").alias("_bits"))
@@ -85,28 +92,60 @@ def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column,
     return d.drop("_s", "_w", "_bits")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (a, b), and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        rx, ry = root[x], root[y]
+        if (rx == ry).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while ((further := root[root]) != root).any():
+            root = further
+
+
+def _solved(links: DataFrame, parts: int) -> DataFrame:
+    """(u, v) with v the smallest node that u reaches by the links of its partition, u > v. Links are dealt over `parts` tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches]
+        if held:
+            node, root = forest(*(np.concatenate(c) for c in zip(*held)))
+            far = node > root
+            yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], ["u", "v"])
+
+    return links.repartition(parts).mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, label: str = "links") -> DataFrame:
-    """(node, root) for every node of links (a, b): root is the smallest node it reaches.
+    """(node, root) for every node of links (a, b), which are longs: root is the smallest node it reaches.
 
-    Alternating large-star and small-star steps; each ends in a stashed table, and nothing but counts reaches the driver.
+    Every task first contracts the links that it holds. Up to SOLVED links one task does that, and it is all. Beyond, alternating large-star and small-star steps follow; each ends in a stashed table, and nothing but counts reaches the driver.
     """
-    e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = stash(e, label)
+    e = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), label)
+    n = e.count()
+    new = stash(_solved(e, max(1, -(-n // SOLVED)) if SOLVED else 4), label)
+    discard(e)
+    e = new
 
     def mark(d: DataFrame) -> tuple:
         row = d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return row["n"], row["h"]
 
-    was = mark(e)
-    while was[0]:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    was = mark(e) if n > SOLVED else None
+    while was and was[0]:
+        # what a join needs is a table of its own, so that it can split a node of very many links
+        both = stash(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), label)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stash(low, label)
+        large = stash(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), label)
+        least = stash(large.groupBy("u").agg(F.min("v").alias("m")), label)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         new = stash(small.where("u > v").distinct(), label)
         now = mark(new)
-        discard(e)
+        discard(e, both, low, large, least)
         e = new
         if now == was:
             break
