@@ -6,96 +6,125 @@ Each document becomes token ids; what is longer than a sequence is cut into whol
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 from struct import pack as to_bytes
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.shared import stash
 
-#: Remembered words of a worker, twice: when as many are new, those of before that were not met again are forgotten.
-MEMORY = 400_000
-_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Remembered words of a worker, twice: when as many are new, those of before that were not met again are forgotten. Longer words than KEPT bytes are not remembered, so this bounds the bytes too.
+MEMORY, KEPT = 400_000, 64
+#: Characters of text encoded at once; a longer text is cut at white space.
+CHUNK = 1 << 22
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_SPACE = re.compile("[ \t-\r]")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """White space ends a word and is dropped, and A-Z are folded as the tokenizer does; not where a special string may stand, since those are matched by case and before folding."""
-    b = text.encode() if text else b""
-    if b"<|" not in b:
-        return b.lower().split()
-    return [w if b"<|" in w else w.lower() for w in b.split()]
+def folded(word: str) -> str:
+    """A key that words of equal ids share. Only plain words are folded: special strings are matched by case and before folding, and marks are composed before folding."""
+    return word.lower() if word.isascii() and "<|" not in word else word
 
 
 class Words:
-    """Token ids of words, as little-endian unsigned 32-bit numbers."""
+    """Token ids of words, as little-endian unsigned 32-bit numbers. White space parts words for the tokenizer too, so a text's ids are those of its words."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.now: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.now: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(words), 5_000):
+            some = words[at : at + 5_000]
+            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                ids = e.ids
+                out[w] = to_bytes(f"<{len(ids)}I", *ids)
+        return out
 
-    def learn(self, words: set[bytes]) -> None:
-        """A word that ends in stops after a letter or digit is its two parts, since the tokenizer parts them there too."""
-        if len(self.now) + len(words) > MEMORY and self.now:
-            self.before, self.now = self.now, {}
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of different words. One that ends in stops after a letter or digit is its two parts, since the tokenizer parts them there too."""
+        if len(self.now) > MEMORY:
+            self.before, self.now = self.now, {"": b""}
         now, before = self.now, self.before
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        todo: set[bytes] = set()
-        for w in words:
-            if (ids := before.get(w)) is not None:
-                now[w] = ids
-                continue
-            core = w.rstrip(b".,")
+        missing = {k for w in words if w not in now and (k := folded(w)) not in now}
+        parts: dict[str, tuple[str, str]] = {}
+        todo: set[str] = set()
+        for w in missing:
+            core = w.rstrip(".,")
             if len(core) < len(w) and core and core[-1] in _ALNUM:
                 parts[w] = core, w[len(core) :]
                 todo.update(parts[w])
             else:
                 todo.add(w)
-        new = []
-        for w in todo:
-            if w not in now:
-                if (ids := before.get(w)) is not None:
-                    now[w] = ids
-                else:
-                    new.append(w)
-        for at in range(0, len(new), 5_000):
-            some = new[at : at + 5_000]
-            for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                ids = e.ids
-                now[w] = to_bytes(f"<{len(ids)}I", *ids)
-        for w, (core, stops) in parts.items():
-            now[w] = now[core] + now[stops]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Texts are encoded by their different words."""
-        words = [words_of(t) for t in texts]
-        every = set(chain.from_iterable(words))
-        if not self.now.keys() >= every:
-            missing = {w for w in every if w not in self.now}
-            if len(self.now) + len(missing) > MEMORY:
-                missing = every
-            self.learn(missing)
-        get = self.now.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        own = {w: before[w] for w in todo if w in before}
+        own |= self._new([w for w in todo if w not in own and w not in now])
+        own |= {w: (own.get(core) or now[core]) + (own.get(stops) or now[stops]) for w, (core, stops) in parts.items()}
+        now.update((w, x) for w, x in own.items() if len(w) <= KEPT)
+        out = []
+        for w in words:
+            x = now.get(w)
+            if x is None:
+                k = folded(w)
+                x = own[k] if k in own else now[k]
+                if len(w) <= KEPT:
+                    now[w] = x
+            out.append(x)
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts are cut into words and these numbered in Arrow; only different words reach Python."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = pc.dictionary_encode(lists.flatten())
+        found = self.ids(coded.dictionary.to_pylist())
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
+        which = coded.indices.to_numpy()
+        n, start = n[which], start[which]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(start - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        bounds = np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [ids[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 _loaded: dict[str, Words] = {}
 
 
-def encode(texts: list[str | None], path: str) -> list[bytes]:
+def _cut(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + CHUNK)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """The ids of each text; a null text is empty."""
     if path not in _loaded:
         _loaded[path] = Words(path)
-    return _loaded[path].encode(texts)
+    words, out, at = _loaded[path], [], 0
+    while at < len(texts):
+        some, n = [], 0
+        while at < len(texts) and (not some or n + len(texts[at] or "") <= CHUNK):
+            some.append(texts[at] or "")
+            n += len(some[-1])
+            at += 1
+        out += [np.concatenate([words.encode([x])[0] for x in _cut(some[0])])] if n > CHUNK else words.encode(some)
+    return out
 
 
 def spread(counts: dict[int, int], max_len: int = 4096) -> list[tuple[tuple[int, ...], int]]:
@@ -160,28 +189,24 @@ def pieces(docs: DataFrame, path: str, end_id: int, max_len: int = 4096, keep: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), [0] * (max_len + 1)
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows: list[list] = [[] for _ in range(8)]
-                who = b.slice(at, 256)
-                take: list[int] = []
-                for k, ids in enumerate(encode(who.column("text").to_pylist(), path)):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, max_len):
-                        piece = ids[4 * start : 4 * (start + max_len)]
-                        n = len(piece) // 4
-                        take.append(k)
-                        for column, v in zip(rows, (start, n, zlib.crc32(piece), total, part, seen[n], piece if keep else None)):
-                            column.append(v)
-                        seen[n] += 1
-                ids_of = who.column("doc_id").take(pa.array(take, pa.int64()))
-                columns = [ids_of, *(pa.array(c, pa.int64()) for c in rows[:6])]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"]
-                if keep:
-                    columns, names = [*columns, pa.array(rows[6], pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            rows: list[list] = [[] for _ in range(8)]
+            for k, ids in enumerate(encode(b.column("text").to_pylist(), path)):
+                ids = np.concatenate([ids, end])
+                total = len(ids)
+                for start in range(0, total, max_len):
+                    piece = ids[start : start + max_len]
+                    n = len(piece)
+                    for column, v in zip(rows, (start, n, zlib.crc32(piece), total, part, seen[n], piece.tobytes() if keep else None, k)):
+                        column.append(v)
+                    seen[n] += 1
+            ids_of = b.column("doc_id").take(pa.array(rows[7], pa.int64()))
+            columns = [ids_of, *(pa.array(c, pa.int64()) for c in rows[:6])]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"]
+            if keep:
+                columns, names = [*columns, pa.array(rows[6], pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     d = docs.select("doc_id", "text")
     kind = d.schema["doc_id"].dataType.simpleString()
@@ -189,7 +214,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, max_len: int = 4096, keep: b
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, max_len: int = 4096, keep: bool = False) -> DataFrame:
-    """The pieces of docs with sequence_id and offset. A null or empty text is the end id alone. Repeated rows are packed each for itself.
+    """The pieces of docs with sequence_id and offset. A null or empty text is the end id alone. Texts of any length are taken whole and cut into pieces. Repeated rows are packed each for itself; pieces of equal length are ties, placed in the order of the tasks that made them. An empty table gives no pieces; other columns are not read.
 
     Pieces are stashed, so that ranks do not change when a task runs again. The broadcast holds the packing patterns, whose number has a bound by max_len alone.
     """
@@ -203,15 +228,15 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, max_len: int = 4096, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq, off = [], []
-            for length, rank in zip(b.column("length").to_pylist(), b.column("rank").to_pylist()):
-                starts, runs = at.value[length]
-                k = bisect_right(starts, rank) - 1
-                first, offset = runs[k]
-                seq.append(first + rank - starts[k])
-                off.append(offset)
+            lengths, ranks = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for length in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == length)
+                starts, runs = (np.array(x) for x in at.value[length])
+                k = np.searchsorted(starts, ranks[own], "right") - 1
+                seq[own], off[own] = runs[k, 0] + ranks[own] - starts[k], runs[k, 1]
             kept = [n for n in b.schema.names if n not in ("part", "nth", "before", "rank")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*kept, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(seq), pa.array(off)], [*kept, "sequence_id", "offset"])
 
     kept = [f for f in ranks.schema.fields if f.name not in ("part", "nth", "before", "rank")]
     return ranks.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long")
