@@ -25,70 +25,108 @@ from harrow.llm.shared import stash
 #: Remembered words of a worker, twice: when as many are new, those of before that were not met again are forgotten. Longer words than KEPT bytes are not remembered, so this bounds the bytes too.
 MEMORY, KEPT = 400_000, 64
 #: Characters of text encoded at once; a longer text is cut at white space.
-CHUNK = 1 << 22
-_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+CHUNK = 1 << 21
+#: The marks that an ASCII letter can be composed with.
+_MARKS = re.compile("[\u0300-\u036f]")
 _SPACE = re.compile("[ \t-\r]")
+#: Classes of bytes: white space, letters, digits, other signs, and those next to which a word is not cut.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[:128] = 3
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = 1
+_CLASS[np.frombuffer(b"0123456789", np.uint8)] = 2
+_CLASS[ord("'")] = 4
 
 
-def folded(word: str) -> str:
-    """A key that words of equal ids share. Only plain words are folded: special strings are matched by case and before folding, and marks are composed before folding."""
-    return word.lower() if word.isascii() and "<|" not in word else word
+def parts_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The parts of the texts that the tokenizer encodes apart from one another, and how many of them come before each text.
+
+    White space parts words. In a word, letters, each digit, and runs of other signs are parts, but next to an apostrophe or a character beyond ASCII nothing is cut. A-Z are folded. A text that may hold a special string, or a mark that a letter is composed with, is cut at white space alone and not folded: special strings are matched by case and before folding, and marks are composed before it.
+    """
+    raw, whole = [], []
+    for t in texts:
+        b = t.encode()
+        plain = b"<|" not in b and (len(b) == len(t) or not _MARKS.search(t))
+        raw.append(b.lower() if plain else b)
+        whole.append(not plain)
+    size = np.array([len(b) + 1 for b in raw], np.int64)
+    a = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    kind = _CLASS[a]
+    for at, n in zip((np.cumsum(size) - size)[whole], size[whole]):
+        own = kind[at : at + n]
+        own[own > 0] = 4
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+    cut = ((kind != before) & (kind != 4) & (before != 4)) | (kind == 2) | (before == 0)
+    inside = kind > 0
+    cut &= inside & ~((kind == 2) & (before == 4))
+    # parts follow one another once white space is left out
+    place = np.cumsum(inside)
+    starts = place[cut] - 1
+    offsets = np.append(starts, place[-1] if len(place) else 0).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(a[inside])])
+    return parts, np.concatenate([[0], np.cumsum(cut)])[np.concatenate([[0], np.cumsum(size)])]
 
 
 class Words:
-    """Token ids of words, as little-endian unsigned 32-bit numbers. White space parts words for the tokenizer too, so a text's ids are those of its words."""
+    """Token ids of parts of texts, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.now: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(words), 5_000):
-            some = words[at : at + 5_000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids
-                out[w] = to_bytes(f"<{len(ids)}I", *ids)
-        return out
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        """The ids of different words. One that ends in stops after a letter or digit is its two parts, since the tokenizer parts them there too."""
-        if len(self.now) > MEMORY:
-            self.before, self.now = self.now, {"": b""}
-        now, before = self.now, self.before
-        missing = {k for w in words if w not in now and (k := folded(w)) not in now}
-        parts: dict[str, tuple[str, str]] = {}
-        todo: set[str] = set()
-        for w in missing:
-            core = w.rstrip(".,")
-            if len(core) < len(w) and core and core[-1] in _ALNUM:
-                parts[w] = core, w[len(core) :]
-                todo.update(parts[w])
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def _plain(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of words of letters alone: the tokenizer takes each as one, so one text of many is parted again where its words end."""
+        ids = np.array(self.tok.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) != len(words):
+            raise ValueError("this tokenizer does not end words with </w>")
+        flat, at = ids.tobytes(), 0
+        for w, e in zip(words, (4 * end).tolist()):
+            yield w, flat[at:e]
+            at = e
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        found = list(map(self.now.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if not missing:
+            return found
+        if len(self.now) + len(missing) > MEMORY and self.now:
+            self.before, self.now = self.now, {}
+        now, before, own = self.now, self.before, {}
+        new = []
+        for k in missing:
+            w = words[k]
+            if (x := before.get(w)) is None:
+                new.append(w)
             else:
-                todo.add(w)
-        own = {w: before[w] for w in todo if w in before}
-        own |= self._new([w for w in todo if w not in own and w not in now])
-        own |= {w: (own.get(core) or now[core]) + (own.get(stops) or now[stops]) for w, (core, stops) in parts.items()}
-        now.update((w, x) for w, x in own.items() if len(w) <= KEPT)
-        out = []
-        for w in words:
-            x = now.get(w)
-            if x is None:
-                k = folded(w)
-                x = own[k] if k in own else now[k]
-                if len(w) <= KEPT:
-                    now[w] = x
-            out.append(x)
-        return out
+                own[w] = x
+        plain = [w for w in new if w.isalpha()]  # of bytes: ASCII letters
+        for at in range(0, len(plain), 5_000):
+            own.update(self._plain(plain[at : at + 5_000]))
+        odd = [w for w in new if not w.isalpha()]
+        for at in range(0, len(odd), 5_000):
+            some = odd[at : at + 5_000]
+            for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                own[w] = to_bytes(f"<{len(e.ids)}I", *e.ids)
+        for k in missing:
+            w = words[k]
+            found[k] = own[w]
+            if len(w) <= KEPT:
+                now[w] = own[w]
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Texts are cut into words and these numbered in Arrow; only different words reach Python."""
-        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
-        coded = pc.dictionary_encode(lists.flatten())
+        """Texts are cut into parts and these numbered without Python objects; only different parts become such."""
+        parts, bounds = parts_of(texts)
+        coded = pc.dictionary_encode(parts)
         found = self.ids(coded.dictionary.to_pylist())
         n = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
@@ -96,8 +134,8 @@ class Words:
         n, start = n[which], start[which]
         end = np.cumsum(n)
         ids = flat[np.repeat(start - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-        bounds = np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return [ids[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        at = np.concatenate([[0], end])[bounds].tolist()
+        return [ids[x:y] for x, y in zip(at[:-1], at[1:])]
 
 
 _loaded: dict[str, Words] = {}
