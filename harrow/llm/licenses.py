@@ -39,19 +39,35 @@ OTHER = r"[^\p{L}\p{N}]+"
 BROADCAST_ROWS = 100_000
 
 
-def canonical(text: Column, copyright_lines: bool = True) -> Column:
+def canonical(text: Column) -> Column:
     """The form that is compared: lower case, no copyright lines, words parted by single spaces, spellings made equal."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, COPYRIGHT, "$1") if copyright_lines else t
-    t = F.concat(F.lit(" "), F.regexp_replace(t, OTHER, " "), F.lit(" "))
-    for a, b in SPELLINGS:
+    t = F.regexp_replace(F.lower(text), COPYRIGHT, "$1")
+    return spelled(F.regexp_replace(t, OTHER, "  "), SPELLINGS)
+
+
+def spelled(words: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Words parted by two spaces each, spellings made equal, as words parted by one. Each word has spaces of its own, so neighbours are both found."""
+    t = F.concat(F.lit(" "), words, F.lit(" "))
+    for a, b in pairs:
+        a, b = (x.replace(" ", "  ") for x in (a, b))
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
+def whole(lines: Column) -> Column:
+    """The form of a whole text by the forms of its lines: only spellings of several words can lie across a line's end."""
+    t = F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    several = [(a, b) for a, b in SPELLINGS if " " in a]
+    return spelled(F.replace(t, F.lit(" "), F.lit("  ")), several)
+
+
+def digest_of(form: Column) -> Column:
+    """A form's digest; null for a text that has no word."""
+    return F.sha2(F.nullif(form, F.lit("")), 256)
+
+
 def digest(text: Column) -> Column:
-    """The canonical form's digest; null for a text that has no word."""
-    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+    return digest_of(canonical(text))
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -70,8 +86,9 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     k = F.broadcast(licences) if small else licences
     d = docs.select("doc_id", "text").withColumn("_t", F.xxhash64("text"))
     # digests are made inside the array, before it becomes rows: a filter that the join adds on them then costs nothing
-    digests = F.transform(F.concat(F.array("text"), F.split("text", "\n")), digest)
-    units = d.select("doc_id", "_t", F.posexplode(digests).alias("pos", "digest"))
+    forms = d.select("doc_id", "_t", F.transform(F.split("text", "\n"), canonical).alias("_f"))
+    digests = F.concat(F.array(digest_of(whole(F.col("_f")))), F.transform("_f", digest_of))
+    units = forms.select("doc_id", "_t", F.posexplode(digests).alias("pos", "digest"))
     hits = units.where("digest is not null").join(k, "digest").select("doc_id", "_t", "pos", "license").distinct()
     found = hits.groupBy("doc_id", "_t").agg(F.max(F.when(F.col("pos") == 0, F.col("license"))).alias("text_license"), F.count_if(F.col("pos") > 0).alias("n_notices"), F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("licenses"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_h"), "text_license", "n_notices", "licenses")
@@ -86,8 +103,9 @@ def scan_sql(texts: list[tuple[str, str]] | None = None) -> str:
 
     def form(x: str) -> str:
         t = f"regexp_replace(lower({x}), {q(COPYRIGHT)}, '\\1', 'g')"
-        t = f"(' ' || regexp_replace({t}, {q(OTHER)}, ' ', 'g') || ' ')"
+        t = f"(' ' || regexp_replace({t}, {q(OTHER)}, '  ', 'g') || ' ')"
         for a, b in SPELLINGS:
+            a, b = (w.replace(" ", "  ") for w in (a, b))
             t = f"replace({t}, ' {a} ', ' {b} ')"
         return f"trim(replace({t}, '  ', ' '), ' ')"
 

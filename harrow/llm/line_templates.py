@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens (one that holds a digit is a field). In a leaf, lines become templates. A run of digits is always a field. Where a leaf holds many different lines, a position's token that few of them share is a field as well, and lines that then look alike are one template, if most of it is fixed. A template that recurs across documents is dropped from all of them but the one of the smallest doc_id.
+A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens (one that holds a digit is a field). In a leaf, lines become templates. A run of digits is a field, in lines most of whose tokens hold none; other lines must be equal. Where a leaf holds many different lines, a position's token that few of them share is a field as well: few by number, and in a second reading few by their share of the leaf, so that a field with many values stays one however often each of them occurs. Lines that then look alike are one template, if most of it is fixed. A template that recurs across documents is dropped from all of them but the one of the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -8,25 +8,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import maybe_in, stash
+from harrow.llm.shared import discard, flagged, maybe_in, stash
 
-#: Leading tokens of the tree; different lines that make a field, and the fixed share of a template with such fields.
-LEADING, VARIANTS, FIXED = 3, 8, 0.8
+#: Leading tokens of the tree; different lines that make a field, the share of a leaf's lines below which a token is none of its fixed ones, and the fixed share of a template.
+LEADING, VARIANTS, SHARE, FIXED = 3, 8, 0.05, 0.8
 FIELD = "<*>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line as (doc_id, th, pos, line): its tokens parted by single spaces, every run of digits as one field sign 0."""
-    text = F.regexp_replace(F.regexp_replace("text", "[0-9]+", "0"), r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return d.select("doc_id", "th", "pos", F.trim("line").alias("line"))
+    """Every line as (doc_id, th, pos, line): its tokens parted by single spaces, every run of digits as one field sign 0 if enough of its tokens hold no digit."""
+    text = F.regexp_replace("text", r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    masked = F.regexp_replace("line", "[0-9]+", "0")
+    fields, n = F.regexp_count(masked, F.lit("0[^ ]*")), _spaces(F.col("line")) + 1
+    return d.select("doc_id", "th", "pos", F.when(F.col("line").rlike("[0-9]") & (n - fields >= FIXED * n), masked).otherwise(F.col("line")).alias("line"))
+
+
+def _spaces(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
 
 
 def _leaf(line: Column) -> Column:
     """The number of tokens, and the leading tokens with those that hold a digit as a field. A token is looked at once, at its start."""
-    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    lead = F.regexp_replace(F.substring_index(line, " ", LEADING), "(?<![^ ])[^ ]*0[^ ]*", FIELD)
-    return F.xxhash64(n, lead)
+    lead = F.regexp_replace(F.substring_index(line, " ", LEADING), "(?<![^ ])[^ ]*[0-9][^ ]*", FIELD)
+    return F.xxhash64(_spaces(line), lead)
 
 
 def _key(line: Column) -> list[Column]:
@@ -44,28 +49,35 @@ def verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = stash(same, "same")
     exact = same.where("lo <> hi").select("h1", "h2", F.col("lo").alias("keeper"))
     # leaves with enough different lines for a field
-    leaves = stash(same.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= VARIANTS).select("leaf"), "leaves")
+    leaves = stash(same.groupBy("leaf").agg(F.count("*").alias("n_lines")).where(F.col("n_lines") >= VARIANTS), "leaves")
     few = _lines(docs).where("line <> ''").withColumn("leaf", _leaf(F.col("line")))
-    few = maybe_in(few, F.col("leaf"), leaves, F.col("leaf")).join(leaves, "leaf", "left_semi")
+    few = maybe_in(few, F.col("leaf"), leaves, F.col("leaf")).join(leaves.select("leaf"), "leaf", "left_semi")
     few = few.select("leaf", *_key(F.col("line")), "line", doc.alias("doc")).groupBy("leaf", "h1", "h2").agg(F.first("line").alias("line"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     few = stash(few, "variants")
     at = few.select("leaf", "h1", "h2", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    shared = at.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")).where(F.col("n") >= VARIANTS).select("leaf", "pos", "token", F.lit(True).alias("fixed"))
-    forms = at.join(shared, ["leaf", "pos", "token"], "left").groupBy("leaf", "h1", "h2").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)).alias("t")))).alias("form"), F.count("fixed").alias("n_fixed"), F.count("*").alias("n"))
-    forms = forms.where((F.col("n_fixed") < F.col("n")) & (F.col("n_fixed") >= FIXED * F.col("n"))).select("leaf", "h1", "h2", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form", "n").alias("f2"))
+    counted = at.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")).where(F.col("n") >= VARIANTS).join(leaves, "leaf")
+    # tables of their own, so that the joins with them can split a leaf of very many lines
+    shared = stash(counted.select("leaf", "pos", "token", (F.col("n") >= SHARE * F.col("n_lines")).alias("often")), "shared")
+    d = at.join(shared, ["leaf", "pos", "token"], "left")
+    form = lambda fixed: F.array_sort(F.collect_list(F.struct("pos", F.when(fixed, F.col("token")).otherwise(F.lit(FIELD)).alias("t"))))
+    by_number, by_share = F.col("often").isNotNull(), F.coalesce("often", F.lit(False))
+    forms = d.groupBy("leaf", "h1", "h2").agg(F.array(F.struct(form(by_number).alias("form"), F.count_if(by_number).alias("n_fixed")), F.struct(form(by_share).alias("form"), F.count_if(by_share).alias("n_fixed"))).alias("both"), F.count("*").alias("n"))
+    forms = forms.select("leaf", "h1", "h2", "n", F.explode(F.array_distinct("both")).alias("f"))
+    forms = forms.where((F.col("f.n_fixed") < F.col("n")) & (F.col("f.n_fixed") >= FIXED * F.col("n"))).select("leaf", "h1", "h2", F.xxhash64("f.form").alias("f1"), F.xxhash64(F.lit(1), "f.form", "n").alias("f2"))
     forms = stash(forms.join(few.select("leaf", "h1", "h2", "lo", "hi"), ["leaf", "h1", "h2"]), "forms")
     wide = forms.groupBy("leaf", "f1", "f2").agg(F.count("*").alias("n"), F.min("lo").alias("keeper"), F.max("hi").alias("last")).where((F.col("n") >= VARIANTS) & (F.col("keeper") != F.col("last")))
-    general = forms.join(wide.select("leaf", "f1", "f2", "keeper"), ["leaf", "f1", "f2"]).select("h1", "h2", "keeper")
+    wide = stash(wide.select("leaf", "f1", "f2", "keeper"), "wide")
+    general = forms.join(wide, ["leaf", "f1", "f2"]).select("h1", "h2", "keeper")
     # as a table of its own, so that the join of lines with it can split a line that is very common
     both = stash(exact.union(general).groupBy("h1", "h2").agg(F.min("keeper").alias("keeper")), "recurring")
+    discard(same, leaves, few, shared, forms, wide)
     return lines, both
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """Every row of docs as (doc, n_lines, n_dropped, kept_text): doc is the whole row, so its columns' names can't clash.
 
-    kept_text is the text without the dropped lines; null stays null, and a text of dropped lines only becomes empty. Lines without tokens are never dropped. Lines that repeat within one document stay, and so do those of rows that repeat the keeping document's doc_id and text.
+    kept_text is the text without the dropped lines; null stays null, and a text of dropped lines only becomes empty. Lines without tokens are never dropped. Lines that repeat within one document stay, and so do those of rows that repeat the keeping document's doc_id and text. Lines and texts of any length are taken whole; an empty table gives no rows. Only documents that may lose a line are shuffled.
     """
     lines, dropped = verdicts(docs)
     doc = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
@@ -75,7 +87,10 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     flags = F.expr("flatten(transform(gone, (p, i) -> concat(array_repeat(false, p - if(i = 0, 0, gone[i - 1] + 1)), array(true))))")
     touched = stash(touched.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.size("gone").alias("_n"), flags.alias("_flags")), "gone")
     d = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
-    d = d.join(touched, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
+    discard(lines, dropped)
+    d = flagged(d, F.struct("_d", "_t"), touched, F.struct("_id", "_th"), "_may")
+    hit = d.where("_may").join(touched, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left").select("doc", "_n", "_flags")
+    d = hit.union(d.where("not _may").select("doc", F.lit(None).cast("int").alias("_n"), F.lit(None).cast("array<boolean>").alias("_flags")))
     text = F.col("doc.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get("_flags", i), F.lit(False))), "\n")
     n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long")
@@ -90,15 +105,18 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 #: drop_lines()'s rows in DuckDB's SQL, over the table documents, whose doc_ids differ.
 SQL = rf"""
-with d as (select doc_id, text, string_split(text, chr(10)) as raw, string_split(regexp_replace(regexp_replace(text, '[0-9]+', '0', 'g'), '[ \t\r\f\x0B]{{2,}}|[\t\r\f\x0B]', ' ', 'g'), chr(10)) as masked from documents),
-l as (select doc_id, pos, raw[pos] as raw, trim(masked[pos], ' ') as line from (select *, unnest(range(1, len(raw) + 1)) as pos from d)),
+with d as (select doc_id, text, string_split(text, chr(10)) as raw, string_split(regexp_replace(text, '[ \t\r\f\x0B]{{2,}}|[\t\r\f\x0B]', ' ', 'g'), chr(10)) as even from documents),
+p as (select doc_id, pos, raw[pos] as raw, trim(even[pos], ' ') as line from (select *, unnest(range(1, len(raw) + 1)) as pos from d)),
+l as (select doc_id, pos, raw, case when len(list_filter(string_split(line, ' '), lambda t: not regexp_matches(t, '[0-9]'))) >= {FIXED} * len(string_split(line, ' ')) then regexp_replace(line, '[0-9]+', '0', 'g') else line end as line from p),
 k as (select *, string_split(line, ' ') as tok from l where line <> ''),
-f as (select doc_id, pos, line, len(tok) || ' ' || array_to_string(list_transform(tok[1:{LEADING}], lambda t: case when contains(t, '0') then '{FIELD}' else t end), ' ') as leaf, tok from k),
+f as (select doc_id, pos, line, len(tok) || ' ' || array_to_string(list_transform(tok[1:{LEADING}], lambda t: case when regexp_matches(t, '[0-9]') then '{FIELD}' else t end), ' ') as leaf, tok from k),
 same as (select line, any_value(leaf) as leaf, any_value(tok) as tok, min(doc_id) as lo, max(doc_id) as hi from f group by line),
-few as (select * from same where leaf in (select leaf from same group by leaf having count(*) >= {VARIANTS})),
-t as (select line, leaf, lo, hi, tok[pos] as token, pos from (select *, unnest(range(1, len(tok) + 1)) as pos from few)),
-shared as (select leaf, pos, token from t group by all having count(*) >= {VARIANTS}),
-form as (select t.leaf, t.line, t.lo, t.hi, string_agg(case when s.token is null then '{FIELD}' else t.token end, ' ' order by t.pos) as form, count(s.token) as fixed, count(*) as n from t left join shared s on s.leaf = t.leaf and s.pos = t.pos and s.token = t.token group by 1, 2, 3, 4),
+leaves as (select leaf, count(*) as n_lines from same group by leaf having count(*) >= {VARIANTS}),
+t as (select line, leaf, lo, hi, tok[pos] as token, pos from (select *, unnest(range(1, len(tok) + 1)) as pos from same where leaf in (select leaf from leaves))),
+shared as (select leaf, pos, token, c >= {SHARE} * n_lines as often from (select leaf, pos, token, count(*) as c from t group by all having count(*) >= {VARIANTS}) join leaves using (leaf)),
+j as (select t.*, s.often from t left join shared s on s.leaf = t.leaf and s.pos = t.pos and s.token = t.token),
+form as (select leaf, line, lo, hi, string_agg(case when often is null then '{FIELD}' else token end, ' ' order by pos) as form, count(often) as fixed, count(*) as n from j group by 1, 2, 3, 4
+  union select leaf, line, lo, hi, string_agg(case when often then token else '{FIELD}' end, ' ' order by pos), count(*) filter (often), count(*) from j group by 1, 2, 3, 4),
 part as (select * from form where fixed < n and fixed >= {FIXED} * n),
 wide as (select leaf, form, min(lo) as keeper from part group by 1, 2 having count(*) >= {VARIANTS} and min(lo) <> max(hi)),
 keep as (select line, min(keeper) as keeper from (select line, lo as keeper from same where lo <> hi union all select line, keeper from part join wide using (leaf, form)) group by 1),

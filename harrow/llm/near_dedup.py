@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from harrow.llm.shared import components, discard, maybe_in, stash
+from harrow.llm.shared import components, discard, flagged, maybe_in, stash
 
 #: Registers; bits of the mantissa; how likely two sets at the threshold may miss each other in all bands.
 BUCKETS, MANTISSA, MISS = 128, 10, 1e-6
@@ -393,7 +393,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id. Rows that repeat its doc_id stay with it; rows without a doc_id stay. The columns are those of docs, whatever their names."""
-    kept = groups(docs, size, percent).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    d = docs.select(F.struct("*").alias("doc"))
-    return d.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc.*")
+    """docs with one document of each group: that of the smallest doc_id. Rows that repeat its doc_id stay with it; rows without a doc_id stay. The columns are those of docs, whatever their names. Only rows that may go are shuffled."""
+    found = groups(docs, size, percent).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    gone = stash(found.where("gone").select(F.col("doc_id").alias("id")), "gone")
+    d = flagged(docs.select(F.struct("*").alias("doc")), F.col("doc.doc_id"), gone, F.col("id"), "may_go")
+    stay = d.where("not may_go").union(d.where("may_go").join(gone, F.col("doc.doc_id") == F.col("id"), "left_anti"))
+    return stay.select("doc.*")

@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-A text is kept if no rule rejects it. Each rule's rejections and cost are estimated on a bounded sample, and rules run in the order of rejection per cost, each only on what the ones before let through. The order changes what a verdict costs, never the verdict.
+A text is kept if no rule rejects it. On a bounded sample each rule's rejections and cost are estimated, and rules run in the order of rejection per cost, each only on what the ones before let through: the next rule is the one that rejects most of what is left for what it costs beside what earlier rules have measured already. The order changes what a verdict costs, never the verdict.
 """
 
 from __future__ import annotations
@@ -92,33 +92,63 @@ def rejected_by(text: str | None, order: list[str]) -> str | None:
     return next((name for name in order if rules[name](t)), None)
 
 
-def profile(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """{rule: (share rejected, seconds a text)}, each rule alone, on a sample of `rows` rows (in expectation). The sample is measured where its rows are read; only a row for each rule and task is shuffled."""
+def profile(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[int, int], dict[str, float], dict[str, bool], float]:
+    """What order_of() needs, from a sample of `rows` rows (in expectation): how many texts each set of rules (as bits) rejects, each rule's seconds a text once its words are there, whether it needs the words, and the seconds of making them.
+
+    The sample is measured where its rows are read; a task hands on a row for each set of rules that it met, so at most 2 ** len(RULES) from each.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {name: [0, 0, 0.0] for name, _ in RULES}
+        met, spent, needs, words = Counter(), [0.0] * len(RULES), 0, 0.0
         for b in batches:
             for text in b.column("text").to_pylist():
-                for name, rule in RULES:
-                    t, s = Text(text), seen[name]
+                which, split = 0, Text(text)
+                began = time.perf_counter()
+                split.words
+                words += time.perf_counter() - began
+                for k, (_, rule) in enumerate(RULES):
+                    t, bare = Text(text), Text(text)
+                    t.words
                     began = time.perf_counter()
-                    s[1] += rule(t)
-                    s[2] += time.perf_counter() - began
-                    s[0] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k for k in seen]), *(pa.array([v[i] for v in seen.values()], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64())))], ["rule", "n", "rejects", "seconds"])
+                    which |= rule(t) << k
+                    spent[k] += time.perf_counter() - began
+                    if not needs >> k & 1:
+                        rule(bare)
+                        needs |= ("words" in bare.__dict__) << k
+                met[which] += 1
+        out = [(w, n, None, None) for w, n in met.items()] + [(None, None, k, s) for k, s in enumerate([*spent, words])] + [(None, needs, -1, 0.0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["which", "n", "rule", "seconds"])
 
     share = min(1.0, rows / max(1, docs.count()))
-    made = docs.select("text").sample(share, seed=1).mapInArrow(run, "rule string, n long, rejects long, seconds double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejects").alias("rejects"), F.sum("seconds").alias("seconds"))
-    return {r["rule"]: (r["rejects"] / max(1, r["n"]), r["seconds"] / max(1, r["n"])) for r in made.collect()}
+    made = docs.select("text").sample(share, seed=1).mapInArrow(run, "which long, n long, rule long, seconds double")
+    made = made.groupBy("which", "rule").agg(F.when(F.col("rule") == -1, F.bit_or("n")).otherwise(F.sum("n")).alias("n"), F.sum("seconds").alias("seconds")).collect()
+    sample = {r["which"]: r["n"] for r in made if r["which"] is not None}
+    total = max(1, sum(sample.values()))
+    spent = {r["rule"]: r["seconds"] / total for r in made if r["rule"] is not None}
+    needs = next((r["n"] for r in made if r["rule"] == -1), 0) or 0
+    return sample, {name: spent.get(k, 0.0) for k, (name, _) in enumerate(RULES)}, {name: bool(needs >> k & 1) for k, (name, _) in enumerate(RULES)}, spent.get(len(RULES), 0.0)
+
+
+def order_of(sample: dict[int, int], cost: dict[str, float], needs: dict[str, bool], words: float) -> list[str]:
+    """The rules by what they reject, of what those before let through, for what they cost; the words are paid for once. Ties, and rules that the sample does not show, stay in the order of RULES."""
+    left, out, split = dict(sample), [], False
+    names = [n for n, _ in RULES]
+    while len(out) < len(names):
 
+        def worth(name: str) -> float:
+            rejects = sum(n for which, n in left.items() if which >> names.index(name) & 1)
+            return rejects / max(1e-9, cost.get(name, 0.0) + (words if needs.get(name) and not split else 0.0))
 
-def order_of(found: dict[str, tuple[float, float]]) -> list[str]:
-    """Most rejections per cost first; a rule that the sample does not show keeps its place among equals."""
-    return sorted((name for name, _ in RULES), key=lambda n: -(found.get(n, (0, 0))[0] / max(found.get(n, (0, 1e-9))[1], 1e-9)))
+        best = max((n for n in names if n not in out), key=worth)
+        out.append(best)
+        split |= needs.get(best, False)
+        left = {which: n for which, n in left.items() if not which >> names.index(best) & 1}
+    return out
 
 
 def with_verdict(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Every row of docs as (doc, kept, rule): doc is the whole row; rule is the first that rejected it, else null. A null text has no words and is rejected."""
-    order = order or order_of(profile(docs))
+    """Every row of docs as (doc, kept, rule): doc is the whole row, so its columns' names can't clash; rule is the first that rejected it, else null. A null or empty text has no words and is rejected. Texts of any length are judged whole, repeated rows each alike; an empty table gives no rows."""
+    order = order or order_of(*profile(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,8 +166,8 @@ def keep(docs: DataFrame) -> DataFrame:
 
 
 def measures(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, the measures, base_failed and kept. Here every measure is wanted, so the cascade orders only the rules beside it."""
-    order = order or order_of(profile(docs))
+    """One row per row of docs: doc_id, the measures, base_failed, kept and rule. The measures are wanted of every text; of those that the base rules let through, the cascade of the other rules decides, which stops at the first that rejects. Which rule that is hangs on the sample's times; whether one does, does not. Nulls and other cases as in with_verdict()."""
+    order = [n for n in order or order_of(*profile(docs)) if n not in BASE]
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +176,10 @@ def measures(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
             rows: list[tuple] = []
             for x in b.column("text"):
                 t = Text(x.as_py())
-                failed = any(rules[n](t) for n in BASE)
-                why = next((n for n in order if rules[n](t)), None)
-                rows.append((*(getattr(t, f) for f in fields), failed, not failed and why is None, why))
+                why = next((n for n in BASE if rules[n](t)), None)
+                failed = why is not None
+                why = why or next((n for n in order if rules[n](t)), None)
+                rows.append((*(getattr(t, f) for f in fields), failed, why is None, why))
             columns = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *fields, "base_failed", "kept", "rule"])

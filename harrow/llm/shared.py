@@ -78,20 +78,25 @@ def ranked(df: DataFrame, part: list[str], keys: list[Column], n_rows: int, out:
     return d.join(sizes, [*part, "_b"]).withColumn(out, F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
 
 
-def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """Rows of df whose key may be among wanted's keys: never loses one, lets few others through.
+def flagged(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, flag: str) -> DataFrame:
+    """df with a boolean column: whether the key may be among wanted's keys. It is true for all that are and for few others.
 
-    wanted becomes a bitmap of 16 bits a key, of 2**16 to 2**27 bits in all, so what is broadcast has a bound whatever the size of wanted. With more keys than a sixteenth of 2**27 it lets more through; an exact join follows in any case.
+    wanted becomes a bitmap of 16 bits a key, of 2**16 to 2**27 bits in all, so what is broadcast has a bound whatever the size of wanted. With more keys than a sixteenth of 2**27 it is true for more others; an exact join follows in any case.
     """
     bits = min(27, max(16, (16 * wanted.count()).bit_length()))
     size = F.lit(1 << bits)
     slots = wanted.select(F.pmod(F.xxhash64(wanted_key), size).alias("_s"))
     words = slots.groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_s & 63 as int)))").alias("_bits"))
     d = df.withColumn("_s", F.pmod(F.xxhash64(key), size)).withColumn("_w", F.shiftright("_s", 6))
-    d = d.join(F.broadcast(words), "_w").where("(shiftright(_bits, cast(_s & 63 as int)) & 1L) = 1L")
+    d = d.join(F.broadcast(words), "_w", "left").withColumn(flag, F.expr("coalesce((shiftright(_bits, cast(_s & 63 as int)) & 1L) = 1L, false)"))
     return d.drop("_s", "_w", "_bits")
 
 
+def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows of df whose key may be among wanted's keys: never loses one, lets few others through."""
+    return flagged(df, key, wanted, wanted_key, "_in").where("_in").drop("_in")
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of links (a, b), and the smallest node that each reaches."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)

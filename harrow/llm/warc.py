@@ -13,6 +13,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from harrow.llm.shared import delete, shared_dir, stash
+from harrow.llm.shared import delete, discard, shared_dir, stash
 
-#: Payload bytes after which a file is closed and the next one opened, and the bytes read at once.
+#: Bytes of records after which a file is closed and the next one opened, and the bytes read at once.
 FILE_BYTES, READ_BYTES = 64 << 20, 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -31,6 +32,15 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def id_text(page: object) -> str:
+    """A page id as it stands in a header: %-escaped after a dot, so no text is taken for a missing id; the empty text where there is none."""
+    return "" if page is None else "." + quote(str(page), safe="")
+
+
+def id_of(text: str) -> str | None:
+    return unquote(text[1:]) if text else None
+
+
 def record(page: str, url: str | None, payload: bytes, digest: str, refers_to: str | None = None) -> bytes:
     """A response record with its HTTP head and payload, or a revisit record with the head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -44,14 +54,14 @@ def record(page: str, url: str | None, payload: bytes, digest: str, refers_to: s
 
 
 def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of a gzip file of one or many members."""
+    """The content of a gzip file of one or many members, at most READ_BYTES at once."""
     z = zlib.decompressobj(31)
     for chunk in chunks:
         while chunk:
-            yield z.decompress(chunk)
-            chunk = z.unused_data
+            yield z.decompress(chunk, READ_BYTES)
+            chunk = z.unconsumed_tail
             if z.eof:
-                z = zlib.decompressobj(31)
+                chunk, z = z.unused_data, zlib.decompressobj(31)
 
 
 def records(content: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -111,9 +121,9 @@ def write(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
                         out, z = at.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(level, zlib.DEFLATED, 31)
                     payload = (html or "").encode()
                     digest = base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
-                    out.write(z.compress(record(str(page), url, payload, digest)))
+                    out.write(z.compress(data := record(id_text(page), url, payload, digest)))
                     rows.append((name, nth, len(payload), digest, hashlib.sha256(payload).hexdigest()))
-                    nth, size = nth + 1, size + len(payload)
+                    nth, size = nth + 1, size + len(data)
                     if size >= FILE_BYTES:
                         out.write(z.flush())
                         out.close()
@@ -136,7 +146,7 @@ def normalise(files: DataFrame, source: str, target: str, level: int = 1) -> Dat
         to.create_dir(out_root, recursive=True)
         for b in batches:
             for file, revisits in zip(b.column("file").to_pylist(), b.column("revisits").to_pylist()):
-                turned = {r["nth"]: r["refers_to"] for r in revisits or []}
+                turned = {r["nth"]: id_text(r["refers_to"]) for r in revisits or []}
                 name, index, offset = f"{uuid.uuid4().hex}.warc.gz", [], 0
                 with to.open_output_stream(f"{out_root}/{name}", compression=None) as out:
                     for nth, (headers, block) in enumerate(records(inflated(_chunks(at, f"{root}/{file}")))):
@@ -178,7 +188,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                         if kind == "response" and (size, digest) != (len(payload), base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()):
                             raise ValueError(f"{file} at {offset}: the payload does not match its header")
                         refers = headers.get("WARC-Refers-To")
-                        rows.append((page, kind, refers and refers[len("<urn:page:") : -1], size, digest, payload if kind == "response" else None, file, offset))
+                        rows.append((id_of(page), kind, id_of(refers[len("<urn:page:") : -1]) if refers else None, size, digest, payload if kind == "response" else None, file, offset))
                         if len(rows) == 256:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                             rows = []
@@ -204,16 +214,24 @@ def archive(pages: DataFrame, folder: str | None = None, revisit_from: int = 0)
     copies = manifest.join(first, ["same", "payload_bytes"]).where((F.col("file") != F.col("first.file")) | (F.col("nth") != F.col("first.nth")))
     revisits = copies.groupBy("file").agg(F.collect_list(F.struct("nth", F.col("first.page_id").cast("string").alias("refers_to"))).alias("revisits"))
     files = manifest.select("file").distinct().join(revisits, "file", "left")
-    made = stash(normalise(files.repartition(F.col("file")), raw, done), "normalised")
+    files = stash(files, "files")
+    made = stash(normalise(spread(files, files.count()), raw, done), "normalised")
     delete(spark, raw)
+    discard(manifest, first, files)
     return made, done
 
 
+def spread(files: DataFrame, n: int) -> DataFrame:
+    """Files dealt over tasks, about one to each. A row is a whole archive, so the number of tasks is given: by size a few names would be one task."""
+    return files.repartition(max(1, min(n, 10_000)), "file")
+
+
 def round_trip(pages: DataFrame, folder: str | None = None, revisit_from: int = 0) -> DataFrame:
+    """The rows of pages as the archives give them back: page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset. Payloads of any length are taken whole; nulls, ties and repeated rows as in archive(); an empty table gives no rows."""
     kind = pages.schema["page_id"].dataType
     files, at = archive(pages, folder, revisit_from)
-    r = read(files.repartition(F.col("file")), at)
-    as_id = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind)
+    r = read(spread(files, files.count()), at)
+    as_id = lambda c: F.col(c).cast(kind)
     return r.select(as_id("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"), "file", "offset")
 
 

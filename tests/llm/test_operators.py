@@ -28,6 +28,8 @@ def test_licences(spark, docs, none):
     assert got[15] == (None, 1, "MIT") and got[0] == (None, 0, "") and got[3] == (None, 0, "")
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
     mit = licenses.KNOWN[0][1]
+    form = spark.createDataFrame([("licence licence Organisation per\ncent per cent",)], "t string").select(licenses.whole(F.transform(F.split("t", "\n"), licenses.canonical)).alias("w"), licenses.canonical(F.col("t")).alias("c")).first()
+    assert form.w == form.c == "license license organization percent percent"
     odd = "Copyright (c) 2019 A\n(C) 2020 B\n\n" + mit.upper().replace("SUBLICENSE", "sublicence").replace(",", " ;").replace("\n", "\n\n  ")
     d = spark.createDataFrame([(1, odd), (2, mit + " more"), (3, "Copyright 2001 Z")], "doc_id long, text string")
     assert {r.doc_id: r.text_license for r in licenses.scan(d).collect()} == {1: "MIT", 2: None, 3: None}
@@ -37,10 +39,14 @@ def test_licences(spark, docs, none):
 
 
 def brute_lines(rows):
-    """Lines with their digits masked that more than one document holds are kept in the first alone; wide templates are planted apart."""
+    """Lines that more than one document holds, digits masked in those of few tokens with digits, are kept in the first alone; wide templates are planted apart."""
     import re
 
-    masked = lambda s: tuple(re.sub("[0-9]+", "0", s).split())
+    def masked(s):
+        tokens = s.split()
+        few = 5 * sum(any(c in "0123456789" for c in t) for t in tokens) <= len(tokens)
+        return tuple(re.sub("[0-9]+", "0", s).split() if few else tokens)
+
     first = {}
     for i, t in sorted(((i is None, i), t) for i, t in rows if t):
         for line in t.split("\n"):
@@ -73,6 +79,18 @@ def test_few_variants_stay(spark):
     assert line_templates.drop_lines(d).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_fields_of_many_values(spark):
+    """Two fields of 30 values each: every value stands in 30 lines, and is a field all the same."""
+    rows = [(k, f"order placed by customer n{chr(97 + k // 900)}{'abcdefghijklmnopqrstuvwxyzABCD'[k // 30 % 30]} for item i{'abcdefghijklmnopqrstuvwxyzABCD'[k % 30]} at the main store today") for k in range(900)]
+    d = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc.doc_id: r.n_dropped for r in d.collect()} == {k: int(k > 0) for k in range(900)}
+
+
+def test_lines_of_numbers_stay(spark):
+    d = spark.createDataFrame([(1, "1 2 3\n2.\npage 4"), (2, "4 5 6\n7.\npage 5"), (3, "1 2 3")], "doc_id long, text string")
+    assert {r.doc.doc_id: (r.n_dropped, r.kept_text) for r in line_templates.drop_lines(d).collect()} == {1: (0, "1 2 3\n2.\npage 4"), 2: (0, "4 5 6\n7.\npage 5"), 3: (1, "")}
+
+
 # 3
 
 
@@ -299,7 +317,21 @@ def test_measures(docs, none, clashing):
 
 
 def test_rule_order():
-    assert quality.order_of({"symbols": (0.5, 1.0), "capitals": (0.5, 0.1), "few_words": (0.0, 1e-9)})[:2] == ["capitals", "symbols"]
+    names = [n for n, _ in quality.RULES]
+    cost = {n: 1.0 for n in names} | {"capitals": 0.1}
+    shared = {n: False for n in names}
+    # symbols and capitals reject the same five rows, few_words another one
+    sample = {sum(1 << names.index(n) for n in ("symbols", "capitals")): 5, 1 << names.index("few_words"): 1, 0: 10}
+    assert quality.order_of(sample, cost, shared, 3.0)[:2] == ["capitals", "few_words"]
+
+
+def test_cascade_stops(spark, monkeypatch):
+    """A rule is not asked about a text that another has rejected."""
+    def never(t):
+        raise AssertionError
+
+    monkeypatch.setattr(quality, "RULES", [("few_words", lambda t: t.n_words < 10), ("never", never)])
+    assert quality.rejected_by("one two", ["few_words", "never"]) == "few_words"
 
 
 # 9
@@ -323,6 +355,22 @@ def test_round_trip(spark, tmp_path):
     assert kept == {"response": len(rows)}
 
 
+def test_odd_page_ids(spark, tmp_path):
+    """Ids as text: the word None, line breaks, and copies that have no id at all."""
+    rows = [("None", "u", "a"), ("b\r\nc", "u", "a"), (None, "u", "n"), (None, "u", "n"), ("%", "u", "p"), ("", "u", "p")]
+    d = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(d, f"file://{tmp_path}/w").collect())
+    assert got == {("None", "response", None): 1, ("b\r\nc", "revisit", "None"): 1, (None, "response", None): 1, (None, "revisit", None): 1, ("", "response", None): 1, ("%", "revisit", ""): 1}
+
+
+def test_many_archives(spark, tmp_path, monkeypatch):
+    """Archives are rewritten and read by several tasks."""
+    d = spark.range(64).selectExpr("id as page_id", "'u' as url", "repeat('x', cast(id as int)) as html").repartition(8)
+    files, at = warc.archive(d, f"file://{tmp_path}/w")
+    assert files.count() == 8 and len(warc.spread(files, 8).select(F.spark_partition_id()).distinct().collect()) > 1
+    assert list(warc.inflated(iter([__import__("gzip").compress(b"y" * 5_000_000)])))[0].__len__() <= warc.READ_BYTES
+
+
 def test_payloads_and_members(spark, tmp_path):
     rows = [(k, f"http://h/{k}", f"<html>{k % 7}</html>") for k in range(50)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
