@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from harrow.llm.shared import stash
 
 #: Remembered words of a worker, twice: when as many are new, those of before that were not met again are forgotten. Longer words than KEPT bytes are not remembered, so this bounds the bytes too.
-MEMORY, KEPT = 400_000, 64
+MEMORY, KEPT = 600_000, 64
 #: Characters of text encoded at once; a longer text is cut at white space.
 CHUNK = 1 << 21
 #: The marks that an ASCII letter can be composed with.
@@ -81,60 +81,55 @@ class Words:
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
-    def _plain(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """The ids of words of letters alone: the tokenizer takes each as one, so one text of many is parted again where its words end."""
-        ids = np.array(self.tok.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [to_bytes(f"<{len(e.ids)}I", *e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone: the tokenizer takes each as one, so one text of many is parted again where its words end. If their number is another (a letter may become two signs), each is encoded by itself."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         end = np.flatnonzero(self.ends[ids]) + 1
         if len(end) != len(words):
-            raise ValueError("this tokenizer does not end words with </w>")
-        flat, at = ids.tobytes(), 0
-        for w, e in zip(words, (4 * end).tolist()):
-            yield w, flat[at:e]
-            at = e
+            return self._each(words)
+        flat, at = ids.tobytes(), [0, *(4 * end).tolist()]
+        return [flat[x:y] for x, y in zip(at[:-1], at[1:])]
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of different words."""
         found = list(map(self.now.get, words))
-        missing = [k for k, x in enumerate(found) if x is None]
-        if not missing:
+        if None not in found:
             return found
+        missing = [k for k, x in enumerate(found) if x is None]
         if len(self.now) + len(missing) > MEMORY and self.now:
             self.before, self.now = self.now, {}
-        now, before, own = self.now, self.before, {}
-        new = []
-        for k in missing:
-            w = words[k]
-            if (x := before.get(w)) is None:
-                new.append(w)
-            else:
-                own[w] = x
-        plain = [w for w in new if w.isalpha()]  # of bytes: ASCII letters
-        for at in range(0, len(plain), 5_000):
-            own.update(self._plain(plain[at : at + 5_000]))
-        odd = [w for w in new if not w.isalpha()]
-        for at in range(0, len(odd), 5_000):
-            some = odd[at : at + 5_000]
-            for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                own[w] = to_bytes(f"<{len(e.ids)}I", *e.ids)
+        now, before = self.now, self.before
+        new = [w for k in missing if (w := words[k]) not in before]
+        own: dict[bytes, bytes] = {}
+        if new:
+            text = [w.decode() for w in new]
+            letters = [k for k, t in enumerate(text) if t.isalpha()]
+            odd = [k for k, t in enumerate(text) if not t.isalpha()]
+            for which, how in ((letters, self._plain), (odd, self._each)):
+                for at in range(0, len(which), 2_000):
+                    some = which[at : at + 2_000]
+                    own.update(zip([new[k] for k in some], how([text[k] for k in some])))
         for k in missing:
             w = words[k]
-            found[k] = own[w]
+            x = own.get(w)
+            found[k] = x = before[w] if x is None else x
             if len(w) <= KEPT:
-                now[w] = own[w]
+                now[w] = x
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Texts are cut into parts and these numbered without Python objects; only different parts become such."""
         parts, bounds = parts_of(texts)
         coded = pc.dictionary_encode(parts)
-        found = self.ids(coded.dictionary.to_pylist())
-        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
-        which = coded.indices.to_numpy()
-        n, start = n[which], start[which]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(start - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-        at = np.concatenate([[0], end])[bounds].tolist()
+        found = self.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        offsets = np.zeros(len(found) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, found), np.int32, len(found)) >> 2, out=offsets[1:])
+        each = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        taken = each.take(coded.indices)
+        ids, at = taken.values.to_numpy(), taken.offsets.to_numpy()[bounds].tolist()
         return [ids[x:y] for x, y in zip(at[:-1], at[1:])]
 
 
