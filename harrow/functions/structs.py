@@ -39,11 +39,18 @@ def answer_key(output: Column, call_number: Column) -> Column:
 
 
 def env_pairs(items: Column) -> Column:
-    """K=V, parted at the first =; the last value of a key counts."""
+    """K=V, parted at the first =, as structs in their order."""
     pair = lambda s: F.struct(F.substring_index(s, "=", 1).alias("key"), F.when(F.contains(s, F.lit("=")), F.substring(s, F.instr(s, "=") + 1, F.length(s))).otherwise(F.lit("")).alias("value"))
     return F.transform(items, pair)
 
 
+def env_map(items: Column) -> Column:
+    """K=V items as a map; the last value of a key counts."""
+    pairs = env_pairs(items)
+    later = lambda p, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~later(p, i)))
+
+
 def last_wins(*maps: Column) -> Column:
     """The maps' entries, a later map's over an earlier one's."""
     def over(a: Column, b: Column) -> Column:
@@ -92,7 +99,7 @@ def bind(x: Column) -> Column:
 
 def mount(x: Column) -> Column:
     """'k=v,k=v' with synonyms; the type must be absent or bind."""
-    m = F.str_to_map(x, F.lit(","), F.lit("="))
+    m = env_map(F.split(x, ","))
     any_of = lambda *ks: F.coalesce(*[filled(F.try_element_at(m, F.lit(k))) for k in ks])
     source, target, kind = any_of("source", "src"), any_of("target", "destination", "dst"), any_of("type")
     return F.when(source.isNotNull() & target.isNotNull() & (F.coalesce(kind, F.lit("bind")) == "bind"), F.struct(source.alias("source"), target.alias("target")))

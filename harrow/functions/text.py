@@ -172,8 +172,9 @@ def chunk_text(rank: Column, *parts: Column) -> Column:
 
 def word_hits(line: Column, word: Column) -> Column:
     """whether a whole word occurs, as it is or lower-cased."""
-    quoted = lambda w: F.concat(F.lit(r"\b\Q"), w, F.lit(r"\E\b"))
-    return F.regexp_like(line, quoted(word)) | F.regexp_like(line, quoted(F.lower(word)))
+    # a pattern made of a column is compiled for each row, so it is only where the word stands at all
+    hit = lambda w: F.contains(line, w) & F.regexp_like(line, F.concat(F.lit(r"\b\Q"), w, F.lit(r"\E\b")))
+    return hit(word) | hit(F.lower(word))
 
 
 def redacted(headers: Column) -> Column:
@@ -181,8 +182,20 @@ def redacted(headers: Column) -> Column:
     return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin("authorization", "x-api-key", "proxy-authorization", "cookie"), "[REDACTED]").otherwise(v))
 
 
+def leaked_prefix(x: Column, prefixes: Column) -> Column:
+    """The first of the prefixes that stands anywhere in a text; null if none does. An empty prefix is none."""
+    return F.get(F.filter(prefixes, lambda p: (p != "") & F.contains(x, p)), 0)
+
+
+def without_prefixes(x: Column, prefixes: Column, label: str) -> Column:
+    """The text; one that holds a forbidden prefix is an error when it is read."""
+    found = leaked_prefix(x, prefixes)
+    return F.when(found.isNotNull(), F.raise_error(F.concat(F.lit(f"forbidden path prefix in {label}: "), found))).otherwise(x)
+
+
 def line_slice(x: Column, start: Column, end: Column) -> Column:
-    """lines start to end, from 1, both included."""
+    """lines start to end, from 1, both included; a start below 1 is 1."""
+    start = F.greatest(F.lit(1), start)
     return F.array_join(F.slice(F.split(x, "\n"), start, F.greatest(F.lit(0), end - start + 1)), "\n")
 
 

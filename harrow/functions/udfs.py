@@ -21,35 +21,30 @@ NO_USAGE = ("limit", "max", "window", "budget", "remaining", "left")
 TOTALS = ("total_tokens", "totaltokens", "tokens_total")
 
 
+def own_usage(v: dict) -> int:
+    """The tokens that an object states itself: the larger of its greatest total and the sum of its other token counts."""
+    counts = {k.lower(): int(n) for k, n in v.items() if isinstance(n, (int, float)) and not isinstance(n, bool)}
+    named = {k: n for k, n in counts.items() if "token" in k and not any(w in k for w in NO_USAGE)}
+    is_total = lambda k: any(w in k for w in TOTALS)
+    return max(max((n for k, n in named.items() if is_total(k)), default=0), sum(n for k, n in named.items() if not is_total(k)))
+
+
 def usage(x: object) -> int:
-    """A2: tokens of a JSON value: in each object the larger of its total and the sum of its other token counts, and what lies below. JSON inside a text field counts if the text names tokens."""
-    total, stack = 0, [x]
-    while stack:
-        v = stack.pop()
-        if isinstance(v, dict):
-            whole = parts = 0
-            for key, n in v.items():
-                k = str(key).lower()
-                if isinstance(n, (int, float)) and not isinstance(n, bool) and "token" in k and not any(w in k for w in NO_USAGE):
-                    if any(w in k for w in TOTALS):
-                        whole = max(whole, int(n))
-                    else:
-                        parts += int(n)
-                elif isinstance(n, str):
-                    if "token" in n.lower() and (inner := _json(n)) is not None:
-                        stack.append(inner)
-                else:
-                    stack.append(n)
-            total += max(whole, parts)
-        elif isinstance(v, list):
-            stack += v
+    """A2: tokens of a JSON value: what each object in it states itself, at any depth. JSON inside a text field of an object counts if the text names tokens."""
+    total, level = 0, [x]
+    while level:
+        objects = [v for v in level if isinstance(v, dict)]
+        total += sum(map(own_usage, objects))
+        fields = [v for o in objects for v in o.values()]
+        level = [v for v in fields if isinstance(v, (dict, list))] + [y for v in level if isinstance(v, list) for y in v]
+        level += [_json(v) for v in fields if isinstance(v, str) and "token" in v.lower()]
     return total
 
 
 def _json(text: str | None) -> object:
     try:
         return json.loads(text) if text else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -261,6 +256,7 @@ def token_counts(path: str):
 
 def register(spark: SparkSession) -> None:
     """Makes the functions callable from SQL by their names."""
+    spark.udf.register("decoded_raw", decoded(RAW_ENCODINGS))
     for f in (usage_tokens, sequence_ratio, canonical_sha256, blank_comments, function_body, c_definitions, c_calls, prefixed_tests):
         spark.udf.register(f.__name__, f)
     spark.udf.register("decoded", decoded())

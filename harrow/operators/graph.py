@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.sources.scratch import cut
 
+#: Levels at which a recursion fails aloud; walks without repeated nodes end by themselves.
+LEVELS = 100_000
 
-def expand(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """The call tree of each root as rows (root, path, node, depth, is_leaf). A node that its own path holds already is a leaf. Rows end at max_depth; there, a row that is no leaf says that its tree goes on."""
-    spark = edges.sparkSession
+
+def _session(d: DataFrame) -> SparkSession:
+    """The session, its bound on the rows of a recursion lifted: a tree may have as many as there are."""
+    d.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return d.sparkSession
+
+
+def expand(edges: DataFrame, roots: DataFrame, max_depth: int = LEVELS) -> DataFrame:
+    """The call tree of each root as rows (root, path, node, depth, is_leaf). A node that its own path holds already is a leaf, so trees end by themselves. With a max_depth, rows end there, and a row there that is no leaf says that its tree goes on."""
+    spark = _session(edges)
     return spark.sql(
-        """WITH RECURSIVE tree (root, path, node, depth, is_leaf) MAX RECURSION LEVEL 1000 AS (
+        """WITH RECURSIVE tree (root, path, node, depth, is_leaf) MAX RECURSION LEVEL 100000 AS (
              SELECT root, array(root), root, 0, false FROM {roots}
              UNION ALL
              SELECT t.root, array_append(t.path, e.dst), e.dst, t.depth + 1, array_contains(t.path, e.dst)
@@ -23,10 +32,10 @@ def expand(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     )
 
 
-def paths_to(edges: DataFrame, roots: DataFrame, target: object, max_depth: int) -> DataFrame:
-    """Simple paths from each root to the target, each ending at its first hit; the search is pruned there, not afterwards."""
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE walk (root, path, node, depth) MAX RECURSION LEVEL 1000 AS (
+def paths_to(edges: DataFrame, roots: DataFrame, target: object, max_depth: int = LEVELS) -> DataFrame:
+    """All simple paths from each root to the target, each ending at its first hit; the search is pruned there, not afterwards. With a max_depth, those of at most so many calls."""
+    return _session(edges).sql(
+        """WITH RECURSIVE walk (root, path, node, depth) MAX RECURSION LEVEL 100000 AS (
              SELECT root, array(root), root, 0 FROM {roots}
              UNION ALL
              SELECT w.root, array_append(w.path, e.dst), e.dst, w.depth + 1
@@ -65,17 +74,17 @@ def entry_points(nodes: DataFrame) -> DataFrame:
     return nodes.where("name = 'main'")
 
 
-def expand_macros(macros: DataFrame, max_depth: int = 32) -> DataFrame:
+def expand_macros(macros: DataFrame) -> DataFrame:
     """Where a macro's chain of expansions ends; a chain that comes back to itself ends before it does."""
-    return macros.sparkSession.sql(
-        """WITH RECURSIVE chain (name, at, path, depth) AS (
+    return _session(macros).sql(
+        """WITH RECURSIVE chain (name, at, path, depth) MAX RECURSION LEVEL 100000 AS (
              SELECT name, value, array(name), 1 FROM {macros}
              UNION ALL
              SELECT c.name, m.value, array_append(c.path, c.at), c.depth + 1
              FROM chain c JOIN {macros} m ON m.name = c.at
-             WHERE NOT array_contains(c.path, c.at) AND c.depth < {limit})
+             WHERE NOT array_contains(c.path, c.at))
            SELECT name, max_by(at, depth) AS target, max(depth) AS depth FROM chain GROUP BY name""",
-        macros=macros.select("name", "value"), limit=max_depth,
+        macros=macros.select("name", "value"),
     )
 
 
@@ -119,16 +128,19 @@ def bundle(edges: DataFrame, fan: int = 6, shown: int = 30) -> DataFrame:
     """Per (src, dst) the number of edges; beyond `fan` also their sum, bounds, first labels in order and width."""
     n, w = F.count("*"), F.col("weight").try_cast("long")
     many = F.col("n") > fan
-    d = edges.groupBy("src", "dst").agg(n.alias("n"), F.sum(w).alias("_s"), F.min(w).alias("_lo"), F.max(w).alias("_hi"), F.max("level").alias("level"), F.array_sort(F.collect_list(F.col("weight").cast("string"))).alias("_l"))
+    d = edges.groupBy("src", "dst").agg(n.alias("n"), F.sum(w).alias("_s"), F.min(w).alias("_lo"), F.max(w).alias("_hi"), F.max("level").alias("level"))
+    # the first labels by counts of equal ones, so that no group's labels are gathered
+    ranked = edges.where("weight is not null").groupBy("src", "dst", F.col("weight").cast("string").alias("_w")).agg(F.count("*").alias("_c"))
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("src", "dst").orderBy("_w"))).where(F.col("_r") <= shown)
+    labels = ranked.groupBy("src", "dst").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_c"))), lambda x: F.array_repeat(x["_w"], F.least(x["_c"], F.lit(shown)).cast("int")))), 1, shown).alias("_l"))
+    d = d.join(labels, ["src", "dst"], "left")
     only = lambda c, alias: F.when(many, c).alias(alias)
     width = F.least(F.lit(15.0), 1.5 + 2.0 * F.log2("n"))
-    return d.select("src", "dst", "n", "level", only(F.col("_s"), "total"), only(F.col("_lo"), "least"), only(F.col("_hi"), "most"), only(F.array_join(F.slice("_l", 1, shown), ", "), "labels"), only(F.round(width.cast("decimal(20,8)"), 4).cast("double"), "width"))
+    return d.select("src", "dst", "n", "level", only(F.col("_s"), "total"), only(F.col("_lo"), "least"), only(F.col("_hi"), "most"), only(F.array_join("_l", ", "), "labels"), only(F.round(width.cast("decimal(20,8)"), 4).cast("double"), "width"))
 
 
 def mermaid(edges: DataFrame, direction: str = "TD") -> DataFrame:
     """Lines (kind, key, line) of a flow chart: nodes by name with running ids, then edges; to be written in order of kind and key. Ids come from a global order of the names, so this is for graphs that are drawn."""
-    from pyspark.sql import Window
-
     names = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     ids = names.withColumn("id", F.concat(F.lit("n"), (F.row_number().over(Window.orderBy("node")) - 1).cast("string")))
     head = edges.sparkSession.createDataFrame([(0, "", f"flowchart {direction}")], "kind int, key string, line string")

@@ -15,8 +15,24 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def fingerprint(*parts: Column) -> Column:
-    """The internal identity of a result: a canonical form that both sides of a join use."""
-    return F.sha2(F.concat_ws("~", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]), 256)
+    """The internal identity of a result: a canonical form that both sides of a join use. As a JSON array, so neither nulls nor signs within parts make two results alike."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+def result_payload() -> Column:
+    """the result as the JSON object that its published fingerprint is made of; the names and their columns are fixed values."""
+    names = {"task_id": "task_id", "setup": "setup", "code": "extracted_code", "raw_response": "raw_response", "required": "required", "called": "called", "missing": "missing", "compile_pass": "compile_pass", "hard_pass": "hard_pass", "input_tokens": "input_tokens", "output_tokens": "output_tokens", "latency_ms": "latency_ms", "rag_queries": "rag_queries"}
+    return F.to_json(F.struct(*[F.col(c).alias(n) for n, c in names.items()]), {"ignoreNullFields": "false"})
+
+
+def judge_payload(result_fingerprint: Column, dev: bool, judge_model: str) -> Column:
+    """what a judgment's fingerprint is made of: the result's, the task and the judge. Fixed names."""
+    return F.to_json(F.struct(result_fingerprint.alias("result"), F.col("question"), F.col("answer"), F.coalesce("task_required", F.array().cast("array<string>")).alias("required"), F.lit(dev).alias("dev"), F.lit(judge_model).alias("judge_model")), {"ignoreNullFields": "false"})
+
+
+def in_order(tasks: DataFrame, setups: DataFrame, results: DataFrame) -> DataFrame:
+    """The results of known tasks and chosen setups, with both positions to be ordered by. Joins on the keys, not a product that is thinned out afterwards."""
+    return results.join(tasks.select("task_id", "task_pos"), "task_id").join(setups.select("setup", "setup_pos"), "setup")
 
 
 def valid_check() -> Column:
@@ -71,8 +87,9 @@ def to_judge(results: DataFrame, judged: DataFrame) -> DataFrame:
 
 def merge_summary(merged: DataFrame, wanted: DataFrame) -> DataFrame:
     """A11."""
-    gone = missing(wanted, merged).groupBy().agg(F.array_sort(F.collect_set("task_id")).alias("missing_task_ids"), F.count("*").alias("missing_pairs"))
-    return merged.groupBy().agg(F.count("*").alias("selected_count")).join(gone, how="cross")
+    lost = missing(wanted, merged).groupBy("task_id").agg(F.count("*").alias("pairs"))
+    gone = lost.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("missing_pairs"), F.count("*").alias("missing_tasks"), F.array_sort(F.collect_list("task_id")).alias("missing_task_ids"))
+    return merged.agg(F.count("*").alias("selected_count")).join(gone, how="cross")
 
 
 def check_summary(checks: DataFrame) -> DataFrame:

@@ -39,11 +39,12 @@ def promoted(episodes: DataFrame, key: str) -> DataFrame:
 
 
 def best_so_far(attempts: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Whether an attempt becomes the backup: covered, and a score at least the best before; a best of 0 counts as -1."""
+    """Whether an attempt becomes the backup: covered, and a score (0 if there is none) at least the best before; a best of 0 counts as -1."""
     w = Window.partitionBy(key).orderBy("attempt_no").rowsBetween(Window.unboundedPreceding, -1)
     ok = F.col("coverage_pct") >= threshold
-    before = F.coalesce(F.nullif(F.max(F.when(ok, F.col("semantic_score"))).over(w), F.lit(0.0)), F.lit(-1.0))
-    return attempts.withColumn("stored", F.coalesce(ok & (F.col("semantic_score") >= before), F.lit(False)))
+    score = F.coalesce("semantic_score", F.lit(0.0))
+    before = F.coalesce(F.nullif(F.max(F.when(ok, score)).over(w), F.lit(0.0)), F.lit(-1.0))
+    return attempts.withColumn("stored", F.coalesce(ok & (score >= before), F.lit(False)))
 
 
 def oldest_prompt(prompts: DataFrame, key: str) -> DataFrame:
@@ -88,6 +89,23 @@ def requested(registry: DataFrame, ids: list[str]) -> DataFrame:
     return d.withColumn("id", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("unknown setup "), "id"))).otherwise(F.col("id"))).select("pos", "id", "n")
 
 
+def selected_units(frontiers: DataFrame) -> DataFrame:
+    """Selected rows (folder, selected as VARIANT) as the results of their functions. Ids and the flag fall back to the nested result where they are falsy; coverage and score only where the key is absent, so a null that is there stays."""
+    at = lambda path, kind: F.try_variant_get("selected", path, kind)
+    text = lambda k: F.coalesce(F.nullif(at(f"$.{k}", "string"), F.lit("")), F.nullif(at(f"$.result.{k}", "string"), F.lit("")), F.col("folder"))
+    number = lambda k: F.when(at(f"$.{k}", "variant").isNotNull(), at(f"$.{k}", "double")).otherwise(at(f"$.result.{k}", "double"))
+    flag = F.coalesce(at("$.passed", "boolean"), F.lit(False)) | F.coalesce(at("$.result.passed", "boolean"), F.lit(False))
+    return frontiers.select(text("function_key").alias("function_key"), text("func_id").alias("func_id"), flag.alias("passed"), number("coverage_pct").alias("coverage_pct"), number("semantic_score").alias("semantic_score"), at("$.result.verdict", "string").alias("verdict"))
+
+
+def known_dependents(functions: DataFrame) -> DataFrame:
+    """Functions (name, dependents) with the dependents that are functions themselves, in their order, and whether the first is another one. Names are joined, since the set of all functions may be large."""
+    d = functions.select("name", F.posexplode("dependents").alias("pos", "dep")).join(functions.select(F.col("name").alias("dep")).distinct(), "dep", "left_semi")
+    kept = d.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dep"))), lambda x: x["dep"]).alias("known"))
+    out = functions.select("name").join(kept, "name", "left").select("name", F.coalesce("known", F.array().cast("array<string>")).alias("known"))
+    return out.withColumn("check_others", F.get("known", 0) != F.col("name"))
+
+
 def turn_numbers(events: DataFrame, session: str, order: str, starts: Column) -> DataFrame:
     """The turn counter of a session: it grows with each event that starts a turn."""
     w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

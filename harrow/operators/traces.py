@@ -64,8 +64,8 @@ def terminal(status: Column) -> Column:
 
 
 def terminal_event(session: Column, wanted: Column, kind: Column, status: Column) -> Column:
-    """An event whose type or status ends its session, unless it names another session."""
-    return F.coalesce(session == wanted, F.lit(True)) & (F.coalesce(kind.isin(TERMINAL_EVENTS), F.lit(False)) | terminal(status))
+    """An event whose type or status ends its session, unless it names another session; an empty name is none."""
+    return F.coalesce(F.nullif(session.cast("string"), F.lit("")) == wanted.cast("string"), F.lit(True)) & (F.coalesce(kind.isin(TERMINAL_EVENTS), F.lit(False)) | terminal(status))
 
 
 def function_name(x: Column) -> Column:

@@ -22,16 +22,16 @@ def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = G.expand(_edges(spark, sf_dir), _roots(spark, sf_dir), 4)
+    d = G.expand(_edges(spark, sf_dir), _roots(spark, sf_dir))
     return d.select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "node", "depth", "is_leaf")
 
 
 def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.paths_to(_edges(spark, sf_dir), _roots(spark, sf_dir), 24, 6).select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
+    return G.paths_to(_edges(spark, sf_dir), _roots(spark, sf_dir), 24).select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
 
 
 def last_call_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.last_path(G.paths_to(_edges(spark, sf_dir), _roots(spark, sf_dir), 24, 6)).select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.last_path(G.paths_to(_edges(spark, sf_dir), _roots(spark, sf_dir), 24)).select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def _down(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +44,9 @@ def highest_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macros m0..m24, each expanding to another by a rule with cycles."""
-    n = F.col("n_nationkey")
-    m = table(spark, sf_dir, "nation").select(F.concat(F.lit("m"), n.cast("string")).alias("name"), F.when(n % 4 == 0, F.concat(F.lit("f"), n.cast("string"))).otherwise(F.concat(F.lit("m"), ((3 * n + 2) % 25).cast("string"))).alias("value"))
+    """Macros, each expanding to another by rules with cycles, and a chain of 50."""
+    n = F.col("s_suppkey")
+    m = table(spark, sf_dir, "supplier").union(table(spark, sf_dir, "supplier").selectExpr("-s_suppkey", "s_name", "s_nationkey", "s_acctbal")).select(F.concat(F.lit("m"), n.cast("string")).alias("name"), F.when((n < 0) & (n > -50), F.concat(F.lit("m"), (n - 1).cast("string"))).when(n % 4 == 0, F.concat(F.lit("f"), n.cast("string"))).otherwise(F.concat(F.lit("m"), ((3 * n + 2) % 25).cast("string"))).alias("value"))
     return G.expand_macros(m)
 
 
@@ -61,7 +61,7 @@ def mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = G.paths_to(_edges(spark, sf_dir), _roots(spark, sf_dir), 24, 5)
+    p = G.paths_to(_edges(spark, sf_dir), _roots(spark, sf_dir), 24)
     return G.adjacency(p.select(F.col("root").alias("id"), "path"))
 
 
@@ -82,7 +82,7 @@ def callback_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     d = keyed_events(spark, sf_dir).select(F.concat(F.lit("f"), k.cast("string")).alias("name"), F.concat(F.lit("file"), (F.col("user_id") % 10).cast("string"), F.lit(".c")).alias("file_name"), (k % 3 == 0).alias("is_static"), F.col("event_id").alias("start_line"), (F.col("event_id") + 5).alias("end_line"))
-    return d.where("start_line < 600")
+    return d
 
 
 def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def key_or_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     e = keyed_events(spark, sf_dir)
     left = e.select("event_id", F.concat(F.lit("k"), k.cast("string")).alias("function_key"), F.col("user_id").alias("func_id"))
-    res = e.where("event_id % 50 = 0").select(F.when(k % 2 == 0, F.concat(F.lit("k"), k.cast("string"))).alias("function_key"), F.when(k % 3 == 0, F.col("user_id")).alias("func_id"), F.col("value").alias("coverage"))
+    res = e.select(F.when(k % 2 == 0, F.concat(F.lit("k"), k.cast("string"))).alias("function_key"), F.when(k % 3 == 0, F.col("user_id")).alias("func_id"), F.col("value").alias("coverage"))
     return S.key_or_id(left, res).select("event_id", "coverage")
 
 
@@ -171,7 +171,7 @@ def layer_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookups_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("user_id"), F.left("text", F.lit(10)).alias("launch"))
+    r = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("user_id"), F.md5("text").alias("launch"))
     return L.with_default(table(spark, sf_dir, "events").select("event_id", "user_id"), r, "user_id", "launch")
 
 
@@ -196,22 +196,22 @@ QUERIES = {f.__name__: f for f in (call_tree, call_paths, last_call_path, highes
 _EDGES = "edges as (select distinct src, dst from (select n_nationkey as src, unnest([(7 * n_nationkey + 3) % 25, (3 * n_nationkey + 1) % 25]) as dst from nation))"
 
 
-def _walk(limit: int) -> str:
+def _walk() -> str:
     return f"""{_EDGES}, walk(root, path, node, depth) as (select n_nationkey, [n_nationkey], n_nationkey, 0 from nation where n_regionkey = 0 union all
-      select w.root, list_append(w.path, e.dst), e.dst, w.depth + 1 from walk w join edges e on e.src = w.node where w.node <> 24 and not list_contains(w.path, e.dst) and w.depth < {limit})"""
+      select w.root, list_append(w.path, e.dst), e.dst, w.depth + 1 from walk w join edges e on e.src = w.node where w.node <> 24 and not list_contains(w.path, e.dst))"""
 
 
 _UNITS = K_EVENTS + """,
 units as (select user_id as item, printf('ep_%09d', event_id) as episode_id, event_id as attempt_no, k >= 50 as passed, case when k % 7 > 0 then least(100.0, value) end::double as coverage_pct, case when k % 5 > 0 then k end::double as semantic_score, k % 4 = 0 as validated, k % 3 = 0 as ok from k_events)"""
 SQL = {
     "call_tree": f"""with recursive {_EDGES}, tree(root, path, node, depth, is_leaf) as (select n_nationkey, [n_nationkey], n_nationkey, 0, false from nation where n_regionkey = 0 union all
-      select t.root, list_append(t.path, e.dst), e.dst, t.depth + 1, list_contains(t.path, e.dst) from tree t join edges e on e.src = t.node where not t.is_leaf and t.depth < 4) select root, array_to_string(path, '>') as path, node, depth, is_leaf from tree""",
-    "call_paths": f"with recursive {_walk(6)} select root, array_to_string(path, '>') as path, depth from walk where node = 24",
-    "last_call_path": f"with recursive {_walk(6)} select root, array_to_string(max(path), '>') as path from walk where node = 24 group by root",
-    "path_adjacency": f"with recursive {_walk(5)}, hops as (select path, unnest(range(2, len(path) + 1)) as i from walk where node = 24) select distinct path[i - 1] as src, path[i] as dst, i::int as level from hops",
+      select t.root, list_append(t.path, e.dst), e.dst, t.depth + 1, list_contains(t.path, e.dst) from tree t join edges e on e.src = t.node where not t.is_leaf) select root, array_to_string(path, '>') as path, node, depth, is_leaf from tree""",
+    "call_paths": f"with recursive {_walk()} select root, array_to_string(path, '>') as path, depth from walk where node = 24",
+    "last_call_path": f"with recursive {_walk()} select root, array_to_string(max(path), '>') as path from walk where node = 24 group by root",
+    "path_adjacency": f"with recursive {_walk()}, hops as (select path, unnest(range(2, len(path) + 1)) as i from walk where node = 24) select distinct path[i - 1] as src, path[i] as dst, i::int as level from hops",
     "highest_parents": f"with recursive {_EDGES}, down as (select * from edges where dst > src), r(node) as (select src from down where dst = 24 union select d.src from down d join r on d.dst = r.node) select distinct node from r where node not in (select dst from down)",
-    "macro_targets": """with recursive m as (select 'm' || n_nationkey as name, case when n_nationkey % 4 = 0 then 'f' || n_nationkey else 'm' || ((3 * n_nationkey + 2) % 25) end as value from nation),
-      c(name, hop, path, depth) as (select name, value, [name], 1 from m union all select c.name, m.value, list_append(c.path, c.hop), c.depth + 1 from c join m on m.name = c.hop where not list_contains(c.path, c.hop) and c.depth < 32)
+    "macro_targets": """with recursive s as (select s_suppkey as n from supplier union all select -s_suppkey from supplier), m as (select 'm' || n as name, case when n < 0 and n > -50 then 'm' || (n - 1) when n % 4 = 0 then 'f' || n else 'm' || ((3 * n + 2) % 25) end as value from s),
+      c(name, hop, path, depth) as (select name, value, [name], 1 from m union all select c.name, m.value, list_append(c.path, c.hop), c.depth + 1 from c join m on m.name = c.hop where not list_contains(c.path, c.hop))
       select name, arg_max(hop, depth) as target, max(depth) as depth from c group by name""",
     "edge_bundles": f"""with {K_EVENTS}, e as (select event_type as src, (user_id % 20)::varchar as dst, k as weight, k % 5 as level from k_events),
       g as (select src, dst, count(*) as n, max(level) as level, sum(weight)::bigint as s, min(weight)::bigint as lo, max(weight)::bigint as hi, list_sort(list(weight::varchar)) as l from e group by 1, 2)
@@ -222,14 +222,14 @@ SQL = {
     "launch_types": f"""with {K_EVENTS} select event_id as id, case when k % 3 = 0 then case when k % 4 = 0 then 'TIMER' else 'NO DATA' end when k % 5 = 0 then case k % 4 when 0 then 'SIGNAL' when 1 then 'THREAD' else 'NO DATA' end else 'FORK' end as launch_via,
       case when k % 3 = 0 then 'n1_' || (k % 4) when k % 5 = 0 then 'n2_' || (k % 4) else 'main' end as call_function from k_events""",
     "callback_edges": f"with {K_EVENTS} select user_id as src, k as dst, event_id as line_number, unnest(case k % 3 when 0 then ['a'] when 1 then ['a', 'b'] else [null] end::varchar[]) as callback from k_events",
-    "resolved_calls": f"""with {K_EVENTS}, defs as (select 'f' || k as name, 'file' || (user_id % 10) || '.c' as file_name, k % 3 = 0 as is_static from k_events where event_id < 600)
+    "resolved_calls": f"""with {K_EVENTS}, defs as (select 'f' || k as name, 'file' || (user_id % 10) || '.c' as file_name, k % 3 = 0 as is_static from k_events)
       select event_id, case when s.name is not null then '[' || e.file || ']' || e.callee else e.callee end as target, s.name is null and g.name is null as is_external
       from (select event_id, 'file' || (event_id % 10) || '.c' as file, 'f' || k as callee from k_events) e left join (select distinct name, file_name from defs where is_static) s on s.name = e.callee and s.file_name = e.file left join (select distinct name from defs where not is_static) g on g.name = e.callee""",
-    "definition_counts": f"with {K_EVENTS} select count(*) filter (k % 3 <> 0) as n_global, count(*) filter (k % 3 = 0) as n_static from k_events where event_id < 600",
+    "definition_counts": f"with {K_EVENTS} select count(*) filter (k % 3 <> 0) as n_global, count(*) filter (k % 3 = 0) as n_static from k_events",
     "unit_selection": f"with {_UNITS} select item, episode_id, passed, coverage_pct, semantic_score from units qualify row_number() over (partition by item order by passed desc, coalesce(coverage_pct, -1) desc, coalesce(semantic_score, -1) desc, episode_id desc) = 1",
     "stub_selection": f"with {_UNITS}, v as (select item, min(episode_id) as stub from units where validated group by 1), p as (select item, min(episode_id) as promoted from units where ok group by 1) select coalesce(v.item, p.item) as item, stub, promoted from v full join p on v.item = p.item",
-    "backup_attempts": f"""with {_UNITS}, b as (select *, max(case when coverage_pct >= 40 then semantic_score end) over (partition by item order by attempt_no rows between unbounded preceding and 1 preceding) as best from units)
-      select item, attempt_no, coalesce(coverage_pct >= 40 and semantic_score >= coalesce(nullif(best, 0), -1), false) as stored from b""",
+    "backup_attempts": f"""with {_UNITS}, b as (select *, max(case when coverage_pct >= 40 then coalesce(semantic_score, 0) end) over (partition by item order by attempt_no rows between unbounded preceding and 1 preceding) as best from units)
+      select item, attempt_no, coalesce(coverage_pct >= 40 and coalesce(semantic_score, 0) >= coalesce(nullif(best, 0), -1), false) as stored from b""",
     "oldest_prompts": f"with {K_EVENTS} select user_id as item, printf('p_%09d', event_id) as path from k_events qualify row_number() over (partition by user_id order by event_type = 'error', k % 10, event_id) = 1",
     "leaf_first_targets": "select s_name as id, d as depth_no, s_suppkey as pos from (select *, case when s_suppkey % 5 = 0 then 0 else s_suppkey % 7 end::int as d from supplier) order by d desc, s_suppkey limit 20",
     "depth_batches": "select (s_suppkey % 7)::int as batch, count(*) as n, min(s_name) as first_id from supplier group by 1",
@@ -238,8 +238,8 @@ SQL = {
       select event_id, idx::int as index from k_events e join i on i.user_id = e.user_id and i.ctx = e.k % 10""",
     "resume_index": f"with {K_EVENTS} select user_id, event_type, max(k) + 1 as next_index from k_events group by 1, 2",
     "turn_counters": "select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding)::bigint as turn_no from conversations",
-    "key_or_id": f"""with {K_EVENTS}, r as (select case when k % 2 = 0 then 'k' || k end as function_key, case when k % 3 = 0 then user_id end as func_id, value from k_events where event_id % 50 = 0)
-      select event_id, coalesce((select max(value) from r where r.function_key = 'k' || e.k), (select max(value) from r where r.func_id = e.user_id)) as coverage from k_events e""",
+    "key_or_id": f"""with {K_EVENTS}, r as (select case when k % 2 = 0 then 'k' || k end as function_key, case when k % 3 = 0 then user_id end as func_id, value from k_events)
+      select event_id, coalesce(a.v, b.v) as coverage from k_events e left join (select function_key, max(value) as v from r group by 1) a on a.function_key = 'k' || e.k left join (select func_id, max(value) as v from r group by 1) b on b.func_id = e.user_id""",
     "suffix_sources": """with f as (select distinct 'dir' || (n_nationkey % 5) || '/f' || (n_nationkey % 6) || '.c' as path from nation), a as (select distinct case when n_nationkey % 2 = 0 then 'f' || (n_nationkey % 9) || '.c' else 'dir' || (n_nationkey % 5) || '/f' || (n_nationkey % 6) || '.c' end as source from nation),
       m as (select source, count(path) as n, count(*) filter (path = source or ends_with(path, '/' || source)) as ne, max(path) as one, max(path) filter (path = source or ends_with(path, '/' || source)) as e from a left join f on regexp_extract(path, '[^/]*$') = regexp_extract(source, '[^/]*$') group by 1)
       select source, case when n = 1 then one when ne = 1 then e end as path, case when n = 0 then 'missing' when n > 1 and ne <> 1 then 'ambiguous' else 'ok' end as status from m""",
@@ -247,7 +247,7 @@ SQL = {
     "layer_overlay": f"""with {K_EVENTS}, e as (select event_id as layer, 'd' || (user_id % 9) || '/' as dir, case when k % 10 = 0 then '.wh.f' || (k % 7) when k % 29 = 0 and event_id % 5 = 0 then '.wh..wh..opq' else 'f' || (k % 7) end as name, event_type as content from k_events),
       last as (select dir || name as path, dir, max(layer) as layer, arg_max(content, layer) as content from e where not starts_with(name, '.wh.') group by 1, 2)
       select path, layer, content from last l where not exists (select 1 from e where starts_with(name, '.wh.f') and e.dir || substr(e.name, 5) = l.path and e.layer > l.layer) and not exists (select 1 from e where name = '.wh..wh..opq' and e.dir = l.dir and e.layer > l.layer)""",
-    "lookups_with_default": "select event_id, e.user_id, coalesce(left(text, 10), 'NO DATA') as launch from events e left join benchmark b on b.item_id = e.user_id",
+    "lookups_with_default": "select event_id, e.user_id, coalesce(md5(text), 'NO DATA') as launch from events e left join benchmark b on b.item_id = e.user_id",
     "level_functions": "select n_nationkey as id, n_regionkey::varchar as level, n_name from nation",
     "makefile_variables": r"""with l as (select l_orderkey as file, l_linenumber as line_no, min(case l_partkey % 3 when 0 then 'CFLAGS' when 1 then 'LIBS' else 'OTHER' end || ' += -x' || l_partkey || case when l_suppkey % 2 = 0 then ' \' else '' end) as line from lineitem where l_linenumber <= 7 group by 1, 2),
       o as (select *, coalesce(ends_with(lag(line) over (partition by file order by line_no), '\'), false) and starts_with(line, 'OTHER') as open from l), g as (select *, sum(case when open then 0 else 1 end) over (partition by file order by line_no) as g from o),

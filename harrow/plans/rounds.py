@@ -55,7 +55,7 @@ def missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _results(spark, sf_dir)
     d = R.merge_summary(R.merge_best(R.checked(r, _checks(spark, sf_dir))), R.expected(_tasks(spark, sf_dir), r))
-    return d.select("selected_count", "missing_pairs", F.array_join("missing_task_ids", ",").alias("missing_task_ids"))
+    return d.select("selected_count", "missing_pairs", "missing_tasks", F.array_join("missing_task_ids", ",").alias("missing_task_ids"))
 
 
 def resume_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def round_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (latest_results, latest_valid_checks, checked_results, retry_decisions, merged_results, missing_pairs, merge_summary, resume_generate, resume_judge, unmatched_results, check_summary, round_state)}
 
-_FP = "sha256(task_id || '~' || setup || '~' || extracted_code || '~' || hard_pass::varchar)"
+_FP = "sha256(to_json([task_id, setup, extracted_code, hard_pass::varchar])::varchar)"
 _BASE = RUNS + f""",
 results as (select *, {_FP} as fp from runs qualify row_number() over (partition by task_id, setup, round order by line_no desc) = 1),
 checks as (select *, {_FP} as fp from runs where line_no % 2 = 0 and round < 2 and retry <> (classification = 'coherent_c') qualify row_number() over (partition by task_id, setup, round order by line_no desc) = 1),
@@ -104,7 +104,7 @@ SQL = {
     "merged_results": f"with {_BASE} select task_id, setup, round, hard_pass, compile_pass, required_pass from merged",
     "missing_pairs": f"with {_BASE} select task_id, setup from wanted w where not exists (select 1 from checked c where c.task_id = w.task_id and c.setup = w.setup)",
     "merge_summary": f"""with {_BASE}, gone as (select task_id, setup from wanted w where not exists (select 1 from merged c where c.task_id = w.task_id and c.setup = w.setup))
-      select (select count(*) from merged) as selected_count, (select count(*) from gone) as missing_pairs, coalesce((select string_agg(task_id, ',' order by task_id) from (select distinct task_id from gone)), '') as missing_task_ids""",
+      select (select count(*) from merged) as selected_count, (select count(*) from gone) as missing_pairs, (select count(distinct task_id) from gone) as missing_tasks, coalesce((select string_agg(task_id, ',' order by task_id) from (select distinct task_id from gone)), '') as missing_task_ids""",
     "resume_generate": f"""with {_BASE}, hv as (select * from latest where hard_pass), wnt as (select t.task_id, t.task_pos, s.setup from tasks t, (select distinct setup from hv) s)
       select task_id, setup, task_pos from wnt w where not exists (select 1 from hv l where l.task_id = w.task_id and l.setup = w.setup) qualify row_number() over (partition by setup order by task_pos) <= 5""",
     "resume_judge": f"""with {_BASE}, judged as (select * from runs where line_no % 3 <> 0 qualify row_number() over (partition by task_id, setup order by line_no desc) = 1)

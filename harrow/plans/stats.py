@@ -74,8 +74,8 @@ def coverage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enclosing_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.format_string("%d:%d", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line_no"))
-    return C.enclosing(hits, _functions(spark, sf_dir).where("end_line = 3"))
+    hits = table(spark, sf_dir, "lineitem").select(F.format_string("%d:%d", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line_no"))
+    return C.enclosing(hits, _functions(spark, sf_dir))
 
 
 def stage_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ SQL = {
       y as (select *, coalesce(try_cast(a as double), try_cast(b as double)) as master, try_cast(coalesce(a, b) as double) as unit from x)
       select event_id, master, unit, case when master is null then false when unit is null then master >= 70 else master >= greatest(70, unit - 5) end as gate, coalesce(unit >= 70, false) as covered, coalesce(unit >= 70, false) and k % 2 = 0 as accepted,
       case when unit is null then 'no coverage' when unit < 70 then 'below threshold' when k % 2 = 0 then 'accepted' else 'rejected by judge' end as reason from y""",
-    "enclosing_functions": "select l_orderkey || ':' || l_linenumber as id, l_orderkey as file, l_linenumber as line_no, case when o_orderkey is not null and l_linenumber between 1 and 3 then 'head' else 'Global Scope' end as scope from lineitem left join orders on o_orderkey = l_orderkey where l_quantity > 45",
+    "enclosing_functions": "select l_orderkey || ':' || l_linenumber as id, l_orderkey as file, l_linenumber as line_no, case when o_orderkey is not null and l_linenumber between 1 and 3 then 'head' when o_orderkey is not null and l_linenumber between 4 and 7 then 'tail' else 'Global Scope' end as scope from lineitem left join orders on o_orderkey = l_orderkey",
     "stage_ratios": f"with {K_EVENTS} select event_type, count(*) filter (k >= 40) as n_ok, count(*) as n, bool_and(k >= 40) as all_ok, {_R('count(*) filter (k >= 40) / count(*)')} as ratio from k_events group by 1",
     "line_snippets": "with l as (select doc_id, unnest(string_split(text, chr(10))) as source, generate_subscripts(string_split(text, chr(10)), 1) as n from documents) select doc_id as id, string_agg(source, chr(10) order by n) as snippet from l where n between doc_id % 40 + 1 - 10 and doc_id % 40 + 1 + 10 and trim(source, ' ') <> '' group by 1",
 }

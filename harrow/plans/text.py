@@ -32,7 +32,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7-F11, F40, F52."""
-    head = F.substring("text", 1, 40)
+    head = F.concat(F.lit("_"), "source", F.lit(" <é-"), F.md5(F.encode("text", "UTF-8")), F.lit(">"))
     name = F.concat(F.lit("src/"), "lang", F.lit("/_"), head, F.lit(".v1.c"))
     j = X.job_key(F.col("source"), head, F.col("doc_id").cast("int"), F.col("lang"), F.col("source"))
     return _docs(spark, sf_dir).select("doc_id", T.safe_filename(name).alias("safe"), T.safe_filename(name, False).alias("safe_untrimmed"), T.safe_identifier(F.concat((F.col("doc_id") % 7).cast("string"), head)).alias("identifier"), T.safe_identifier(F.lit("--")).alias("generated"), T.artifact_key(F.col("source"), head).alias("artifact"), T.safe_name(F.when(F.col("doc_id") % 5 > 0, F.concat(head, F.lit("=1")))).alias("named"), T.doc_key(name).alias("doc_key"), X.short_hash(F.col("source"), 12).alias("h12"), X.short_hash(F.col("source"), 8, "md5").alias("m8"), j["job"].alias("job"), j["folder"].alias("folder"), j["run"].alias("run"))
@@ -85,7 +85,7 @@ def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F34, F44, F48-F51, F53, P21, P31, U10."""
     k = F.col("k").cast("string")
-    env = F.map_from_entries(X.env_pairs(F.array(F.concat(F.lit("no_proxy=/bin:"), k), F.concat(F.lit("http_x="), k, F.lit("=1")), F.lit("NOT_http_=1"), F.lit("EMPTY"))))
+    env = X.env_map(F.array(F.lit("http_x=old"), F.concat(F.lit("no_proxy=/bin:"), k), F.concat(F.lit("http_x="), k, F.lit("=1")), F.lit("NOT_http_=1"), F.lit("EMPTY")))
     have = F.create_map(F.lit("no_proxy"), F.lit("/usr"), F.lit("HOME"), F.lit("/root"))
     fwd = X.forwarded(env, have)
     path = F.concat(F.when(F.col("k") % 5 == 0, F.lit("/a/../")).when(F.col("k") % 5 == 1, F.lit("//./")).otherwise(F.lit("x\\")), k, F.lit("/y"))
@@ -94,7 +94,7 @@ def map_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     red = T.redacted(F.create_map(F.lit("Authorization"), k, F.lit("accept"), k))
     return keyed_events(spark, sf_dir).select(
         "event_id", F.array_join(F.transform(F.array_sort(F.map_entries(fwd)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("env"), X.relative_path(path).alias("path"), X.finish_status(F.when(F.col("k") % 2 == 0, "idle-timeout").otherwise(F.col("event_type"))).alias("finish"), X.event_status(F.when(F.col("k") % 3 == 0, "run-failed").otherwise("ended"), F.when(F.col("k") % 4 == 0, "").when(F.col("k") % 4 == 1, F.col("event_type"))).alias("status"), X.bind(spec)["target"].alias("bind_target"), m["source"].alias("mount_source"),
-        F.array_join(X.positional(F.split(spec, ":"), ["a", "b", "c"]), "|").alias("positional"), red["Authorization"].alias("auth"), red["accept"].alias("accept"), F.exists(F.array(F.lit("/a"), F.lit("x")), lambda p: F.startswith(path, p)).alias("forbidden"),
+        F.array_join(X.positional(F.split(spec, ":"), ["a", "b", "c"]), "|").alias("positional"), red["Authorization"].alias("auth"), red["accept"].alias("accept"), T.leaked_prefix(path, F.array(F.lit("/a"), F.lit(""), F.lit("x"), F.lit("./1"))).isNotNull().alias("forbidden"),
     )
 
 
@@ -120,7 +120,7 @@ SQL = {
       md5(regexp_replace(regexp_replace(x, '^\s*```[A-Za-z]*\s*', ''), '\s*```\s*$', '')) as bare_md5, md5(case when length(x) > 300 then right(x, 300) else x end) as tail_md5 from d""",
     "transcript_lines": f"""with {K_EVENTS} select event_id, (select string_agg(c, '|') from (select unnest([1, 2]), 'srv' || (k % 3) || '.' || event_type || '_info' || case when k % 2 = 0 then '(name=fn_' || k || ')' else '' end as c)) as calls,
       case when k % 5 > 0 then case when k % 2 = 0 then k * 1000 + 500 else k end end::bigint as input_tokens, case when k % 5 > 0 then k * 3 end::bigint as output_tokens from k_events""",
-    "names_and_keys": r"""with d as (select *, substr(text, 1, 40) as head, 'src/' || lang || '/_' || substr(text, 1, 40) || '.v1.c' as name from documents),
+    "names_and_keys": r"""with d as (select *, ('_' || source || ' <é-' || md5(text) || '>') as head, 'src/' || lang || '/_' || ('_' || source || ' <é-' || md5(text) || '>') || '.v1.c' as name from documents),
       e as (select *, trim(regexp_replace((doc_id % 7) || head, '[^A-Za-z0-9_]+', '_', 'g'), '_') as ident, trim(regexp_replace(case when doc_id % 5 > 0 then head || '=1' else '' end, '[^A-Za-z0-9_.=\-]+', '_', 'g'), '_')[1:120] as nm, coalesce(nullif(trim(regexp_replace(head, '[^A-Za-z0-9_.=\-]+', '_', 'g'), '_')[1:120], ''), 'unknown') as fn,
         sha256('"' || lang || '"') as hp, sha256('"' || source || '"') as hc from d)
       select doc_id, trim(regexp_replace(name, '[^A-Za-z0-9_.\-]+', '_', 'g'), '_') as safe, regexp_replace(name, '[^A-Za-z0-9_.\-]+', '_', 'g') as safe_untrimmed,
@@ -144,7 +144,7 @@ SQL = {
     "json_text": f"""with {K_EVENTS} select event_id, case k % 6 when 2 then null when 3 then null when 4 then 1 else k end::int as loose_k, k % 6 = 5 as is_object, k % 6 = 0 as block_ok, case k % 6 when 0 then null when 4 then 'keys' else 'no block' end as block_why,
       case k % 4 when 0 then null when 1 then 100 else k end::int as score, case k % 4 when 0 then null when 1 then true else k >= 75 end as judge_passed from k_events""",
     "map_merges": rf"""with {K_EVENTS} select event_id, 'HOME=/root;http_x=' || k || '=1;no_proxy=/usr' as env, case k % 5 when 0 then null when 1 then k || '/y' else 'x/' || k || '/y' end as path, case when k % 2 = 0 then 'idle-timeout' else 'completed' end as finish, case when k % 4 = 1 then event_type when k % 3 = 0 then 'failed' else 'completed' end as status,
-      case k % 3 when 1 then null else '/t' || k end as bind_target, case when k % 4 <> 0 then '/a' || k end as mount_source, case k % 3 when 0 then '/s|/t' || k || '|ro' when 1 then 'only|b|c' else '/s|/t' || k || '|c' end as positional, '[REDACTED]' as auth, k::varchar as accept, k % 5 <> 1 as forbidden from k_events""",
+      case k % 3 when 1 then null else '/t' || k end as bind_target, case when k % 4 <> 0 then '/a' || k end as mount_source, case k % 3 when 0 then '/s|/t' || k || '|ro' when 1 then 'only|b|c' else '/s|/t' || k || '|c' end as positional, '[REDACTED]' as auth, k::varchar as accept, k % 5 <> 1 or starts_with(k::varchar, '1') as forbidden from k_events""",
     "verification": f"""with {K_EVENTS}, r as (select *, case when k % 5 = 0 then [] else ['a', 'b', 'c'] end::varchar[] as req, case when k % 3 = 0 then ['a', 'b'] else ['a', 'b', 'c'] end as called, list_distinct(list_concat(case when k % 7 = 0 then ['c'] else [] end, case when k % 11 = 0 then ['a', 'c'] else [] end))::varchar[] as sh from k_events),
       f as (select *, list_filter(req, lambda x: not list_contains(called, x) or list_contains(sh, x)) as missing, list_filter(req, lambda x: list_contains(called, x) and not list_contains(sh, x)) as present, list_filter(req, lambda x: list_contains(sh, x)) as shadowed from r)
       select event_id, array_to_string(missing, ',') as missing, array_to_string(present, ',') as present, array_to_string(shadowed, ',') as shadowed, k > 20 and len(missing) = 0 and not (len(req) > 0 and k % 2 = 0 and (k % 4 = 0 or k % 4 <> 2)) as hard_pass, len(present)::int as n_passed, len(req)::int as n_required from f""",

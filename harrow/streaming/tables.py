@@ -24,7 +24,9 @@ def upsert_latest(stream: DataFrame, keys: list[str], order: str, target: str, c
             p = jvm.Path(f"{target}/{n}/_SUCCESS")
             return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-        before = next((n for n in (number - 1,) if n >= 0 and there(n)), None)
+        before = number - 1 if number else None
+        if before is not None and not there(before):
+            raise FileNotFoundError(f"{target}/{before} is not there or not whole, so batch {number} would drop what came before")
         d = batch if before is None else batch.sparkSession.read.parquet(f"{target}/{before}").unionByName(batch, allowMissingColumns=True)
         latest(d, keys, order).write.mode("overwrite").parquet(f"{target}/{number}")
 
