@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from harrow.llm.shared import cache
+
 #: Words of documents in a shard, and of benchmark items in a block.
 SHARD_WORDS, BLOCK_WORDS = 1_000_000, 2_000_000
 #: A-Z become a-z; other ASCII than digits and letters parts words.
@@ -207,6 +209,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
     d = docs.select(F.struct("*").alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("decontaminate")
+
         def each_block() -> Iterator[Block]:
             for h in held:
                 yield h.value

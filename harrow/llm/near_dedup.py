@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from harrow.llm.shared import components, discard, flagged, maybe_in, stash
+from harrow.llm.shared import cache, components, discard, flagged, maybe_in, stash
 
 #: Registers; bits of the mantissa; how likely two sets at the threshold may miss each other in all bands.
 BUCKETS, MANTISSA, MISS = 128, 10, 1e-6
@@ -36,7 +36,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GAP = re.compile(rb"[\t-\r ]")
-_powers: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,11 +47,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2 ** 64. Those for a chunk are kept."""
     most = CHUNK + (1 << 17)
-    if _powers and n <= most:
-        return _powers[0], _powers[1]
+    kept = cache("near_dedup")
+    if "powers" in kept and n <= most:
+        return kept["powers"]
     made = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, most) - 1, b, np.uint64))]) for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))]
     if n <= most:
-        _powers[:] = made
+        kept["powers"] = made[0], made[1]
     return made[0], made[1]
 
 

@@ -20,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import stash
+from harrow.llm.shared import cache, stash
 
 #: Remembered words of a worker, twice: when as many are new, those of before that were not met again are forgotten. Longer words than KEPT bytes are not remembered, so this bounds the bytes too.
-MEMORY, KEPT = 600_000, 64
+MEMORY, KEPT = 300_000, 64
 #: Characters of text encoded at once; a longer text is cut at white space.
 CHUNK = 1 << 21
 #: The marks that an ASCII letter can be composed with.
@@ -133,9 +133,6 @@ class Words:
         return [ids[x:y] for x, y in zip(at[:-1], at[1:])]
 
 
-_loaded: dict[str, Words] = {}
-
-
 def _cut(text: str) -> Iterator[str]:
     at = 0
     while at < len(text):
@@ -147,9 +144,10 @@ def _cut(text: str) -> Iterator[str]:
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """The ids of each text; a null text is empty."""
-    if path not in _loaded:
-        _loaded[path] = Words(path)
-    words, out, at = _loaded[path], [], 0
+    loaded = cache("packing")
+    if path not in loaded:
+        loaded[path] = Words(path)
+    words, out, at = loaded[path], [], 0
     while at < len(texts):
         some, n = [], 0
         while at < len(texts) and (not some or n + len(texts[at] or "") <= CHUNK):

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from harrow.llm.shared import cache
+
 #: Rows (in expectation) of the sample that costs and selectivities are estimated on.
 SAMPLE_ROWS = 2_000
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -99,6 +101,7 @@ def profile(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[int, int], d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("quality")
         met, spent, needs, words = Counter(), [0.0] * len(RULES), 0, 0.0
         for b in batches:
             for text in b.column("text").to_pylist():
@@ -151,6 +154,7 @@ def with_verdict(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     order = order or order_of(*profile(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("quality")
         for b in batches:
             texts = b.column("doc").field("text")
             why = [rejected_by(x.as_py(), order) for x in texts]
@@ -171,6 +175,7 @@ def measures(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("quality")
         rules = dict(RULES)
         for b in batches:
             rows: list[tuple] = []

@@ -16,6 +16,15 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execu
 #: Links up to which one task finds the components; it holds about 100 bytes for each.
 SOLVED = 1_000_000
 _own: dict[str, str] = {}
+_caches: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What an operator remembers in this Python worker. A worker serves one operator after the other, so what the others remember is forgotten."""
+    for name, held in _caches.items():
+        if name != owner:
+            held.clear()
+    return _caches.setdefault(owner, {})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

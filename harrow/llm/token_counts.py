@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.shared import cache
+
 #: Remembered pre-tokens of a worker; when full, it starts again from the proven ones.
 MEMORY = 400_000
 _SEGMENT = re.compile(r" +[^ ]*|[^ ]+")
-_loaded: dict[str, tuple] = {}
 
 
 def proven(sp) -> dict[str, int]:
@@ -34,13 +35,14 @@ def divisible(sp) -> bool:
 
 
 def _model(path: str) -> tuple:
-    if path not in _loaded:
+    loaded = cache("token_counts")
+    if path not in loaded:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         sure = proven(sp)
-        _loaded[path] = (sp, sure, dict(sure), divisible(sp))
-    return _loaded[path]
+        loaded[path] = (sp, sure, dict(sure), divisible(sp))
+    return loaded[path]
 
 
 def segments(text: str) -> list[str]:
