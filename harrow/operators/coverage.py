@@ -21,10 +21,20 @@ def state(count_text: Column, lax: bool = False) -> Column:
     return F.when(count_text == "-", None).when(count_text.isin("#####", "====="), "missed").when(digits != "", F.when(digits.rlike("[1-9]"), "covered").otherwise("missed")).otherwise(other)
 
 
-def in_ranges(lines: DataFrame, ranges: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """Lines with the functions whose range holds them. Both sides have a file, so this is an equi join on it with a residual; ranges are broadcast only if there are few enough."""
-    few = ranges.limit(bound + 1).count() <= bound
-    return lines.join(F.broadcast(ranges) if few else ranges, "file").where(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
+#: Lines of a block by which lines meet ranges.
+BLOCK = 256
+
+
+def _meet(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Lines with the ranges that hold them. They meet by file and block of lines, so a long file doesn't give every line with every range; a line is in one block and a range once in each of its blocks, so no pair comes twice."""
+    block = lambda c: F.floor(c / BLOCK)
+    r = ranges.where("start_line <= end_line").withColumn("_b", F.explode(F.sequence(block(F.col("start_line")), block(F.col("end_line")))))
+    return lines.withColumn("_b", block(F.col("line_no"))).join(r, ["file", "_b"]).where(F.col("line_no").between(F.col("start_line"), F.col("end_line"))).drop("_b")
+
+
+def in_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Lines with the functions whose range holds them."""
+    return _meet(lines, ranges)
 
 
 def summarise(lines: DataFrame, keys: list[str], when_none: float = 0.0, lax: bool = False) -> DataFrame:
@@ -60,7 +70,7 @@ def judged(pct: Column, verdict: Column, threshold: float) -> Column:
 
 def enclosing(hits: DataFrame, functions: DataFrame) -> DataFrame:
     """Hits (id, file, line_no) with the first enclosing function in preorder, else 'Global Scope'."""
-    m = hits.join(functions, "file").where(F.col("line_no").between(F.col("start_line"), F.col("end_line"))).groupBy("id").agg(F.min_by("name", F.struct("start_line", "name")).alias("name"))
+    m = _meet(hits, functions).groupBy("id").agg(F.min_by("name", F.struct("start_line", "name")).alias("name"))
     return hits.join(m, "id", "left").select(*hits.columns, F.coalesce("name", F.lit("Global Scope")).alias("scope"))
 
 

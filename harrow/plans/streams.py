@@ -25,13 +25,29 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S.windowed(_stream(spark, sf_dir), "ts", "1 day", "1 hour", by=("event_type",))
-    t = S.once(d, f"windows_{uuid.uuid4().hex}", "complete")
+    return _days(S.once(S.windowed(_stream(spark, sf_dir), "ts", "1 day", "1 hour", by=("event_type",)), "complete"))
+
+
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two days, a new one each day."""
+    return _days(S.once(S.windowed(_stream(spark, sf_dir), "ts", "2 days", "1 hour", "1 day", ("event_type",)), "complete"))
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user, ended by an hour without an event."""
+    t = S.once(S.sessions(_stream(spark, sf_dir), "ts", "1 hour", "1 hour", "user_id"), "complete")
+    return t.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(a) for c, a in (("start", "first_at"), ("end", "until"))], "n")
+
+
+def _days(t: DataFrame) -> DataFrame:
     return t.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (stream_latest, stream_windows)}
+QUERIES = {f.__name__: f for f in (stream_latest, stream_windows, stream_sliding, stream_sessions)}
 SQL = {
     "stream_latest": f"with {K_EVENTS} select user_id, event_type, event_id, k from k_events qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1",
     "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
+    "stream_sliding": "select strftime(date_trunc('day', ts) - to_days(b), '%Y-%m-%d') as day, event_type, count(*) as n from events, (values (0), (1)) p(b) group by all",
+    "stream_sessions": """with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 1 hour then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from l)
+      select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_at, strftime(max(ts) + interval 1 hour, '%Y-%m-%d %H:%M:%S') as until, count(*) as n from s group by user_id, s""",
 }

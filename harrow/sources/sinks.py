@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, NumericType, StructType
 
 from harrow.functions.text import csv_value
 
@@ -35,7 +35,7 @@ def append_run(df: DataFrame, path: str) -> None:
 
 
 def flat(df: DataFrame, joiner: str = "->") -> DataFrame:
-    """F43, F37, I: nested structs as columns named by their path, in the schema's order; lists as texts parted by ', '; missing numbers as NA."""
+    """F43, F37, I: nested structs as columns named by their path, in the schema's order; lists as texts parted by ', '; missing numbers and -1 as NA; another missing value is an empty cell."""
 
     def walk(schema: StructType, at: str, name: str) -> list[Column]:
         out: list[Column] = []
@@ -44,11 +44,13 @@ def flat(df: DataFrame, joiner: str = "->") -> DataFrame:
             if isinstance(f.dataType, StructType):
                 out += walk(f.dataType, path + ".", label + joiner)
             elif isinstance(f.dataType, ArrayType) and not isinstance(f.dataType.elementType, (StructType, ArrayType)):
-                out.append(F.array_join(F.transform(path, lambda x: x.cast("string")), ", ", "None").alias(label))
+                out.append(F.coalesce(F.array_join(F.transform(path, lambda x: x.cast("string")), ", ", "None"), F.lit("")).alias(label))
             elif isinstance(f.dataType, ArrayType):
-                out.append(F.to_json(path).alias(label))
-            else:
+                out.append(F.coalesce(F.to_json(path), F.lit("")).alias(label))
+            elif isinstance(f.dataType, NumericType):
                 out.append(csv_value(F.col(path)).alias(label))
+            else:
+                out.append(F.coalesce(F.col(path).cast("string"), F.lit("")).alias(label))
         return out
 
     return df.select(*walk(df.schema, "", ""))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from harrow.operators.rounds import latest
+from harrow.sources.scratch import folder
 
 
 def tail(spark: SparkSession, path: str, schema: str, kind: str = "json", per_trigger: int = 1000) -> DataFrame:
@@ -45,8 +48,16 @@ def sessions(stream: DataFrame, at: str, gap: str, late: str, by: str) -> DataFr
     return stream.withColumn("_t", F.col(at).cast("timestamp")).withWatermark("_t", late).groupBy(F.session_window("_t", gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and gives its result as a table in memory; for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def once(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now; its result is a table in the shared folder: all batches, or the last one where each is complete."""
+    at, done = f"{folder(stream.sparkSession)}/once-{uuid.uuid4().hex}", []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/table/{number}")
+        done.append(number)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    parts = sorted(set(done))
+    return stream.sparkSession.read.parquet(*[f"{at}/table/{n}" for n in (parts[-1:] if mode == "complete" else parts)])

@@ -205,3 +205,14 @@ def test_decoding_and_rebase(spark):
 def test_register(spark):
     U.register(spark)
     assert spark.sql("select usage_tokens('{\"a_tokens\": 4}') as n").first().n == 4
+
+
+def test_ranges_across_blocks(spark):
+    """Every line and every range that holds it, as by comparing all, with ranges within others and over several blocks."""
+    import random
+
+    rng = random.Random(5)
+    ranges = [(f, f"r{i}", a, a + rng.choice([0, 5, 255, 256, 900])) for f in ("a", "b") for i, a in enumerate(rng.sample(range(1, 2000), 20))]
+    lines = [(f, n) for f in ("a", "b", "c") for n in range(1, 2200, 7)]
+    got = C.in_ranges(spark.createDataFrame(lines, "file string, line_no int"), spark.createDataFrame([*ranges, ("a", "void", 9, 3)], "file string, name string, start_line int, end_line int")).select("file", "line_no", "name").collect()
+    assert sorted(map(tuple, got)) == sorted((f, n, r) for f, n in lines for g, r, a, b in ranges if f == g and a <= n <= b)
