@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Equivalent spellings, as the public licence matching guidelines list them; whole words, after folding.
-SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("organisations", "organizations"), ("authorised", "authorized"), ("unauthorised", "unauthorized"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("whilst", "while"), ("per cent", "percent"), ("copyright owner", "copyright holder")]
+SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("organisations", "organizations"), ("authorised", "authorized"), ("unauthorised", "unauthorized"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("whilst", "while"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https", "http")]
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -65,13 +65,65 @@ KNOWN = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 KNOWN += [(n, t) for n, title, text in [("BSD-3-Clause", "BSD 3-Clause License", _BSD3), ("0BSD", "BSD Zero Clause License", _0BSD), ("Zlib", "zlib License", _ZLIB)] for t in (text, f"{title}\n\n{text}")]
-KNOWN += [(n, t) for n, text in [("Unlicense", _UNLICENSE), ("MPL-2.0", _MPL_HEADER)] for t in (text, text.replace("https:", "http:"))]
-KNOWN += [("BSL-1.0", _BSL), ("Apache-2.0", _APACHE_HEADER)]
+KNOWN += [("Unlicense", _UNLICENSE), ("MPL-2.0", _MPL_HEADER), ("BSL-1.0", _BSL), ("Apache-2.0", _APACHE_HEADER)]
 KNOWN += [(f"{n}-{v}-or-later", _GNU_HEADER.format(kind=kind, version=v.removesuffix(".0"))) for n, kind, v in [("GPL", "", "2.0"), ("GPL", "", "3.0"), ("LGPL", "Lesser ", "2.1"), ("LGPL", "Lesser ", "3.0"), ("AGPL", "Affero ", "3.0")]]
 KNOWN += [(n, f"SPDX-License-Identifier: {n}") for n in SPDX]
 KNOWN += [(f"CC-{a}-{v}", t) for a, name in CREATIVE_COMMONS for v, port in (("3.0", "Unported"), ("4.0", "International")) for t in (f"Licensed under CC {a} {v}.", f"This work is licensed under a Creative Commons {name} {v} {port} License.")]
-#: A line that names a year of copyright.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
+#: Digests of the forms of longer licences in full, as published (license, digest): with and without what follows the end of the terms, the publisher's address in its older forms, a year filled in or not. Fixed values, made by digest() with the spellings above.
+DIGESTS = [
+    ("Apache-2.0", "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3"),
+    ("Apache-2.0", "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "bcaf73c390ff78d5d2b473b276dad2a90ec7da4293754147ae2f9ff8c9e8a64f"),
+    ("GFDL-1.3", "e676b958da2711c7643566d30bb24ad57001a807341408f6aeb62b58cb85276f"),
+    ("GPL-1.0", "eafda7cb5e995143f4d45ef2107eb160d6856afabed7c48b1b317303bc40a7e6"),
+    ("GPL-1.0", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0", "adc15cc83ce26650e2b03700b2780975d9c1fde1f4a39fb48ad7022a37c738b1"),
+    ("GPL-1.0", "98c96304603be152968c123e484f744c9b51ebd341914aee6eea5c39133891e1"),
+    ("GPL-1.0", "ac9f80a0d38a1e001427acb1e9fa5f9a23aee35e40ee2759901306fd4e382697"),
+    ("GPL-1.0", "47021872353ca0444688410fff47398b339fe31a96ff93b0c0d15cc3bd6769a9"),
+    ("GPL-1.0", "c0734228e33375b72256fed50d8056b50049dff71f408765af98cd4384a7434a"),
+    ("GPL-1.0", "7b86297a2762700b078231c8b488809b0f63cac5e298d74f4270d251bbef230f"),
+    ("GPL-2.0", "633db8412bbb99b0672b664e80d260461a3f7fb1c14a45c614eb6124876ce2a7"),
+    ("GPL-2.0", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0", "10c562a13afa499308a9ef4dcf4c486cc775aed3583f5c830a93ff20ba2a25cb"),
+    ("GPL-2.0", "78e9c9f811bd1ba04ed6d619d3e51a759305d2f124cee9defa3535ba4a24bd25"),
+    ("GPL-2.0", "b1abfb46077acd6c0450274e16fe4cb4610ec546c090c5977a069c5f74340774"),
+    ("GPL-2.0", "da465d8c6dc810dfa28102991c415364e0895a5cd430534d8fc32b3d71650b55"),
+    ("GPL-2.0", "acaf68e303fe7610fff5b930bace57b87821d132bc434f4a104512da48f8bb6c"),
+    ("GPL-2.0", "ba8b5323b72bf2f2c5d07074133b38292e0fa23fde8fa48771ba8a04cccacddd"),
+    ("GPL-3.0", "cc8c7596e87658cdffe98ce31be98b303df2589758bd6d4365cdb496f419c85f"),
+    ("GPL-3.0", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "1f1ace2d2c5e80547f3f0517299934f8d456c17a9a9939250e76087b010f5614"),
+    ("LGPL-2.0", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0", "e195b1eefc38bbb77d3f351651061352c68a113bdd52b1b24b6dae705ef8c21e"),
+    ("LGPL-2.0", "dc842683831d008ff5f32600206cfd765e4d05df71fe831b1b4b31462fa2fff1"),
+    ("LGPL-2.0", "5ce88337a2fce97b0f2b6aac63afc49927c0dc31e15bf530a83e603e1d298d8b"),
+    ("LGPL-2.0", "b9392f182aed1dedf0d0e405ce88f7ca62c24bac504bbce15b073596ec954c41"),
+    ("LGPL-2.0", "cbc927caf696ef44b2fbebe29ffa45a5fccf0a64c78f2b85678a11032ebb3318"),
+    ("LGPL-2.0", "d40504a2bf1a1a86ee76e642ced31126577d21774b1ac0a222ce730ec78d7108"),
+    ("LGPL-2.1", "6eacb2e57ceb0cc63a48b9b4e3181e4b691c27408dfd80dc12bafc4bffff46b5"),
+    ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1", "676e0ba1644528402e23cfea4da27727a38c7b0d85c90f212910ec9afec86111"),
+    ("LGPL-2.1", "df8b7d554d9ba4683d95046dc0cd8fdf6c063841a3cfabcf242ab40e69237421"),
+    ("LGPL-2.1", "a5ac783c64dc7fa3fe7b641692ee7b8da491bd87f613c9bb99618a9469e71c47"),
+    ("LGPL-2.1", "826b1d9fbfa419ac1921bf02da95c8515d0f4fce141441e304683171bfc9f641"),
+    ("LGPL-2.1", "925c28788af11361f32b5b10dbeb4454be64e8448ed4a7c0926618a5d8a85bfb"),
+    ("LGPL-2.1", "3bde1ca18489d8594a2c0c04b5ae1003c1795d1680675f4ef758325e1e1c3169"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+#: A line that names a year of copyright, behind a comment's marks too.
+COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 #: Known texts up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -108,10 +160,13 @@ def digest(text: Column) -> Column:
     return digest_of(canonical(text))
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license) of licence texts; of one digest the first name in order."""
-    d = spark.createDataFrame(texts or KNOWN, "license string, text string")
-    return d.select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None, digests: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license) of licence texts and of digests made before, by default KNOWN and DIGESTS; of one digest the first name in order."""
+    if texts is None and digests is None:
+        texts, digests = KNOWN, DIGESTS
+    d = spark.createDataFrame(texts or [], "license string, text string").select(digest(F.col("text")).alias("digest"), "license").where("digest is not null")
+    d = d.union(spark.createDataFrame(digests or [], "license string, digest string").select("digest", "license"))
+    return d.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
@@ -134,7 +189,7 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     return out.select("doc_id", "text_license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("licenses", F.lit("")).alias("licenses"))
 
 
-def scan_sql(texts: list[tuple[str, str]] | None = None) -> str:
+def scan_sql() -> str:
     """The same in DuckDB's SQL, over the table documents."""
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -147,11 +202,13 @@ def scan_sql(texts: list[tuple[str, str]] | None = None) -> str:
             t = f"replace({t}, ' {a} ', ' {b} ')"
         return f"trim(replace({t}, '  ', ' '), ' ')"
 
-    values = ", ".join(f"({q(n)}, {q(t)})" for n, t in (texts or KNOWN))
+    def values(rows: list[tuple[str, str]]) -> str:
+        return "values " + ", ".join(f"({q(n)}, {q(t)})" for n, t in rows)
+
     return f"""
-with k as (select {form('text')} as form, min(license) as license from (values {values}) v(license, text) group by 1),
+with k as (select digest, min(license) as license from (select sha256({form('text')}) as digest, license from ({values(KNOWN)}) v(license, text) union all select digest, license from ({values(DIGESTS)}) v(license, digest)) group by 1),
 u as (select doc_id, text, unnest(list_concat([text], string_split(text, chr(10)))) as unit, unnest(range(len(string_split(text, chr(10))) + 1)) as pos from documents where text is not null),
-h as (select doc_id, text, pos, license from (select doc_id, text, pos, {form('unit')} as form from u) f join k using (form) where form <> '' group by all),
+h as (select doc_id, text, pos, license from (select doc_id, text, pos, {form('unit')} as form from u) f join k on k.digest = sha256(f.form) where form <> '' group by all),
 g as (select doc_id, text, max(license) filter (pos = 0) as text_license, count(*) filter (pos > 0) as n_notices, array_to_string(list_sort(list_distinct(list(license))), ',') as licenses from h group by all)
 select d.doc_id, g.text_license, coalesce(g.n_notices, 0)::bigint as n_notices, coalesce(g.licenses, '') as licenses
 from documents d left join g on d.doc_id is not distinct from g.doc_id and d.text is not distinct from g.text"""
