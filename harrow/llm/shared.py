@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,16 +20,10 @@ _caches: dict[str, dict] = {}
 
 
 def cache(owner: str) -> dict:
-    """What an operator remembers in this Python worker. A worker serves one operator after the other, so what the others remember is forgotten, and its memory handed back."""
-    others = [held for name, held in _caches.items() if name != owner and held]
-    for held in others:
-        held.clear()
-    if others or owner not in _caches:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others have none
-        if trim:
-            trim(0)
+    """What an operator remembers in this Python worker. A worker serves one operator after the other, so what the others remember is forgotten."""
+    for name, held in _caches.items():
+        if name != owner:
+            held.clear()
     return _caches.setdefault(owner, {})
 
 
