@@ -1,4 +1,4 @@
-"""The queries of the ten operators and the pipeline, over whole tables with production parameters."""
+"""The queries of the operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import decontaminate, licenses, line_templates, near_dedup, packing, pii, quality, sharding, token_counts, warc
+from harrow.llm import alignment, ball_kmeans, best_fit, decontaminate, licenses, line_templates, near_dedup, packing, pii, quality, sharding, token_counts, warc
 from harrow.llm.shared import table
 
 
@@ -52,6 +52,18 @@ def op10_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_line_templates, op3_hyperminhash, op4_pattern_packing, op5_suffix_arrays, op6_label_propagation, op7_disclosure, op8_quality_cascade, op9_warc_members, op10_whole_tokens)}
+def op11_byte_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op2_line_templates": line_templates.SQL, "op5_suffix_arrays": decontaminate.SQL, "op8_quality_cascade": quality.SQL, "op9_warc_members": warc.SQL}
+
+def op12_bulk_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_line_templates, op3_hyperminhash, op4_pattern_packing, op5_suffix_arrays, op6_label_propagation, op7_disclosure, op8_quality_cascade, op9_warc_members, op10_whole_tokens, op11_byte_owners, op12_bulk_best_fit, op13_ball_kmeans)}
+
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op2_line_templates": line_templates.SQL, "op5_suffix_arrays": decontaminate.SQL, "op8_quality_cascade": quality.SQL, "op9_warc_members": warc.SQL, "op13_ball_kmeans": ball_kmeans.sql()}
