@@ -124,11 +124,15 @@ _held = {}
 
 
 def _pair():
-    return _held.setdefault("pair", alignment.Pair(A, B))
+    if "pair" not in _held:
+        _held["pair"] = alignment.Pair(A, B)
+    return _held["pair"]
 
 
 def _brute():
-    return _held.setdefault("brute", Brute())
+    if "brute" not in _held:
+        _held["brute"] = Brute()
+    return _held["brute"]
 
 
 # 12
