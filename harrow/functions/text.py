@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from harrow.functions.exprs import first_true
 
 
+def has_text(x: Column) -> Column:
+    """Whether a text has anything but white space (of Unicode, and the separators of ASCII); false for null."""
+    return F.coalesce(x.rlike(r"[^\s\x1c-\x1f\x85\p{Z}]"), F.lit(False))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 

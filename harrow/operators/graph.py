@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.operators.calls import LEVELS, walked
 from harrow.sources.scratch import cut
 
-#: Levels at which a recursion fails aloud; walks without repeated nodes end by themselves.
-LEVELS = 100_000
-
-
-def _session(d: DataFrame) -> SparkSession:
-    """The session, its bound on the rows of a recursion lifted: a tree may have as many as there are."""
-    d.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return d.sparkSession
-
 
 def expand(edges: DataFrame, roots: DataFrame, max_depth: int = LEVELS) -> DataFrame:
     """The call tree of each root as rows (root, path, node, depth, is_leaf). A node that its own path holds already is a leaf, so trees end by themselves. With a max_depth, rows end there, and a row there that is no leaf says that its tree goes on."""
-    spark = _session(edges)
-    return spark.sql(
+    return walked(
+        edges.sparkSession,
         """WITH RECURSIVE tree (root, path, node, depth, is_leaf) MAX RECURSION LEVEL 100000 AS (
              SELECT root, array(root), root, 0, false FROM {roots}
              UNION ALL
@@ -34,7 +26,8 @@ def expand(edges: DataFrame, roots: DataFrame, max_depth: int = LEVELS) -> DataF
 
 def paths_to(edges: DataFrame, roots: DataFrame, target: object, max_depth: int = LEVELS) -> DataFrame:
     """All simple paths from each root to the target, each ending at its first hit; the search is pruned there, not afterwards. With a max_depth, those of at most so many calls."""
-    return _session(edges).sql(
+    return walked(
+        edges.sparkSession,
         """WITH RECURSIVE walk (root, path, node, depth) MAX RECURSION LEVEL 100000 AS (
              SELECT root, array(root), root, 0 FROM {roots}
              UNION ALL
@@ -47,8 +40,8 @@ def paths_to(edges: DataFrame, roots: DataFrame, target: object, max_depth: int
 
 
 def last_path(paths: DataFrame) -> DataFrame:
-    """Of a root's paths the last in preorder, which by arrays is the greatest."""
-    return paths.groupBy("root").agg(F.max("path").alias("path"))
+    """Of a root's paths (root, key, path) the last in preorder: that of the greatest key."""
+    return paths.groupBy("root").agg(F.max_by("path", "key").alias("path"))
 
 
 def reaching(edges: DataFrame, target: object) -> DataFrame:
@@ -76,7 +69,8 @@ def entry_points(nodes: DataFrame) -> DataFrame:
 
 def expand_macros(macros: DataFrame) -> DataFrame:
     """Where a macro's chain of expansions ends; a chain that comes back to itself ends before it does."""
-    return _session(macros).sql(
+    return walked(
+        macros.sparkSession,
         """WITH RECURSIVE chain (name, at, path, depth) MAX RECURSION LEVEL 100000 AS (
              SELECT name, value, array(name), 1 FROM {macros}
              UNION ALL

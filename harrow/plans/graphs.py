@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.operators import calls as C
 from harrow.operators import graph as G
 from harrow.operators import lookups as L
 from harrow.operators import selection as S
@@ -31,7 +32,14 @@ def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_call_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.last_path(G.paths_to(_edges(spark, sf_dir), _roots(spark, sf_dir), 24)).select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    """The last path in the order of call sites, which is not that of the callees' numbers."""
+    n = F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation")
+    name = lambda c: c.cast("string")
+    sites = nation.select(name(n).alias("src"), F.posexplode(F.array(name((7 * n + 3) % 25), name((3 * n + 1) % 25))).alias("seq", "dst"), F.lit(None).cast("int").alias("line_number"), F.array().cast("array<string>").alias("callbacks"))
+    nodes = nation.select(name(n).alias("id"), name(n).alias("name"), F.lit(None).cast("string").alias("expansion"))
+    grown = C.tree(sites, nodes, _roots(spark, sf_dir).select(name(F.col("root")).alias("root")), stop="24")
+    return G.last_path(C.first_hits(grown, "24")).select(F.col("root").cast("int").alias("root"), F.array_join("path", ">").alias("path"))
 
 
 def _down(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +215,10 @@ SQL = {
     "call_tree": f"""with recursive {_EDGES}, tree(root, path, node, depth, is_leaf) as (select n_nationkey, [n_nationkey], n_nationkey, 0, false from nation where n_regionkey = 0 union all
       select t.root, list_append(t.path, e.dst), e.dst, t.depth + 1, list_contains(t.path, e.dst) from tree t join edges e on e.src = t.node where not t.is_leaf) select root, array_to_string(path, '>') as path, node, depth, is_leaf from tree""",
     "call_paths": f"with recursive {_walk()} select root, array_to_string(path, '>') as path, depth from walk where node = 24",
-    "last_call_path": f"with recursive {_walk()} select root, array_to_string(max(path), '>') as path from walk where node = 24 group by root",
+    "last_call_path": """with recursive walk(root, place, path, node) as (select n_nationkey, []::int[], [n_nationkey], n_nationkey from nation where n_regionkey = 0 union all
+      select w.root, list_append(w.place, i), list_append(w.path, case i when 0 then (7 * w.node + 3) % 25 else (3 * w.node + 1) % 25 end), case i when 0 then (7 * w.node + 3) % 25 else (3 * w.node + 1) % 25 end
+      from walk w, (values (0), (1)) v(i) where w.node <> 24 and not list_contains(w.path, case i when 0 then (7 * w.node + 3) % 25 else (3 * w.node + 1) % 25 end))
+      select root, array_to_string(arg_max(path, place), '>') as path from walk where node = 24 group by root""",
     "path_adjacency": f"with recursive {_walk()}, hops as (select path, unnest(range(2, len(path) + 1)) as i from walk where node = 24) select distinct path[i - 1] as src, path[i] as dst, i::int as level from hops",
     "highest_parents": f"with recursive {_EDGES}, down as (select * from edges where dst > src), r(node) as (select src from down where dst = 24 union select d.src from down d join r on d.dst = r.node) select distinct node from r where node not in (select dst from down)",
     "macro_targets": """with recursive s as (select s_suppkey as n from supplier union all select -s_suppkey from supplier), m as (select 'm' || n as name, case when n < 0 and n > -50 then 'm' || (n - 1) when n % 4 = 0 then 'f' || n else 'm' || ((3 * n + 2) % 25) end as value from s),

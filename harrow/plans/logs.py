@@ -1,10 +1,10 @@
-"""Queries of logs that are written and read back, fingerprints, usage and C sources."""
+"""Queries of logs that are written and read back, fingerprints, usage and C sources."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,6 +37,44 @@ def log_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.tasks(*files.jsonl(spark, at, "*.json")).select("id", F.md5(F.encode("question", "UTF-8")).alias("question_md5"), F.array_join("required", ",").alias("required"), "answer")
 
 
+def _log(spark: SparkSession, d: DataFrame, line: Column) -> str:
+    """A log of (task_id, line_no): files of whole tasks, each in order of line_no."""
+    at = _new(spark)
+    d.repartition("task_id").sortWithinPartitions("line_no").select(line.alias("value")).write.text(at)
+    return at
+
+
+def log_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each kind of event, its lines numbered as they stand there; every other line is no object."""
+    at, d = _new(spark), keyed_events(spark, sf_dir)
+    line = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct("event_id", "props"))).otherwise(F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    d.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", line.alias("value")).write.partitionBy("event_type").text(at)
+    rows, rejects = files.jsonl(spark, at, "*.txt")
+    kind = F.regexp_extract("path", "event_type=([a-z]+)/", 1).alias("event_type")
+    both = rows.select(kind, "line_no", F.try_variant_get("row", "$.event_id", "long").alias("event_id"))
+    return both.union(rejects.select(kind, "line_no", F.regexp_extract("line", "[0-9]+", 0).cast("long")))
+
+
+def log_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments of which six of nine have a fault each; the last valid one of each pair."""
+    d, n = runs(spark, sf_dir), F.col("line_no")
+    fault, f = n % 9, F.concat(F.lit('"f'), n.cast("string"), F.lit('"'))
+    judge = F.when(fault == 3, '{"error": null, "overall": 1}').when(fault == 4, "[1]").when(fault == 8, "null").otherwise('{"overall": 0.5, "note": "error"}')
+    line = F.concat(F.lit("{"), F.when(fault == 7, "").otherwise(F.concat(F.lit('"task_id": "'), "task_id", F.lit('", '))), F.lit('"setup": '), F.when(fault == 6, "null").otherwise(F.concat(F.lit('"'), "setup", F.lit('"'))), F.lit(', "judge_fingerprint": '), F.when(fault == 5, n.cast("string")).otherwise(f), F.lit(', "judge": '), judge, F.lit("}"))
+    return files.judgments_latest(files.jsonl(spark, _log(spark, d, line), "*.txt")[0]).drop("line_no")
+
+
+def log_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of which nine of twelve have a fault each; the last valid one of each pair, with its round."""
+    d, n = runs(spark, sf_dir), F.col("line_no")
+    fault, text = n % 12, n.cast("string")
+    kind = F.when(fault == 6, "odd").when((fault == 7) | (fault == 2), "coherent_c").otherwise(F.when(n % 2 == 0, "non_code").otherwise("empty_output"))
+    retry = F.when(fault == 5, '"true"').when(fault == 2, "false").otherwise("true")
+    check = F.concat(F.lit('{"retry": '), retry, F.lit(', "classification": "'), kind, F.lit('"'), F.when(fault == 4, "").otherwise(F.concat(F.lit(', "reasoning": '), F.when(fault == 10, "null").otherwise(F.concat(F.lit('"r'), text, F.lit('"'))))), F.when(fault == 3, ', "more": 1').otherwise(""), F.lit("}"))
+    line = F.concat(F.lit('{"task_id": "'), "task_id", F.lit('", "setup": "'), "setup", F.lit('", '), F.when(fault == 11, "").otherwise(F.concat(F.lit('"result_fingerprint": '), F.when(fault == 8, text).otherwise(F.concat(F.lit('"f'), text, F.lit('"'))), F.lit(", "))), F.lit('"round": '), F.col("round").cast("string"), F.lit(', "check": '), check, F.when(fault == 9, "").otherwise("}"))
+    return files.checks_latest(files.jsonl(spark, _log(spark, d, line), "*.txt")[0]).drop("line_no")
+
+
 def log_by_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: a folder for each setup, read back with the setup from the folder's name."""
     at = _new(spark)
@@ -97,12 +135,15 @@ def c_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", F.array_join(defs, ",").alias("definitions"), F.array_join(calls, ",").alias("calls"), F.contains("b", F.lit("z()")).alias("comment_left"))
 
 
-QUERIES = {f.__name__: f for f in (log_results, log_tasks, log_by_setup, result_fingerprints, usage_roll_up, ordered_results, selected_units, known_dependents, c_sources)}
+QUERIES = {f.__name__: f for f in (log_results, log_tasks, log_line_numbers, log_judgments, log_checks, log_by_setup, result_fingerprints, usage_roll_up, ordered_results, selected_units, known_dependents, c_sources)}
 
 _PAYLOAD = """'{"called": ["g"], "code": "' || extracted_code || '", "compile_pass": ' || compile_pass || ', "hard_pass": ' || hard_pass || ', "input_tokens": ' || k || ', "latency_ms": ' || 3 * k || ', "missing": ["f"], "output_tokens": ' || case when k % 2 = 0 then k::varchar else 'null' end || ', "rag_queries": [], "raw_response": "r' || k || '", "required": ["f", "g"], "setup": "' || setup || '", "task_id": "' || task_id || '"}'"""
 SQL = {
     "log_results": f"with {RUNS} select task_id, setup, line_no as seq, hard_pass, extracted_code from runs qualify row_number() over (partition by task_id, setup order by line_no desc) = 1",
     "log_tasks": "select 't' || item_id as id, md5(text) as question_md5, 'f,g' as required, 'a' as answer from benchmark",
+    "log_line_numbers": "select event_type, row_number() over (partition by event_type order by event_id) as line_no, event_id from events",
+    "log_judgments": f"with {RUNS} select task_id, setup, 'f' || line_no as judge_fingerprint from runs where line_no % 9 < 3 qualify row_number() over (partition by task_id, setup order by line_no desc) = 1",
+    "log_checks": f"with {RUNS} select task_id, setup, 'f' || line_no as result_fingerprint, line_no % 12 <> 2 as retry, case when line_no % 12 = 2 then 'coherent_c' when line_no % 2 = 0 then 'non_code' else 'empty_output' end as classification, 'r' || line_no as reasoning, round from runs where line_no % 12 < 3 qualify row_number() over (partition by task_id, setup order by line_no desc) = 1",
     "log_by_setup": f"with {RUNS} select setup, count(*) as n, sum(line_no)::bigint as lines from runs group by 1",
     "result_fingerprints": f"""with {RUNS}, f as (select *, sha256({_PAYLOAD}) as fp from runs)
       select line_no, fp as fingerprint, sha256('{{"answer": "a", "dev": false, "judge_model": "m", "question": "q' || task_id || '", "required": ' || case when k % 2 = 0 then '["f"]' else '[]' end || ', "result": "' || fp || '"}}') as judge from f""",

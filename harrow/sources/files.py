@@ -1,18 +1,25 @@
 """Readers of agent logs: JSONL, JSON files by folder, coverage text, makefiles, bytes of unknown encoding.
 
-Line numbers come from the file's own text (whole-file read and split) where order counts, so they don't depend on how a file is split.
+Logs are read line by line, split over tasks; a line's number is its place in its block of the file and the lines of the blocks before, so no row and no task holds a file.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from harrow.functions.structs import json_object, loose_json
+from harrow.functions.text import has_text
 from harrow.operators.coverage import parse_line
+from harrow.sources.scratch import cut
+
+#: Blocks of files up to which their line counts are broadcast (some 100 bytes each); beyond, lines are joined to them by block.
+BLOCKS = 100_000
+#: The classes of a coherence check; fixed values.
+CLASSIFICATIONS = ["coherent_c", "empty_output", "provider_failure", "stdout_transcript", "non_code"]
 
 
 def text_files(spark: SparkSession, path: str, pattern: str | None = None, depth: int | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -32,12 +39,73 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", "name", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("path", "name", (F.col("pos") + 1).alias("line_no"), "line")
 
 
+def before_block(rows: DataFrame, n: Column, alias: str) -> DataFrame:
+    """(path, block, alias): the sum of n over the blocks of the file before this one."""
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("path", "block").agg(n.alias("_n")).select("path", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(alias))
+
+
+def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, name, block, line_no from 1, line) of the text files below a folder; block is where the part of the file begins that a task read.
+
+    Files are read in splits. The lines are written once with their order in the split, since how a file is split may change from one query to the next; only counts of lines by block are gathered. Lines end by LF, CR or both; a file without lines gives no rows.
+    """
+    r = spark.read.option("recursiveFileLookup", True)
+    d = (r.option("pathGlobFilter", pattern) if pattern else r).text(path)
+    meta = F.col("_metadata")
+    d = cut(d.select(meta["file_path"].alias("path"), meta["file_name"].alias("name"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")))
+    first = d.groupBy("path", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = cut(first.select("path", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")))
+    first = F.broadcast(first) if first.count() <= BLOCKS else first
+    return d.join(first, ["path", "block"]).select("path", "name", "block", (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
+
+
 def jsonl(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
-    """(objects, rejects): lines that are JSON objects as VARIANT, and the others that are not blank."""
-    d = lines(text_files(spark, path, pattern)).where(F.trim("line") != "").withColumn("row", json_object(F.col("line")))
+    """(objects, rejects): lines that are JSON objects as VARIANT, and the others that are not blank, with path, name, block and line_no."""
+    d = numbered_lines(spark, path, pattern).where(has_text(F.col("line"))).withColumn("row", json_object(F.col("line")))
     return d.where("row is not null").drop("line"), d.where("row is null").drop("row")
 
 
+def _get(name: str, kind: str = "string") -> Column:
+    return F.try_variant_get("row", f"$.{name}", kind)
+
+
+def _kind(name: str) -> Column:
+    """The type of a key's value: null without the key, VOID for a JSON null."""
+    return F.schema_of_variant(_get(name, "variant"))
+
+
+def _keys(name: str) -> Column:
+    return F.json_object_keys(F.to_json(_get(name, "variant")))
+
+
+def judgments_latest(rows: DataFrame) -> DataFrame:
+    """(task_id, setup, judge_fingerprint, line_no) of the last valid judgment of each pair: three texts, and a judge that is an object without a key error, whatever that key holds. An invalid line doesn't hide a valid one before it."""
+    texts = [_kind(c) == "STRING" for c in ("task_id", "setup", "judge_fingerprint")]
+    ok = texts[0] & texts[1] & texts[2] & F.startswith(_kind("judge"), F.lit("OBJECT")) & ~F.array_contains(_keys("judge"), "error")
+    d = rows.where(ok).select(_get("task_id").alias("task_id"), _get("setup").alias("setup"), _get("judge_fingerprint").alias("judge_fingerprint"), "line_no")
+    return d.groupBy("task_id", "setup").agg(F.max_by("judge_fingerprint", "line_no").alias("judge_fingerprint"), F.max("line_no").alias("line_no"))
+
+
+def checks_latest(rows: DataFrame) -> DataFrame:
+    """(task_id, setup, result_fingerprint, retry, classification, reasoning, round, line_no) of the last valid check of each pair.
+
+    Valid are three texts and a check of exactly the keys retry (a boolean), classification (one that is known) and reasoning (a text), with retry false exactly for coherent_c. round is whatever the line says, null if it is no whole number.
+    """
+    names = ("task_id", "setup", "result_fingerprint")
+    ok = F.lit(True)
+    for c in names:
+        ok &= _kind(c) == "STRING"
+    known = F.coalesce(_get("check.classification").isin(CLASSIFICATIONS) & (_kind("check.classification") == "STRING"), F.lit(False))
+    shape = F.startswith(_kind("check"), F.lit("OBJECT")) & (F.array_sort(_keys("check")) == F.array(*map(F.lit, ("classification", "reasoning", "retry"))))
+    typed = (_kind("check.retry") == "BOOLEAN") & known & (_kind("check.reasoning") == "STRING")
+    retry = _get("check.retry", "boolean")
+    d = rows.where(ok & shape & typed & (retry != (_get("check.classification") == "coherent_c")))
+    d = d.select(*[_get(c).alias(c) for c in names], retry.alias("retry"), _get("check.classification").alias("classification"), _get("check.reasoning").alias("reasoning"), _get("round", "int").alias("round"), "line_no")
+    return d.groupBy("task_id", "setup").agg(F.max_by(F.struct(*d.columns[2:]), "line_no").alias("_c")).select("task_id", "setup", "_c.*")
+
+
 def exact_rows(rows: DataFrame, schema: StructType, optional: tuple[str, ...] = ()) -> DataFrame:
     """S3: objects of exactly the schema's keys (optional ones may lack) as typed columns; others are left out."""
     keys = F.json_object_keys(F.to_json("row"))
@@ -57,22 +125,23 @@ def results_latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tasks(rows: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Strict tasks; the first fault raises, with its line. An empty id becomes task_%05d by the row's place among the rows, counted without a global sort: files are few, their rows are placed by line number."""
-    get = lambda k, t="string": F.try_variant_get("row", f"$.{k}", t)
-    kind = lambda k: F.schema_of_variant(F.try_variant_get("row", f"$.{k}", "variant"))
+    """Strict tasks; a fault raises, with its line. A false id (missing, null, empty, 0, false, an empty list or object) becomes task_%05d by the row's place among the file's rows, counted block by block."""
     if (bad := rejects.select("name", "line_no").first()) is not None:
         raise ValueError(f"{bad['name']}:{bad['line_no']}: not a JSON object")
-    required = get("required", "array<string>")
-    list_ok = kind("required").isNull() | (kind("required").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(F.coalesce(required, F.array(F.lit(""))), lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""))
-    answer_ok = kind("answer").isNull() | kind("answer").isin("STRING", "VOID")
-    fault = F.when((kind("question") != "STRING") | kind("question").isNull() | (F.trim(get("question")) == ""), "question").when(~list_ok, "required").when(~answer_ok, "answer").when(~kind("id").isin("STRING", "VOID"), "id")
+    required = _get("required", "array<string>")
+    list_ok = _kind("required").isNull() | (_kind("required").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(F.coalesce(required, F.array(F.lit(""))), lambda x: ~has_text(x)))
+    answer_ok = _kind("answer").isNull() | _kind("answer").isin("STRING", "VOID")
+    whole = F.to_json(_get("id", "variant"))
+    no_id = _kind("id").isNull() | whole.isin('""', "null", "false", "[]", "{}") | F.coalesce(_get("id", "double") == 0, F.lit(False)) & (_kind("id") != "STRING")
+    id_ok = no_id | (_kind("id") == "STRING") & has_text(_get("id"))
+    fault = F.when(~F.coalesce((_kind("question") == "STRING") & has_text(_get("question")), F.lit(False)), "question").when(~list_ok, "required").when(~answer_ok, "answer").when(~id_ok, "id")
     d = rows.withColumn("fault", fault)
     if (bad := d.where("fault is not null").select("name", "line_no", "fault").first()) is not None:
         raise ValueError(f"{bad['name']}:{bad['line_no']}: bad {bad['fault']}")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("name").orderBy("line_no")) - 1
-    return d.withColumn("_p", place).select(F.coalesce(F.nullif(get("id"), F.lit("")), F.format_string("task_%05d", "_p")).alias("id"), get("question").alias("question"), F.coalesce(required, F.array().cast("array<string>")).alias("required"), F.coalesce(get("answer"), F.lit("")).alias("answer"), "name", "line_no")
+    d = d.join(before_block(rows, F.count("*"), "_before"), ["path", "block"])
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("path", "block").orderBy("line_no")) - 1
+    d = d.withColumn("_p", place)
+    return d.select(F.when(no_id, F.format_string("task_%05d", "_p")).otherwise(_get("id")).alias("id"), _get("question").alias("question"), F.coalesce(required, F.array().cast("array<string>")).alias("required"), F.coalesce(_get("answer"), F.lit("")).alias("answer"), "name", "line_no")
 
 
 def json_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:

@@ -29,12 +29,36 @@ def test_tasks(spark, tmp_path):
     write(tmp_path / "tasks.jsonl", '{"id": "a", "question": "q"}\n\n{"question": "q2", "answer": "x", "required": ["f"]}\n')
     rows = {r.id: (r.question, r.answer, r.required) for r in S.tasks(*S.jsonl(spark, str(tmp_path))).collect()}
     assert rows == {"a": ("q", "", []), "task_00001": ("q2", "x", ["f"])}
-    for bad in ('{"id": "a"}', '{"question": " "}', '{"question": "q", "required": [1]}', '{"question": "q", "answer": 1}', "[]"):
+    write(tmp_path / "more" / "tasks.jsonl", "".join(f'{{"question": "q", "id": {i}}}\n\n' for i in ('"x"', '""', "0", "false", "[]", "{}", "null", '"y"')))
+    assert [r.id for r in S.tasks(*S.jsonl(spark, str(tmp_path / "more"))).orderBy("line_no").collect()] == ["x", *(f"task_{k:05d}" for k in range(1, 7)), "y"]
+    for bad in ('{"question": "q", "id": " \\t"}', '{"question": "q", "id": 5}', '{"question": "q", "required": null}', '{"question": "\\u00a0"}', '{"id": "a"}', '{"question": " "}', '{"question": "q", "required": [1]}', '{"question": "q", "answer": 1}', "[]"):
         write(tmp_path / "bad" / "tasks.jsonl", bad)
         with pytest.raises(ValueError, match="tasks.jsonl:1"):
             S.tasks(*S.jsonl(spark, str(tmp_path / "bad")))
 
 
+def test_line_numbers_of_split_files(spark, tmp_path, monkeypatch):
+    """Blocks of a few bytes, lines longer than a block, all kinds of line ends, files of the same name."""
+    texts = {"a.jsonl": "\n".join("x" * (k % 37) for k in range(300)), "d/a.jsonl": "one\r\ntwo\n\n\nthree" + "y" * 500 + "\nend\n", "e.jsonl": ""}
+    for name, text in texts.items():
+        write(tmp_path / name, text)
+    want = {(name, k, line) for name, text in texts.items() for k, line in enumerate(text.splitlines(), 1)}
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("64b", "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+            for few in (S.BLOCKS, 0):
+                monkeypatch.setattr(S, "BLOCKS", few)
+                d = S.numbered_lines(spark, str(tmp_path), "*.jsonl")
+                got = [(r.path.rsplit(tmp_path.name + "/", 1)[1], r.line_no, r.line) for r in d.collect()]
+                assert len(got) == len(want) and set(got) == want
+        assert d.select("path", "block").distinct().count() > 5
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_traces_and_backfill(spark, tmp_path):
     write(tmp_path / "e1" / "gen.result.json", '{"elapsed": 1.5}')
     write(tmp_path / "e1" / "gen.json", '{"a_tokens": 2}')
