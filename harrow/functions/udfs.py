@@ -108,7 +108,6 @@ def function_body(x: pd.Series, name: pd.Series) -> pd.Series:
 
 _KEYWORDS = {"if", "for", "while", "switch", "return", "sizeof", "do", "else", "case", "typedef", "struct", "union", "enum", "defined"}
 _DEFINE = re.compile(r"(?m)^[ \t]*((?:[A-Za-z_][\w]*[\s*]+)+)\(?\s*\*?\s*([A-Za-z_]\w*)\s*\)?\s*\(([^;{}]*)\)\s*\{")
-_CALL = re.compile(r"([A-Za-z_]\w*)\s*\(")
 
 
 def definitions_of(text: str | None) -> list[tuple[str, bool, int, int]]:
@@ -127,25 +126,115 @@ def definitions_of(text: str | None) -> list[tuple[str, bool, int, int]]:
     return out
 
 
-def calls_of(text: str | None, policy: str = "identifier") -> list[tuple[str, int, list[str]]]:
-    """(callee, line, names passed as arguments) of the calls in a C text. policy: 'identifier' takes calls by name, 'indirect' also calls through a pointer, as indirect_call. A name that is passed plainly or by & is given once."""
+def _spaces(code: str, end: int) -> int:
+    """Where the white space begins that ends at `end`."""
+    while end and code[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _word(code: str, end: int) -> int:
+    """Where the name or number begins that ends at `end`; `end` if none does."""
+    while end and (code[end - 1].isalnum() or code[end - 1] == "_"):
+        end -= 1
+    return end
+
+
+def _opening(code: str, at: int) -> int:
+    """The place of the bracket that the one at `at` closes; -1 if there is none."""
+    depth, own, pair = 0, code[at], {")": "(", "]": "["}[code[at]]
+    for k in range(at, -1, -1):
+        depth += (code[k] == own) - (code[k] == pair)
+        if depth == 0:
+            return k
+    return -1
+
+
+def _control(code: str, opened: int) -> bool:
+    """Whether the bracket is that of a condition."""
+    end = _spaces(code, opened)
+    return code[_word(code, end) : end] in {"if", "while", "for", "switch"}
+
+
+def _callee_start(code: str, end: int) -> int:
+    """Where the expression begins that ends at `end`: names, brackets and the members that it goes through."""
+    at = end
+    while True:
+        end = _spaces(code, at)
+        if end and code[end - 1] in ")]":
+            opened = _opening(code, end - 1)
+            if opened < 0:
+                return at
+            at, before = opened, _spaces(code, opened)
+            word = _word(code, before)
+            if before and (code[before - 1] == "]" or code[before - 1] == ")" and not _control(code, _opening(code, before - 1)) or word < before and code[word:before] not in _KEYWORDS):
+                continue
+        elif (word := _word(code, end)) < end:
+            at = word
+        else:
+            return at
+        end = _spaces(code, at)
+        if end and code[end - 1] == ".":
+            at = end - 1
+        elif code[max(0, end - 2) : end] == "->":
+            at = end - 2
+        else:
+            return at
+
+
+#: What follows a type and a bracket where a pointer to functions is declared.
+_POINTER = re.compile(r"\s*\*[\s*]*\w*\s*\)\s*\(")
+
+
+def arguments_of(code: str, at: int) -> list[str]:
+    """The arguments of the call whose bracket opens at `at`; commas within brackets part nothing."""
+    depth, out, start = 0, [], at + 1
+    for p in re.compile(r"[()\[\]{},]").finditer(code, at):
+        if p[0] == "," and depth == 1:
+            out.append(code[start : p.start()])
+            start = p.end()
+        elif p[0] in "([{":
+            depth += 1
+        elif p[0] in ")]}":
+            depth -= 1
+            if depth == 0:
+                last = code[start : p.start()]
+                return [*out, last] if out or last.strip() else []
+    return [*out, code[start:]]
+
+
+def calls_of(text: str | None, policy: str = "identifier", positions: dict[str, list[int]] | None = None) -> list[tuple[str, int, list[str]]]:
+    """(callee, line, names passed as arguments) of the calls in a C text, in the order in which their brackets open.
+
+    policy: 'identifier' takes calls by a plain name alone, so neither members nor pointers; 'indirect' also has the others, as indirect_call; 'text' has whatever is called as it is written. A name that is passed plainly, by & or behind a cast is given once; with positions, only callees named there pass any, and only at these places (from 1).
+    """
+    if policy not in ("identifier", "indirect", "text"):
+        raise ValueError(f"no such policy: {policy}")
     code = blank(text or "", strings=True)
     defined = {m.start(2) for m in _DEFINE.finditer(code)}
     out = []
-    for m in _CALL.finditer(code):
-        if m[1] in _KEYWORDS or m.start(1) in defined:
+    for m in re.finditer(r"(?<=[\w)\]])\s*\(", code):
+        word = _word(code, m.start())
+        if word < m.start() and (code[word : m.start()] in _KEYWORDS or word in defined or _POINTER.match(code, m.end())):
             continue
-        depth, end = 0, len(code)
-        for p in re.compile(r"[()]").finditer(code, m.end() - 1):
-            depth += 1 if p[0] == "(" else -1
-            if depth == 0:
-                end = p.start()
-                break
-        args = [re.sub(r"^\(\s*[A-Za-z_][\w\s*]*\)\s*", "", a.strip()) for a in code[m.end() : end].split(",")]
+        if code[m.start() - 1] == ")" and _control(code, _opening(code, m.start() - 1)):
+            continue
+        start = _callee_start(code, m.start())
+        callee = " ".join(code[start : m.start()].split())
+        plain = re.fullmatch(r"[A-Za-z_]\w*", callee)
+        if not callee or not plain and re.fullmatch(r"\((?:\s*(?:const|unsigned|signed|struct|enum|union|void|char|short|int|long|float|double|size_t|\w+_t)\b[\w\s*]*)\)", callee):
+            continue  # a cast
+        if re.match(r"[A-Za-z_]\w*[\s*]+\(\s*\*", callee):
+            continue  # the declaration of a pointer to functions
+        if not plain and policy == "identifier":
+            continue
+        opened = m.end() - 1
+        args = arguments_of(code, opened)
+        if positions is not None:
+            args = [a for k, a in enumerate(args, 1) if k in positions.get(callee, [])]
+        args = [re.sub(r"^\(\s*[A-Za-z_][\w\s*]*\)\s*", "", a.strip()) for a in args]
         passed = [g[1] for a in args if (g := re.fullmatch(r"&?\s*\(?\s*([A-Za-z_]\w*)\s*\)?", a))]
-        out.append((m[1], code.count("\n", 0, m.start()) + 1, list(dict.fromkeys(passed))))
-    if policy == "indirect":
-        out += [("indirect_call", code.count("\n", 0, m.start()) + 1, []) for m in re.finditer(r"\(\s*\*\s*[A-Za-z_]\w*\s*\)\s*\((?!\s*\*)", code)]
+        out.append((callee if plain or policy == "text" else "indirect_call", code.count("\n", 0, opened) + 1, list(dict.fromkeys(passed))))
     return out
 
 
@@ -167,14 +256,23 @@ def c_calls(x: pd.Series) -> pd.Series:
 _TEST = re.compile(r'CU_add_test\s*\(\s*(\w+)\s*,\s*("(?:[^"\\]|\\.)*")\s*,\s*(\w+)\s*\)')
 
 
-def renamed_tests(text: str | None, prefix: str, suite: str = "suite") -> str:
-    """the bodies and registrations of the registered tests, these alone renamed to prefix_name; calls of other functions stay."""
+def tests_of(text: str | None, prefix: str, suite: str = "suite") -> list[tuple[str, str | None, str]]:
+    """(name, body, registration) of each registration of a test, the registered names alone renamed to prefix_name; calls of other functions stay. A body is given with the first registration of its test."""
     found = list(_TEST.finditer(text or ""))
     names = list(dict.fromkeys(m[3] for m in found))
-    sub = lambda s: re.sub(rf"\b({'|'.join(map(re.escape, names))})\b", lambda m: f"{prefix}_{m[1]}", s) if names else s
-    bodies = [b for n in names if (b := body_of(text, n))]
-    lines = [f"CU_add_test({suite}, {m[2]}, {prefix}_{m[3]});" for m in found]
-    return "\n".join([sub(b) for b in bodies] + lines)
+    sub = lambda s: re.sub(rf"\b({'|'.join(map(re.escape, names))})\b", lambda m: f"{prefix}_{m[1]}", s)
+    out, seen = [], set()
+    for m in found:
+        body = None if m[3] in seen else body_of(text, m[3])
+        seen.add(m[3])
+        out.append((f"{prefix}_{m[3]}", sub(body) if body else None, f"CU_add_test({suite}, {m[2]}, {prefix}_{m[3]});"))
+    return out
+
+
+def renamed_tests(text: str | None, prefix: str, suite: str = "suite") -> str:
+    """the bodies of tests_of(), then the registrations, as one text."""
+    found = tests_of(text, prefix, suite)
+    return "\n".join([b for _, b, _ in found if b] + [line for _, _, line in found])
 
 
 @F.pandas_udf(T.StringType())
@@ -254,8 +352,42 @@ def token_counts(path: str):
     return run
 
 
+@F.udtf(returnType="callee string, line_number int, passed array<string>", useArrow=True)
+class CallsOf:
+    """The calls of a C text as rows; the policy is an argument."""
+
+    def eval(self, text: str, policy: str):
+        yield from calls_of(text, policy or "identifier")
+
+
+@F.udtf(returnType="callee string, line_number int, passed array<string>", useArrow=True)
+class PassedTo:
+    """The calls of a C text as rows, callbacks taken from the places that a map of callees to places (from 1) names."""
+
+    def eval(self, text: str, positions: dict):
+        yield from calls_of(text, "indirect", positions or {})
+
+
+@F.udtf(returnType="name string, is_static boolean, start_line int, end_line int", useArrow=True)
+class DefinitionsIn:
+    """The functions that a C text defines, as rows."""
+
+    def eval(self, text: str):
+        yield from definitions_of(text)
+
+
+@F.udtf(returnType="name string, body string, registration string", useArrow=True)
+class TestsIn:
+    """the registered tests of a C text as rows, renamed to prefix_name; a test without a body has none."""
+
+    def eval(self, text: str, prefix: str):
+        yield from tests_of(text, prefix)
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the functions callable from SQL by their names."""
+    """Makes the functions callable from SQL by their names; those that give rows by lateral joins."""
+    for name, f in {"c_calls_of": CallsOf, "c_passed_to": PassedTo, "c_definitions_in": DefinitionsIn, "c_tests_in": TestsIn}.items():
+        spark.udtf.register(name, f)
     spark.udf.register("decoded_raw", decoded(RAW_ENCODINGS))
     for f in (usage_tokens, sequence_ratio, canonical_sha256, blank_comments, function_body, c_definitions, c_calls, prefixed_tests):
         spark.udf.register(f.__name__, f)

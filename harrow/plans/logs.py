@@ -135,7 +135,38 @@ def c_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", F.array_join(defs, ",").alias("definitions"), F.array_join(calls, ",").alias("calls"), F.contains("b", F.lit("z()")).alias("comment_left"))
 
 
-QUERIES = {f.__name__: f for f in (log_results, log_tasks, log_line_numbers, log_judgments, log_checks, log_by_setup, result_fingerprints, usage_roll_up, ordered_results, selected_units, known_dependents, c_sources)}
+def _c_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k").cast("string")
+    x = F.concat(F.lit("void a(void) {\n  f"), k, F.lit("(&cb, (int)x, g(1));\n  s->run(2); /* no(3); */\n  (*fp)(4);\n  t.m[i](cb);\n  sizeof(int);\n}\n"))
+    return keyed_events(spark, sf_dir).select("event_id", "k", x.alias("text"))
+
+
+def c_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three policies of what is a callee, as rows of a table function joined laterally in SQL."""
+    U.register(spark)
+    policies = spark.createDataFrame([("identifier",), ("indirect",), ("text",)], "policy string")
+    d = spark.sql("SELECT event_id, policy, c.callee, c.line_number, array_join(c.passed, '+') AS passed FROM {t} t JOIN {p} p, LATERAL c_calls_of(t.text, p.policy) c", t=_c_texts(spark, sf_dir), p=policies)
+    return d.select("event_id", "policy", "callee", "line_number", "passed")
+
+
+def c_callback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callbacks at configured places of the callees that have any."""
+    U.register(spark)
+    return spark.sql("SELECT t.event_id, c.callee, explode(c.passed) AS callback FROM {t} t, LATERAL c_passed_to(t.text, map('f' || t.k, array(1), 'g', array(1))) c", t=_c_texts(spark, sf_dir))
+
+
+def c_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered tests and definitions as rows of table functions."""
+    U.register(spark)
+    k = F.col("k").cast("string")
+    x = F.concat(F.lit("static void t"), k, F.lit("(void) { init(); }\nvoid add(void) {\n  CU_add_test(s, \"one\", t"), k, F.lit(");\n  CU_add_test(s, \"two\", lost);\n}\n"))
+    d = keyed_events(spark, sf_dir).select("event_id", x.alias("text"))
+    tests = spark.sql("SELECT t.event_id, c.name, c.body, c.registration FROM {t} t, LATERAL c_tests_in(t.text, 'p') c", t=d)
+    found = spark.sql("SELECT t.event_id, c.name, concat_ws(':', c.is_static, c.start_line, c.end_line) AS body, CAST(NULL AS STRING) AS registration FROM {t} t, LATERAL c_definitions_in(t.text) c", t=d)
+    return tests.union(found)
+
+
+QUERIES = {f.__name__: f for f in (log_results, log_tasks, log_line_numbers, log_judgments, log_checks, log_by_setup, result_fingerprints, usage_roll_up, ordered_results, selected_units, known_dependents, c_sources, c_call_rows, c_callback_rows, c_test_rows)}
 
 _PAYLOAD = """'{"called": ["g"], "code": "' || extracted_code || '", "compile_pass": ' || compile_pass || ', "hard_pass": ' || hard_pass || ', "input_tokens": ' || k || ', "latency_ms": ' || 3 * k || ', "missing": ["f"], "output_tokens": ' || case when k % 2 = 0 then k::varchar else 'null' end || ', "rag_queries": [], "raw_response": "r' || k || '", "required": ["f", "g"], "setup": "' || setup || '", "task_id": "' || task_id || '"}'"""
 SQL = {
@@ -153,4 +184,11 @@ SQL = {
     "known_dependents": """with s as (select s_suppkey as n from supplier), d as (select a.n, p.pos, p.dep from s a, lateral (select unnest([0, 1, 2]) as pos, unnest([a.n * 3, a.n, a.n - 1]) as dep) p), k as (select n, string_agg('s' || dep, ',' order by pos) as known, arg_min(dep, pos) as first from d where dep in (select n from s) group by 1)
       select 's' || n as name, known, first <> n as check_others from k""",
     "c_sources": f"with {K_EVENTS} select event_id, 'f' || k || ':true:1:5,main:false:7:8' as definitions, 'g' || k || ':3:a+cb,f' || k || ':8:' as calls, false as comment_left from k_events",
+    "c_call_rows": f"""with {K_EVENTS}, c as (select event_id, k, unnest(['identifier', 'indirect', 'text']) as policy from k_events), x as (
+        select event_id, policy, unnest([{{'c': 'f' || k, 'l': 2, 'p': 'cb+x', 'only': ['identifier', 'indirect', 'text']}}, {{'c': 'g', 'l': 2, 'p': '', 'only': ['identifier', 'indirect', 'text']}}, {{'c': 's->run', 'l': 3, 'p': '', 'only': ['text']}}, {{'c': '(*fp)', 'l': 4, 'p': '', 'only': ['text']}}, {{'c': 't.m[i]', 'l': 5, 'p': 'cb', 'only': ['text']}},
+          {{'c': 'indirect_call', 'l': 3, 'p': '', 'only': ['indirect']}}, {{'c': 'indirect_call', 'l': 4, 'p': '', 'only': ['indirect']}}, {{'c': 'indirect_call', 'l': 5, 'p': 'cb', 'only': ['indirect']}}]) as x from c)
+      select event_id, policy, x.c as callee, x.l::int as line_number, x.p as passed from x where list_contains(x.only, policy)""",
+    "c_callback_rows": f"with {K_EVENTS} select event_id, 'f' || k as callee, 'cb' as callback from k_events",
+    "c_test_rows": f"""with {K_EVENTS} select event_id, 'p_t' || k as name, 'void p_t' || k || '(void) {{ init(); }}' as body, 'CU_add_test(suite, "one", p_t' || k || ');' as registration from k_events
+      union all select event_id, 'p_lost', null, 'CU_add_test(suite, "two", p_lost);' from k_events union all select event_id, 't' || k, 'true:1:1', null from k_events union all select event_id, 'add', 'false:2:5', null from k_events""",
 }

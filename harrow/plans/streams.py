@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.plans.inputs import K_EVENTS, table
+from harrow.plans.inputs import K_EVENTS, RUNS, runs, table
 from harrow.sources.scratch import folder
 from harrow.streaming import tables as S
 
@@ -16,12 +16,40 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
+def _parts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """events as a stream of n files, a file a batch."""
+    at = f"{folder(spark)}/parts-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "events")
+    for k in range(n):
+        d.where(F.col("event_id") % n == k).coalesce(1).write.mode("append").parquet(at)
+    return S.tail(spark, at, d.schema, "parquet", 1)
+
+
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    d = _stream(spark, sf_dir).select("user_id", "event_type", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    q = S.upsert_latest(d, ["user_id", "event_type"], "event_id", f"{at}/table", f"{at}/log")
-    q.awaitTermination()
-    return spark.read.parquet(f"{at}/table/{q.lastProgress['batchId']}")
+    """ST3: the latest row of each key over five batches, of which two pairs are merged on the way."""
+    at, keys = f"{folder(spark)}/stream-{uuid.uuid4().hex}", ["user_id", "event_type"]
+    d = _parts(spark, sf_dir, 5).select("user_id", "event_type", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    S.upsert_latest(d, keys, "event_id", f"{at}/table", f"{at}/log", merge=2).awaitTermination()
+    return S.read_latest(spark, f"{at}/table", keys, "event_id")
+
+
+def stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4, T7: the best attempt of each user by keyed state, and the users closed a day after their last row."""
+    d = _stream(spark, sf_dir).where("value is not null")
+    return S.once(S.best_attempts(d, "user_id", "ts", "event_id", "value", "86400000", "1 hour"))
+
+
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5, J5: tasks asked of two setups, run, run again, and run once more after new tasks came; those without a result, by batch."""
+    at = f"{folder(spark)}/resume-{uuid.uuid4().hex}"
+    tasks = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("task_id"))
+    have = lambda: runs(spark, sf_dir).select("task_id", "setup")
+    for new in (tasks.where("item_id % 3 = 0"), None, tasks.where("item_id % 3 > 0")):
+        if new is not None:
+            new.select("task_id").coalesce(1).write.mode("append").json(f"{at}/tasks")
+        asked = S.tail(spark, f"{at}/tasks", "task_id string").withColumn("setup", F.explode(F.array(F.lit("view"), F.lit("click"))))
+        S.outstanding(asked, have, ["task_id", "setup"], f"{at}/table", f"{at}/log").awaitTermination()
+    return S.asked_so_far(spark, f"{at}/table")
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +71,12 @@ def _days(t: DataFrame) -> DataFrame:
     return t.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (stream_latest, stream_windows, stream_sliding, stream_sessions)}
+QUERIES = {f.__name__: f for f in (stream_latest, stream_best, stream_resume, stream_windows, stream_sliding, stream_sessions)}
 SQL = {
     "stream_latest": f"with {K_EVENTS} select user_id, event_type, event_id, k from k_events qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1",
+    "stream_best": """with l as (select user_id, max(ts) as seen, max((value, event_id)) as m from events where value is not null group by 1), b as (select user_id::varchar as key, m[1]::double as score, m[2]::bigint as attempt, seen from l)
+      select key, 'best' as event, attempt, score from b union all select key, 'closed', attempt, score from b where seen + interval 1 day <= (select max(ts) from events) - interval 1 hour""",
+    "stream_resume": f"with {RUNS}, a as (select 't' || item_id as task_id, unnest(['view', 'click']) as setup, case when item_id % 3 = 0 then 0 else 1 end::int as batch from benchmark) select * from a anti join runs using (task_id, setup)",
     "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
     "stream_sliding": "select strftime(date_trunc('day', ts) - to_days(b), '%Y-%m-%d') as day, event_type, count(*) as n from events, (values (0), (1)) p(b) group by all",
     "stream_sessions": """with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 1 hour then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from l)

@@ -120,14 +120,70 @@ def test_sinks(spark, tmp_path):
     assert both.count() == 4 and "m" in both.columns
 
 
-def test_stream_in_two_steps(spark, tmp_path):
+def test_stream_latest_by_deltas(spark, tmp_path):
+    """A batch writes its own rows only; deltas are merged and what two merges replaced goes; a lost table raises."""
     src, target, log = (str(tmp_path / x) for x in ("src", "target", "log"))
-    for k in (1, 2):
+    keys, want = ["task_id", "setup"], {}
+    for k in range(9):
         spark.createDataFrame([("t", "s", k), (f"t{k}", "s", k)], "task_id string, setup string, line_no int").coalesce(1).write.mode("append").json(src)
-        q = T.upsert_latest(T.tail(spark, src, "task_id string, setup string, line_no int"), ["task_id", "setup"], "line_no", target, log)
-        q.awaitTermination()
-        at = q.lastProgress["batchId"]
-    assert {(r.task_id, r.line_no) for r in spark.read.parquet(f"{target}/{at}").collect()} == {("t", 2), ("t1", 1), ("t2", 2)}
+        want |= {"t": k, f"t{k}": k}
+        T.upsert_latest(T.tail(spark, src, "task_id string, setup string, line_no int"), keys, "line_no", target, log, merge=3).awaitTermination()
+        assert spark.read.parquet(f"{target}/delta-{k}").count() == 2
+        assert {r.task_id: r.line_no for r in T.read_latest(spark, target, keys, "line_no").collect()} == want
+    assert T._tables(spark, target) == {"full": [5, 8], "delta": [6, 7, 8]}
+    T._drop(spark, f"{target}/delta-8")
+    T._drop(spark, f"{target}/full-8")
+    spark.createDataFrame([("t", "s", 9)], "task_id string, setup string, line_no int").coalesce(1).write.mode("append").json(src)
+    with pytest.raises(Exception, match="delta-8 is not there"):
+        T.upsert_latest(T.tail(spark, src, "task_id string, setup string, line_no int"), keys, "line_no", target, log, merge=3).awaitTermination()
+
+
+def test_resume_as_a_stream(spark, tmp_path):
+    src, target, log, have = str(tmp_path / "src"), str(tmp_path / "target"), str(tmp_path / "log"), [("a", 1)]
+
+    def run():
+        d = T.tail(spark, src, "task_id string, n int")
+        T.outstanding(d, lambda: spark.createDataFrame(have, "task_id string, other int"), ["task_id"], target, log).awaitTermination()
+        return sorted((r.task_id, r.batch) for r in T.asked_so_far(spark, target).collect())
+
+    spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "task_id string, n int").coalesce(1).write.json(src)
+    assert run() == [("b", 0)] and run() == [("b", 0)]
+    spark.createDataFrame([("c", 1), ("b", 2), ("a", 5)], "task_id string, n int").coalesce(1).write.mode("append").json(src)
+    have.append(("d", 1))
+    assert run() == [("b", 0), ("c", 1)] and run() == [("b", 0), ("c", 1)]
+
+
+def test_best_attempts_over_batches(spark, tmp_path):
+    """Ties go to the later attempt; state outlives a batch and a restart; idle keys are closed once and begin anew."""
+    src, log, out = str(tmp_path / "src"), str(tmp_path / "log"), []
+    schema = "item string, at timestamp, attempt long, score double"
+
+    def run(rows):
+        spark.createDataFrame([(i, f"2024-01-01 {t}:00", n, s) for i, t, n, s in rows], "item string, at string, attempt long, score double").selectExpr("item", "cast(at as timestamp) as at", "attempt", "score").coalesce(1).write.mode("append").parquet(src)
+        d = T.best_attempts(T.tail(spark, src, schema, "parquet"), "item", "at", "attempt", "score", "600000", "1 minute")
+        before = len(out)
+        T.started(d.writeStream.foreachBatch(lambda b, n: out.extend(tuple(r) for r in b.collect())).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True)).awaitTermination()
+        return sorted(out[before:])
+
+    assert run([("a", "10:00", 1, 5.0), ("a", "10:01", 2, 5.0), ("b", "10:00", 1, None)]) == [("a", "best", 2, 5.0), ("b", "best", 1, 0.0)]
+    assert run([("a", "10:02", 3, 4.0), ("b", "10:03", 2, 1.0)]) == [("b", "best", 2, 1.0)]
+    assert run([("c", "10:30", 1, 1.0)]) == [("a", "closed", 2, 5.0), ("b", "closed", 2, 1.0), ("c", "best", 1, 1.0)]
+    assert run([("a", "10:31", 4, 1.0)]) == [("a", "best", 4, 1.0)]
+
+
+def test_callees_by_policy():
+    from harrow.functions.udfs import calls_of
+
+    code = "int f(int (*cb)(int)) {\n  a(b(1), (c));\n  s->d(2);\n  x.y[3].e(4)(5);\n  (*p)(6); (q)(7);\n  int z = (int)(8) + (size_t)(w);\n  return g(h, &i, (void *)j, 1), sizeof(k);\n}\nif (l) (m)(9);"
+    names = lambda policy: [c for c, _, _ in calls_of(code, policy)]
+    assert names("identifier") == ["a", "b", "g"]
+    assert names("text") == ["a", "b", "s->d", "x.y[3].e", "x.y[3].e(4)", "(*p)", "(q)", "g", "(m)"]
+    assert names("indirect") == ["a", "b", *["indirect_call"] * 5, "g", "indirect_call"]
+    assert [p for c, _, p in calls_of(code) if c == "g"] == [["h", "i", "j"]]
+    assert [p for c, _, p in calls_of(code, positions={"g": [2, 4]}) if c in ("a", "g")] == [[], ["i"]]
+    assert [n for _, n, _ in calls_of(code)] == [2, 2, 7] and calls_of(None) == [] and calls_of("a(") == [("a", 1, [])]
+    with pytest.raises(ValueError, match="no such policy"):
+        calls_of(code, "any")
 
 
 def test_binary_digest(spark, tmp_path):
