@@ -2,7 +2,9 @@
 
 A document is its set of distinct shingles. The shingles' hashes fall into buckets, and a bucket's register keeps the leading zeros of its smallest hash and some bits after them, 16 bits in all. Registers are banded: documents that agree in all registers of a band meet. Their similarity is estimated from all registers, corrected for collisions of the short registers; what may reach the threshold is verified on the full sets.
 
-Documents of equal sets are one class, and one row of each stands for it, before anything is compared. Each class is first compared with one other of each of its bands, the hub: that settles bands of two classes, and connects most of a large group of near copies with no more pairs than there are band entries. Then what a band still holds of other components than its largest is compared with all of the band, in blocks bounded by classes and by shingles. Only pairs of different components whose estimate may reach the threshold become rows, and in large bands only links.
+Documents of equal sets are one class, and one row of each stands for it, before anything is compared. Each class is first compared with one other of each of its bands, the hub: that settles bands of two classes, and connects most of a large group of near copies with no more pairs than there are band entries. Then what a band still holds of other components than its largest is compared with all of the band. In a large band only classes meet that agree in a second band as well, so one of unlike documents that have a passage in common is not compared in full. Blocks are bounded by classes and by shingles. Only pairs of different components whose estimate may reach the threshold become rows, and where a second band is large too only links.
+
+Two sets at the threshold agree in no band with a probability of MISS at most, and in one alone with miss_twice(); only pairs whose one band is large are lost to that.
 """
 
 from __future__ import annotations
@@ -145,6 +147,12 @@ def band_rows(percent: int) -> int:
     return next((r for r in range(16, 1, -1) if (1 - t**r) ** (BUCKETS // r) <= MISS), 1)
 
 
+def miss_twice(percent: int) -> float:
+    """How likely two sets at the threshold agree in one band at most."""
+    t, bands = (percent / 100) ** band_rows(percent), BUCKETS // band_rows(percent)
+    return (1 - t) ** bands + bands * t * (1 - t) ** (bands - 1)
+
+
 _PROBE = np.random.default_rng(7).integers(0, BUCKETS, (1024, BUCKETS))
 
 
@@ -244,7 +252,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _near_in_blocks(blocks: DataFrame, least: float, size: int = 0) -> DataFrame:
-    """Pairs (a, b) of two blocks of a band: of different components, of sizes and estimates that may reach the threshold, and in no earlier band together.
+    """Pairs (a, b) of two blocks of a band: of different components, of sizes and estimates that may reach the threshold, and in no earlier band together. at and then are the band's place and, where a second band told the block apart, the place of that one (else -1), in which the pair must be together next.
 
     With a shingle size, the blocks hold texts and the pairs are verified here, on the full sets of both; then one link of a class to a component is enough.
     """
@@ -254,15 +262,15 @@ def _near_in_blocks(blocks: DataFrame, least: float, size: int = 0) -> DataFrame
         known = Sets(size)
         for x in batches:
             out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-            for k, band in enumerate(x.column("band").to_pylist()):
+            for k, (at, then) in enumerate(zip(x.column("at").to_pylist(), x.column("then").to_pylist())):
                 few, every = (x.column(c)[k].values for c in ("few", "all"))
                 ca, oa, na, cb, ob, nb = (s.field(c).to_numpy() for s in (few, every) for c in ("rid", "component", "n_shingles"))
                 ba, bb = (s.field("bands").flatten().to_numpy().reshape(len(s), -1) for s in (few, every))
-                first = np.full((len(few), len(every)), -1, np.int64)  # the first band that two share
-                for j in range(ba.shape[1] - 1, -1, -1):
-                    first[ba[:, None, j] == bb[None, :, j]] = j
-                at = int(np.flatnonzero(ba[0] == band)[0])
-                i, q = np.nonzero((first == at) & (oa[:, None] != ob[None, :]))
+                met = oa[:, None] != ob[None, :]  # and which share this band, but none before it and none up to the second one
+                for j in range(max(at, then) + 1):
+                    same = ba[:, None, j] == bb[None, :, j]
+                    met &= same if j in (at, then) else ~same
+                i, q = np.nonzero(met)
                 ra, rb = (_matrix(s.field("registers").to_pylist()) for s in (few, every))
                 ok = np.concatenate([may_reach(ra[i[p : p + 4096]], rb[q[p : p + 4096]], na[i[p : p + 4096]], nb[q[p : p + 4096]], least) for p in range(0, len(i), 4096)] or [np.zeros(0, bool)])
                 i, q = i[ok], q[ok]
@@ -325,13 +333,25 @@ def _texts(wanted: DataFrame, made: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _rest(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, rid, component, largest, n, work) of the bands of three classes or more that hold more than one component; stashed. largest: the component of most classes; work: shingles of the band."""
+    """(band, at, then, rid, component, largest, n, work) of the bands of three classes or more that hold more than one component; stashed. at: the band's place; then: -1."""
     e = met.where("n > 2").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
-    e = stash(e.select("band", "rid", "n_shingles", F.coalesce("root", "rid").alias("component")), "open")
+    return _open(e.select("band", "at", F.lit(-1).alias("then"), "rid", "n_shingles", F.coalesce("root", "rid").alias("component")))
+
+
+def _twice(wide: DataFrame, made: DataFrame) -> DataFrame:
+    """The rows of large bands by a second, later band: as _rest() has them, but of what agrees in both; stashed."""
+    e = wide.select("band", "at", "rid", "component").join(made.select("rid", "n_shingles", "bands"), "rid")
+    e = e.select("band", "at", "rid", "n_shingles", "component", F.posexplode("bands").alias("then", "other")).where(F.col("then") > F.col("at"))
+    return _open(e.select(F.xxhash64("band", "other").alias("band"), "at", "then", "rid", "n_shingles", "component"))
+
+
+def _open(e: DataFrame) -> DataFrame:
+    """e (band, at, then, rid, n_shingles, component) with largest, n and work, of the bands that hold more than one component; stashed. largest: the component of most classes; work: shingles of the band."""
+    e = stash(e, "open")
     sizes = e.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("w"))
     state = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.sum("w").alias("work"), F.max_by("component", F.struct("k", "component")).alias("largest"))
     state = stash(state.where("parts > 1").drop("parts"), "bands")
-    out = stash(e.join(state, "band").select("band", "rid", "component", "largest", "n", "work"), "rest")
+    out = stash(maybe_in(e, F.col("band"), state, F.col("band")).join(state, "band").select("band", "at", "then", "rid", "component", "largest", "n", "work"), "rest")
     discard(e, state)
     return out
 
@@ -345,7 +365,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = made.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
     classes = stash(classes, "classes")
     banded = stash(made.select("rid", "n_shingles", "bands").join(classes.select("rid"), "rid", "left_semi"), "banded")
-    entries = banded.select("rid", "n_shingles", F.explode("bands").alias("band"))
+    entries = banded.select("rid", "n_shingles", F.posexplode("bands").alias("at", "band"))
     mask = F.xxhash64(F.pmod("band", F.lit(HUBS)))  # an order of rids for each of HUBS kinds of bands, so that a class meets several hubs
     state = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.col("rid").bitwiseXOR(mask)).alias("first")).where("n > 1")
     state = stash(state.select("band", "n", F.col("first").bitwiseXOR(mask).alias("hub")), "bands")
@@ -358,21 +378,23 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = _verified(likely, texts, size, percent)
     roots = stash(components(links), "roots")
     discard(likely, texts, links)
-    # the rest, exactly: what is not of a band's largest component against all of the band, block by block
-    rest = _rest(met, roots)
+    # the rest: what is not of a band's largest component against all of the band, large bands by a second one
+    once = _rest(met, roots)
+    twice = _twice(once.where(F.col("n") > WIDE), made)
+    rest = once.where(F.col("n") <= WIDE).union(twice)
     columns = ["rid", "component", "registers", "n_shingles", "bands"]
     full = rest.join(made.select("rid", "registers", "n_shingles", "bands"), "rid")
 
     def blocks(full: DataFrame, names: list[str], n_blocks: Column) -> DataFrame:
-        full = full.select("band", n_blocks.alias("blocks"), "largest", *names).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks"))
+        full = full.select("band", "at", "then", n_blocks.alias("blocks"), "largest", *names).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks"))
         every = full.groupBy("band", "block").agg(F.collect_list(F.struct(*names)).alias("all"))
-        few = full.where("component <> largest").groupBy("band", "blocks", F.col("block").alias("part")).agg(F.collect_list(F.struct(*names)).alias("few"))
+        few = full.where("component <> largest").groupBy("band", "at", "then", "blocks", F.col("block").alias("part")).agg(F.collect_list(F.struct(*names)).alias("few"))
         # each block of few goes to every block of its band, so a large band's work is dealt over as many tasks as it has blocks
-        few = few.select("band", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        return few.join(every, ["band", "block"]).select("band", "few", "all")
+        few = few.select("band", "at", "then", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        return few.join(every, ["band", "block"]).select("band", "at", "then", "few", "all")
 
     likely = stash(_near_in_blocks(blocks(full.where(F.col("n") <= WIDE), columns, F.lit(1).cast("long")), least), "likely")
-    # in a large band, pairs below the threshold are too many to be rows: they are verified where they meet
+    # what agrees twice in a large band is mostly near; pairs below the threshold may be too many to be rows there: they are verified where they meet
     wide = full.where(F.col("n") > WIDE)
     texts = _texts(_ends(likely).union(rest.where(F.col("n") > WIDE).select("rid")), made, docs)
     n_blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("work") / BLOCK_SHINGLES))
@@ -382,7 +404,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if not found.isEmpty():
         old, roots = roots, stash(components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
         discard(old)
-    discard(met, rest, likely, texts, links, met_there)
+    discard(met, once, twice, likely, texts, links, met_there)
     of = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
     least_id = stash(of.where("root is not null").groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     of = stash(of.where("root is not null or members > 1").join(least_id, "root", "left").select("c1", "c2", F.coalesce("component_id", "first_id").alias("component_id")), "classes")

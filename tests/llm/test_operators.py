@@ -128,6 +128,36 @@ def test_keep_one(clashing):
     assert 0 in ids and not {1, 2, 12} & set(ids) and ids.count(None) == 2 and {3, 4, 5} <= set(ids)
 
 
+def test_near_groups_recall(spark, monkeypatch):
+    """Pairs at the threshold among documents of which half is one passage: large bands of unlike documents, of which few are compared."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    passage, rows = [word() for _ in range(120)], []
+    for k in range(250):
+        own = [word() for _ in range(100)]
+        near = [word() if n % 20 == 6 else w for n, w in enumerate(own)]
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + near))]
+    want = {i: i - i % 2 for i, _ in rows}
+    compared, was = [], near_dedup._near_in_blocks
+
+    def counted(blocks, least, size=0):
+        compared[-1] += blocks.selectExpr("sum(size(few) * size(all)) as n").first()["n"] or 0
+        return was(blocks, least, size)
+
+    monkeypatch.setattr(near_dedup, "_near_in_blocks", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for wide in (8, 1000):
+        monkeypatch.setattr(near_dedup, "WIDE", wide)
+        compared.append(0)
+        got = {x.doc_id: x.component_id for x in near_dedup.groups(d, 3, 85).collect()}
+        found = sum(got[i] == c for i, c in want.items())
+        assert all(got[i] in (c, i) for i, c in want.items()) and found >= 0.99 * len(want), found
+    assert 0 < 3 * compared[0] < compared[1], compared
+    assert near_dedup.miss_twice(85) < 2e-5 and near_dedup.miss_twice(80) < 2e-6
+
+
 def test_registers():
     rng = np.random.default_rng(0)
     for n in (1, 5, 50, 5000):
