@@ -152,3 +152,15 @@ def verdict(v: Column, least: int) -> Column:
     s = F.try_variant_get(v, "$.score", "double")
     n = F.greatest(F.lit(0), F.least(F.lit(100), s.cast("int")))
     return F.when(s.isNotNull(), F.struct(n.alias("score"), (n >= least).alias("passed")))
+
+
+def resolved_path(path: Column, folder: str = "/") -> Column:
+    """A path without `.` and `..`, from the folder if it is relative; by its text alone, so links are not followed."""
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def below(path: Column, folder: Column) -> Column:
+    """Whether a resolved path is the resolved folder or lies in it."""
+    return (path == folder) | F.startswith(path, F.concat(F.rtrim(folder, F.lit("/")), F.lit("/")))

@@ -50,22 +50,51 @@ def overlay(entries: DataFrame) -> DataFrame:
     return last.join(gone, "path", "left").where(F.col("_gl").isNull() | (F.col("layer") >= F.col("_gl"))).drop("_gl").join(hidden, "path", "left_anti")
 
 
-def fuzzy(names: DataFrame, documents: DataFrame, least: float = 0.90, k: int = 5) -> DataFrame:
-    """Per name the documents of the same key, else the k most similar by the sequence ratio.
+def _prefixes(d: DataFrame, q: int, common: Column, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((key, gram, nth) of the rarest grams of each key, counts of grams): as many that two keys which share `common` grams of each one's own at least have one of them in common.
+
+    Grams are of q characters, and the nth time that a key holds one tells it from the others. counts: the grams' numbers, by which both sides of a join must be ordered.
+    """
+    at = F.sequence(F.lit(1), F.length("key") - (q - 1))
+    one = d.where(F.length("key") >= q).select("key", F.explode(F.transform(at, lambda k: F.struct(F.substring("key", k, F.lit(q)).alias("gram"), k.alias("k")))).alias("g")).select("key", "g.*")
+    if counts is None:
+        counts = one.groupBy("gram").agg(F.count("*").alias("n"))
+    own = one.join(counts, "gram", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "k"))).alias("g"))  # a key's grams, no more than its characters
+    rare = F.slice("g", F.lit(1), F.greatest(F.lit(1), F.length("key") - (q - 1) - F.greatest(common, F.lit(1)) + 1).cast("int"))
+    numbered = F.transform(rare, lambda x, i: F.struct(x["gram"].alias("gram"), F.size(F.filter(F.slice(rare, F.lit(1), i), lambda y: y["gram"] == x["gram"])).alias("nth")))
+    return own.select("key", F.explode(numbered).alias("g")).select("key", "g.gram", "g.nth"), counts
+
 
-    A pair of at least `least` shares length within (2 - least) / least and, for keys of at least 8 characters, a run of two characters; names meet documents by those, so there is no product of the tables.
+def similar_keys(names: DataFrame, documents: DataFrame, least: float = 0.90) -> DataFrame:
+    """(a, b, ratio): pairs of different keys of names and of documents whose sequence ratio is at least `least` (0.8 or more).
+
+    A set-similarity join with prefix filter. Of T characters in both, a pair has at least least * T / 2 in common runs, which at most (1 - least) * T + 1 of them make up, so it shares (1.5 * least - 1) * T - 1 pairs of neighbouring characters, and T is at least the length of either by 1 - least / 2. Each key is looked up by its rarest grams alone, as many as that leaves; a frequent gram is in hardly any key's. Keys too short for this meet by single characters in the same way.
     """
-    a, b = names.select("name", F.col("key").alias("a")), documents.select("doc", F.col("key").alias("b"))
-    same = a.join(b, F.col("a") == F.col("b")).select("name", "doc", F.lit(1.0).alias("ratio"))
-    rest = a.join(same.select("name").distinct(), "name", "left_anti")
-    grams = lambda c: F.explode(F.array_distinct(F.when(F.length(c) < 8, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, i, F.lit(1)))).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))))
-    short = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, i, F.lit(1)))))
-    by_two = rest.select("name", "a", grams(F.col("a")).alias("g")).union(rest.where(F.length("a").between(8, 10)).select("name", "a", short(F.col("a"))))
-    docs = b.select("doc", "b", grams(F.col("b")).alias("g")).union(b.where(F.length("b").between(8, 10)).select("doc", "b", short(F.col("b"))))
-    near = by_two.join(docs, "g").where((2 * F.least(F.length("a"), F.length("b"))) >= least * (F.length("a") + F.length("b"))).select("name", "doc", "a", "b").distinct()
-    scored = near.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least).select("name", "doc", "ratio")
+    if not 0.8 <= least <= 1:
+        raise ValueError("least must be between 0.8 and 1")
+    a, b = (d.select("key").where("key is not null").distinct() for d in (names, documents))
+    total = F.length("key") / (1 - least / 2)
+    by_two, by_one = F.ceil((1.5 * least - 1) * total - 1 - 1e-9), F.ceil(least / 2 * total - 1e-9)
+    short = by_two < 1
+    longest = 2 * (1 - least / 2) / (1.5 * least - 1) * (2 - least) / least + 1  # the longest key that a short one may be like
+    met = None
+    for q, common, asked, held in ((2, by_two, a.where(~short), b), (1, by_one, a.where(short), b.where(F.length("key") <= longest))):
+        right, counts = _prefixes(held, q, common)
+        left, _ = _prefixes(asked, q, common, counts)
+        own = left.withColumnRenamed("key", "a").join(right.withColumnRenamed("key", "b"), ["gram", "nth"]).select("a", "b")
+        met = own if met is None else met.union(own)
+    near = met.where((2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b"))) & (F.col("a") != F.col("b"))).distinct()
+    return near.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
+
+
+def fuzzy(names: DataFrame, documents: DataFrame, least: float = 0.90, k: int = 5) -> DataFrame:
+    """(name, doc, ratio, rank): per name the documents of the same key, else those most similar by the sequence ratio, k at most; ties by doc. Null keys are like none."""
     from harrow.operators.selection import top_k
 
+    same = names.select("name", "key").join(documents.select("doc", "key"), "key").select("name", "doc", F.lit(1.0).alias("ratio"))
+    rest = names.join(documents.select("key").distinct(), "key", "left_anti")
+    pairs = similar_keys(rest, documents, least)
+    scored = rest.select("name", F.col("key").alias("a")).join(pairs, "a").join(documents.select("doc", F.col("key").alias("b")), "b").select("name", "doc", "ratio")
     return top_k(same.union(scored).withColumn("_o", F.struct((-F.col("ratio")).alias("r"), "doc")), "name", F.col("_o"), k).drop("_o")
 
 

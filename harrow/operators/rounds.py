@@ -58,12 +58,18 @@ def merge_best(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(*KEY).agg(F.max_by(F.struct("round", "hard_pass", "compile_pass", "required_pass"), rank).alias("_b")).select(*KEY, "_b.*")
 
 
+#: Setups up to which their names are part of the plan.
+SETUPS = 10_000
+
+
 def expected(tasks: DataFrame, observed: DataFrame) -> DataFrame:
-    """Tasks times observed setups. Setups are a small dimension: their number is that of configured models, read first and held against a bound."""
-    setups = [r[0] for r in observed.select("setup").distinct().limit(10_001).collect()]
-    if len(setups) > 10_000:
-        raise ValueError("more than 10000 setups: the product with tasks is not meant for that")
-    return tasks.select("task_id").distinct().withColumn("setup", F.explode(F.array(*[F.lit(s) for s in sorted(setups)]) if setups else F.array().cast("array<string>")))
+    """Tasks times observed setups; the product is the result. Setups are those of configured models: up to SETUPS of them are an array that each task is exploded by, more are a table that tasks are joined with."""
+    every = observed.select("setup").where("setup is not null").distinct()
+    setups = [r[0] for r in every.limit(SETUPS + 1).collect()]
+    ids = tasks.select("task_id").distinct()
+    if len(setups) > SETUPS:
+        return ids.join(every, how="cross")
+    return ids.withColumn("setup", F.explode(F.array(*[F.lit(s) for s in sorted(setups)]) if setups else F.array().cast("array<string>")))
 
 
 def missing(wanted: DataFrame, have: DataFrame) -> DataFrame:

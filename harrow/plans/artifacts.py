@@ -71,6 +71,18 @@ def chart_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.lines(files.text_files(spark, at, "*.txt")).where("line <> ''").select("line_no", "line")
 
 
+def coverage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coverage file for each supplier, its source named relatively or not, some in the test folder or outside the root; which lines are found for which source."""
+    at, n = f"{_new(spark)}/test", F.col("s_suppkey")
+    source = F.when(n % 5 == 0, F.concat(F.lit("./own/s"), n, F.lit(".c"))).when(n % 7 == 0, F.concat(F.lit("/other/s"), n, F.lit(".c"))).when(n % 2 == 0, F.concat(F.lit("../src/./x/../s"), n, F.lit(".c"))).otherwise(F.concat(F.lit("/p/src/s"), n, F.lit(".c")))
+    texts = F.array(F.concat(F.lit("        -:    0:Source:"), source), F.concat(F.lit("        "), n, F.lit(":    1:int f(void) {")), F.lit("    #####:    2:  return 1;"), F.lit("no line"))
+    d = table(spark, sf_dir, "supplier").repartition("s_suppkey").select("s_suppkey", F.posexplode(texts).alias("pos", "value")).sortWithinPartitions("s_suppkey", "pos")
+    d.select("s_suppkey", "value").write.option("compression", "none").partitionBy("s_suppkey").text(at)
+    sinks.into_one_folder(spark, at, r"s_suppkey=([0-9]+)/", "s{}.gcov")
+    wanted = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/p/src/../src/s"), n, F.lit(".c")).alias("source"))
+    return files.coverage_lines(spark, at, wanted, "/p/test", "/p/src").select("wanted", "name", "count_text", "line_no")
+
+
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files as bytes, with their digest and their text by the first encoding that fits."""
     at = _new(spark)
@@ -131,7 +143,7 @@ def rebased_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_events(spark, sf_dir).select("event_id", U.rebase_json([("/w/", "/new/"), ("/w/in/", "/deep/")])(x).alias("j"))
 
 
-QUERIES = {f.__name__: f for f in (unscored_folders, csv_round_trip, run_history, attempts_by_job, replaced_table, chart_text, file_digests, round_files, http_interactions, registered_nodes, entry_points, requested_setups, c_tests, rebased_paths)}
+QUERIES = {f.__name__: f for f in (unscored_folders, csv_round_trip, run_history, attempts_by_job, replaced_table, chart_text, coverage_sources, file_digests, round_files, http_interactions, registered_nodes, entry_points, requested_setups, c_tests, rebased_paths)}
 
 _NODES = f"with {K_EVENTS}, n as (select 'u' || user_id as unique_id, case event_type when 'click' then 'main' else event_type end as name, 'f' || k || '.c' as file_name, k % 2 = 0 as is_external from k_events qualify row_number() over (partition by user_id order by event_id) = 1) select * from n"
 _BODY = "'(void) {' || chr(10) || '  /* } */ check(\"}\");' || chr(10) || '}'"
@@ -142,6 +154,8 @@ SQL = {
     "attempts_by_job": f"with {RUNS} select setup as job, count(*) as n, count(*) filter (not hard_pass) as n_failed, sum(line_no)::bigint as lines from runs group by 1",
     "replaced_table": f"with {RUNS} select task_id, setup, line_no from runs where line_no % 2 = 0",
     "chart_text": "select row_number() over (order by n_nationkey::varchar)::int as line_no, 'n' || n_nationkey as line from nation",
+    "coverage_sources": """with s as (select s_suppkey as n from supplier where s_suppkey % 5 > 0 and s_suppkey % 7 > 0) select '/p/src/../src/s' || n || '.c' as wanted, 's' || n || '.gcov' as name, n::varchar as count_text, 1 as line_no from s
+      union all select '/p/src/../src/s' || n || '.c', 's' || n || '.gcov', '#####', 2 from s""",
     "file_digests": "with t as (select s_nationkey as nation, 'ü' || count(*) as text from supplier group by 1) select nation, octet_length(encode(text)) + 1 as length, sha256(text || chr(10)) as sha256, text || chr(10) as text from t",
     "round_files": f"with {K_EVENTS} select distinct '/' || user_id || '/results' || case k % 3 when 0 then '' else '_' || k end || '.jsonl' as path, case k % 3 when 0 then 0 else k end::int as round from k_events where k % 3 < 2",
     "http_interactions": f"with {K_EVENTS} select event_id as id, 'm' || k as model, pos, case pos when 0 then 200 else 500 end::int as status, '{{\"total_tokens\":' || k || '}}' as usage from k_events, (values (0), (1)) p(pos) where k % 4 > 0",

@@ -189,17 +189,25 @@ def level_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.flatten_levels(lv, table(spark, sf_dir, "nation").select(n.alias("id"), "n_name"))
 
 
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of every fiftieth order, spelt with a letter too much, looked up among those of all orders; every name begins alike."""
+    key = F.md5(F.col("o_orderkey").cast("string"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", key.alias("k"))
+    asked = o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("name"), F.concat(F.lit("order-"), F.left("k", F.lit(16)), F.when(F.col("o_orderkey") % 100 == 0, "x").otherwise(""), F.right("k", F.lit(16))).alias("key"))
+    return L.fuzzy(asked, o.select(F.col("o_orderkey").alias("doc"), F.concat(F.lit("order-"), "k").alias("key"))).select("name", "doc", "ratio", "rank")
+
+
 def makefile_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Makefiles made of orders' line items: definitions that some lines continue."""
     i, p = F.col("l_linenumber"), F.col("l_partkey").cast("string")
     key = F.when(F.col("l_partkey") % 3 == 0, "CFLAGS").when(F.col("l_partkey") % 3 == 1, "LIBS").otherwise("OTHER")
     cont = F.when(F.col("l_suppkey") % 2 == 0, " \\").otherwise("")
     # a line is a definition if it is the first or its predecessor is not continued; the predecessor's state is part of the row
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), i.alias("line_no"), F.concat(key, F.lit(" += -x"), p, cont).alias("line")).where("line_no <= 7").groupBy("file", "line_no").agg(F.min("line").alias("line"))
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), i.alias("line_no"), F.concat(key, F.lit(" += -x"), p, cont).alias("line")).groupBy("file", "line_no").agg(F.min("line").alias("line"))
     return S.make_variables(S.continuation_groups(d, "file", "line_no", "line"), "file")
 
 
-QUERIES = {f.__name__: f for f in (call_tree, call_paths, last_call_path, highest_parents, macro_targets, edge_bundles, mermaid_lines, path_adjacency, launch_types, callback_edges, resolved_calls, definition_counts, unit_selection, stub_selection, backup_attempts, oldest_prompts, leaf_first_targets, depth_batches, top_values, first_seen, resume_index, turn_counters, key_or_id, suffix_sources, prefix_rewrites, layer_overlay, lookups_with_default, level_functions, makefile_variables)}
+QUERIES = {f.__name__: f for f in (fuzzy_names, call_tree, call_paths, last_call_path, highest_parents, macro_targets, edge_bundles, mermaid_lines, path_adjacency, launch_types, callback_edges, resolved_calls, definition_counts, unit_selection, stub_selection, backup_attempts, oldest_prompts, leaf_first_targets, depth_batches, top_values, first_seen, resume_index, turn_counters, key_or_id, suffix_sources, prefix_rewrites, layer_overlay, lookups_with_default, level_functions, makefile_variables)}
 
 _EDGES = "edges as (select distinct src, dst from (select n_nationkey as src, unnest([(7 * n_nationkey + 3) % 25, (3 * n_nationkey + 1) % 25]) as dst from nation))"
 
@@ -260,7 +268,8 @@ SQL = {
       select path, layer, content from last l where not exists (select 1 from e where starts_with(name, '.wh.f') and e.dir || substr(e.name, 5) = l.path and e.layer > l.layer) and not exists (select 1 from e where name = '.wh..wh..opq' and e.dir = l.dir and e.layer > l.layer)""",
     "lookups_with_default": "select event_id, e.user_id, coalesce(md5(text), 'NO DATA') as launch from events e left join benchmark b on b.item_id = e.user_id",
     "level_functions": "select n_nationkey as id, n_regionkey::varchar as level, n_name from nation",
-    "makefile_variables": r"""with l as (select l_orderkey as file, l_linenumber as line_no, min(case l_partkey % 3 when 0 then 'CFLAGS' when 1 then 'LIBS' else 'OTHER' end || ' += -x' || l_partkey || case when l_suppkey % 2 = 0 then ' \' else '' end) as line from lineitem where l_linenumber <= 7 group by 1, 2),
+    "fuzzy_names": "select o_orderkey as name, o_orderkey as doc, case when o_orderkey % 100 = 0 then 76.0 / 77 else 1.0 end::double as ratio, 1 as rank from orders where o_orderkey % 50 = 0",
+    "makefile_variables": r"""with l as (select l_orderkey as file, l_linenumber as line_no, min(case l_partkey % 3 when 0 then 'CFLAGS' when 1 then 'LIBS' else 'OTHER' end || ' += -x' || l_partkey || case when l_suppkey % 2 = 0 then ' \' else '' end) as line from lineitem group by 1, 2),
       o as (select *, coalesce(ends_with(lag(line) over (partition by file order by line_no), '\'), false) and starts_with(line, 'OTHER') as open from l), g as (select *, sum(case when open then 0 else 1 end) over (partition by file order by line_no) as g from o),
       b as (select file, g, line_no, case when open then null else split_part(line, ' ', 1) end as key, trim(regexp_replace(case when open then line else split_part(line, '+= ', 2) end, '\\\s*$', ''), ' ') as body from g),
       d as (select file, max(key) as key, min(line_no) as line_no, string_agg(body, ' ' order by line_no) as value from b group by file, g)

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from harrow.functions import udfs as U
 from harrow.operators import rounds as R
 from harrow.operators import selection as S
+from harrow.operators.usage import usage_totals
 from harrow.plans.inputs import K_EVENTS, RUNS, keyed_events, runs, table
 from harrow.sources import files, sinks
 from harrow.sources.scratch import folder
@@ -98,7 +99,7 @@ def usage_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: the tokens that a trace states, at any depth and in texts that hold JSON."""
     k = F.col("k").cast("string")
     x = F.concat(F.lit('{"usage": {"prompt_tokens": '), k, F.lit(', "completion_tokens": 1, "Total_Tokens": '), F.when(F.col("k") % 2 == 0, F.col("k") + 5).otherwise(0).cast("string"), F.lit(', "max_tokens": 999}, "steps": [{"token_count": 3}, {"body": "{\\"tokens\\": 4}"}, {"body": "{\\"n\\": 4}"}], "flag_tokens": true}'))
-    return keyed_events(spark, sf_dir).select("event_id", U.usage_tokens(x).alias("tokens"))
+    return usage_totals(keyed_events(spark, sf_dir).select("event_id", x.alias("text")), "event_id", "text")
 
 
 def ordered_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage text of a file per order: a line per line item."""
     count = F.when(F.col("l_returnflag") == "N", F.when(F.col("l_quantity") < 5, "#####").otherwise(F.col("l_quantity").cast("int").cast("string"))).when(F.col("l_returnflag") == "A", "-").otherwise(F.when(F.col("l_quantity") < 25, "=====").otherwise("x"))
     text = F.concat(F.lpad(count, 9, " "), F.lit(":"), F.lpad(F.col("l_linenumber").cast("string"), 5, " "), F.lit(":part "), F.col("l_partkey").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), C.parse_line(text).alias("p")).select("file", "p.*")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.inline(F.array(C.parse_line(text))))
 
 
 def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:

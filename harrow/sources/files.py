@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from harrow.functions.structs import json_object, loose_json
+from harrow.functions.structs import below, json_object, loose_json, resolved_path
 from harrow.functions.text import has_text
 from harrow.operators.coverage import parse_line
 from harrow.sources.scratch import cut
@@ -168,13 +168,24 @@ def rounds(files: DataFrame) -> DataFrame:
     return files.where(F.col("name").rlike(r"^results(_[0-9]+)?\.jsonl$")).select("path", F.when(n == "", 0).otherwise(n.try_cast("int")).alias("round")).distinct()
 
 
-def coverage_lines(spark: SparkSession, path: str, source: str, test_dir: str) -> DataFrame:
-    """The lines of the first coverage file, by name, whose Source is this file; sources below the test folder don't count."""
-    d = spark.read.option("pathGlobFilter", "*.gcov").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    head = F.regexp_extract("text", r"(?m)^\s*-:\s*0:Source:(.*)$", 1)
-    d = d.withColumn("source", F.trim(head)).where((F.col("source") == source) & ~F.startswith("source", F.lit(test_dir.rstrip("/") + "/")))
-    first = d.agg(F.min("name").alias("name"))
-    return d.join(first, "name").select("name", F.explode(F.split("text", "\n")).alias("line")).select("name", parse_line(F.col("line")).alias("p")).where("p is not null and p.line_no > 0").select("name", "p.*")
+def coverage_files(lines: DataFrame, test_dir: str, source_root: str | None = None) -> DataFrame:
+    """(path, name, source): coverage files and what they are of, by the first line that names a Source, resolved from the test folder. Those of sources in the test folder, or outside the source root, are left out."""
+    head = lines.where(F.contains("line", F.lit("Source:"))).groupBy("path", "name").agg(F.min_by("line", "line_no").alias("line"))
+    d = head.select("path", "name", resolved_path(F.trim(F.regexp_extract("line", "Source:(.*)$", 1)), test_dir).alias("source"))
+    root = lambda x: resolved_path(F.lit(x))
+    d = d.where(~below(F.col("source"), root(test_dir)))
+    return d if source_root is None else d.where(below(F.col("source"), root(source_root)))
+
+
+def coverage_lines(spark: SparkSession, path: str, wanted: DataFrame | str, test_dir: str, source_root: str | None = None) -> DataFrame:
+    """(wanted, name, count_text, line_no, source): the lines of the first coverage file, by name, of each wanted source (a table of `source`, or one). Only files right in the folder count. A source without a file has no lines."""
+    if isinstance(wanted, str):
+        wanted = spark.createDataFrame([(wanted,)], "source string")
+    lines = cut(numbered_lines(spark, path, "*.gcov").where(F.regexp_extract("path", "([^/]*)/[^/]*$", 1) == path.rstrip("/").rsplit("/", 1)[-1]))
+    asked = wanted.select(F.col("source").alias("wanted"), resolved_path(F.col("source")).alias("source")).distinct()
+    first = coverage_files(lines, test_dir, source_root).join(asked, "source").groupBy("wanted").agg(F.min_by(F.struct("path", "name"), "name").alias("f")).select("wanted", "f.path", "f.name")
+    parsed = lines.drop("name").join(first, "path").select("wanted", "name", F.inline(F.array(parse_line(F.col("line")))))
+    return parsed.where("line_no > 0")
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StructType
 
@@ -74,3 +76,17 @@ def attempts_table(attempts: DataFrame, path: str) -> None:
 def chart_lines(lines: DataFrame, path: str) -> None:
     """The lines of a flow chart as one text file, in order."""
     lines.orderBy("kind", "key").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def into_one_folder(spark: SparkSession, path: str, pattern: str, name: str) -> None:
+    """Renames the part files below a folder: each goes right into it, under a name that its group of the pattern fills in. For artifacts, which are few."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, every = [], fs.listFiles(root, True)
+    while every.hasNext():
+        found.append(every.next().getPath())
+    for f in found:
+        if m := re.search(pattern, f.toString()):
+            if not fs.rename(f, jvm.Path(root, name.format(m[1]))):
+                raise FileExistsError(name.format(m[1]))

@@ -86,6 +86,14 @@ def test_coverage_files(spark, tmp_path):
     write(tmp_path / "b.gcov", "        -:    0:Source:/p/src/x.c\n        1:    1:int f(void) {\n    #####:    2:  return 1;\n")
     d = S.coverage_lines(spark, str(tmp_path), "/p/src/x.c", "/p/tests")
     assert [(r.count_text, r.line_no) for r in d.orderBy("line_no").collect()] == [("1", 1), ("#####", 2)]
+    write(tmp_path / "c.gcov", "        -:    0:Source:../src/y.c\n        3:    1:z\n")
+    write(tmp_path / "d.gcov", "        -:    0:Source:x.c\n        3:    1:z\n")
+    write(tmp_path / "e.gcov", "        -:    0:Source:/q/src/x.c\n        3:    1:z\n")
+    write(tmp_path / "deep" / "f.gcov", "        -:    0:Source:/p/src/w.c\n        3:    1:z\n")
+    write(tmp_path / "g.gcov", "no source\n")
+    wanted = spark.createDataFrame([(x,) for x in ("/p/src/./x.c", "/p/src/y.c", "/q/src/x.c", "/p/tests/x.c", "/p/src/w.c")], "source string")
+    got = S.coverage_lines(spark, str(tmp_path), wanted, "/p/tests", "/p/src")
+    assert {(r.wanted, r.name) for r in got.collect()} == {("/p/src/./x.c", "b.gcov"), ("/p/src/y.c", "c.gcov")}
 
 
 def test_http_trace(spark):

@@ -1,5 +1,6 @@
 """Small cases with values worked out by hand."""
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -134,6 +135,59 @@ def test_fuzzy(spark):
     assert [(r.name, r.doc, r.rank) for r in L.fuzzy(names, docs).orderBy("name").collect()] == [("n1", "d1", 1), ("n3", "d3", 1)]
 
 
+@pytest.mark.parametrize("least", [0.8, 0.9, 0.95])
+def test_similar_keys_by_brute_force(spark, least):
+    """Every pair is found, though most keys begin alike and some are short."""
+    import difflib
+    import random
+
+    r = random.Random(int(100 * least))
+    word = lambda k: "".join(r.choices("abcd", k=k))
+    names = [("common_" * (k % 2)) + word(k % 14) for k in range(120)]
+    docs = []
+    for w in names:
+        x = list(w)
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.randrange(2)] = word(r.randrange(2))
+        docs.append("".join(x))
+    frame = lambda keys, n: spark.createDataFrame(list(enumerate(keys)), f"{n} long, key string")
+    got = {(x.a, x.b): x.ratio for x in L.similar_keys(frame(names, "name"), frame(docs, "doc"), least).collect()}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert got == {(a, b): ratio(a, b) for a in set(names) for b in set(docs) if a != b and ratio(a, b) >= least}
+
+
+def test_usage_by_levels(spark):
+    """As the walk of one text has it."""
+    import json
+
+    from harrow.functions.udfs import usage
+    from harrow.operators.usage import usage_totals
+
+    rows = [{"tokens": 1, "b": {"input_tokens": 2, "total_tokens": 5, "max_tokens": 9}, "c": [{"tokens": 1.9}, [{"Tokens": 3}], "tokens"]}, [{"tokens": True, "n": 4}], 5, {"body": json.dumps({"body": json.dumps({"token_count": 7})}), "other": '{"n": 1}', "bad": "token {"}, {"tokens": None, "t_tokens": "4", "x_tokens": -3}, {"total_tokens": 1, "TotalTokens": 4, "a_tokens": 2}, {}]
+    texts = [*map(json.dumps, rows), "token", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {x.i: x.tokens for x in usage_totals(d, "i", "t").collect()}
+    assert got == {i: usage(rows[i]) if i < len(rows) else 0 for i in range(len(texts))}
+    assert "Python" not in usage_totals(d, "i", "t")._jdf.queryExecution().toString()
+
+
+def test_expected_pairs_of_any_number_of_setups(spark, monkeypatch):
+    tasks, seen = spark.range(3).selectExpr("concat('t', id) as task_id"), spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "setup string")
+    want = {(f"t{k}", s) for k in range(3) for s in "ab"}
+    for most in (10, 1):
+        monkeypatch.setattr(R, "SETUPS", most)
+        assert {tuple(r) for r in R.expected(tasks, seen).collect()} == want
+    assert R.expected(tasks, seen.where("false")).count() == 0
+
+
+def test_resolved_paths(spark):
+    d = spark.createDataFrame([("/a/./b/../c",), ("x/../y",), ("../../..",), ("/",), ("a//b/",), (None,)], "p string")
+    assert [x.r for x in d.select(X.resolved_path(F.col("p"), "/t/u").alias("r")).collect()] == ["/a/c", "/t/u/y", "/", "/", "/t/u/a/b", None]
+    s = one(spark, F.struct(*[X.below(F.lit(a), F.lit(b)).alias(f"c{k}") for k, (a, b) in enumerate((("/a/b", "/a"), ("/a", "/a"), ("/ab", "/a"), ("/x", "/")))]))
+    assert tuple(s) == (True, True, False, True)
+
+
 def test_verification(spark):
     arr = lambda *x: F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<string>")
     s = one(spark, X.set_filters(arr("lib", "other"), arr("lib"), arr("lib")))
