@@ -187,10 +187,10 @@ def _shard(docs: list[list[bytes]], blocks: Iterator[Block]) -> list[tuple]:
 
 
 def blocks_of(benchmark: DataFrame, window: int) -> list:
-    """The benchmark's blocks as broadcasts. Rows come to the driver one partition at a time, and it holds one block."""
+    """The benchmark's blocks as broadcasts, in order of its ids. Rows come to the driver one partition at a time, and it holds one block."""
     sc = benchmark.sparkSession.sparkContext
     out, items, n = [], [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         if ws := words_of(r["text"]):
             items.append((r["item_id"], ws))
             n += len(ws)
@@ -203,7 +203,7 @@ def blocks_of(benchmark: DataFrame, window: int) -> list:
 def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Every row of docs as (doc, n_words, hit_spans, item_ids, longest): doc is the whole row, so its columns' names can't clash.
 
-    hit_spans are [start, end) words inside an occurrence of a window of `window` item words (an item of fewer words is one window); item_ids are strings, sorted; longest is the document's own longest verbatim match of at least a window with its places, ties to the first item and then the first place; it does not hang on the other documents of the shard. A null text has no words. An item without words is never found. Repeated item ids count once.
+    hit_spans are [start, end) words inside an occurrence of a window of `window` item words (an item of fewer words is one window); item_ids are strings, sorted; longest is the document's own longest verbatim match of at least a window with its places, ties to the smallest item id, then to the first place in the item and in the document; it does not hang on the other documents of the shard. A null text has no words. An item without words is never found. Repeated item ids count once. Texts of any length are searched whole, repeated rows each give a row; without documents there are no rows, without items no hits.
     """
     held = blocks_of(benchmark, window)
     d = docs.select(F.struct("*").alias("doc"))
@@ -246,20 +246,23 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_words, longest_item, longest_start) of every row of docs; the last three are null without a match."""
     m = with_matches(docs.select("doc_id", "text"), benchmark, window)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return m.select("doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("longest.words").alias("longest_words"), F.col("longest.item_id").alias("longest_item"), F.col("longest.doc_start").alias("longest_start"))
 
 
-#: report()'s rows in DuckDB's SQL, over the tables documents and benchmark; without the longest matches.
+#: report()'s rows in DuckDB's SQL, over the tables documents and benchmark. A match is a run of windows on one diagonal.
 SQL = r"""
 with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda s: s <> '') as w from documents),
 b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda s: s <> '') as w from benchmark),
-bs as (select item_id, w, least(10, len(w)) as n from b where len(w) > 0),
+bs as (select row_number() over (order by item_id, array_to_string(w, ' ')) as q, item_id, w, least(10, len(w)) as n from b where len(w) > 0),
 bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as win from (select *, unnest(range(1, len(w) - n + 2)) as i from bs)),
 dw as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as win from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bs) where len(w) >= n)),
 h as (select r, i, n, item_id from dw join bw using (n, win)),
 p as (select r, count(distinct i + k) as n_hit from h, (select unnest(range(10)) as k) where k < n group by r),
+x as (select r, q, item_id, n, i, j, i - row_number() over (partition by r, q, i - j order by i) as g from dw join (select q, item_id, n, i as j, array_to_string(w[i:i + n - 1], ' ') as win from (select *, unnest(range(1, len(w) - n + 2)) as i from bs)) using (n, win)),
+l as (select r, item_id::varchar as longest_item, count(*) + n - 1 as longest_words, min(i) - 1 as longest_start from x group by r, q, item_id, n, i - j, g qualify row_number() over (partition by r order by count(*) + n desc, q, min(j), min(i)) = 1),
 t as (select r, count(*) as n_items, sha256(string_agg(item_id::varchar, ',' order by item_id::varchar)) as s from (select distinct r, item_id from h) group by r)
-select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join p using (r) left join t using (r)"""
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, longest_words::bigint as longest_words, longest_item, longest_start::bigint as longest_start
+from d left join p using (r) left join t using (r) left join l using (r)"""

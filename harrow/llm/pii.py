@@ -129,7 +129,7 @@ def scan(docs: DataFrame, width: int = 10) -> DataFrame:
                         close = list(near(text, s, e, width))
                         around = hashlib.md5(" ".join(w for w, _, _ in close).encode(), usedforsecurity=False).hexdigest()
                         for w, ws, we in close:
-                            if len(w) > 2 and not any(c.isdigit() for c in w) and clear_of(covered, ws, we):
+                            if clear_of(covered, ws, we):
                                 rows.append(("near", f"{kind}:{text[s:e].lower()}", w, ws, we, around, *[None] * 5))
                                 take.append(k)
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(take, pa.int64())) for c in ("doc_id", "th")), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], shape.names)
@@ -209,7 +209,7 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def marked(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 10) -> tuple[DataFrame, DataFrame]:
     """Rows of docs with their base spans (doc_id, th, n_email, n_ip, n_card, n_phone, base), and the places of telling terms (doc_id, th, terms).
 
-    With p as shares of all documents, a term t within `width` words of entity e discloses it if log2(p(t, e) / (p(t) p(e))) >= alpha * -log2 p(e). Where e stands in `support` different surroundings or more, as many must show both, so copies of one document prove nothing; where it stands in fewer, the ratio alone decides. A telling term is marked wherever it stands, with its entity or without.
+    With p as shares of all documents, a term t within `width` words of entity e discloses it if log2(p(t, e) / (p(t) p(e))) >= alpha * -log2 p(e). Where e stands in `support` different surroundings or more, as many must show both, so copies of one document prove nothing; where it stands in fewer, the ratio alone decides. A telling term is marked wherever it stands, with its entity or without. Terms are words of any length, digits among them.
     """
     made = stash(scan(docs, width), "pii")
     rows, seen = made.where("what = 'doc'"), made.where("what = 'near'")
@@ -224,7 +224,7 @@ def marked(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 1
 
 
 def find(docs: DataFrame, alpha: float = 0.9, support: int = 3, width: int = 10) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs; spans are the base ones by kind and start, then those of telling terms (marked()) by start. A null text is empty."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs; spans are the base ones by kind and start, then those of telling terms (marked()) by start. A null text is empty; texts of any length are searched whole. Repeated rows each give a row and prove no more than one; an empty table gives no rows; other columns are not read."""
     rows, terms = marked(docs, alpha, support, width)
     text = F.concat_ws(",", F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string"))))
     spans = terms.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), text.alias("terms"))

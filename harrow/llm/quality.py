@@ -18,8 +18,8 @@ from pyspark.sql.types import StructType
 
 from harrow.llm.shared import cache
 
-#: Rows (in expectation) of the sample that costs and selectivities are estimated on.
-SAMPLE_ROWS = 2_000
+#: Rows of each task that make the sample on which costs and selectivities are estimated: its first ones, so no task reads on.
+SAMPLE_ROWS = 64
 _WORD = re.compile(r"[^ \t-\r]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -95,16 +95,18 @@ def rejected_by(text: str | None, order: list[str]) -> str | None:
 
 
 def profile(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[int, int], dict[str, float], dict[str, bool], float]:
-    """What order_of() needs, from a sample of `rows` rows (in expectation): how many texts each set of rules (as bits) rejects, each rule's seconds a text once its words are there, whether it needs the words, and the seconds of making them.
+    """What order_of() needs, from a sample of the first `rows` rows of each task: how many texts each set of rules (as bits) rejects, each rule's seconds a text once its words are there, whether it needs the words, and the seconds of making them.
 
-    The sample is measured where its rows are read; a task hands on a row for each set of rules that it met, so at most 2 ** len(RULES) from each.
+    The sample is measured where its rows are read, and a task stops after them, so this is no second scan; a task hands on a row for each set of rules that it met, so at most 2 ** len(RULES) from each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache("quality")
-        met, spent, needs, words = Counter(), [0.0] * len(RULES), 0, 0.0
+        met, spent, needs, words, left = Counter(), [0.0] * len(RULES), 0, 0.0, rows
         for b in batches:
-            for text in b.column("text").to_pylist():
+            some = b.column("text").slice(0, left).to_pylist()
+            left -= len(some)
+            for text in some:
                 which, split = 0, Text(text)
                 began = time.perf_counter()
                 split.words
@@ -119,11 +121,12 @@ def profile(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[int, int], d
                         rule(bare)
                         needs |= ("words" in bare.__dict__) << k
                 met[which] += 1
+            if not left:
+                break
         out = [(w, n, None, None) for w, n in met.items()] + [(None, None, k, s) for k, s in enumerate([*spent, words])] + [(None, needs, -1, 0.0)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["which", "n", "rule", "seconds"])
 
-    share = min(1.0, rows / max(1, docs.count()))
-    made = docs.select("text").sample(share, seed=1).mapInArrow(run, "which long, n long, rule long, seconds double")
+    made = docs.select("text").mapInArrow(run, "which long, n long, rule long, seconds double")
     made = made.groupBy("which", "rule").agg(F.when(F.col("rule") == -1, F.bit_or("n")).otherwise(F.sum("n")).alias("n"), F.sum("seconds").alias("seconds")).collect()
     sample = {r["which"]: r["n"] for r in made if r["which"] is not None}
     total = max(1, sum(sample.values()))

@@ -28,7 +28,7 @@ def _moves(units: DataFrame, caps: dict[int, int], shards: int, step: int) -> Da
     quota = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, caps[s] - held.get(s, 0) + leaving.get(s, 0)))]), F.col("to"))
     # running totals of what wants to move to a shard, in buckets, so that no task gathers a shard
     buckets = max(64, sum(held.values()) // 20_000)
-    w = wish.withColumn("b", F.pmod(F.xxhash64(F.lit(step), "gid"), F.lit(buckets)))
+    w = wish.withColumn("b", F.pmod(F.xxhash64(F.lit(step), "gid", F.floor(F.col("part") / 256)), F.lit(buckets)))
     sums = w.groupBy("to", "b").agg(F.sum("n").alias("s"))
     sums = sums.select("to", "b", F.coalesce(F.sum("s").over(Window.partitionBy("to").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("to", "b").orderBy("gid", "part").rowsBetween(Window.unboundedPreceding, 0))
@@ -39,7 +39,7 @@ def _moves(units: DataFrame, caps: dict[int, int], shards: int, step: int) -> Da
 def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs, by the law `rows`: shards differ by one row at most.
 
-    A null text has no bytes, so size 16, and no links. Repeated rows are rows like others, linked by their text.
+    A null text has no bytes, so size 16, and no links. Texts of any length are read once, for their digest. Repeated rows are rows like others, linked by their text; an empty table gives no rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("gid"))

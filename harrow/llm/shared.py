@@ -75,13 +75,16 @@ def delete(spark: SparkSession, path: str) -> None:
 def ranked(df: DataFrame, part: list[str], keys: list[Column], n_rows: int, out: str, per_bucket: int = 5_000) -> DataFrame:
     """Adds out: gapless positions from 0 within the columns `part`, without sorting a part in one task.
 
-    Rows are dealt by a hash of `keys` into buckets of about per_bucket rows; a row's position is its place in its bucket plus the counts of the buckets before. Only the table of bucket counts is put in order as a whole.
+    Rows are dealt by a hash of `keys` into buckets of about per_bucket rows, and buckets into shelves of about as many. A row's position is its place in its bucket, plus the counts of the buckets before on its shelf, plus the counts of the shelves before; a row for each shelf (one of per_bucket squared rows) is all that is put in order as a whole.
     """
     buckets = max(256, n_rows // per_bucket)
     d = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    sizes = d.groupBy(*part, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*part, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = d.groupBy(*part, "_b").agg(F.count("*").alias("_n")).withColumn("_shelf", F.floor(F.col("_b") / per_bucket))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.coalesce(F.sum("_n").over(before(*part, "_shelf").orderBy("_b")), F.lit(0))
+    shelves = sizes.groupBy(*part, "_shelf").agg(F.sum("_n").alias("_n"))
+    shelves = shelves.select(*part, "_shelf", F.coalesce(F.sum("_n").over(before(*part).orderBy("_shelf")), F.lit(0)).alias("_first"))
+    sizes = sizes.select(*part, "_b", "_shelf", so_far.alias("_before")).join(shelves, [*part, "_shelf"]).select(*part, "_b", (F.col("_first") + F.col("_before")).alias("_before"))
     inside = Window.partitionBy(*part, "_b").orderBy(*keys)
     d = d.withColumn("_r", F.row_number().over(inside))
     return d.join(sizes, [*part, "_b"]).withColumn(out, F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")

@@ -30,6 +30,21 @@ def test_rare_entities(spark):
     assert got[1] == [(8, "quimby")] and got[2] == [(0, "quimby")]
 
 
+def test_short_terms_and_terms_with_digits(spark):
+    """Two letters, or digits, tell as much as any other word."""
+    got = terms_of(spark, [(1, "note to qz 10.1.2.3 wrote room b52 the plan"), (2, "qz, B52")])
+    assert [t for _, t in got[1]] == ["qz", "room", "b52"] and [t for _, t in got[2]] == ["qz", "B52"]
+
+
+def test_clashing_columns_and_no_rows(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co"), (2, None), (3, "")], "doc_id long, text string")
+    odd = d.select("*", *[F.lit(1).alias(c) for c in ("th", "what", "term", "start", "spans", "_id", "base", "entity")])
+    rows = lambda x: sorted((r.doc_id, r.n_email, r.spans) for r in pii.find(x).collect())
+    assert rows(odd) == rows(d) == [(1, 1, "email:0:6"), (1, 1, "email:0:6"), (2, 0, ""), (3, 0, "")] and pii.find(odd.where("false")).count() == 0
+
+
 def test_rows_of_one_id_have_their_own_places(spark):
     rows = [(1, "note to quimby about 10.1.2.3 wrote the plan"), (1, "about quimby")]
     d = spark.createDataFrame(rows + PLAIN, "doc_id long, text string")

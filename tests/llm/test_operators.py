@@ -1,6 +1,7 @@
 """Each operator against brute force on odd texts, on an empty table and with clashing columns."""
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 
 import brute
@@ -284,8 +285,10 @@ def test_shards(docs, none):
     assert len(r) == docs.count() and max(n.values()) - min(n.values()) <= 1
     for s in n:
         assert sorted(x.slot for x in r if x.shard == s) == list(range(n[s]))
-    want = Counter((i.doc_id, len((i.text or "").encode()) + 16) for i in docs.collect())
-    assert Counter((x.doc_id, x.size) for x in r) == want
+    want = Counter((i.doc_id, len((i.text or "").encode()) + 16, zlib.crc32((i.text or "").encode()), "rows", None) for i in docs.collect())
+    assert Counter((x.doc_id, x.size, x.text_crc32, x.law, x.grown_shard) for x in r) == want
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("gid", "rid", "label", "b", "g", "slot", "shard", "_b", "_shelf")])
+    assert Counter((x.doc_id, x.size) for x in sharding.assign(odd, 5).collect()) == Counter((i, n) for i, n, *_ in want.elements())
     assert {x.shard for x in r if x.doc_id in (0, 1, 12)}.__len__() == 1
     assert sharding.assign(none, 5).count() == 0
 
@@ -302,6 +305,31 @@ def test_shards_of_copies_only(spark, copies):
     assert copies == 60 or sum(map(len, spread.values())) <= 32  # 18 groups; at most as many cuts as shards have seams
 
 
+def test_cut_edges(spark):
+    """Links of a group join its rows in a row; of those that need not be cut, as a shard holds the group, nearly all stay whole. Rows dealt at random would cut most."""
+    sizes = [1 + k % 9 for k in range(200)]
+    rows = [(t, f"text {t}") for t, n in enumerate(sizes) for _ in range(n)]
+    d = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(5)
+    at = {x.doc_id: x.shard for x in sharding.assign(d, 20).collect()}
+    by = defaultdict(list)
+    for k, (t, _) in enumerate(rows):
+        by[t].append(at[k])
+    links = sum(len(x) - 1 for x in by.values())
+    cut = sum(len(set(x)) - 1 for x in by.values())
+    assert max(Counter(at.values()).values()) - min(Counter(at.values()).values()) <= 1
+    assert cut <= 0.1 * links, (cut, links)
+
+
+@pytest.mark.parametrize("per", [2, 7])
+def test_ranks_by_shelves(spark, per):
+    d = spark.range(500).selectExpr("id", "id % 3 as p")
+    for part in ([], ["p"]):
+        got = defaultdict(list)
+        for x in shared.ranked(d, part, [F.col("id")], 500, "at", per).collect():
+            got[x.p if part else 0].append(x.at)
+        assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 500
+
+
 # 7
 
 
