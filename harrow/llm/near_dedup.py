@@ -2,7 +2,7 @@
 
 A document is its set of distinct shingles. The shingles' hashes fall into buckets, and a bucket's register keeps the leading zeros of its smallest hash and some bits after them, 16 bits in all. Registers are banded: documents that agree in all registers of a band meet. Their similarity is estimated from all registers, corrected for collisions of the short registers; what may reach the threshold is verified on the full sets.
 
-Documents of equal sets are one class, and one row of each stands for it, before anything is compared. Each class is first compared with one other of each of its bands, the hub: that settles bands of two classes, and connects most of a large group of near copies with no more pairs than there are band entries. Then what a band still holds of other components than its largest is compared with all of the band. In a large band only classes meet that agree in a second band as well, so one of unlike documents that have a passage in common is not compared in full. Blocks are bounded by classes and by shingles. Only pairs of different components whose estimate may reach the threshold become rows, and where a second band is large too only links.
+Documents of equal sets are one class, and one row of each stands for it, before anything is compared. Each class is first compared with one other of each of its bands, the hub: that settles bands of two classes, and connects most of a large group of near copies with no more pairs than there are band entries. Then what a band still holds of other components than its largest is compared with all of the band. In a large band with many of other components only classes meet that agree in a second band as well, so one of unlike documents that have a passage in common is not compared in full; one with few others is compared with these, which is no more than a few times its size. Blocks are bounded by classes and by shingles. Only pairs of different components whose estimate may reach the threshold become rows, and where a second band is large too only links.
 
 Two sets at the threshold agree in no band with a probability of MISS at most, and in one alone with miss_twice(); only pairs whose one band is large are lost to that.
 """
@@ -28,8 +28,8 @@ BUCKETS, MANTISSA, MISS = 128, 10, 1e-6
 SLACK = 5
 #: Registers that are equal by chance in two sets of one size, by the published analysis of such sketches.
 CHANCE = 0.16991948715 * BUCKETS / 2**MANTISSA
-#: Orders in which hubs are chosen; classes and shingles of a block (about); entries beyond which a band is large.
-HUBS, BLOCK, BLOCK_SHINGLES, WIDE = 8, 128, 1 << 17, 64
+#: Orders in which hubs are chosen; classes and shingles of a block (about); entries beyond which a band is large, and those beside its largest component beyond which it takes a second band.
+HUBS, BLOCK, BLOCK_SHINGLES, WIDE, OTHERS = 8, 128, 1 << 17, 64, 128
 #: Bytes of text hashed at once (a longer word is hashed whole).
 CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -333,7 +333,7 @@ def _texts(wanted: DataFrame, made: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _rest(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, at, then, rid, component, largest, n, work) of the bands of three classes or more that hold more than one component; stashed. at: the band's place; then: -1."""
+    """(band, at, then, rid, component, largest, n, others, work) of the bands of three classes or more that hold more than one component; stashed. at: the band's place; then: -1."""
     e = met.where("n > 2").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
     return _open(e.select("band", "at", F.lit(-1).alias("then"), "rid", "n_shingles", F.coalesce("root", "rid").alias("component")))
 
@@ -346,12 +346,12 @@ def _twice(wide: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def _open(e: DataFrame) -> DataFrame:
-    """e (band, at, then, rid, n_shingles, component) with largest, n and work, of the bands that hold more than one component; stashed. largest: the component of most classes; work: shingles of the band."""
+    """e (band, at, then, rid, n_shingles, component) with largest, n, others and work, of the bands that hold more than one component; stashed. largest: the component of most classes; others: classes of the other ones; work: shingles of the band."""
     e = stash(e, "open")
     sizes = e.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("w"))
-    state = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.sum("w").alias("work"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+    state = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("others"), F.sum("w").alias("work"), F.max_by("component", F.struct("k", "component")).alias("largest"))
     state = stash(state.where("parts > 1").drop("parts"), "bands")
-    out = stash(maybe_in(e, F.col("band"), state, F.col("band")).join(state, "band").select("band", "at", "then", "rid", "component", "largest", "n", "work"), "rest")
+    out = stash(maybe_in(e, F.col("band"), state, F.col("band")).join(state, "band").select("band", "at", "then", "rid", "component", "largest", "n", "others", "work"), "rest")
     discard(e, state)
     return out
 
@@ -380,8 +380,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     discard(likely, texts, links)
     # the rest: what is not of a band's largest component against all of the band, large bands by a second one
     once = _rest(met, roots)
-    twice = _twice(once.where(F.col("n") > WIDE), made)
-    rest = once.where(F.col("n") <= WIDE).union(twice)
+    many = (F.col("n") > WIDE) & (F.col("others") > OTHERS)
+    twice = _twice(once.where(many), made)
+    rest = once.where(~many).union(twice)
     columns = ["rid", "component", "registers", "n_shingles", "bands"]
     full = rest.join(made.select("rid", "registers", "n_shingles", "bands"), "rid")
 
@@ -394,7 +395,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return few.join(every, ["band", "block"]).select("band", "at", "then", "few", "all")
 
     likely = stash(_near_in_blocks(blocks(full.where(F.col("n") <= WIDE), columns, F.lit(1).cast("long")), least), "likely")
-    # what agrees twice in a large band is mostly near; pairs below the threshold may be too many to be rows there: they are verified where they meet
+    # in a band that is still large, pairs below the threshold may be too many to be rows: they are verified where they meet
     wide = full.where(F.col("n") > WIDE)
     texts = _texts(_ends(likely).union(rest.where(F.col("n") > WIDE).select("rid")), made, docs)
     n_blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("work") / BLOCK_SHINGLES))

@@ -109,7 +109,7 @@ def test_near_groups(spark, docs, none):
 @pytest.mark.parametrize(("shingles", "wide", "block"), [(1 << 17, 64, 128), (1 << 17, 4, 8), (500, 2, 128), (1 << 17, 2, 1)])
 def test_chain_of_near_copies(spark, monkeypatch, shingles, wide, block):
     """Neighbours are links, far ones are not; a large group of near copies beside it. By pairs and in blocks of several bounds."""
-    for name, v in (("BLOCK_SHINGLES", shingles), ("WIDE", wide), ("BLOCK", block)):
+    for name, v in (("BLOCK_SHINGLES", shingles), ("WIDE", wide), ("BLOCK", block), ("OTHERS", 2 * wide)):
         monkeypatch.setattr(near_dedup, name, v)
     from conftest import prose
 
@@ -151,6 +151,7 @@ def test_near_groups_recall(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for wide in (8, 1000):
         monkeypatch.setattr(near_dedup, "WIDE", wide)
+        monkeypatch.setattr(near_dedup, "OTHERS", wide)
         compared.append(0)
         got = {x.doc_id: x.component_id for x in near_dedup.groups(d, 3, 85).collect()}
         found = sum(got[i] == c for i, c in want.items())
