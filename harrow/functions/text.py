@@ -155,6 +155,11 @@ def answer_values(x: Column) -> Column:
     return F.when(x == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(x, ","), one))
 
 
+def answer_pieces(x: Column) -> Column:
+    """F26, the third form: of each comma-parted piece what stands between its first ':' and the next one, or all of it without one; quotes around it go. An empty text is one empty value."""
+    return F.transform(F.split(x, ","), lambda p: F.btrim(F.coalesce(F.get(F.split(p, ":"), 1), p), F.lit('"')))
+
+
 def answer_numbers(x: Column) -> Column:
     """F26, the strict form: a whole number or UNRESOLVED."""
     return F.transform(answer_values(x), lambda v: F.when(v.rlike("^-?[0-9]+$"), v).otherwise(F.lit("UNRESOLVED")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +47,14 @@ def last_path(paths: DataFrame) -> DataFrame:
 
 
 def reaching(edges: DataFrame, target: object) -> DataFrame:
-    """Nodes other than the target that reach it; breadth first, a cut table a level, so each node is joined once."""
+    """Nodes other than the target that reach it; breadth first, a table of new nodes for each level, so each node is written and joined once."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
     seen = e.where(F.col("dst") == target).select(F.col("src").alias("node")).where(F.col("node") != target).distinct()
-    frontier = seen = cut(seen)
-    while not frontier.isEmpty():
-        new = e.join(frontier, F.col("dst") == F.col("node")).select(F.col("src").alias("node")).where(F.col("node") != target).distinct()
-        frontier = cut(new.join(seen, "node", "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+    levels = [cut(seen)]
+    while not levels[-1].isEmpty():
+        new = e.join(levels[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node")).where(F.col("node") != target).distinct()
+        levels.append(cut(new.join(reduce(DataFrame.union, levels), "node", "left_anti")))
+    return reduce(DataFrame.union, levels)
 
 
 def highest_parents(edges: DataFrame, target: object) -> DataFrame:

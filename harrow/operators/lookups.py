@@ -103,6 +103,29 @@ def with_default(left: DataFrame, right: DataFrame, on: str, value: str, default
     return left.join(right, on, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+#: What a lookup of a prototype says where there is none; fixed values.
+NOT_STORED = "The function is not stored look up in the headers or c files associated."
+NO_REGISTRY = "Lookup in the headers or c files no functions are stored right now."
+
+
+def prototypes(asked: DataFrame, registry: DataFrame | None) -> DataFrame:
+    """Asked (function_name, ...) with a message: the prototype by the registry (function_name, prototype), that it isn't stored, or that nothing is, where there is no registry at all. A name that is there without a prototype counts as not stored."""
+    if registry is None:
+        return asked.withColumn("message", F.lit(NO_REGISTRY))
+    one = registry.groupBy("function_name").agg(F.max("prototype").alias("_p"))
+    return asked.join(one, "function_name", "left").withColumn("message", F.coalesce(F.concat(F.lit("Prototype: "), "_p", F.lit("\n")), F.lit(NOT_STORED))).drop("_p")
+
+
+def resolve_aliases(calls: DataFrame, macros: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Calls (file_name, callee, ...) whose callee is a macro go where its chain of expansions ends, and are then resolved like any other; expanded says what that was."""
+    from harrow.operators.graph import expand_macros
+
+    ends = expand_macros(macros).select(F.col("name").alias("callee"), F.col("target").alias("_end"))
+    d = calls.join(ends, "callee", "left").withColumn("expanded", F.coalesce("_end", "callee")).drop("_end")
+    named = d.withColumnRenamed("callee", "_called").withColumnRenamed("expanded", "callee")
+    return resolve_callee(named, definitions).withColumnRenamed("callee", "expanded").withColumnRenamed("_called", "callee")
+
+
 def flatten_levels(levels: DataFrame, functions: DataFrame) -> DataFrame:
     """A map of level to function ids, joined to the functions."""
     return levels.select(F.explode("function_levels").alias("level", "ids")).select("level", F.explode("ids").alias("id")).join(functions, "id")

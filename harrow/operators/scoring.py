@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.exprs import filled, first_true, rounded, truthy
@@ -74,11 +76,11 @@ def roll_up(traces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def normalise(scores: DataFrame) -> DataFrame:
-    """Adds tokens_norm, advantage, sft_weight and tier. One window, so one exchange."""
-    w = Window.partitionBy(*GROUP)
+    """Adds tokens_norm, advantage, sft_weight and tier. A group's bounds and mean are added up in each task first and joined back, so that no task gathers a group."""
     t = F.when(F.col("tokens_total") > 0, F.col("tokens_total"))
-    lo, hi, mean = F.min(t).over(w), F.max(t).over(w), F.avg(F.col("score").cast("decimal(20,8)")).over(w)
-    d = scores.withColumns({"_lo": lo, "_hi": hi, "_mean": mean})
+    of = scores.groupBy(*[F.col(c).alias(f"_{c}") for c in GROUP]).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"), F.avg(F.col("score").cast("decimal(20,8)")).alias("_mean"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]
+    d = scores.join(of, reduce(and_, same), "left").drop(*[f"_{c}" for c in GROUP])
     norm = F.when(F.col("extraction_failed"), 1.0).when((F.col("tokens_total") > 0) & (F.col("_hi") > F.col("_lo")), (F.col("tokens_total") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     blocked = F.col("hit_cap") | (F.col("timed_out") & ~F.col("passed"))
     d = d.withColumn("_norm", norm)

@@ -1,4 +1,4 @@
-"""Queries of artifacts that are written and read back, files, HTTP traces, node registries and test texts."""
+"""Queries of artifacts that are written and read back, files, HTTP traces, node registries and test texts."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from harrow.functions import udfs as U
 from harrow.operators import graph as G
 from harrow.operators import selection as S
 from harrow.plans.inputs import K_EVENTS, RUNS, keyed_events, runs, table
-from harrow.sources import files, sinks
+from harrow.sources import episodes, files, sinks
 from harrow.sources.scratch import folder
 
 
@@ -75,14 +75,67 @@ def coverage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A coverage file for each supplier, its source named relatively or not, some in the test folder or outside the root; which lines are found for which source."""
     at, n = f"{_new(spark)}/test", F.col("s_suppkey")
     source = F.when(n % 5 == 0, F.concat(F.lit("./own/s"), n, F.lit(".c"))).when(n % 7 == 0, F.concat(F.lit("/other/s"), n, F.lit(".c"))).when(n % 2 == 0, F.concat(F.lit("../src/./x/../s"), n, F.lit(".c"))).otherwise(F.concat(F.lit("/p/src/s"), n, F.lit(".c")))
-    texts = F.array(F.concat(F.lit("        -:    0:Source:"), source), F.concat(F.lit("        "), n, F.lit(":    1:int f(void) {")), F.lit("    #####:    2:  return 1;"), F.lit("no line"))
-    d = table(spark, sf_dir, "supplier").repartition("s_suppkey").select("s_suppkey", F.posexplode(texts).alias("pos", "value")).sortWithinPartitions("s_suppkey", "pos")
-    d.select("s_suppkey", "value").write.option("compression", "none").partitionBy("s_suppkey").text(at)
-    sinks.into_one_folder(spark, at, r"s_suppkey=([0-9]+)/", "s{}.gcov")
+    text = F.concat(F.lit("        -:    0:Source:"), source, F.lit("\n        "), n, F.lit(":    1:int f(void) {\n    #####:    2:  return 1;\nno line\n"))
+    sinks.write_artifacts(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), n, F.lit(".gcov")).alias("place"), text.alias("text")), at)
     wanted = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/p/src/../src/s"), n, F.lit(".c")).alias("source"))
     return files.coverage_lines(spark, at, wanted, "/p/test", "/p/src").select("wanted", "name", "count_text", "line_no")
 
 
+def _episode_files(spark: SparkSession, sf_dir: str) -> str:
+    """An episode for each supplier, of ten items. Four in seven lack a file or hold a broken one, each another."""
+    at, n = _new(spark), F.col("s_suppkey")
+    file = lambda place, text, lacks: F.struct(F.lit(place).alias("place"), text.alias("text"), lacks.alias("lacks"))
+    result = F.when(n % 7 == 4, "{broken").otherwise(F.concat(F.lit('{"validated": '), F.when(n % 2 == 0, "1").otherwise('""'), F.when(n % 3 == 0, F.concat(F.lit(', "func_name": "fn'), n, F.lit('"'))).otherwise(""), F.lit("}")))
+    metadata = F.concat(F.lit('{"n": '), n, F.lit("}"))
+    every = F.array(file("metadata.json", metadata, n % 7 == 1), file("workspace/result.json", result, n % 7 == 2), file("workspace/stub.c", F.lit("int f;"), n % 7 == 3))
+    d = table(spark, sf_dir, "supplier").select(n, F.explode(every).alias("f")).where("not f.lacks")
+    sinks.write_artifacts(d.select(F.concat(F.lit("item"), n % 10, F.lit("/"), F.format_string("ep%06d", n), F.lit("/"), F.col("f.place")).alias("place"), F.col("f.text").alias("text")), at)
+    return at
+
+
+def complete_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes with all their files, the metadata of each, and whether it is the first validated one of its item."""
+    found = episodes.episodes(spark, _episode_files(spark, sf_dir), ["metadata.json", "workspace/result.json", "workspace/stub.c"])
+    first = episodes.first_validated(found).select("episode", F.lit(True).alias("first"))
+    return found.join(first, "episode", "left").select("item", "name", F.try_variant_get("metadata", "$.n", "long").alias("n"), F.coalesce("first", F.lit(False)).alias("chosen"))
+
+
+def stub_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated stubs with their bodies; the folder names those without a name."""
+    at, n = _new(spark), F.col("s_suppkey")
+    result = F.concat(F.lit('{"validated": '), F.when(n % 2 == 0, "true").otherwise("0"), F.when(n % 4 == 0, ', "func_name": "named"').when(n % 6 == 0, ', "func_name": null').otherwise(""), F.lit("}"))
+    d = table(spark, sf_dir, "supplier").select(n, F.explode(F.array(F.struct(F.lit("result.json").alias("place"), result.alias("text")), F.struct(F.when(n % 5 > 0, "stub.c").alias("place"), F.lit("int f;").alias("text")))).alias("f")).where("f.place is not null")
+    sinks.write_artifacts(d.select(F.concat(F.lit("s"), n, F.lit("/"), F.col("f.place")).alias("place"), F.col("f.text").alias("text")), at)
+    return episodes.validated_stubs(spark, at).select(F.regexp_extract("stub", "([^/]+/stub.c)$", 1).alias("stub"), "func_name")
+
+
+def history_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the history of each episode without a score lies; each of the four steps gives some."""
+    at, n = _new(spark), F.col("s_suppkey")
+    root = episodes.plain(at)
+    own = F.concat(F.lit("e"), n)
+    place = F.when(n % 8 == 4, F.concat(own, F.lit("/agent_history"))).when(n % 4 == 0, F.concat(F.lit("h"), n)).when(n % 4 == 1, F.concat(F.lit("w"), n)).when(n % 4 == 2, F.concat(own, F.lit("/agent_history"))).otherwise(F.concat(own, F.lit("/workspace/agent_history")))
+    history = F.when((n % 4 > 1) | (n % 8 == 4), F.concat(place, F.lit("/x.json"))).otherwise(F.concat(place, F.lit("/agent_history/x.json")))
+    metadata = F.concat(F.lit("{"), F.when(n % 4 == 0, F.concat(F.lit(f'"agent_history": "{root}/h'), n, F.lit('/agent_history"'))).when(n % 4 == 1, F.concat(F.lit(f'"workspace": "{root}/w'), n, F.lit('"'))).otherwise(""), F.lit("}"))
+    every = F.array(F.struct(F.concat(own, F.lit("/metadata.json")).alias("place"), metadata.alias("text")), F.struct(F.when(n % 9 == 0, F.concat(own, F.lit("/score.json"))).alias("place"), F.lit("{}").alias("text")), F.struct(history.alias("place"), F.lit("{}").alias("text")))
+    sinks.write_artifacts(table(spark, sf_dir, "supplier").select(F.explode(every).alias("f")).where("f.place is not null").select("f.*"), at)
+    there = episodes.listing(spark, at)
+    scored = there.where(F.endswith("path", F.lit("/score.json"))).select(F.regexp_replace("path", "/[^/]*$", "").alias("episode"))
+    asked = episodes.objects(spark, at, "metadata.json").join(scored, "episode", "left_anti")
+    get = lambda k: F.try_variant_get("row", f"$.{k}", "string").alias(k)
+    d = episodes.histories(asked.select("episode", get("agent_history"), get("workspace")), there)
+    return d.select(F.regexp_extract("episode", "([^/]+)$", 1).alias("episode"), "step", F.expr(f"substr(history, {len(root) + 2})").alias("history"))
+
+
+def first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier's folder the file that lies highest, by path among equals; skipped folders and too deep ones hold some too."""
+    at, n = _new(spark), F.col("s_suppkey")
+    places = F.array(F.when(n % 3 == 0, "b/c/wanted.c"), F.when(n % 3 < 2, "a/x/wanted.c"), F.lit("node_modules/wanted.c"), F.lit("wanted.h"), F.when(n % 3 == 2, "1/2/3/4/5/6/7/8/9/wanted.c"))
+    d = table(spark, sf_dir, "supplier").select(n, F.explode(F.array_compact(places)).alias("p"))
+    sinks.write_artifacts(d.select(F.concat(F.lit("s"), n, F.lit("/"), "p").alias("place"), F.lit("x").alias("text")), at)
+    return episodes.first_by_level(episodes.listing(spark, at), "wanted.c", by=1).select("root", F.regexp_extract("path", "/s[0-9]+/(.*)$", 1).alias("path"), "level")
+
+
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files as bytes, with their digest and their text by the first encoding that fits."""
     at = _new(spark)
@@ -143,7 +196,7 @@ def rebased_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_events(spark, sf_dir).select("event_id", U.rebase_json([("/w/", "/new/"), ("/w/in/", "/deep/")])(x).alias("j"))
 
 
-QUERIES = {f.__name__: f for f in (unscored_folders, csv_round_trip, run_history, attempts_by_job, replaced_table, chart_text, coverage_sources, file_digests, round_files, http_interactions, registered_nodes, entry_points, requested_setups, c_tests, rebased_paths)}
+QUERIES = {f.__name__: f for f in (unscored_folders, csv_round_trip, run_history, attempts_by_job, replaced_table, chart_text, coverage_sources, complete_episodes, stub_bodies, history_folders, first_files, file_digests, round_files, http_interactions, registered_nodes, entry_points, requested_setups, c_tests, rebased_paths)}
 
 _NODES = f"with {K_EVENTS}, n as (select 'u' || user_id as unique_id, case event_type when 'click' then 'main' else event_type end as name, 'f' || k || '.c' as file_name, k % 2 = 0 as is_external from k_events qualify row_number() over (partition by user_id order by event_id) = 1) select * from n"
 _BODY = "'(void) {' || chr(10) || '  /* } */ check(\"}\");' || chr(10) || '}'"
@@ -156,6 +209,12 @@ SQL = {
     "chart_text": "select row_number() over (order by n_nationkey::varchar)::int as line_no, 'n' || n_nationkey as line from nation",
     "coverage_sources": """with s as (select s_suppkey as n from supplier where s_suppkey % 5 > 0 and s_suppkey % 7 > 0) select '/p/src/../src/s' || n || '.c' as wanted, 's' || n || '.gcov' as name, n::varchar as count_text, 1 as line_no from s
       union all select '/p/src/../src/s' || n || '.c', 's' || n || '.gcov', '#####', 2 from s""",
+    "complete_episodes": """with s as (select s_suppkey as n, 'item' || (s_suppkey % 10) as item from supplier where s_suppkey % 7 not in (1, 2, 3, 4)), f as (select item, min(n) as n from s where n % 2 = 0 group by 1)
+      select s.item, printf('ep%06d', s.n) as name, s.n, f.n is not null as chosen from s left join f on f.item = s.item and f.n = s.n""",
+    "stub_bodies": "select 's' || s_suppkey || '/stub.c' as stub, case when s_suppkey % 4 = 0 then 'named' when s_suppkey % 6 <> 0 then 's' || s_suppkey end as func_name from supplier where s_suppkey % 2 = 0 and s_suppkey % 5 > 0",
+    "history_folders": """select 'e' || n as episode, case when n % 8 = 4 then 3 else n % 4 + 1 end::int as step, case when n % 8 = 4 or n % 4 = 2 then 'e' || n when n % 4 = 0 then 'h' || n when n % 4 = 1 then 'w' || n else 'e' || n || '/workspace' end || '/agent_history' as history
+      from (select s_suppkey as n from supplier where s_suppkey % 9 > 0)""",
+    "first_files": "select 's' || s_suppkey as root, 'a/x/wanted.c' as path, 2 as level from supplier where s_suppkey % 3 < 2",
     "file_digests": "with t as (select s_nationkey as nation, 'ü' || count(*) as text from supplier group by 1) select nation, octet_length(encode(text)) + 1 as length, sha256(text || chr(10)) as sha256, text || chr(10) as text from t",
     "round_files": f"with {K_EVENTS} select distinct '/' || user_id || '/results' || case k % 3 when 0 then '' else '_' || k end || '.jsonl' as path, case k % 3 when 0 then 0 else k end::int as round from k_events where k % 3 < 2",
     "http_interactions": f"with {K_EVENTS} select event_id as id, 'm' || k as model, pos, case pos when 0 then 200 else 500 end::int as status, '{{\"total_tokens\":' || k || '}}' as usage from k_events, (values (0), (1)) p(pos) where k % 4 > 0",

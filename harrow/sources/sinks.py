@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StructType
 
@@ -78,15 +79,32 @@ def chart_lines(lines: DataFrame, path: str) -> None:
     lines.orderBy("kind", "key").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
-def into_one_folder(spark: SparkSession, path: str, pattern: str, name: str) -> None:
-    """Renames the part files below a folder: each goes right into it, under a name that its group of the pattern fills in. For artifacts, which are few."""
+def write_artifacts(df: DataFrame, path: str) -> None:
+    """Rows (place, text) as files at these places below a folder, each ended by a line break. Spark writes the texts, a folder for each place; then each part file is renamed. For artifacts, whose names the driver can list."""
+    spark = df.sparkSession
+    df.repartition("place").write.option("compression", "none").partitionBy("place").text(f"{path}/_parts")
     jvm = spark._jvm.org.apache.hadoop.fs
     root = jvm.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, every = [], fs.listFiles(root, True)
+    fs, found = root.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    every = fs.listFiles(jvm.Path(root, "_parts"), True)
     while every.hasNext():
         found.append(every.next().getPath())
     for f in found:
-        if m := re.search(pattern, f.toString()):
-            if not fs.rename(f, jvm.Path(root, name.format(m[1]))):
-                raise FileExistsError(name.format(m[1]))
+        if m := re.match("place=(.*)$", f.getParent().getName()):
+            to = jvm.Path(root, unquote(m[1]))
+            fs.mkdirs(to.getParent())
+            if not fs.rename(f, to):
+                raise FileExistsError(m[1])
+    fs.delete(jvm.Path(root, "_parts"), True)
+
+
+def select_items(selected: DataFrame, path: str) -> None:
+    """The table of what was selected, a folder for each item (item, ...); written anew, so an item that is selected no more is gone."""
+    selected.write.mode("overwrite").partitionBy("item").json(path)
+
+
+def materialise(selected: DataFrame, wanted: DataFrame, path: str) -> bool:
+    """The active table from what was selected (item, passed, ...); whether all wanted items have passed, which is the flag to be set."""
+    replace(selected, path)
+    lacking = wanted.select("item").join(selected.where("passed").select("item"), "item", "left_anti")
+    return not wanted.isEmpty() and lacking.isEmpty()

@@ -96,6 +96,35 @@ def test_coverage_files(spark, tmp_path):
     assert {(r.wanted, r.name) for r in got.collect()} == {("/p/src/./x.c", "b.gcov"), ("/p/src/y.c", "c.gcov")}
 
 
+def test_episode_details(spark, tmp_path):
+    from harrow.sources import episodes as E
+
+    write(tmp_path / "e1" / "semantic_context.json", '{"functions": {"f": 1}}')
+    write(tmp_path / "e2" / "semantic_context.json", '{"functions": [1]}')
+    write(tmp_path / "e3" / "semantic_context.json", "[1]")
+    write(tmp_path / "deep" / "x" / "stub.c", "int f;")
+    write(tmp_path / "deep" / "x" / "result.json", '{"validated": true}')
+    at = str(tmp_path)
+    wanted = spark.createDataFrame([(f"{at}/e{k}",) for k in range(1, 5)], "episode string")
+    got = {r.episode[-2:]: json.loads(r.j) for r in E.semantic_contexts(spark, at, wanted).select("episode", F.to_json("row").alias("j")).collect()}
+    assert got == {"e1": {"functions": {"f": 1}}, "e2": {"functions": {}}, "e3": {"functions": {}}, "e4": {"functions": {}}}
+    assert E.validated_stubs(spark, at).count() == 0 and E.validated_stubs(spark, f"{at}/deep").count() == 1
+    d = spark.createDataFrame([(i, f'{{"v": {v}}}') for i, v in enumerate(("true", "0", "0.0", '""', '"0"', "[]", "[0]", "null", "{}", "-1"))], "i int, j string").select("i", F.parse_json("j").alias("row"))
+    assert [r.i for r in d.where(E.truthy("row", "v")).orderBy("i").collect()] == [0, 4, 6, 9]
+    plan = E.listing(spark, at)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_selected_tables(spark, tmp_path):
+    at = str(tmp_path / "t")
+    d = spark.createDataFrame([("a", True, 1), ("b", False, 2)], "item string, passed boolean, n int")
+    K.select_items(d, at)
+    K.select_items(d.where("item = 'a'"), at)
+    assert [(r.item, r.n) for r in spark.read.json(at).collect()] == [("a", 1)]
+    wanted = d.select("item")
+    assert not K.materialise(d, wanted, f"{at}2") and K.materialise(d, wanted.where("item = 'a'"), f"{at}2") and not K.materialise(d, wanted.where("false"), f"{at}2")
+
+
 def test_http_trace(spark):
     body = {"usage": {"total_tokens": 18}}
     msg = {"metadata": {"rawHttpTrace": {"modelId": "m", "interactions": [{"request": {"headers": {}}, "response": {"status": 200, "body": body}}, {"response": {"status": 500, "body": json.dumps(body)}}]}}}

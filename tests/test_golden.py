@@ -181,6 +181,22 @@ def test_expected_pairs_of_any_number_of_setups(spark, monkeypatch):
     assert R.expected(tasks, seen.where("false")).count() == 0
 
 
+def test_prototypes_and_aliases(spark):
+    asked = spark.createDataFrame([("f",), ("g",), ("h",)], "function_name string")
+    known = spark.createDataFrame([("f", "int f(void);"), ("h", None)], "function_name string, prototype string")
+    assert {r.function_name: r.message for r in L.prototypes(asked, known).collect()} == {"f": "Prototype: int f(void);\n", "g": L.NOT_STORED, "h": L.NOT_STORED}
+    assert {r.message for r in L.prototypes(asked, None).collect()} == {L.NO_REGISTRY}
+    macros = spark.createDataFrame([("M", "N"), ("N", "f"), ("X", "Y"), ("Y", "X")], "name string, value string")
+    defs = spark.createDataFrame([("f", "a.c", True, "[a.c]f"), ("f", "b.c", False, "f")], "name string, file_name string, is_static boolean, unique_id string")
+    calls = spark.createDataFrame([(1, "a.c", "M"), (2, "c.c", "M"), (3, "a.c", "X"), (4, "a.c", "f"), (5, "a.c", "z")], "id int, file_name string, callee string")
+    assert {r.id: (r.callee, r.expanded, r.target, r.is_external) for r in L.resolve_aliases(calls, macros, defs).collect()} == {1: ("M", "f", "[a.c]f", False), 2: ("M", "f", "f", False), 3: ("X", "X", "X", True), 4: ("f", "f", "[a.c]f", False), 5: ("z", "z", "z", True)}
+
+
+def test_answer_pieces(spark):
+    for text, want in {"a:1,b": ["1", "b"], '"x:y:z",:': ["y", ""], "": [""], 'k:"v"': ["v"]}.items():
+        assert one(spark, F.struct(T.answer_pieces(F.lit(text)).alias("v"))).v == want
+
+
 def test_resolved_paths(spark):
     d = spark.createDataFrame([("/a/./b/../c",), ("x/../y",), ("../../..",), ("/",), ("a//b/",), (None,)], "p string")
     assert [x.r for x in d.select(X.resolved_path(F.col("p"), "/t/u").alias("r")).collect()] == ["/a/c", "/t/u/y", "/", "/", "/t/u/a/b", None]
