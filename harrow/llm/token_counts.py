@@ -78,7 +78,7 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
 
 
 def with_token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs; a null text is empty and counts 0. Other columns are not read; repeated rows each give a row."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs; a null text is empty and counts 0. Texts of any length are counted whole. Other columns are not read; repeated rows each give a row, an empty table none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

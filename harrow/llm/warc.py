@@ -227,7 +227,7 @@ def spread(files: DataFrame, n: int) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, revisit_from: int = 0) -> DataFrame:
-    """The rows of pages as the archives give them back: page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset. Payloads of any length are taken whole; nulls, ties and repeated rows as in archive(); an empty table gives no rows."""
+    """The rows of pages as the archives give them back: page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset. Payloads of any length are taken whole; nulls, ties and repeated rows as in archive(); an empty table gives no rows; other columns are not read."""
     kind = pages.schema["page_id"].dataType
     files, at = archive(pages, folder, revisit_from)
     r = read(spread(files, files.count()), at)

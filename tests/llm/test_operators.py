@@ -28,6 +28,8 @@ def test_licences(spark, docs, none):
     got = {r.doc_id: (r.text_license, r.n_notices, r.licenses) for r in licenses.scan(docs).collect()}
     assert got[15] == (None, 1, "MIT") and got[0] == (None, 0, "") and got[3] == (None, 0, "")
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("name", "digest", "whole", "licenses", "text_license", "n_notices", "lines")])
+    assert Counter(map(tuple, licenses.scan(odd).collect())) == Counter(map(tuple, licenses.scan(docs).collect()))
     mit = licenses.KNOWN[0][1]
     form = spark.createDataFrame([("licence licence Organisation per\ncent per cent",)], "t string").select(licenses.whole(F.transform(F.split("t", "\n"), licenses.canonical)).alias("w"), licenses.canonical(F.col("t")).alias("c")).first()
     assert form.w == form.c == "license license organization percent percent"
@@ -399,7 +401,7 @@ def test_cascade_stops(spark, monkeypatch):
 def test_round_trip(spark, tmp_path):
     html = "<p>é</p>" * 40
     rows = [(3, "http://a", html), (1, "http://b", html), (2, None, None), (4, "u", ""), (5, "line\r\nbreak", "x" * 300_000), (6, "", "WARC/1.1\r\n\r\n"), (1, "http://b", html), (None, "n", html), (None, "n", "alone")]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("payload", "page", "file", "offset", "record_type", "refers_to", "digest")})
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(d, f"file://{tmp_path}/w").collect())
     one = brute.warc_rows([(i, h) for i, _, h in rows if i is not None])
     want = Counter({(i, *v): 1 for i, v in one.items()})
