@@ -2,7 +2,7 @@
 
 A document is its set of distinct shingles. The shingles' hashes fall into buckets, and a bucket's register keeps the leading zeros of its smallest hash and some bits after them, 16 bits in all. Registers are banded: documents that agree in all registers of a band meet. Their similarity is estimated from all registers, corrected for collisions of the short registers; what may reach the threshold is verified on the full sets.
 
-Documents of equal sets are one class, and one row of each stands for it, before anything is compared. Each class is first compared with one other of each of its bands, the hub: that settles bands of two classes, and connects most of a large group of near copies with no more pairs than there are band entries. Then what a band still holds of other components than its largest is compared with all of the band. In a large band with many of other components only classes meet that agree in a second band as well, so one of unlike documents that have a passage in common is not compared in full; one with few others is compared with these, which is no more than a few times its size. Blocks are bounded by classes and by shingles. Only pairs of different components whose estimate may reach the threshold become rows, and where a second band is large too only links.
+Documents of equal sets are one class, and one row of each stands for it, before anything is compared. Each class is first compared with one other of each of its bands, the hub: that settles bands of two classes, and connects most of a large group of near copies with no more pairs than there are band entries. Then what a band still holds of other components than its largest is compared with all of the band. In a large band of unlike documents, with a passage in common and of many components, only classes meet that agree in a second band as well; one of near copies, or with few others than its largest component, is compared in full with these. Blocks are bounded by classes and by shingles. Only pairs of different components whose estimate may reach the threshold become rows, and where a second band is large too only links.
 
 Two sets at the threshold agree in no band with a probability of MISS at most, and in one alone with miss_twice(); only pairs whose one band is large are lost to that.
 """
@@ -30,6 +30,8 @@ SLACK = 5
 CHANCE = 0.16991948715 * BUCKETS / 2**MANTISSA
 #: Orders in which hubs are chosen; classes and shingles of a block (about); entries beyond which a band is large, and those beside its largest component beyond which it takes a second band.
 HUBS, BLOCK, BLOCK_SHINGLES, WIDE, OTHERS = 8, 128, 1 << 17, 64, 128
+#: Share of a large band's rows that are together in the next band too beyond which the band is one of near copies.
+ALIKE = 0.25
 #: Bytes of text hashed at once (a longer word is hashed whole).
 CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -338,11 +340,21 @@ def _rest(met: DataFrame, roots: DataFrame) -> DataFrame:
     return _open(e.select("band", "at", F.lit(-1).alias("then"), "rid", "n_shingles", F.coalesce("root", "rid").alias("component")))
 
 
-def _twice(wide: DataFrame, made: DataFrame) -> DataFrame:
-    """The rows of large bands by a second, later band: as _rest() has them, but of what agrees in both; stashed."""
-    e = wide.select("band", "at", "rid", "component").join(made.select("rid", "n_shingles", "bands"), "rid")
+def _twice(once: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band) of the bands of _rest() that take a second one, and their rows by a second, later band: as _rest() has them, but of what agrees in both; stashed.
+
+    Bands are large, have many others, and are not alike: if more than ALIKE of a band's rows are also together in the next band in large groups, it is one of near copies, which a second band would part as little.
+    """
+    wide = once.where((F.col("n") > WIDE) & (F.col("others") > OTHERS)).select("band", "at", "rid", "component")
+    wide = stash(wide.join(made.select("rid", "n_shingles", "bands"), "rid"), "wide")
+    after = wide.groupBy("band", F.get("bands", (F.col("at") + 1) % F.size("bands")).alias("next")).agg(F.count("*").alias("n"))
+    alike = F.sum(F.when(F.col("n") > WIDE, F.col("n")).otherwise(0)) / F.sum("n")
+    chosen = stash(after.groupBy("band").agg(alike.alias("alike")).where(F.col("alike") <= ALIKE).select("band"), "chosen")
+    e = wide.join(chosen, "band")
     e = e.select("band", "at", "rid", "n_shingles", "component", F.posexplode("bands").alias("then", "other")).where(F.col("then") > F.col("at"))
-    return _open(e.select(F.xxhash64("band", "other").alias("band"), "at", "then", "rid", "n_shingles", "component"))
+    out = _open(e.select(F.xxhash64("band", "other").alias("band"), "at", "then", "rid", "n_shingles", "component"))
+    discard(wide)
+    return chosen, out
 
 
 def _open(e: DataFrame) -> DataFrame:
@@ -380,9 +392,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     discard(likely, texts, links)
     # the rest: what is not of a band's largest component against all of the band, large bands by a second one
     once = _rest(met, roots)
-    many = (F.col("n") > WIDE) & (F.col("others") > OTHERS)
-    twice = _twice(once.where(many), made)
-    rest = once.where(~many).union(twice)
+    chosen, twice = _twice(once, made)
+    rest = once.join(chosen, "band", "left_anti").union(twice)
     columns = ["rid", "component", "registers", "n_shingles", "bands"]
     full = rest.join(made.select("rid", "registers", "n_shingles", "bands"), "rid")
 
@@ -405,7 +416,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if not found.isEmpty():
         old, roots = roots, stash(components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
         discard(old)
-    discard(met, once, twice, likely, texts, links, met_there)
+    discard(met, once, chosen, twice, likely, texts, links, met_there)
     of = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
     least_id = stash(of.where("root is not null").groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     of = stash(of.where("root is not null or members > 1").join(least_id, "root", "left").select("c1", "c2", F.coalesce("component_id", "first_id").alias("component_id")), "classes")
