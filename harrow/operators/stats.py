@@ -48,7 +48,8 @@ def histogram(rows: DataFrame, by: str, value: str, bins: int = 20) -> DataFrame
     return counts.join(total, by).select(by, "bin", "n", rounded(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-def only_setup(rows: DataFrame) -> DataFrame:
-    """The one setup that rows name; another number of setups is an error."""
-    n = F.count_distinct("setup")
-    return rows.agg(F.when(n == 1, F.max("setup")).otherwise(F.raise_error(F.concat(F.lit("expected one setup, found "), n.cast("string")))).alias("setup"))
+def only_setup(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The one setup that rows name, or that each group of rows names, as the results of a folder; another number of setups is an error."""
+    lo, hi = F.min("setup"), F.max("setup")
+    named = F.when(lo == hi, hi).otherwise(F.raise_error(F.concat(F.lit("expected one setup, found "), F.coalesce(F.concat_ws(" and ", lo, hi), F.lit("none")))))
+    return rows.groupBy(*by or []).agg(named.alias("setup"))

@@ -35,7 +35,9 @@ def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def only_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.only_setup(table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_type").alias("setup")))
+    """Results of a folder for each kind of event and hundred of users; each folder names one setup."""
+    folder = F.concat(F.col("event_type"), F.lit("/"), F.floor(F.col("user_id") / 100).cast("string"))
+    return S.only_setup(table(spark, sf_dir, "events").select(folder.alias("folder"), F.col("event_type").alias("setup")), ["folder"])
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +110,7 @@ SQL = {
     "score_summary": f"with {_SCORES} select source, count(*) as n, {_R('avg(overall)')} as mean_overall, {_R('stddev_pop(overall)')} as std_overall, {_R('avg(tc)')} as mean_task_correctness, {_R('avg(rs)')} as mean_reference_similarity, {_R('avg(cq)')} as mean_code_quality from scores group by source",
     "score_histogram": f"with {_SCORES}, b as (select source, least(floor(overall::decimal(20,8) * 20), 19)::int as bin, count(*) as n from scores group by all) select source, bin, n, {_R('n / sum(n) over (partition by source)', 6)} as share from b",
     "valid_rows": f"with {K_EVENTS} select event_id, k % 11 <> 0 and k % 5 <> 0 and k % 7 > 3 as valid from k_events",
-    "only_setup": "select max(event_type) as setup from events where event_type = 'click' having count(distinct event_type) = 1",
+    "only_setup": "select event_type || '/' || (user_id // 100) as folder, any_value(event_type) as setup from events group by 1",
     "function_coverage": _cov("0.0", "'missed'"),
     "function_coverage_lax": _cov("100.0", "null"),
     "coverage_gates": f"""with {K_EVENTS}, x as (select event_id, k, case when k % 4 = 1 then 'n/a' when k % 4 > 1 then k::varchar end as a, case when k % 3 > 0 then value::varchar end as b from k_events),

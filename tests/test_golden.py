@@ -197,6 +197,14 @@ def test_answer_pieces(spark):
         assert one(spark, F.struct(T.answer_pieces(F.lit(text)).alias("v"))).v == want
 
 
+def test_only_setup(spark):
+    d = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "folder string, setup string")
+    assert {tuple(r) for r in A.only_setup(d, ["folder"]).collect()} == {("a", "x"), ("b", "y")}
+    for bad in (d, d.where("false")):
+        with pytest.raises(Exception, match="expected one setup"):
+            A.only_setup(bad).collect()
+
+
 def test_resolved_paths(spark):
     d = spark.createDataFrame([("/a/./b/../c",), ("x/../y",), ("../../..",), ("/",), ("a//b/",), (None,)], "p string")
     assert [x.r for x in d.select(X.resolved_path(F.col("p"), "/t/u").alias("r")).collect()] == ["/a/c", "/t/u/y", "/", "/", "/t/u/a/b", None]
