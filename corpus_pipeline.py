@@ -25,12 +25,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that hold ten words in a row of an item of benchmark, or a whole shorter item."""
+    """docs without those that hold ten words in a row of an item of benchmark, or a whole shorter item; a null text holds none, and of repeated rows all stay or all go."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of docs in sequences of 4096 tokens; a null text is the end token alone."""
+    """The pieces of docs in sequences of 4096 tokens; a null text is the end token alone, repeated rows are packed each for itself."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
