@@ -40,14 +40,14 @@ def stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5, J5: tasks asked of two setups, run, run again, and run once more after new tasks came; those without a result, by batch."""
+    """ST5, J5: tasks asked of two setups, of which one has no results yet, run, run again, and run once more after new tasks came; those without a result, by batch."""
     at = f"{folder(spark)}/resume-{uuid.uuid4().hex}"
     tasks = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("task_id"))
     have = lambda: runs(spark, sf_dir).select("task_id", "setup")
     for new in (tasks.where("item_id % 3 = 0"), None, tasks.where("item_id % 3 > 0")):
         if new is not None:
             new.select("task_id").coalesce(1).write.mode("append").json(f"{at}/tasks")
-        asked = S.tail(spark, f"{at}/tasks", "task_id string").withColumn("setup", F.explode(F.array(F.lit("view"), F.lit("click"))))
+        asked = S.tail(spark, f"{at}/tasks", "task_id string").withColumn("setup", F.explode(F.array(F.lit("view"), F.lit("deep"))))
         S.outstanding(asked, have, ["task_id", "setup"], f"{at}/table", f"{at}/log").awaitTermination()
     return S.asked_so_far(spark, f"{at}/table")
 
@@ -76,7 +76,7 @@ SQL = {
     "stream_latest": f"with {K_EVENTS} select user_id, event_type, event_id, k from k_events qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1",
     "stream_best": """with l as (select user_id, max(ts) as seen, max((value, event_id)) as m from events where value is not null group by 1), b as (select user_id::varchar as key, m[1]::double as score, m[2]::bigint as attempt, seen from l)
       select key, 'best' as event, attempt, score from b union all select key, 'closed', attempt, score from b where seen + interval 1 day <= (select max(ts) from events) - interval 1 hour""",
-    "stream_resume": f"with {RUNS}, a as (select 't' || item_id as task_id, unnest(['view', 'click']) as setup, case when item_id % 3 = 0 then 0 else 1 end::int as batch from benchmark) select * from a anti join runs using (task_id, setup)",
+    "stream_resume": f"with {RUNS}, a as (select 't' || item_id as task_id, unnest(['view', 'deep']) as setup, case when item_id % 3 = 0 then 0 else 1 end::int as batch from benchmark) select * from a anti join runs using (task_id, setup)",
     "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
     "stream_sliding": "select strftime(date_trunc('day', ts) - to_days(b), '%Y-%m-%d') as day, event_type, count(*) as n from events, (values (0), (1)) p(b) group by all",
     "stream_sessions": """with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 1 hour then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from l)
