@@ -50,6 +50,10 @@ def overlay(entries: DataFrame) -> DataFrame:
     return last.join(gone, "path", "left").where(F.col("_gl").isNull() | (F.col("layer") >= F.col("_gl"))).drop("_gl").join(hidden, "path", "left_anti")
 
 
+#: Lengths of the grams by which similar keys meet, besides single characters.
+GRAMS = (4, 3, 2)
+
+
 def _prefixes(d: DataFrame, q: int, common: Column, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((key, gram, nth) of the rarest grams of each key, counts of grams): as many that two keys which share `common` grams of each one's own at least have one of them in common.
 
@@ -68,19 +72,18 @@ def _prefixes(d: DataFrame, q: int, common: Column, counts: DataFrame | None = N
 def similar_keys(names: DataFrame, documents: DataFrame, least: float = 0.90) -> DataFrame:
     """(a, b, ratio): pairs of different keys of names and of documents whose sequence ratio is at least `least` (0.8 or more).
 
-    A set-similarity join with prefix filter. Of T characters in both, a pair has at least least * T / 2 in common runs, which at most (1 - least) * T + 1 of them make up, so it shares (1.5 * least - 1) * T - 1 pairs of neighbouring characters, and T is at least the length of either by 1 - least / 2. Each key is looked up by its rarest grams alone, as many as that leaves; a frequent gram is in hardly any key's. Keys too short for this meet by single characters in the same way.
+    A set-similarity join with prefix filter. Of T characters in both, a pair has at least least * T / 2 in common runs, of which there are at most (1 - least) * T + 1, so it shares (least / 2 - (q - 1) * (1 - least)) * T - (q - 1) runs of q characters, and T is at least the length of either by 1 - least / 2. Each key is looked up by its rarest grams alone, as many as that leaves; a frequent gram is in hardly any key's. q is the largest of GRAMS by which a key's length leaves two in common at least; the shortest keys meet by single characters.
     """
     if not 0.8 <= least <= 1:
         raise ValueError("least must be between 0.8 and 1")
     a, b = (d.select("key").where("key is not null").distinct() for d in (names, documents))
     total = F.length("key") / (1 - least / 2)
-    by_two, by_one = F.ceil((1.5 * least - 1) * total - 1 - 1e-9), F.ceil(least / 2 * total - 1e-9)
-    short = by_two < 1
-    longest = 2 * (1 - least / 2) / (1.5 * least - 1) * (2 - least) / least + 1  # the longest key that a short one may be like
+    common = lambda q: F.ceil((least / 2 - (q - 1) * (1 - least)) * total - (q - 1) - 1e-9)
+    asked = a.withColumn("q", F.coalesce(*[F.when(common(q) >= 2, q) for q in GRAMS], F.lit(1)))
     met = None
-    for q, common, asked, held in ((2, by_two, a.where(~short), b), (1, by_one, a.where(short), b.where(F.length("key") <= longest))):
-        right, counts = _prefixes(held, q, common)
-        left, _ = _prefixes(asked, q, common, counts)
+    for q in (*GRAMS, 1):
+        right, counts = _prefixes(b, q, common(q))
+        left, _ = _prefixes(asked.where(F.col("q") == q).select("key"), q, common(q), counts)
         own = left.withColumnRenamed("key", "a").join(right.withColumnRenamed("key", "b"), ["gram", "nth"]).select("a", "b")
         met = own if met is None else met.union(own)
     near = met.where((2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b"))) & (F.col("a") != F.col("b"))).distinct()
