@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions.structs import json_object
-from harrow.sources.files import text_files
+from harrow.sources.files import packed, text_files
 
 #: Folders that a search doesn't go into; fixed values. Spark's listing enters none whose name begins with a dot.
 SKIP = (".git", "node_modules", ".cache")
@@ -25,7 +25,9 @@ def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataF
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     root = plain(path.rstrip("/")) + "/"
     d = (r.option("pathGlobFilter", pattern) if pattern else r).load(path).select(plain(F.col("path")).alias("path"), "length")
-    return d.select("path", F.expr(f"substr(path, {len(root) + 1})").alias("inner"), "length")
+    d = d.select("path", F.expr(f"substr(path, {len(root) + 1})").alias("inner"), "length")
+    packs = packed(spark, path, pattern)
+    return d if packs is None else d.union(packs.select(plain(F.col("path")), "inner", "length"))
 
 
 def first_by_level(files: DataFrame, name: str, depth: int = 8, skip: tuple[str, ...] = SKIP, by: int = 0) -> DataFrame:

@@ -18,15 +18,33 @@ from harrow.sources.scratch import cut
 
 #: Blocks of files up to which their line counts are broadcast (some 100 bytes each); beyond, lines are joined to them by block.
 BLOCKS = 100_000
+#: Where a folder has its packed artifacts; Spark's listing of files passes it over.
+PACKS = "_packs"
 #: The classes of a coherence check; fixed values.
 CLASSIFICATIONS = ["coherent_c", "empty_output", "provider_failure", "stdout_transcript", "non_code"]
 
 
+def packed(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame | None:
+    """(path, inner, name, text, modified, length) of the artifacts that sinks.pack_artifacts put below a folder, None if none were; pattern as for files, of names, * and ?."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(path.rstrip("/"), PACKS)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    d = spark.read.parquet(at.toString()).select(F.concat(F.lit(path.rstrip("/") + "/"), "place").alias("path"), F.col("place").alias("inner"), "name", "text", "modified", "length")
+    if pattern is None:
+        return d
+    if re.search(r"[*?]", pattern) is None:
+        return d.where(F.col("name") == pattern)
+    return d.where(F.col("name").rlike("^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"))
+
+
 def text_files(spark: SparkSession, path: str, pattern: str | None = None, depth: int | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """Whole files below a folder as (path, name, text, modified); pattern is a glob of names, depth a bound of folder levels, skip names folders to pass over."""
     r = spark.read.option("recursiveFileLookup", True)
     d = (r.option("pathGlobFilter", pattern) if pattern else r).text(path, wholetext=True)
     d = d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
+    if (packs := packed(spark, path, pattern)) is not None:
+        d = d.union(packs.select("path", "name", "text", "modified"))
     root = re.sub("^[a-z0-9]+:/+", "/", path.rstrip("/")) + "/"
     inner = F.split(F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), root, -1), "/")
     if depth is not None:
@@ -58,7 +76,12 @@ def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = cut(first.select("path", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")))
     first = F.broadcast(first) if first.count() <= BLOCKS else first
-    return d.join(first, ["path", "block"]).select("path", "name", "block", (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
+    d = d.join(first, ["path", "block"]).select("path", "name", "block", (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
+    if (packs := packed(spark, path, pattern)) is None:
+        return d
+    # a packed artifact is small, a row, so its lines are numbered in it
+    each = packs.where("text <> ''").select("path", "name", F.lit(0).cast("long").alias("block"), F.posexplode(F.split(F.regexp_replace("text", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")).alias("pos", "line"))
+    return d.union(each.select("path", "name", "block", (F.col("pos") + 1).cast("long").alias("line_no"), "line"))
 
 
 def jsonl(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:

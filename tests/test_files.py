@@ -226,3 +226,22 @@ def test_callees_by_policy():
 def test_binary_digest(spark, tmp_path):
     write(tmp_path / "f.bin", "abc")
     assert S.binary(spark, str(tmp_path)).first().sha256.startswith("ba7816bf")
+
+
+def test_packed_artifacts(spark, tmp_path):
+    """Packs and files lie side by side; the readers see both, and packs make no file for each artifact."""
+    from harrow.sources import episodes as E
+
+    at = str(tmp_path / "t")
+    d = spark.range(300).select(F.concat(F.lit("e"), "id", F.lit("/"), F.when(F.col("id") % 2 == 0, "metadata.json").otherwise("x.txt")).alias("place"), F.concat(F.lit('{"n": '), "id", F.lit("}")).alias("text"))
+    K.pack_artifacts(d.where("id < 200"), at)
+    K.pack_artifacts(d.where("id >= 200"), at)
+    assert sum(1 for _ in tmp_path.rglob("*.parquet")) < 30 and not list(tmp_path.rglob("*.json"))
+    write(tmp_path / "t" / "own" / "metadata.json", '{"n": -1}\n')
+    there = {(r.inner, r.length) for r in E.listing(spark, at).collect()}
+    assert len(there) == 301 and {("e7/x.txt", 9), ("own/metadata.json", 10)} <= there
+    assert len(E.objects(spark, at, "metadata.json").collect()) == 151 and S.text_files(spark, at, "*.tx?").count() == 150 and S.text_files(spark, at, "*.txt", depth=0).count() == 0
+    K.pack_artifacts(spark.createDataFrame([("a.log", "x\r\n\ry"), ("b.log", "")], "place string, text string"), at)
+    assert [(r.name, r.line_no, r.line) for r in S.numbered_lines(spark, at, "*.log").orderBy("name", "line_no").collect()] == [("a.log", 1, "x"), ("a.log", 2, ""), ("a.log", 3, "y"), ("b.log", 1, "")]
+    with pytest.raises(FileExistsError):
+        K.pack_artifacts(d.where("id = 0"), at)
