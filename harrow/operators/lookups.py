@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,44 +52,54 @@ def overlay(entries: DataFrame) -> DataFrame:
     return last.join(gone, "path", "left").where(F.col("_gl").isNull() | (F.col("layer") >= F.col("_gl"))).drop("_gl").join(hidden, "path", "left_anti")
 
 
-#: Lengths of the grams by which similar keys meet, besides single characters.
-GRAMS = (4, 3, 2)
+def unmatched(total: int, least: float) -> int:
+    """Of two keys of so many characters together the most that may match nothing."""
+    return total - 2 * math.ceil(least * total / 2 - 1e-9)
+
+
+def _cuts(weights: list[float], m: int) -> list[tuple[int, int]]:
+    """(start, length) of m segments, none empty, of about equal weight."""
+    total, done, at = sum(weights), 0.0, [0]
+    for k, w in enumerate(weights):
+        if len(at) < m and k > at[-1] and (done * m >= total * len(at) - 1e-9 or len(weights) - k <= m - len(at)):
+            at.append(k)
+        done += w
+    return [(x, y - x) for x, y in zip(at, [*at[1:], len(weights)])]
 
 
-def _prefixes(d: DataFrame, q: int, common: Column, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((key, gram, nth) of the rarest grams of each key, counts of grams): as many that two keys which share `common` grams of each one's own at least have one of them in common.
+def _segments(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(lb, i, start, len): the segments of b's keys of each length that may be like one of a's: one more than the most characters that may be unmatched.
 
-    Grams are of q characters, and the nth time that a key holds one tells it from the others. counts: the grams' numbers, by which both sides of a join must be ordered.
+    A place of a key weighs what its character tells: no more than one common to all keys, so that every segment is as rare as it can be. Lengths and the weights of places come to the driver, no key does.
     """
-    at = F.sequence(F.lit(1), F.length("key") - (q - 1))
-    one = d.where(F.length("key") >= q).select("key", F.explode(F.transform(at, lambda k: F.struct(F.substring("key", k, F.lit(q)).alias("gram"), k.alias("k")))).alias("g")).select("key", "g.*")
-    if counts is None:
-        counts = one.groupBy("gram").agg(F.count("*").alias("n"))
-    own = one.join(counts, "gram", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "k"))).alias("g"))  # a key's grams, no more than its characters
-    rare = F.slice("g", F.lit(1), F.greatest(F.lit(1), F.length("key") - (q - 1) - F.greatest(common, F.lit(1)) + 1).cast("int"))
-    numbered = F.transform(rare, lambda x, i: F.struct(x["gram"].alias("gram"), F.size(F.filter(F.slice(rare, F.lit(1), i), lambda y: y["gram"] == x["gram"])).alias("nth")))
-    return own.select("key", F.explode(numbered).alias("g")).select("key", "g.gram", "g.nth"), counts
+    la = [r.n for r in a.select(F.length("key").alias("n")).distinct().collect()]
+    chars = F.transform(F.sequence(F.lit(1), F.length("key")), lambda k: F.struct(k.alias("k"), F.substring("key", k, F.lit(1)).alias("c")))
+    each = b.where(F.length("key") > 0).select(F.length("key").alias("lb"), F.explode(chars).alias("x")).groupBy("lb", "x.k", "x.c").agg(F.count("*").cast("double").alias("n"))
+    weighed = each.groupBy("lb", "k").agg((-F.log2(F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n")))).alias("w"))
+    out = []
+    for lb, ws in weighed.groupBy("lb").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("w")).collect():
+        if near := [unmatched(n + lb, least) for n in la if 2 * min(n, lb) >= least * (n + lb)]:
+            out += [(lb, i, *x) for i, x in enumerate(_cuts([max(w.w, 1e-3) for w in ws], max(near) + 1))]
+    return a.sparkSession.createDataFrame(out, "lb int, i int, start int, len int")
 
 
 def similar_keys(names: DataFrame, documents: DataFrame, least: float = 0.90) -> DataFrame:
     """(a, b, ratio): pairs of different keys of names and of documents whose sequence ratio is at least `least` (0.8 or more).
 
-    A set-similarity join with prefix filter. Of T characters in both, a pair has at least least * T / 2 in common runs, of which there are at most (1 - least) * T + 1, so it shares (least / 2 - (q - 1) * (1 - least)) * T - (q - 1) runs of q characters, and T is at least the length of either by 1 - least / 2. Each key is looked up by its rarest grams alone, as many as that leaves; a frequent gram is in hardly any key's. q is the largest of GRAMS by which a key's length leaves two in common at least; the shortest keys meet by single characters.
+    A join by segments. Of T characters in both, a pair has at least least * T / 2 in common runs; an unmatched one breaks one segment of b's key at most, so of one segment more one is whole in a's key, and as far from its place as unmatched characters can move it. Each document's key is a row for each of its segments, each name's key one for each place where a segment may be; what meets is tried by a bounded edit distance at once, and only what passes is compared in full.
     """
     if not 0.8 <= least <= 1:
         raise ValueError("least must be between 0.8 and 1")
     a, b = (d.select("key").where("key is not null").distinct() for d in (names, documents))
-    total = F.length("key") / (1 - least / 2)
-    common = lambda q: F.ceil((least / 2 - (q - 1) * (1 - least)) * total - (q - 1) - 1e-9)
-    asked = a.withColumn("q", F.coalesce(*[F.when(common(q) >= 2, q) for q in GRAMS], F.lit(1)))
-    met = None
-    for q in (*GRAMS, 1):
-        right, counts = _prefixes(b, q, common(q))
-        left, _ = _prefixes(asked.where(F.col("q") == q).select("key"), q, common(q), counts)
-        own = left.withColumnRenamed("key", "a").join(right.withColumnRenamed("key", "b"), ["gram", "nth"]).select("a", "b")
-        met = own if met is None else met.union(own)
-    near = met.where((2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b"))) & (F.col("a") != F.col("b"))).distinct()
-    return near.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
+    parts = F.broadcast(_segments(a, b, least))
+    right = b.withColumn("lb", F.length("key")).join(parts, "lb").select("lb", "i", F.substring("key", F.col("start") + 1, F.col("len")).alias("part"), F.col("key").alias("b"))
+    total = F.length("key") + F.col("lb")
+    common = F.ceil(least * total / 2 - 1e-9).cast("int")
+    asked = a.crossJoin(parts).where(2 * F.least(F.length("key"), F.col("lb")) >= least * total).withColumns({"lo": F.greatest(F.lit(0), F.col("start") - (F.col("lb") - common)), "hi": F.least(F.length("key") - F.col("len"), F.col("start") + F.length("key") - common)})
+    left = asked.where("lo <= hi").select("lb", "i", "len", (total - 2 * common).alias("apart"), F.col("key").alias("a"), F.explode(F.sequence("lo", "hi")).alias("at"))
+    left = left.select("lb", "i", F.substring("a", F.col("at") + 1, F.col("len")).alias("part"), "a", "apart").distinct()
+    met = left.hint("merge").join(right, ["lb", "i", "part"]).where((F.col("a") != F.col("b")) & F.expr("levenshtein(a, b, apart) >= 0")).select("a", "b").distinct()
+    return met.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
 
 
 def fuzzy(names: DataFrame, documents: DataFrame, least: float = 0.90, k: int = 5) -> DataFrame:

@@ -294,3 +294,15 @@ def test_ranges_across_blocks(spark):
     lines = [(f, n) for f in ("a", "b", "c") for n in range(1, 2200, 7)]
     got = C.in_ranges(spark.createDataFrame(lines, "file string, line_no int"), spark.createDataFrame([*ranges, ("a", "void", 9, 3)], "file string, name string, start_line int, end_line int")).select("file", "line_no", "name").collect()
     assert sorted(map(tuple, got)) == sorted((f, n, r) for f, n in lines for g, r, a, b in ranges if f == g and a <= n <= b)
+
+
+def test_segments_of_similar_keys():
+    from harrow.operators.lookups import _cuts, unmatched
+
+    assert unmatched(77, 0.9) == 7 and unmatched(20, 0.9) == 2 and unmatched(2, 0.9) == 0
+    for weights in ([0.001] * 6 + [4.0] * 32, [1.0] * 9, [9.0] + [0.001] * 8, [0.001] * 8 + [9.0]):
+        for m in range(1, 9):
+            got = _cuts(weights, m)
+            assert len(got) == m and all(n > 0 for _, n in got) and [s for s, _ in got] == [sum(n for _, n in got[:k]) for k in range(m)] and sum(n for _, n in got) == len(weights)
+    # what all keys begin with makes no segment of its own
+    assert _cuts([0.001] * 6 + [4.0] * 32, 8)[0] == (0, 10)
