@@ -142,12 +142,16 @@ def _c_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_events(spark, sf_dir).select("event_id", "k", x.alias("text"))
 
 
+def _c_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _c_texts(spark, sf_dir).select("event_id", "k", F.inline(U.c_written_calls("text")))
+
+
 def c_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three policies of what is a callee, as rows of a table function joined laterally in SQL."""
-    U.register(spark)
-    policies = spark.createDataFrame([("identifier",), ("indirect",), ("text",)], "policy string")
-    d = spark.sql("SELECT event_id, policy, c.callee, c.line_number, array_join(c.passed, '+') AS passed FROM {t} t JOIN {p} p, LATERAL c_calls_of(t.text, p.policy) c", t=_c_texts(spark, sf_dir), p=policies)
-    return d.select("event_id", "policy", "callee", "line_number", "passed")
+    """The three policies of what is a callee, each by the calls of one walk through the text."""
+    plain = F.col("callee") == F.col("written")
+    each = F.array(F.when(plain, F.struct(F.lit("identifier").alias("policy"), "callee")), F.struct(F.lit("indirect").alias("policy"), "callee"), F.struct(F.lit("text").alias("policy"), F.col("written").alias("callee")))
+    passed = F.array_join(F.array_distinct(F.array_compact("names")), "+")
+    return _c_calls(spark, sf_dir).select("event_id", "line_number", passed.alias("passed"), F.inline(F.array_compact(each))).select("event_id", "policy", "callee", "line_number", "passed")
 
 
 def c_callback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

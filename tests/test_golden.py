@@ -306,3 +306,22 @@ def test_segments_of_similar_keys():
             assert len(got) == m and all(n > 0 for _, n in got) and [s for s, _ in got] == [sum(n for _, n in got[:k]) for k in range(m)] and sum(n for _, n in got) == len(weights)
     # what all keys begin with makes no segment of its own
     assert _cuts([0.001] * 6 + [4.0] * 32, 8)[0] == (0, 10)
+
+
+def test_written_calls_give_every_policy():
+    positions = {"f": [2], "g": [1, 3], "t.m[i]": [1]}
+    for code in (C_CODE, "void a(void) {\n  f(&cb, (int)x, g(1));\n  s->run(h, h);\n  (*fp)(k);\n  t.m[i](cb);\n}\n", "", None):
+        every = U.written_calls_of(code)
+        names = lambda ns: list(dict.fromkeys(n for n in ns if n))
+        assert [(c, n, names(a)) for c, w, n, a in every if c == w] == U.calls_of(code)
+        assert [(c, n, names(a)) for c, _, n, a in every] == U.calls_of(code, "indirect") and [(w, n, names(a)) for _, w, n, a in every] == U.calls_of(code, "text")
+        assert [(c, n, names(a[p - 1] for p in positions.get(w, []) if p <= len(a))) for c, w, n, a in every] == U.calls_of(code, "indirect", positions)
+
+
+def test_equal_texts_are_gone_through_once(monkeypatch):
+    import pyarrow as pa
+
+    seen, walk = [], U.written_calls_of
+    monkeypatch.setattr(U, "written_calls_of", lambda t: seen.append(t) or walk(t))
+    got = U.c_written_calls.func(pa.array(["f(a);", None, "f(a);", "g(1);"])).to_pylist()
+    assert sorted(seen) == ["f(a);", "g(1);"] and got[1] is None and got[0] == got[2] and got[3][0]["written"] == "g"
