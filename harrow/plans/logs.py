@@ -156,8 +156,9 @@ def c_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c_callback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callbacks at configured places of the callees that have any."""
-    U.register(spark)
-    return spark.sql("SELECT t.event_id, c.callee, explode(c.passed) AS callback FROM {t} t, LATERAL c_passed_to(t.text, map('f' || t.k, array(1), 'g', array(1))) c", t=_c_texts(spark, sf_dir))
+    places = F.when(F.col("written").isin("g") | (F.col("written") == F.concat(F.lit("f"), F.col("k").cast("string"))), F.array(F.lit(1)))
+    names = F.array_distinct(F.array_compact(F.transform("places", lambda p: F.get("names", p - 1))))
+    return _c_calls(spark, sf_dir).withColumn("places", places).where("places is not null").select("event_id", "callee", F.explode(names).alias("callback"))
 
 
 def c_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
