@@ -325,3 +325,10 @@ def test_equal_texts_are_gone_through_once(monkeypatch):
     monkeypatch.setattr(U, "written_calls_of", lambda t: seen.append(t) or walk(t))
     got = U.c_written_calls.func(pa.array(["f(a);", None, "f(a);", "g(1);"])).to_pylist()
     assert sorted(seen) == ["f(a);", "g(1);"] and got[1] is None and got[0] == got[2] and got[3][0]["written"] == "g"
+
+
+def test_maps_are_made_once(spark):
+    d = spark.range(1).select(F.split(F.lit("a=1,b=2,a=3"), ",").alias("items"))
+    plan = lambda c: d.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(X.env_map(F.col("items"))).count("substring_index") == 1
+    assert plan(X.mount(F.lit("src=/a,dst=/b"))).count("substring_index") == 1
