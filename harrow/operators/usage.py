@@ -2,38 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.udfs import NO_USAGE, TOTALS
-from harrow.operators.calls import walked
-from harrow.sources.scratch import cut
+
+#: Levels that are walked before it is asked whether any are left, and bytes of a text for each time that it is asked: a level takes a byte at least.
+AT_ONCE = 16
+
+
+def _fields(v: Column) -> Column:
+    """The fields (key, value) of a VARIANT object, the items of an array with null for a key; null for what is neither."""
+    of_object = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    of_array = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    return F.coalesce(of_object, of_array)
+
+
+def _below(e: Column) -> Column:
+    """The fields below a field: of its object or array, or of the JSON of a text in an object that names tokens."""
+    is_text = e["key"].isNotNull() & (F.schema_of_variant(e["value"]) == "STRING")
+    told = F.try_variant_get(e["value"], "$", "string")
+    in_text = F.when(is_text & F.contains(F.lower(told), F.lit("token")), F.try_parse_json(told))
+    return F.coalesce(_fields(e["value"]), F.get(F.transform(F.array(in_text), _fields), F.lit(0)))
+
+
+def _number(v: Column) -> Column:
+    kinds = F.array(F.schema_of_variant(v))
+    read = lambda kind: F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")).when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double").cast("bigint"))
+    return F.get(F.transform(kinds, read), F.lit(0))
+
+
+def _own(fields: Column) -> Column:
+    """The tokens that an object with these fields states itself: the larger of its greatest total and the sum of its other token counts."""
+    has = lambda e, words: F.rlike(F.lower(e["key"]), F.lit("|".join(words)))
+    named = F.filter(fields, lambda e: F.contains(F.lower(e["key"]), F.lit("token")) & ~has(e, NO_USAGE))
+    none = F.struct(F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("rest"))
+    n = lambda e: F.coalesce(_number(e["value"]), F.lit(0))
+    add = lambda s, e: F.when(has(e, TOTALS), F.struct(F.greatest(s["most"], n(e)).alias("most"), s["rest"].alias("rest"))).otherwise(F.struct(s["most"].alias("most"), (s["rest"] + n(e)).alias("rest")))
+    return F.aggregate(named, none, add, lambda s: F.greatest(s["most"], s["rest"]))
 
 
 def usage_totals(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """A2: (key, tokens) of each row: what every object in its JSON text states itself, at any depth. key tells the rows apart.
+    """A2: (key, tokens) of each row: what every object in its JSON text states itself, at any depth.
 
-    An object states the larger of its greatest total and the sum of its other token counts; booleans and names of budgets don't count, fractions are cut off. A text in an object's field that names tokens is read as JSON as well. A row without JSON has 0. The walk is a recursion by variant_explode, a level of all texts at a time, and no Python runs.
+    An object states the larger of its greatest total and the sum of its other token counts; booleans and names of budgets don't count, fractions are cut off. A text in an object's field that names tokens is read as JSON as well. A row without JSON has 0. Each row is walked for itself, a level at a time: nothing is shuffled or written, no Python runs.
     """
-    d = cut(rows.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    nodes = walked(
-        rows.sparkSession,
-        """WITH RECURSIVE nodes (key, path, v) MAX RECURSION LEVEL 100000 AS (
-             SELECT key, '', try_parse_json(text) FROM {d} WHERE try_parse_json(text) IS NOT NULL
-             UNION ALL
-             SELECT n.key, concat(n.path, '/', e.pos),
-               CASE WHEN schema_of_variant(e.value) = 'STRING' THEN try_parse_json(CAST(e.value AS STRING)) ELSE e.value END
-             FROM nodes n, LATERAL variant_explode(n.v) e
-             WHERE CASE WHEN schema_of_variant(e.value) = 'STRING' THEN e.key IS NOT NULL AND contains(lower(CAST(e.value AS STRING)), 'token') AND try_parse_json(CAST(e.value AS STRING)) IS NOT NULL
-               ELSE schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%' END)
-           SELECT key, path, v FROM nodes WHERE schema_of_variant(v) LIKE 'OBJECT%'""",
-        d=d,
-    )
-    fields = rows.sparkSession.sql("SELECT n.key, n.path, lower(e.key) AS name, e.value FROM {nodes} n, LATERAL variant_explode(n.v) e WHERE contains(lower(e.key), 'token')", nodes=nodes)
-    kind = F.schema_of_variant("value")
-    number = F.when(kind == "BIGINT", F.try_variant_get("value", "$", "bigint")).when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get("value", "$", "double").cast("bigint"))
-    has = lambda words: F.rlike("name", F.lit("|".join(words)))
-    n = fields.where(~has(NO_USAGE)).select("key", "path", "name", number.alias("n")).where("n is not null")
-    own = n.groupBy("key", "path").agg(F.coalesce(F.max(F.when(has(TOTALS), F.col("n"))), F.lit(0)).alias("most"), F.coalesce(F.sum(F.when(~has(TOTALS), F.col("n"))), F.lit(0)).alias("rest"))
-    total = own.groupBy("key").agg(F.sum(F.greatest("most", "rest", F.lit(0))).alias("tokens"))
-    return d.select("key").join(total, "key", "left").select(F.col("key").alias(key), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    found = lambda x: F.filter(x, lambda fields: fields.isNotNull())
+    level = lambda s, _: F.when(F.size(s["open"]) == 0, s).otherwise(F.struct(found(F.transform(F.flatten(s["open"]), _below)).alias("open"), F.aggregate(s["open"], s["tokens"], lambda n, fields: n + _own(fields)).alias("tokens")))
+    levels = lambda s, _: F.when(F.size(s["open"]) == 0, s).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(AT_ONCE)), s, level))
+    start = F.struct(found(F.array(_fields(F.try_parse_json(text)))).alias("open"), F.lit(0).cast("long").alias("tokens"))
+    tokens = F.aggregate(F.sequence(F.lit(0), F.floor(F.octet_length(text) / AT_ONCE).cast("int")), start, levels, lambda s: s["tokens"])
+    return rows.select(F.col(key).alias(key), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))

@@ -99,7 +99,9 @@ def usage_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: the tokens that a trace states, at any depth and in texts that hold JSON."""
     k = F.col("k").cast("string")
     x = F.concat(F.lit('{"usage": {"prompt_tokens": '), k, F.lit(', "completion_tokens": 1, "Total_Tokens": '), F.when(F.col("k") % 2 == 0, F.col("k") + 5).otherwise(0).cast("string"), F.lit(', "max_tokens": 999}, "steps": [{"token_count": 3}, {"body": "{\\"tokens\\": 4}"}, {"body": "{\\"n\\": 4}"}], "flag_tokens": true}'))
-    return usage_totals(keyed_events(spark, sf_dir).select("event_id", x.alias("text")), "event_id", "text")
+    # A split of the small columns of events makes texts of many times its bytes: they are dealt out by rows.
+    d = keyed_events(spark, sf_dir).select("event_id", "k").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+    return usage_totals(d.select("event_id", x.alias("text")), "event_id", "text")
 
 
 def ordered_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,27 @@ def test_usage_by_levels(spark):
     assert "Python" not in usage_totals(d, "i", "t")._jdf.queryExecution().toString()
 
 
+def test_usage_row_by_row(spark, monkeypatch):
+    """Rows are walked each for itself: keys may repeat or be null, and nothing is shuffled or written. Levels may be many, also in texts within texts."""
+    import json
+
+    from harrow.operators.usage import usage_totals
+    from harrow.sources import scratch
+
+    monkeypatch.setattr(scratch, "cut", lambda df: pytest.fail("a table was written"))
+    monkeypatch.setattr("harrow.operators.calls.cut", scratch.cut)
+    deep, told = "[" * 300 + '{"tokens": 5}' + "]" * 300, {"tokens": 6}
+    for _ in range(7):
+        told = {"body": json.dumps([told])}
+    escaped = '{"a": "\\u007b\\u0022token\\u0022: 7}"}'
+    wide = json.dumps({"steps": [{"tokens": 1, "more": [{"x": {"total_tokens": 2}}]}] * 500})
+    texts = ['{"tokens": 1}', '{"tokens": 2}', deep, json.dumps(told), escaped, wide]
+    d = spark.createDataFrame([(key, t) for t in texts for key in (1, None)], "i long, t string")
+    got = usage_totals(d, "i", "t")
+    assert sorted((r.i or 0, r.tokens) for r in got.collect()) == sorted((i, n) for n in (1, 2, 5, 6, 7, 1500) for i in (1, 0))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_expected_pairs_of_any_number_of_setups(spark, monkeypatch):
     tasks, seen = spark.range(3).selectExpr("concat('t', id) as task_id"), spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "setup string")
     want = {(f"t{k}", s) for k in range(3) for s in "ab"}
