@@ -68,7 +68,7 @@ def _cuts(weights: list[float], m: int) -> list[tuple[int, int]]:
 
 
 def _segments(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(lb, i, start, len): the segments of b's keys of each length that may be like one of a's: one more than the most characters that may be unmatched.
+    """(lb, i, start, len, first, next, half, rest): the segments of b's keys of each length that may be like one of a's: one more than the most characters that may be unmatched. Of the segment after each, which after the last is the first again (first), next is the start, half and rest are the lengths of two parts of about equal weight.
 
     A place of a key weighs what its character tells: no more than one common to all keys, so that every segment is as rare as it can be. Lengths and the weights of places come to the driver, no key does.
     """
@@ -79,26 +79,43 @@ def _segments(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     out = []
     for lb, ws in weighed.groupBy("lb").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("w")).collect():
         if near := [unmatched(n + lb, least) for n in la if 2 * min(n, lb) >= least * (n + lb)]:
-            out += [(lb, i, *x) for i, x in enumerate(_cuts([max(w.w, 1e-3) for w in ws], max(near) + 1))]
-    return a.sparkSession.createDataFrame(out, "lb int, i int, start int, len int")
+            weights = [max(w.w, 1e-3) for w in ws]
+            cuts = _cuts(weights, max(near) + 1)
+            for i, x in enumerate(cuts):
+                start, n = cuts[(i + 1) % len(cuts)]
+                half = _cuts(weights[start : start + n], 2)[0][1] if n > 1 else 0
+                out.append((lb, i, *x, i + 1 == len(cuts), start, half, n - half))
+    return a.sparkSession.createDataFrame(out, "lb int, i int, start int, len int, first boolean, next int, half int, rest int")
+
+
+def _meetings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, apart, b): the keys that a join by segments tries, all pairs that are similar among them; apart: the most that may be unmatched.
+
+    Of T characters in both, a pair has at least least * T / 2 in common runs. An unmatched one counts to the segment of b's key that it is in, one of a's key to that of the character that it comes before; there is a segment more than unmatched ones. So going round from some segment, as many segments as one likes hold fewer unmatched ones than they are: that segment is whole in a's key, as far from its place as unmatched characters can move it, and the next holds one at most, so its first part follows at once or its second a character too early or too late. Each document's key is a row for each segment and part of the next, each name's key one for each place where they may be; they meet by hashes of both.
+    """
+    parts = F.broadcast(_segments(a, b, least))
+    met_by = lambda kind, key, at, then, n: F.xxhash64("lb", "i", F.lit(kind), F.substring(key, at + 1, F.col("len")), F.substring(key, then + 1, F.col(n)))
+    second = F.col("next") + F.col("half")
+    right = b.withColumn("lb", F.length("key")).join(parts, "lb").select(F.explode(F.array(met_by(0, "key", F.col("start"), F.col("next"), "half"), met_by(1, "key", F.col("start"), second, "rest"))).alias("part"), F.col("key").alias("b"))
+    total = F.length("key") + F.col("lb")
+    common = F.ceil(least * total / 2 - 1e-9).cast("int")
+    asked = a.crossJoin(parts).where(2 * F.least(F.length("key"), F.col("lb")) >= least * total).withColumns({"lo": F.greatest(F.lit(0), F.col("start") - (F.col("lb") - common)), "hi": F.least(F.length("key") - F.col("len"), F.col("start") + F.length("key") - common)})
+    each = asked.where("lo <= hi").select("lb", "i", "len", "half", "rest", "first", (total - 2 * common).alias("apart"), F.col("key").alias("a"), F.explode(F.sequence("lo", "hi")).alias("at"))
+    after = F.when(F.col("first"), F.lit(0)).otherwise(F.col("at") + F.col("len"))
+    keys = [met_by(0, "a", F.col("at"), after, "half"), *[met_by(1, "a", F.col("at"), after + F.col("half") + k, "rest") for k in (-1, 1)]]
+    left = each.select(F.explode(F.array(*keys)).alias("part"), "a", "apart").distinct()
+    return left.hint("merge").join(right, "part").drop("part")
 
 
 def similar_keys(names: DataFrame, documents: DataFrame, least: float = 0.90) -> DataFrame:
     """(a, b, ratio): pairs of different keys of names and of documents whose sequence ratio is at least `least` (0.8 or more).
 
-    A join by segments. Of T characters in both, a pair has at least least * T / 2 in common runs; an unmatched one breaks one segment of b's key at most, so of one segment more one is whole in a's key, and as far from its place as unmatched characters can move it. Each document's key is a row for each of its segments, each name's key one for each place where a segment may be; what meets is tried by a bounded edit distance at once, and only what passes is compared in full.
+    What meets by segments (_meetings) is tried by a bounded edit distance at once, and only what passes is compared in full.
     """
     if not 0.8 <= least <= 1:
         raise ValueError("least must be between 0.8 and 1")
     a, b = (d.select("key").where("key is not null").distinct() for d in (names, documents))
-    parts = F.broadcast(_segments(a, b, least))
-    right = b.withColumn("lb", F.length("key")).join(parts, "lb").select("lb", "i", F.substring("key", F.col("start") + 1, F.col("len")).alias("part"), F.col("key").alias("b"))
-    total = F.length("key") + F.col("lb")
-    common = F.ceil(least * total / 2 - 1e-9).cast("int")
-    asked = a.crossJoin(parts).where(2 * F.least(F.length("key"), F.col("lb")) >= least * total).withColumns({"lo": F.greatest(F.lit(0), F.col("start") - (F.col("lb") - common)), "hi": F.least(F.length("key") - F.col("len"), F.col("start") + F.length("key") - common)})
-    left = asked.where("lo <= hi").select("lb", "i", "len", (total - 2 * common).alias("apart"), F.col("key").alias("a"), F.explode(F.sequence("lo", "hi")).alias("at"))
-    left = left.select("lb", "i", F.substring("a", F.col("at") + 1, F.col("len")).alias("part"), "a", "apart").distinct()
-    met = left.hint("merge").join(right, ["lb", "i", "part"]).where((F.col("a") != F.col("b")) & F.expr("levenshtein(a, b, apart) >= 0")).select("a", "b").distinct()
+    met = _meetings(a, b, least).where((F.col("a") != F.col("b")) & F.expr("levenshtein(a, b, apart) >= 0")).select("a", "b").distinct()
     return met.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
 
 

@@ -157,6 +157,28 @@ def test_similar_keys_by_brute_force(spark, least):
     assert got == {(a, b): ratio(a, b) for a in set(names) for b in set(docs) if a != b and ratio(a, b) >= least}
 
 
+def test_similar_keys_meet_few_others(spark):
+    """Unlike keys hardly meet, pairs with as many unmatched characters as there may be are found."""
+    import difflib
+    import random
+
+    r = random.Random(3)
+    docs = ["name-" + "".join(r.choices("01234567", k=32)) for _ in range(3000)]
+    names = []
+    for d in docs[:150]:
+        x = list(d)
+        for _ in range(3):
+            at = r.randrange(len(x) + 1)
+            x[at : at + 1] = r.choice("01234567")
+        x.insert(r.randrange(len(x) + 1), r.choice("01234567"))
+        names.append("".join(x))
+    a, b = (spark.createDataFrame([(k,) for k in keys], "key string") for keys in (names, docs))
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    got = {(x.a, x.b) for x in L.similar_keys(a, b).collect()}
+    assert got >= {(x, y) for x, y in zip(names, docs) if x != y and ratio(x, y) >= 0.9} and len(got) > 50
+    assert L._meetings(a, b, 0.9).select("a", "b").distinct().count() < 6000
+
+
 def test_usage_by_levels(spark):
     """As the walk of one text has it."""
     import json
