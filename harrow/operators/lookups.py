@@ -88,6 +88,20 @@ def _segments(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return a.sparkSession.createDataFrame(out, "lb int, i int, start int, len int, first boolean, next int, half int, rest int")
 
 
+#: Bits of the names' hashes that are broadcast: 32 MB at most.
+BITS = 2**28
+
+
+def _asked_for(right: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows of right whose hash part is, but for chance, one of left's, by bits of these, so the others are not shuffled."""
+    k = F.pmod("part", F.lit(BITS))
+    bits = left.groupBy(F.bitmap_bucket_number(k).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("_bits"))
+    at = F.bitmap_bit_position(k).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    d = right.withColumn("_bucket", F.bitmap_bucket_number(k)).join(F.broadcast(bits), "_bucket")
+    return d.where(F.getbit(byte, at.bitwiseAND(7)) == 1).select(right.columns)
+
+
 def _meetings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """(a, apart, b): the keys that a join by segments tries, all pairs that are similar among them; apart: the most that may be unmatched.
 
@@ -104,7 +118,7 @@ def _meetings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     after = F.when(F.col("first"), F.lit(0)).otherwise(F.col("at") + F.col("len"))
     keys = [met_by(0, "a", F.col("at"), after, "half"), *[met_by(1, "a", F.col("at"), after + F.col("half") + k, "rest") for k in (-1, 1)]]
     left = each.select(F.explode(F.array(*keys)).alias("part"), "a", "apart").distinct()
-    return left.hint("merge").join(right, "part").drop("part")
+    return left.hint("merge").join(_asked_for(right, left), "part").drop("part")
 
 
 def similar_keys(names: DataFrame, documents: DataFrame, least: float = 0.90) -> DataFrame:

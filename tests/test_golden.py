@@ -179,6 +179,13 @@ def test_similar_keys_meet_few_others(spark):
     assert L._meetings(a, b, 0.9).select("a", "b").distinct().count() < 6000
 
 
+def test_asked_for(spark):
+    """All rows whose hash is asked for stay, negative ones too, and hardly any others."""
+    d = spark.range(20000).selectExpr("xxhash64(id) as part", "cast(id as string) as b", "id")
+    kept = {r.id for r in L._asked_for(d, d.where("id % 100 = 0").select("part")).collect()}
+    assert kept >= set(range(0, 20000, 100)) and len(kept) < 220
+
+
 def test_usage_by_levels(spark):
     """As the walk of one text has it."""
     import json
